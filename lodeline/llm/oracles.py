@@ -1,3 +1,8 @@
 """DuckDB SQL for the operators that SQL can express in reasonable time over whole tables."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_size_tiered_compaction": """
+        SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS n_bytes
+        FROM documents
+    """,
+}

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam
+from . import bpe, compaction, decontam, hpy, pii, quality, quotes, seekable, simhash, warc
+from .storage import new_dir, table
 from .oracles import ORACLES
 
 
@@ -14,10 +15,60 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.deduplicated(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.conversations(_read(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", "n_quotes", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", F.col("own_text").alias("text"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = table(quality.statistics(_read(spark, sf_dir, "documents"), keep=["doc_id", *quality.GROUP]), "quality")
+    judged = quality.judge(stats, quality.fit(stats))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
+
+
+def op5_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "tokens")
+    seekable.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return seekable.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+#: Batches in which the table arrives.
+ARRIVALS = 8
+
+
+def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    store = compaction.Store(spark, new_dir(spark, "shards"), docs.schema)
+    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+def op7_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op9_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
