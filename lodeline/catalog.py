@@ -1,14 +1,39 @@
-"""Name -> query and name -> oracle SQL, gathered from the operator modules."""
+"""Name -> query and name -> oracle SQL. The plan modules register themselves here."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict:
-    return QUERIES
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a driver-bound query, with the SQL that gives the same rows."""
+
+    def add(function: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return function
+
+    return add
+
+
+def _load() -> None:
+    from lodeline.plans import architecture, graphs, history, paths, resolution, searches, streams, texts  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    _load()
+    return dict(ORACLES)
