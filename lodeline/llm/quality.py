@@ -46,7 +46,7 @@ WINDOW = 8
 #: Share of a group's rows that the estimate is made from, and the concentration steps.
 SUPPORT, STEPS, MIN_ROWS = 0.75, 6, 60
 #: Least standard deviation of each transformed statistic, in thousandths.
-FLOORS = (300, 200, 60, 60, 60)
+FLOORS = (300, 200, 80, 150, 150)
 DIMS = len(FLOORS)
 #: A clean row of a normal group is rejected once in so many.
 ONE_IN = 1e9
