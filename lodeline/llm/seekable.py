@@ -17,7 +17,9 @@ twice writes the same bytes, so lost executors cost only their own work.
 
 Encoding uses the tokenizers library. Texts are cut before single spaces between
 two non-blank characters, where no pre-token can span, and the ids of pieces
-are kept in a bounded cache; the library encodes each piece that is not there.
+are kept in a bounded cache. A piece that is not there is cut into pre-tokens
+(pieces with characters beyond the Latin blocks: by the library), whose ids the
+library's model gives, through a second bounded cache.
 
 Edge cases: a null or empty text is a document with only the end id; documents
 without an id come first; documents that share an id keep the order of their
@@ -51,7 +53,9 @@ LEVEL = 3
 CACHE = 250_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: What the byte-level pre-tokenizer cuts a text of these characters into; other texts are left to the library as a whole.
+_LATIN = re.compile("[\\x00-\\x1b\\x20-\u024f]*")
+_PRE = re.compile("'(?:[st]|re|ve|m|ll|d)| ?[^\\W\\d_]+| ?[0-9²³¹¼½¾]+| ?(?:[^\\s\\w²³¹¼½¾]|_)+|\\s+(?!\\S)|\\s+")
 
 
 class Encoder:
@@ -70,13 +74,23 @@ class Encoder:
         self.alphabet = {i: mapped.pre_tokenize_str(chr(i))[0][0] for i in range(128)}
         two = {chr(i): mapped.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x250)}
         self.letters = str.maketrans({**{chr(i): v for i, v in self.alphabet.items()}, **two})
+        self.size = 2 if width == 2 else 4
+        self.words: dict[str, bytes] = {}
 
     def ids(self, piece: str) -> bytes:
-        if _LETTERS.fullmatch(piece, 1 if piece[:1] == " " else 0):  # a single pre-token
-            found = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters))]
-        else:
-            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(found, dtype=self.kind).tobytes()
+        if not _LATIN.fullmatch(piece):
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        words = self.words
+        if len(words) > CACHE:
+            words.clear()
+        out = []
+        for word in _PRE.findall(piece):
+            if (known := words.get(word)) is None:
+                known = b"".join([t.id.to_bytes(self.size, "little") for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
+                if len(word) <= 64:
+                    words[word] = known
+            out.append(known)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if not text:
