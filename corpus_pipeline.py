@@ -34,8 +34,10 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text's bytes back."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    made = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    made = bpe.decode(encoded.select("doc_id", "lang", "source", "ids", digest.alias("digest")), ranks, pattern)
+    same = F.sha2("decoded", 256) == F.col("digest")
     return made.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 

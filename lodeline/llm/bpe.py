@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 #: Characters beyond which a text is encoded in pieces.
 LONG_TEXT = 1 << 16
+#: Rows that are in Python's hands at a time.
+ROWS = 200
 _SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 
 
@@ -69,10 +71,12 @@ def _with_column(df: DataFrame, name: str, function) -> DataFrame:
     places = [i for i, field in enumerate(df.schema.names) if field != name]
 
     def run(batches):
-        for batch in batches:
-            made = pa.array(function(batch), pa.binary())
-            names = [batch.schema.names[i] for i in places]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), made], names=[*names, name])
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                made = pa.array(function(batch), pa.binary())
+                names = [batch.schema.names[i] for i in places]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), made], names=[*names, name])
 
     return df.mapInArrow(run, schema)
 
