@@ -48,9 +48,9 @@ from .storage import drop, new_dir, open_fs, parts, publish, table
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 1 << 7
-LEVEL = 3
+LEVEL = 1
 #: Pieces whose ids a Python process keeps.
-CACHE = 250_000
+CACHE = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
 #: What the byte-level pre-tokenizer cuts a text of these characters into; other texts are left to the library as a whole.
@@ -77,6 +77,11 @@ class Encoder:
         self.size = 2 if width == 2 else 4
         self.words: dict[str, bytes] = {}
 
+    def merged(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        size = self.size
+        return b"".join([t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
+
     def ids(self, piece: str) -> bytes:
         if not _LATIN.fullmatch(piece):
             return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -86,7 +91,7 @@ class Encoder:
         out = []
         for word in _PRE.findall(piece):
             if (known := words.get(word)) is None:
-                known = b"".join([t.id.to_bytes(self.size, "little") for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
+                known = self.merged(word)
                 if len(word) <= 64:
                     words[word] = known
             out.append(known)
@@ -105,7 +110,8 @@ class Encoder:
                 if known is None:
                     piece = rest[i]
                     if (known := cache.get(piece)) is None:
-                        known = self.ids(" " + piece)
+                        alone = piece.isalpha() and _LATIN.fullmatch(piece)  # one pre-token
+                        known = self.merged(" " + piece) if alone else self.ids(" " + piece)
                         if len(piece) <= 64:
                             cache[piece] = known
                     found[i] = known
