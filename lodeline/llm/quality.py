@@ -2,7 +2,8 @@
 
 ``statistics`` measures every whole text (one Arrow pass). ``fit`` estimates, for
 each (lang, source), location and scatter of the transformed statistics by the
-minimum covariance determinant: concentration steps keep the ``SUPPORT`` share
+minimum covariance determinant (``estimates`` adds those of groups too small for
+one of their own): concentration steps keep the ``SUPPORT`` share
 of rows that lie closest under the current estimate and re-estimate from them,
 from two deterministic starts (quartiles per statistic; all rows), and the
 smaller determinant wins. ``judge`` rejects rows by squared Mahalanobis distance.
@@ -17,8 +18,9 @@ shuffle, where adaptive execution splits a hot group.
 
 Fixed choices: scatter gets a floor per statistic (most texts have no repeated
 line at all, which would make it singular); rows that the base rules reject don't
-enter an estimate; a group of fewer than ``MIN_ROWS`` such rows gives no estimate
-and its rows are kept unless the base rules reject them.
+enter an estimate; a group of fewer than ``MIN_ROWS`` other rows takes the estimate
+made from all rows of its language, or, if these are fewer than ``MIN_ROWS`` too,
+from all rows there are, so that every row is judged by a distance.
 
 Edge cases: a null or empty text has zero words and fails the base rules; null
 lang or source form a group of their own; repeated rows count as often as they
@@ -191,11 +193,11 @@ def _moments() -> list[Column]:
     return [F.count(F.lit(1)).alias("kept"), *(F.sum(x[i]).alias(f"s{i}") for i in range(DIMS)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(DIMS) for j in range(i, DIMS))]
 
 
-def fit(stats: DataFrame) -> DataFrame:
-    """Per group: lang, source, rows, mean, precision, log_det. ``stats`` has GROUP, STATS and base_failed."""
+def fit(stats: DataFrame, least: int = MIN_ROWS) -> DataFrame:
+    """Per group of ``least`` rows or more: lang, source, rows, mean, precision, log_det. ``stats`` has GROUP, STATS and base_failed."""
     spark = stats.sparkSession
     rows = stats.where(~F.col("base_failed")).select(*GROUP, *vector())
-    sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows"), *_moments()).where(F.col("rows") >= MIN_ROWS)
+    sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows"), *_moments()).where(F.col("rows") >= least)
     paths = [new_dir(spark, "mcd")]
     sizes = table(sizes, "", paths[-1])
     few = sizes.count() <= BROADCAST_GROUPS
@@ -238,6 +240,27 @@ def fit(stats: DataFrame) -> DataFrame:
     return result
 
 
+def estimates(stats: DataFrame) -> DataFrame:
+    """``fit``, and a row for each smaller group with the estimate of its language or else of all rows."""
+    spark = stats.sparkSession
+    null = {c: F.lit(None).cast(stats.schema[c].dataType) for c in GROUP}
+    model = fit(stats)
+    path = new_dir(spark, "mcd")
+    small = table(_with(stats.select(*GROUP).distinct(), model.select(*GROUP), model.count() <= BROADCAST_GROUPS, "left_anti"), "", path)
+    if small.isEmpty():
+        drop(spark, path)
+        return model
+    values = [c for c in model.columns if c not in GROUP]
+    by_language = fit(stats.withColumn("source", null["source"]))
+    every = fit(stats.withColumns(null), 1).select(F.struct(*values).alias("every"))
+    pool = by_language.select(F.col("lang").alias("_lang"), F.struct(*values).alias("pool"))
+    pool = F.broadcast(pool) if by_language.count() <= BROADCAST_GROUPS else pool
+    found = small.join(pool, small["lang"].eqNullSafe(pool["_lang"]), "left").join(F.broadcast(every))  # one row, none if the base rules reject all
+    result = table(model.unionByName(found.select(*GROUP, F.coalesce("pool", "every").alias("best")).select(*GROUP, "best.*")), "mcd")
+    drop(spark, path)
+    return result
+
+
 def judge(stats: DataFrame, model: DataFrame) -> DataFrame:
     """``stats`` with distance (null without an estimate) and kept."""
     names = stats.columns
@@ -255,6 +278,6 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     costs less than shuffling them to join verdicts by id, and treats rows that
     share an id each by its own text.
     """
-    model = fit(table(statistics(docs, text_col, list(GROUP)), "quality"))
+    model = estimates(table(statistics(docs, text_col, list(GROUP)), "quality"))
     judged = judge(statistics(docs, text_col), model)
     return judged.where("kept").select(*docs.columns)

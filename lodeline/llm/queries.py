@@ -32,7 +32,7 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = table(quality.statistics(_read(spark, sf_dir, "documents"), keep=["doc_id", *quality.GROUP]), "quality")
-    judged = quality.judge(stats, quality.fit(stats))
+    judged = quality.judge(stats, quality.estimates(stats))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 

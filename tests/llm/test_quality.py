@@ -96,6 +96,28 @@ def test_verdicts(stats):
     assert judged[2000].distance is None and not judged[9999].kept
 
 
+def test_small_groups_are_judged_by_language_or_all(spark, stats):
+    """Groups of 20 rows: of a language with an estimate, of a small language, and of rows the base rules reject."""
+    new = []
+    for g, (lang, source) in enumerate([("en", "small"), ("fr", "a")]):
+        for i in range(20):
+            odd = i < 3
+            n = 200 + 20 * i
+            new.append((20_000 + g * 1000 + i, lang, source, n, int(n * 5.2), n * 2 if odd else 0, n // 12, 0, n // 4 if odd else 0, False))
+    new.append((29_999, "it", None, 0, 0, 0, 0, 0, 0, True))
+    both = stats.unionByName(spark.createDataFrame(new, stats.schema))
+    model = {(r.lang, r.source): r for r in quality.estimates(both).collect()}
+    assert set(model) == {("en", "a"), ("en", None), ("de", "a"), ("en", "small"), ("fr", "a"), ("it", None)}
+    vector = both.where(~F.col("base_failed")).select("lang", *quality.vector()).toPandas()
+    for key, rows in ((("en", "small"), vector[vector.lang == "en"]), (("de", "a"), vector), (("fr", "a"), vector)):
+        det, mean, _ = brute_fit(rows)
+        assert model[key]["rows"] == len(rows) and model[key].log_det == pytest.approx(det, rel=1e-9)
+        np.testing.assert_allclose(model[key]["mean"], mean, rtol=1e-9)
+    for row in quality.judge(both, quality.estimates(both)).collect():
+        odd = row.doc_id % 1000 < (3 if row.doc_id >= 20_000 else 60) and not 2000 <= row.doc_id < 9999
+        assert row.distance is not None and row.kept == (not row.base_failed and not odd), row
+
+
 def test_clean_and_empty(docs, no_docs):
     plain = docs.drop("n_words")
     kept = quality.clean(plain)
