@@ -4,10 +4,8 @@ The model. A token is a customer of the restaurant of its context (the word
 before it) and eats its word. Each restaurant follows a Chinese-restaurant process
 with discount and strength; who opens a table there becomes a customer of the
 parent, the restaurant all contexts share, whose parent is uniform over the
-known words and one unknown. A context gets a restaurant of its own if it makes
-up at least one in ``CONTEXTS`` of the training tokens (so there are ``CONTEXTS`` of
-them at most, on any corpus); tokens after other words are served in the shared
-restaurant. Sweeps reseat every dish given the totals of the sweep before;
+known words and one unknown. Every context that occurs has a restaurant of its own.
+Sweeps go on from the seating of the sweep before and reseat every dish given its totals;
 after ``SWEEPS`` of them, predictive probabilities are averaged over ``SAMPLES``
 seatings. A customer opens a table in proportion to (strength + discount *
 tables) * parent probability, or joins one in proportion to customers -
@@ -15,13 +13,15 @@ discount * tables; beyond 32 customers of a dish they are drawn in blocks of a
 sixteenth of those already seated.
 
 How it scales. Tokens go once to the partition of their dish (dishes that are
-frequent words are dealt by context as well, so no partition owns a hot word),
-as compressed arrays sorted by word, and come back once as probabilities for
-their documents. A partition's seating needs nothing but its own counts and
-totals a context, which is all that reaches the driver: O(``CONTEXTS``) numbers a
-sweep. Sweeps read pair counts only, not tokens. Nothing that grows with the
-vocabulary is collected or broadcast. Seeds depend on partition and sweep, so a
-task that runs again makes the same draws.
+frequent words are dealt by context, so no partition owns a hot word), as
+compressed arrays sorted by word, and come back once as probabilities for their
+documents. A sweep reads pair counts only, not tokens. Its customers and tables
+a context are sent to the partition of the context, summed there, and sent back
+to the partitions that have the context, as compressed arrays; the seating lies in
+a table from sweep to sweep. The driver gets totals of the frequent dishes alone:
+O(``CONTEXTS``) numbers a sweep. Nothing that grows with the vocabulary is collected
+or broadcast. Seeds depend on partition and sweep, so a task that runs again
+makes the same draws.
 
 Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end. Words are known
 by their 64-bit hash. Edge cases: a null or empty text is the end alone; a null
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .storage import drop, new_dir, parts, table
 
-#: Contexts have a restaurant from this share of the training tokens on.
+#: Words are dealt by context, and their totals known to the driver, from this share of the training tokens on.
 CONTEXTS = 1 << 14
 #: Error of that share, as a part of it.
 SLACK = 8
@@ -54,7 +54,8 @@ STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
 #: Tokens and documents that a task packs together, and packs for each shuffle partition.
 PACK_TOKENS, PACK_DOCS, SPREAD = 1 << 21, 60_000, 4
-NO_CONTEXT, HELD = 0x7FFF, 0x8000
+#: Marks the key of a context that is no frequent word.
+RARE = np.uint64(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +76,12 @@ class _Ids(dict):
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str.encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_planes(a, len(a), a.itemsize).tobytes() for a in arrays))
+
+
+def _planes(a: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """First bytes of all numbers, then second bytes and so on, which compress better; and back, with the sides exchanged."""
+    return np.ascontiguousarray(np.frombuffer(a.tobytes(), np.uint8).reshape(rows, columns).T)
 
 
 def _unsqueeze(blob: bytes) -> list[np.ndarray]:
@@ -83,12 +89,13 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
     kinds = [struct.unpack_from("<3sQ", data, 1 + 11 * k) for k in range(data[0])]
     out, at = [], 1 + 11 * len(kinds)
     for kind, n in kinds:
-        out.append(np.frombuffer(data, kind.decode(), n, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind.decode()).itemsize
+        out.append(np.frombuffer(_planes(np.frombuffer(data, np.uint8, n * width, at), width, n).tobytes(), kind.decode()))
+        at += n * width
     return out
 
 
-# ---- contexts ----------------------------------------------------------------------------------------------------
+# ---- frequent words ----------------------------------------------------------------------------------------------------
 
 
 def frequent_words(docs: DataFrame, id_col: str, text_col: str) -> list[bytes]:
@@ -122,6 +129,11 @@ def frequent_words(docs: DataFrame, id_col: str, text_col: str) -> list[bytes]:
 # ---- tokens to the partitions of their dishes --------------------------------------------------------------------
 
 
+def _deal(mixed: np.ndarray, n: int) -> np.ndarray:
+    """A number below ``n`` for each hash."""
+    return (((mixed ^ (mixed >> np.uint64(29))) * _MIX) >> np.uint64(20)) % np.uint64(n)
+
+
 class _Packer:
     def __init__(self, hot: dict[bytes, int], shares: int, first_batch: int):
         self.hot, self.shares, self.batch = hot, np.uint64(shares), first_batch
@@ -158,23 +170,24 @@ class _Packer:
         inner[last] = False
         token[inner] = np.concatenate(self.tokens)
         context = np.empty(len(doc), np.int64)
-        context[1:] = np.where(hot[token[:-1]] >= 0, hot[token[:-1]], NO_CONTEXT)
-        context[last - sizes + 1] = bos
-        context |= np.where(held[doc], HELD, 0)
-        key = np.sort((token.astype(np.uint64) << np.uint64(32)) | (context.astype(np.uint64) << np.uint64(16)) | doc.astype(np.uint64))
-        token, context, doc = (key >> np.uint64(32)).astype(np.int64), ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2"), (key & np.uint64(0xFFFF)).astype("<u2")
+        context[1:] = token[:-1]
+        context[last - sizes + 1] = end
+        keys = np.where(hot >= 0, hot.astype(np.uint64), hashes | RARE)
+        order = np.argsort((token.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64), kind="stable")
+        token, context, doc = token[order], context[order], doc[order]
         mixed = hashes[token]
         dealt = hot[token] >= 0
-        mixed[dealt] += (context[dealt].astype(np.uint64) & np.uint64(HELD - 1)) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        share = ((mixed * _MIX) >> np.uint64(20)) % self.shares
+        mixed[dealt] = np.where(hot[context[dealt]] < 0, np.uint64(0), mixed[dealt]) + keys[context[dealt]] * _MIX
+        share = _deal(mixed, int(self.shares))
         order = np.argsort(share.astype(np.uint32), kind="stable")
         share, token, context, doc = share[order], token[order], context[order], doc[order]
         cuts = np.append(np.flatnonzero(np.append(True, share[1:] != share[:-1])), len(share))
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = token[a:b]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            payload = _squeeze(hashes[own[first]].astype("<u8"), hot[own[first]].astype("<i2"), np.diff(np.append(first, b - a)).astype("<u4"), context[a:b], doc[a:b])
+            there, at = np.unique(context[a:b], return_inverse=True)
+            at = (at << 1 | held[doc[a:b]]).astype("<u4")
+            payload = _squeeze(hashes[own[first]].astype("<u8"), hot[own[first]].astype("<i2"), np.diff(np.append(first, b - a)).astype("<u4"), at, doc[a:b].astype("<u2"), keys[there].astype("<u8"))
             yield int(share[a]), self.batch, 0, payload
 
     def take(self):
@@ -200,52 +213,67 @@ def _pack(hot, shares: int):
     return run
 
 
-def _gather(share: int, batches: list[int], payloads: list[bytes]) -> tuple:
-    """All tokens of a share as pairs of dish and context with their training counts, and the tokens of each pair."""
+def _gather(share: int, batches: list[int], payloads: list[bytes], count: int) -> tuple:
+    """All tokens of a share as pairs of dish and context with their training counts, the tokens of each pair, and the contexts' keys by their partition."""
     blobs = [_unsqueeze(p) for p in payloads]
     word = np.concatenate([np.repeat(b[0], b[2]) for b in blobs])
     hot = np.concatenate([np.repeat(b[1], b[2]) for b in blobs])
-    context = np.concatenate([b[3] for b in blobs])
+    keys, at = np.unique(np.concatenate([b[5] for b in blobs]), return_inverse=True)
+    order = np.argsort(_deal(keys, count), kind="stable")
+    place = np.empty(len(keys), "<u4")
+    place[order] = np.arange(len(keys))
+    keys, at = keys[order], place[at]
+    context = np.concatenate([part[b[3] >> 1] for part, b in zip(np.split(at, np.cumsum([len(b[5]) for b in blobs])[:-1]), blobs)])
+    train = np.concatenate([b[3] & 1 == 0 for b in blobs])
     doc = np.concatenate([b[4] for b in blobs])
     source = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(b[3]) for b in blobs])
     del blobs
     dishes, first, dish = np.unique(word, return_index=True, return_inverse=True)
-    key = (dish.astype(np.uint64) << np.uint64(16)) | (context & np.uint16(HELD - 1))
+    key = (dish.astype(np.uint64) << np.uint64(32)) | context
     order = np.argsort(key, kind="stable")
-    key, source, doc, train = key[order], source[order], doc[order], (context[order] & HELD) == 0
+    key, source, doc, train = key[order], source[order], doc[order], train[order]
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     total = np.diff(np.append(cut, len(key)))
     count = np.add.reduceat(train.astype(np.int64), cut)
-    pair_dish, pair_context = (key[cut] >> np.uint64(16)).astype("<u4"), (key[cut] & np.uint64(0xFFFF)).astype("<u2")
+    pair_dish, pair_context = (key[cut] >> np.uint64(32)).astype("<u4"), (key[cut] & np.uint64(0xFFFFFFFF)).astype("<u4")
     # By batch, then pair: what goes back to a batch lies together.
     pair = np.repeat(np.arange(len(cut), dtype="<u4"), total)
     back = np.argsort(source, kind="stable")
     sizes = np.bincount(source, minlength=len(batches)).astype("<u4")
     pairs = _squeeze(hot[first].astype("<i2"), np.diff(pair_dish, prepend=np.uint32(0)).astype("<u4"), pair_context, count.astype("<u4"))
-    return share, pairs, _squeeze(np.array(batches, "<i8"), sizes, np.diff(pair[back].astype("<i8"), prepend=0).astype("<i4"), doc[back])
+    return share, pairs, _squeeze(np.array(batches, "<i8"), sizes, np.diff(pair[back].astype("<i8"), prepend=0).astype("<i4"), doc[back]), _squeeze(keys)
+
+
+_SHARE = pa.schema([("share", pa.int32()), ("batch", pa.int64()), ("pairs", pa.binary()), ("tokens", pa.binary()), ("contexts", pa.binary())])
 
 
-_SHARE = pa.schema([("share", pa.int32()), ("batch", pa.int64()), ("pairs", pa.binary()), ("tokens", pa.binary())])
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
-def _regroup(batches):
+def _regroup(count: int):
     """Rows sorted by share and kind: directories pass through, the tokens of a share become one row."""
-    row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _SHARE)], schema=_SHARE)
-    share, held = None, []
-    for batch in batches:
-        for s, b, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if held and s != share:
-                s0, pairs, tokens = _gather(share, [x for x, _ in held], [y for _, y in held])
-                yield row(s0, None, pairs, tokens)
-                held = []
-            share = s
-            if kind == 1:
-                yield row(None, b, None, payload)
-            else:
-                held.append((b, payload))
-    if held:
-        s0, pairs, tokens = _gather(share, [x for x, _ in held], [y for _, y in held])
-        yield row(s0, None, pairs, tokens)
+
+    def gathered(share, held):
+        s, pairs, tokens, contexts = _gather(share, [x for x, _ in held], [y for _, y in held], count)
+        return _row(_SHARE, s, None, pairs, tokens, contexts)
+
+    def run(batches):
+        share, held = None, []
+        for batch in batches:
+            for s, b, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and s != share:
+                    yield gathered(share, held)
+                    held = []
+                share = s
+                if kind == 1:
+                    yield _row(_SHARE, None, b, None, payload, None)
+                else:
+                    held.append((b, payload))
+        if held:
+            yield gathered(share, held)
+
+    return run
 
 
 # ---- seating -----------------------------------------------------------------------------------------------------
@@ -277,16 +305,13 @@ class Pairs:
     def __init__(self, blob: bytes):
         self.hot, dish, self.context, count = _unsqueeze(blob)
         self.dish, self.count = np.cumsum(dish.astype(np.int64)), count.astype(np.int64)
-        self.own = self.context != NO_CONTEXT
-        self.served = np.where(self.own, self.count, 0)
-        self.context_at = np.where(self.own, self.context, 0).astype(np.int64)
-        self.direct = np.bincount(self.dish[~self.own], self.count[~self.own], minlength=len(self.hot)).astype(np.int64)
+        self.served, self.context_at = self.count, self.context.astype(np.int64)
         self.total = np.bincount(self.dish, self.count, minlength=len(self.hot)).astype(np.int64)
         self.rare = self.hot < 0
 
     def parents(self, tables: np.ndarray) -> np.ndarray:
-        """Customers of the shared restaurant: those without a context of their own, and one for each table."""
-        return self.direct + np.bincount(self.dish, tables, minlength=len(self.hot)).astype(np.int64)
+        """Customers of the shared restaurant: one for each table."""
+        return np.bincount(self.dish, tables, minlength=len(self.hot)).astype(np.int64)
 
     def reseat(self, g: dict, rng: np.random.Generator, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tables of pairs, customers and tables in the shared restaurant, and probabilities there."""
@@ -303,13 +328,10 @@ class Pairs:
     def predict(self, g: dict, tables: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Probability of each pair's dish in its context."""
         shared, at = p[self.dish], self.context_at
-        own = (self.served - g["d2"] * tables + (STRENGTH + g["d2"] * g["TT"][at]) * shared) / (STRENGTH + g["CT"][at])
-        return np.where(self.own, own, shared)
+        return (self.served - g["d2"] * tables + (STRENGTH + g["d2"] * g["TT"][at]) * shared) / (STRENGTH + g["CT"][at])
 
-    def totals(self, tables: np.ndarray, customers: np.ndarray, shared: np.ndarray, size: int):
+    def totals(self, tables: np.ndarray, customers: np.ndarray, shared: np.ndarray):
         """(kind, index, value) to be summed over all shares."""
-        for kind, values in ((0, np.bincount(self.context_at, self.served, minlength=size)), (1, np.bincount(self.context_at, tables, minlength=size))):
-            yield from ((kind, int(i), float(values[i])) for i in np.flatnonzero(values))
         for i in np.flatnonzero(~self.rare):
             yield 2, int(self.hot[i]), float(customers[i])
             yield 3, int(self.hot[i]), float(self.total[i])
@@ -318,27 +340,88 @@ class Pairs:
         yield from ((4, i, float(v)) for i, v in enumerate(scalars))
 
 
-def _summed(shares: DataFrame, g, sweep: int, size: int) -> dict[int, np.ndarray]:
-    """The totals of a sweep: a few numbers a context."""
+#: Rows of a share in the order in which they are read: what it has, then what the partitions of its contexts answer, then its tokens.
+PAIRS, KEYS, SEATED, TOKENS = -3, -2, -1, (1 << 31) - 1
+_PART = "share int, part int, payload binary"
+_SWEPT = pa.schema([("share", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("kind", pa.int8()), ("at", pa.int32()), ("value", pa.float64())])
+
+
+def _by_share(batches):
+    """Share and its payloads by part, from rows sorted by both."""
+    share, held = None, {}
+    for batch in batches:
+        for s, part, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if s != share and held:
+                yield share, held
+                held = {}
+            share = s
+            held[part] = payload
+    if held:
+        yield share, held
+
+
+def _here(g: dict, held: dict[int, bytes]) -> dict:
+    """``g`` with customers and tables of the share's own contexts."""
+    answers = [_unsqueeze(held[part]) for part in sorted(held) if 0 <= part < TOKENS]
+    return {**g, "CT": np.concatenate([a[0] for a in answers]).astype(float), "TT": np.concatenate([a[1] for a in answers]).astype(float)}
+
+
+def _sweep(g, sweep: int, count: int):
+    """Shares -> their totals, messages to the partitions of their contexts, and the seating."""
 
     def run(batches):
-        for batch in batches:
-            for share, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = Pairs(blob)
-                if g is None:
-                    tables = (pairs.served > 0).astype(np.int64)
-                    customers = pairs.parents(tables)
-                    shared = (customers > 0).astype(np.int64)
-                else:
-                    tables, customers, shared, _ = pairs.reseat(g.value, np.random.default_rng((share, sweep)))
-                rows = list(pairs.totals(tables, customers, shared, size))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int8()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], names=["kind", "at", "value"])
+        for share, held in _by_share(batches):
+            pairs, (keys,) = Pairs(held[PAIRS]), _unsqueeze(held[KEYS])
+            if g is None:
+                tables = (pairs.served > 0).astype(np.int64)
+                customers = pairs.parents(tables)
+                shared = (customers > 0).astype(np.int64)
+            else:
+                seated = _unsqueeze(held[SEATED])[0].astype(np.int64)
+                tables, customers, shared, _ = pairs.reseat(_here(g.value, held), np.random.default_rng((share, sweep)), seated)
+            rows = [(share, None, None, *r) for r in pairs.totals(tables, customers, shared)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SWEPT)], schema=_SWEPT)
+            served, opened = (np.bincount(pairs.context_at, x, minlength=len(keys)).astype("<u4") for x in (pairs.served, tables))
+            parts_ = _deal(keys, count)
+            cuts = np.append(np.flatnonzero(np.append(True, parts_[1:] != parts_[:-1])), len(keys))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield _row(_SWEPT, share, int(parts_[a]), _squeeze(keys[a:b], served[a:b], opened[a:b]), None, None, None)
+            yield _row(_SWEPT, share, SEATED, _squeeze(tables.astype("<u4")), None, None, None)
+
+    return run
 
-    rows = shares.where("share is not null").select("share", "pairs").mapInArrow(run, "kind byte, at int, value double")
-    out = {k: np.zeros(size) for k in range(4)} | {4: np.zeros(8)}
-    for r in rows.groupBy("kind", "at").agg(F.sum("value").alias("value")).collect():
+
+def _answer(batches):
+    """Messages sorted by part -> to each share the sums over all shares, in the order of its contexts."""
+    schema = pa.schema(list(_SWEPT)[:3])
+
+    def summed(part, held):
+        messages = [_unsqueeze(p) for _, p in held]
+        keys, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([m[i] for m in messages]), minlength=len(keys)).astype("<u8") for i in (1, 2)]
+        for (share, _), own in zip(held, np.split(at, np.cumsum([len(m[0]) for m in messages])[:-1])):
+            yield _row(schema, share, part, _squeeze(*(x[own] for x in sums)))
+
+    part, held = None, []
+    for batch in batches:
+        for share, p, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if p != part and held:
+                yield from summed(part, held)
+                held = []
+            part = p
+            held.append((share, payload))
+    if held:
+        yield from summed(part, held)
+
+
+def _swept(rows: DataFrame, g, sweep: int, size: int, count: int, path: str) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """Totals for the driver after a sweep, and rows of the next one besides pairs and keys."""
+    made = table(rows.mapInArrow(_sweep(g, sweep, count), f"{_PART}, kind byte, at int, value double"), "", path, compression="none")
+    out = {k: np.zeros(size) for k in (2, 3)} | {4: np.zeros(8)}
+    for r in made.where("kind is not null").groupBy("kind", "at").agg(F.sum("value").alias("value")).collect():
         out[r.kind][r.at] = r.value
-    return out
+    sent = made.where("part >= 0").select("share", "part", "payload").repartition(count, "part").sortWithinPartitions("part", "share")
+    return out, made.where(f"part = {SEATED}").select("share", "part", "payload").unionByName(sent.mapInArrow(_answer, _PART))
 
 
 def _restaurants(s: dict[int, np.ndarray], sweep: int, last: dict | None) -> dict:
@@ -353,7 +436,7 @@ def _restaurants(s: dict[int, np.ndarray], sweep: int, last: dict | None) -> dic
     seated = seat(hot, np.full(len(hot), pull), d1, np.random.default_rng((1 << 40, sweep)))
     c1, t1 = customers + hot.sum(), tables + seated.sum()
     p1 = (hot - d1 * seated + (STRENGTH + d1 * t1) * root) / (STRENGTH + c1)
-    return {"d1": d1, "d2": d2, "T1": t1, "C1": c1, "root": root, "P1": p1, "TT": s[1], "CT": s[0], "N": tokens, "V": known, "hot": s[3]}
+    return {"d1": d1, "d2": d2, "T1": t1, "C1": c1, "root": root, "P1": p1, "TT": s.get(1), "CT": s.get(0), "N": tokens, "V": known, "hot": s[3]}
 
 
 # ---- scores ------------------------------------------------------------------------------------------------------
@@ -363,25 +446,25 @@ def _scored(g):
     """Shares -> for each batch a row with the tokens' documents and, by pair, probability and count."""
 
     def run(batches):
-        for batch in batches:
-            for share, pairs_blob, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                pairs, rng, tables, mean = Pairs(pairs_blob), np.random.default_rng((share, 1 << 20)), None, 0.0
-                for _ in range(SAMPLES):
-                    tables, _, _, p = pairs.reseat(g.value, rng, tables)
-                    mean = mean + pairs.predict(g.value, tables, p) / SAMPLES
-                score = np.log10(mean).astype("<f4")
-                count = np.where(pairs.rare, pairs.total, g.value["hot"][np.maximum(pairs.hot, 0)]).astype("<i8")[pairs.dish]
-                ids, sizes, step, doc = _unsqueeze(tokens)
-                pair, at = np.cumsum(step.astype(np.int64)), 0
-                made = []
-                for size in sizes.tolist():
-                    own = pair[at : at + size]
-                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    made.append(_squeeze(score[own[first]], count[own[first]], np.diff(np.append(first, size)).astype("<u4"), doc[at : at + size]))
-                    at += size
-                for low in range(0, len(made), 64):
-                    part = made[low : low + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 64], pa.int64()), pa.array([share] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["batch", "share", "payload"])
+        for share, held in _by_share(batches):
+            pairs, rng, mean = Pairs(held[PAIRS]), np.random.default_rng((share, 1 << 20)), 0.0
+            here, tables = _here(g.value, held), _unsqueeze(held[SEATED])[0].astype(np.int64)
+            for _ in range(SAMPLES):
+                tables, _, _, p = pairs.reseat(here, rng, tables)
+                mean = mean + pairs.predict(here, tables, p) / SAMPLES
+            score = np.log10(mean).astype("<f4")
+            count = np.where(pairs.rare, pairs.total, g.value["hot"][np.maximum(pairs.hot, 0)]).astype("<i8")[pairs.dish]
+            ids, sizes, step, doc = _unsqueeze(held[TOKENS])
+            pair, at = np.cumsum(step.astype(np.int64)), 0
+            made = []
+            for size in sizes.tolist():
+                own = pair[at : at + size]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                made.append(_squeeze(score[own[first]], count[own[first]], np.diff(np.append(first, size)).astype("<u4"), doc[at : at + size]))
+                at += size
+            for low in range(0, len(made), 64):
+                part = made[low : low + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 64], pa.int64()), pa.array([share] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["batch", "share", "payload"])
 
     return run
 
@@ -427,12 +510,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     size = len(hot) + 1
     packed = source.mapInArrow(_pack(sc.broadcast(hot), count * SPREAD), "share int, batch long, kind byte, payload binary")
     placed = packed.repartition(count, "share").sortWithinPartitions("share", "kind", "batch")
-    shares = table(placed.mapInArrow(_regroup, "share int, batch long, pairs binary, tokens binary"), "dishes", compression="none")
-    g = _restaurants(_summed(shares, None, 0, size), 0, None)
+    dealt = max(1, count // SPREAD)  # partitions of contexts: each answers each share, so there are fewer of them
+    shares = table(placed.mapInArrow(_regroup(dealt), "share int, batch long, pairs binary, tokens binary, contexts binary"), "dishes", compression="none")
+    whole = shares.where("share is not null")
+    part = lambda number, name: whole.select("share", F.lit(number).alias("part"), F.col(name).alias("payload"))
+    fixed = part(PAIRS, "pairs").unionByName(part(KEYS, "contexts"))
+    arranged = lambda rows: rows.repartition(count, "share").sortWithinPartitions("share", "part")
+    path = new_dir(spark, "seating")
+    sums, state = _swept(arranged(fixed), None, 0, size, dealt, path)
+    g = _restaurants(sums, 0, None)
     for sweep in range(1, SWEEPS + 1):
-        g = _restaurants(_summed(shares, sc.broadcast(g), sweep, size), sweep, g)
+        old, path = path, new_dir(spark, "seating")
+        sums, state = _swept(arranged(fixed.unionByName(state)), sc.broadcast(g), sweep, size, dealt, path)
+        g = _restaurants(sums, sweep, g)
+        drop(spark, old)
     g = sc.broadcast(g)
-    scored = shares.where("share is not null").select("share", "pairs", "tokens").mapInArrow(_scored(g), "batch long, share int, payload binary")
+    scored = arranged(part(PAIRS, "pairs").unionByName(part(TOKENS, "tokens")).unionByName(state)).mapInArrow(_scored(g), "batch long, share int, payload binary")
     directories = shares.where("share is null").select("batch", F.lit(-1).alias("share"), F.col("tokens").alias("payload"))
     together = scored.unionByName(directories).repartition(count, "batch").sortWithinPartitions("batch", "share")
     return together.mapInArrow(_totalled(g), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -105,3 +105,24 @@ def test_frequent_words_and_empty(spark, docs, no_docs, monkeypatch):
     assert hpy.score(no_docs).count() == 0
     two = spark.createDataFrame([(None, "a b"), (None, "a b"), (2, None)], "doc_id long, text string")
     assert sorted(r.n_tokens for r in hpy.score(two).collect()) == [1, 3, 3]
+
+
+def test_every_context_has_a_restaurant(spark, monkeypatch):
+    """Pairs of words each too rare to be frequent: the second is foretold by the first, the shared restaurant can't."""
+    monkeypatch.setattr(hpy, "CONTEXTS", 50)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"a{i} b{i}" for i in rng.integers(0, 200, 20)) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert hpy.frequent_words(df, "doc_id", "text") == []
+    rows = [r for r in hpy.score(df).collect() if r.held_out]
+    # Half of the words are all but certain; by the unigram alone each costs log10(400) = 2.6.
+    assert -sum(r.score for r in rows) / sum(r.n_tokens for r in rows) < 0.65 * 2.6
+
+
+def test_totals_of_contexts_over_shares(spark):
+    """Customers of a context that many shares have come back as one sum to each of them."""
+    keys = [np.array([3, 7, 9], np.uint64), np.array([7, 9], np.uint64)]
+    rows = [(s, 0, hpy._squeeze(k, np.full(len(k), 2 + s, "<u4"), np.full(len(k), 1, "<u4"))) for s, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, hpy._PART).repartition(1).sortWithinPartitions("part", "share")
+    got = {r.share: [x.tolist() for x in hpy._unsqueeze(bytes(r.payload))] for r in df.mapInArrow(hpy._answer, hpy._PART).collect()}
+    assert got == {0: [[2, 5, 5], [1, 2, 2]], 1: [[5, 5], [2, 2]]}
