@@ -187,7 +187,9 @@ def depth(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFr
     return seen
 
 
-def _louvain_kernel(resolution: float, sweeps: int):
+def _louvain_kernel(resolution: float, sweeps: int, whole: float | None = None):
+    """``whole`` is the degree sum of the graph where the kernel gets a part of it."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, src, dst = _numbered(frame)
         n, w = len(ids), frame["weight"].to_numpy(float)
@@ -197,7 +199,7 @@ def _louvain_kernel(resolution: float, sweeps: int):
                 near[a][b] = near[a].get(b, 0.0) + x
                 near[b][a] = near[b].get(a, 0.0) + x
         degree = np.array([sum(x.values()) for x in near])
-        total, own = degree.sum(), np.arange(n)
+        total, own = degree.sum() if whole is None else whole, np.arange(n)
         mass = degree.copy()
         for _ in range(sweeps if total else 0):
             moved = False
@@ -225,24 +227,36 @@ def _louvain_kernel(resolution: float, sweeps: int):
     return run
 
 
-def louvain(edges: DataFrame, resolution: float = 1.5, sweeps: int = 30) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.5, sweeps: int = 30, by_parts: bool | None = None) -> DataFrame:
     """id, module_id: one level of greedy modularity on the undirected graph, nodes in order of id.
 
     Greedy moves are sequential by nature, so a graph beyond ``KERNEL_EDGES`` edges is
-    first split into weakly linked parts, which never share a module, and a part per task is solved.
+    first split into weakly linked parts, which never share a module, and a part per task
+    is solved against the degree sum of the whole graph. Modules are numbered by their smallest id.
     """
     schema = "id long, module_id long"
-    if small(edges):
+    if not (by_parts if by_parts is not None else not small(edges)):
         return _in_one_task(edges, _louvain_kernel(resolution, sweeps), schema)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     part = spread(both.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")), both)
-    solve = _louvain_kernel(resolution, sweeps)
+    whole = edges.where("src <> dst").agg(F.sum("weight")).first()[0]
+    solve = _louvain_kernel(resolution, sweeps, 2 * (whole or 0.0))
 
     def per_part(frame: pd.DataFrame) -> pd.DataFrame:
         out = solve(frame)
         return out.assign(module_id=out.groupby("module_id")["id"].transform("min"))
 
-    return edges.join(part.select(F.col("id").alias("src"), F.col("c").alias("part")), "src").groupBy("part").applyInPandas(per_part, schema)
+    found = cut(edges.join(part.select(F.col("id").alias("src"), F.col("c").alias("part")), "src").groupBy("part").applyInPandas(per_part, schema))
+    return found.join(_ranks(found.select(F.col("module_id").alias("first")).distinct()).withColumnRenamed("first", "module_id"), "module_id").select("id", F.col("rank").alias("module_id"))
+
+
+def _ranks(values: DataFrame) -> DataFrame:
+    """first, rank: the place of each distinct value in their order from 0, by ranges."""
+    ranged = cut(values.repartitionByRange("first").withColumn("range", F.spark_partition_id()))
+    sizes = [(r["range"], r["count"]) for r in ranged.groupBy("range").count().orderBy("range").collect()]  # a row per range
+    starts = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
+    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1)
+    return placed.join(F.broadcast(values.sparkSession.createDataFrame(starts, "range int, start long")), "range").select("first", (F.col("start") + F.col("place")).alias("rank"))
 
 
 def is_test(path: Column) -> Column:

@@ -102,3 +102,12 @@ def test_impact_lists_names_as_often_as_reached(spark):
     assert sorted((r.depth, r.symbol) for r in got.collect()) == [(0, "a"), (0, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "test_b")]
     risk = G.risk(got).first()
     assert (risk.direct, risk.transitive, risk.tests, risk.uncovered) == (2, 3, 1, 4)
+
+
+def test_louvain_by_parts_is_the_same_as_whole(spark):
+    """Random parts and a triangle apart, which is one module only against the degree sum of the whole graph."""
+    rng = random.Random(7)
+    pairs = sorted({(base + rng.randrange(25), base + rng.randrange(25)) for base in (0, 100, 300) for _ in range(45)})
+    rows = spark.createDataFrame([(a, b, 1.0 + (a + b) % 3) for a, b in pairs] + [(200, 201, 1.0), (201, 202, 1.0), (202, 200, 1.0)], "src long, dst long, weight double")
+    whole, parts = ({r.id: r.module_id for r in G.louvain(rows, by_parts=b).collect()} for b in (False, True))
+    assert parts == whole and parts[200] == parts[201] == parts[202]
