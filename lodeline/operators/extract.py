@@ -220,10 +220,12 @@ PARSERS: dict[str, Callable[[str], Found]] = {"python": parse_python} | {lang: p
 
 def parse(language: str | None, text: str | None) -> Found:
     parser = PARSERS.get(language or "")
-    if parser is None or not text or len(text) > BIG_FILE:
+    if parser is None or not text:
         return Found()
     try:
-        return parser(text)
+        found = parser(text)
+        found.is_entry &= len(text) <= BIG_FILE
+        return found
     except (SyntaxError, ValueError, RecursionError):
         return Found()
 

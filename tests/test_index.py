@@ -87,3 +87,15 @@ def test_patterns_by_language():
     rust = X.parse("rust", "use std::io;\npub fn a() { b::c(\"if x\"); }\n")
     assert ("c", "b") in {(r[2], r[3]) for r in rust.refs} and rust.complexity == 1
     assert X.parse("python", "def (:").symbols == []
+
+
+def test_big_files_are_parsed_whole():
+    """The size limit is for entry detection alone."""
+    pad = "# " + "x" * 98 + "\n"
+    text = "import os\n\n\ndef first():\n    return os.sep\n\n\n" + pad * (X.BIG_FILE // 100 + 1) + "def last():\n    return first()\n\n\nif __name__ == '__main__':\n    last()\n"
+    assert len(text) > X.BIG_FILE
+    found = X.parse("python", text)
+    assert {"first", "last"} <= {s[0] for s in found.symbols} and "first" in {r[2] for r in found.refs} and not found.is_entry
+    rust = X.parse("rust", "fn main() {\n}\n" + ("//" + pad[2:]) * (X.BIG_FILE // 100 + 1) + "fn last() {\n}\n")
+    assert {"main", "last"} <= {s[0] for s in rust.symbols} and not rust.is_entry
+    assert X.parse("rust", "fn main() {\n}\n").is_entry
