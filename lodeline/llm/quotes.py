@@ -1,12 +1,12 @@
 """Quotation linking: from messages that quote each other to reply-ordered conversations without quotes.
 
 ``parse`` splits each message into its own text and the passages it quotes, by
-nesting level (a level is one leading ``>``). Passages are sentences and
-paragraphs, normalised (lower case, single blanks, no outer punctuation) and
-hashed. ``link`` joins what is quoted at the first level to the messages whose own
-text has it: the earliest such message of the same conversation, or else the
+nesting level (a level is one leading ``>``). Passages are sentences,
+lines and paragraphs, normalised (lower case, single blanks, no outer punctuation) and
+hashed. ``link`` joins what is quoted to the messages whose own text has it: the earliest such message of the same conversation, or else the
 earliest of all, that comes before the quoting one. A message replies to the
-message that most of its quoted passages come from (ties: the later one). ``thread`` follows replies
+message that most of its passages at the first level come from (ties: the later one);
+where none of these is found, the next level counts, and so on. ``thread`` follows replies
 to their roots by pointer doubling. Sorting by root_conv, root_turn, depth,
 conv_id, turn gives the replies in order.
 
@@ -27,6 +27,7 @@ an output column replaced.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -53,10 +54,10 @@ def levels(text: str) -> list[tuple[int, str]]:
 
 
 def passages(lines: list[str]) -> list[str]:
-    """Normalised paragraphs and sentences of at least MIN_WORDS words."""
+    """Normalised paragraphs, sentences and lines of at least MIN_WORDS words."""
     found: dict[str, None] = {}
     for paragraph in "\n".join(lines).split("\n\n"):
-        for part in (paragraph, *_ENDS.split(paragraph)):
+        for part in (paragraph, *_ENDS.split(paragraph), *paragraph.split("\n")):
             words = _EDGE.sub("", part.lower()).split()
             if len(words) >= MIN_WORDS:
                 found[" ".join(words)] = None
@@ -70,36 +71,35 @@ def _hash(passage: str) -> int:
 
 def read_message(text: str | None) -> tuple[str | None, list[int], list[int], int]:
     """Own text, hashes of its passages, hashes of the passages quoted at level one, number of quoted blocks."""
+    text, has, cites, count = read_levels(text)
+    return text, has, [passage for level, passage in cites if level == 1], count
+
+
+def read_levels(text: str | None) -> tuple[str | None, list[int], list[tuple[int, int]], int]:
+    """As ``read_message``, with (level, hash) of the passages quoted at every level."""
     if not text:
         return text, [], [], 0
     lines = levels(text)
     own = [line for level, line in lines if level == 0]
-    blocks, run, before = [], [], 0
-    for level, line in [*lines, (0, "")]:
-        if level == 1:
-            run.append(line)
-        elif run:
-            blocks.append(run)
-            run = []
-        before = level
+    blocks = [(level, [line for _, line in run]) for level, run in groupby(lines, key=lambda x: x[0]) if level]
     count = sum(level > 0 and (i == 0 or lines[i - 1][0] != level) for i, (level, _) in enumerate(lines))
-    quoted = dict.fromkeys(_hash(p) for block in blocks for p in passages(block))
+    quoted = dict.fromkeys((level, _hash(p)) for level, block in blocks for p in passages(block))
     text = "\n".join(own).strip("\n") if count else text
     return text, [_hash(p) for p in passages(own)], list(quoted), count
 
 
 def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``messages`` with own_text, n_quotes, has (passages of the own text) and cites (passages quoted)."""
-    kept = messages.drop(*OUTPUTS, "has", "cites")
+    """``messages`` with own_text, n_quotes, has (passages of the own text), cites (passages quoted) and levels (of these)."""
+    kept = messages.drop(*OUTPUTS, "has", "cites", "levels")
     place = messages.columns.index(text_col)
-    fields = [T.StructField("own_text", T.StringType()), T.StructField("n_quotes", T.LongType()), T.StructField("has", T.ArrayType(T.LongType())), T.StructField("cites", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("own_text", T.StringType()), T.StructField("n_quotes", T.LongType()), T.StructField("has", T.ArrayType(T.LongType())), T.StructField("cites", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.LongType()))]
     places = [messages.columns.index(c) for c in kept.columns]
     schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches):
         for batch in batches:
-            rows = [read_message(t) for t in batch.column(place).to_pylist()]
-            made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (1, 2))]
+            rows = [read_levels(t) for t in batch.column(place).to_pylist()]
+            made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in ([r[1] for r in rows], [[p for _, p in r[2]] for r in rows], [[n for n, _ in r[2]] for r in rows]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *made], names=schema.names)
 
     return messages.mapInArrow(run, schema)
@@ -112,8 +112,8 @@ def _at() -> Column:
 def link(parsed: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """conv, turn_no, parent_conv, parent_turn of every message that replies to another."""
     spark = parsed.sparkSession
-    keyed = parsed.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn_no"), "has", "cites").where("conv is not null and turn_no is not null")
-    cited = keyed.select("conv", "turn_no", F.explode("cites").alias("passage"))
+    keyed = parsed.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn_no"), "has", "cites", "levels").where("conv is not null and turn_no is not null")
+    cited = keyed.select("conv", "turn_no", F.explode(F.arrays_zip("cites", "levels")).alias("c")).select("conv", "turn_no", F.col("c.cites").alias("passage"), F.col("c.levels").alias("level"))
     wanted = keyed.select("conv", "turn_no", F.explode("has").alias("passage"))
     paths = [new_dir(spark, "quotes") for _ in range(4)]
     cited = table(cited, "", paths[0])
@@ -123,8 +123,8 @@ def link(parsed: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -
     first = table(wanted.groupBy("passage").agg(F.min(_at()).alias("first")), "", paths[3])
     found = cited.join(near, ["passage", "conv"], "left").join(first, "passage", "left")
     target = F.when(F.col("near_turn") < F.col("turn_no"), F.struct(F.col("conv").alias("conv"), F.col("near_turn").alias("turn_no"))).when(F.col("first") < _at(), F.col("first"))
-    votes = found.withColumn("to", target).where("to is not null").groupBy("conv", "turn_no", "to").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("conv", "turn_no").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
+    votes = found.withColumn("to", target).where("to is not null").groupBy("conv", "turn_no", "level", "to").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("conv", "turn_no").agg(F.max_by("to", F.struct(-F.col("level"), "n", "to")).alias("to"))
     result = table(best.select("conv", "turn_no", F.col("to.conv").alias("parent_conv"), F.col("to.turn_no").alias("parent_turn")), "replies")
     drop(spark, *paths)
     return result
@@ -150,7 +150,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     """Every message with its own text, its parent, its root and its depth (roots: themselves, depth 0)."""
     parsed = table(parse(messages, text_col), "messages")
     placed = thread(link(parsed, conv_col, turn_col))
-    left = parsed.drop("has", "cites")
+    left = parsed.drop("has", "cites", "levels")
     joined = left.join(placed, (left[conv_col].cast("long") == placed["conv"]) & (left[turn_col].cast("long") == placed["turn_no"]), "left")
     kept = [c for c in left.columns if c not in ("own_text", "n_quotes")]
     return joined.select(

@@ -67,3 +67,16 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     assert run(spark, ROWS).limit(0).count() == 0
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_deeper_levels_and_single_lines(spark):
+    rows = [
+        (1, 0, "u", "line one of text\nline two of text\nand a third without an end"),
+        (1, 1, "u", "> line two of text\nmy answer is in here"),
+        (1, 2, "u", ">> line one of text\nonly the grandparent is quoted"),
+        (1, 3, "u", ">> line one of text\n>> line two of text\n> my answer is in here\nboth levels, the first counts"),
+        (1, 4, "u", ">> line two of text\n> said by nobody at all\nthe first level is not found"),
+    ]
+    got = {r.turn: r for r in run(spark, rows).collect()}
+    assert {t: r.parent_turn for t, r in got.items()} == {0: None, 1: 0, 2: 0, 3: 1, 4: 0}
+    assert [got[t].depth for t in range(5)] == [0, 1, 1, 2, 1] and all(r.root_turn == 0 for r in got.values())
