@@ -15,11 +15,12 @@ each (its size is that of the list of partitions). ``read`` verifies every
 checksum. A file appears under its name only when whole, and a task that runs
 twice writes the same bytes, so lost executors cost only their own work.
 
-Encoding uses the tokenizers library. Texts are cut before single spaces between
-two non-blank characters, where no pre-token can span, and the ids of pieces
-are kept in a bounded cache. A piece that is not there is cut into pre-tokens
-(pieces with characters beyond the Latin blocks: by the library), whose ids the
-library's model gives, through a second bounded cache.
+Encoding uses the tokenizers library. A text of the Latin blocks is cut into the
+library's pre-tokens, whose ids its model gives and a bounded cache keeps; other
+texts are cut before single spaces between two non-blank characters, where no
+pre-token can span, and the pieces left to the library. Very long texts are worked
+through in parts, cut at such places. A text with a special token spelled out goes
+through the library whole, which gives that token's id.
 
 Edge cases: a null or empty text is a document with only the end id; documents
 without an id come first; documents that share an id keep the order of their
@@ -49,73 +50,77 @@ from .storage import drop, new_dir, open_fs, parts, publish, table
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 1 << 7
 LEVEL = 1
-#: Pieces whose ids a Python process keeps.
-CACHE = 400_000
+#: Pre-tokens whose ids a Python process keeps, and the longest of them.
+CACHE, KEPT = 400_000, 64
+#: Characters of a text that are cut up at a time.
+LONG_TEXT = 1 << 16
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
-#: What the byte-level pre-tokenizer cuts a text of these characters into; other texts are left to the library as a whole.
+#: What the byte-level pre-tokenizer cuts a text of these characters into; other texts are left to the library.
 _LATIN = re.compile("[\\x00-\\x1b\\x20-\u024f]*")
 _PRE = re.compile("'(?:[st]|re|ve|m|ll|d)| ?[^\\W\\d_]+| ?[0-9²³¹¼½¾]+| ?(?:[^\\s\\w²³¹¼½¾]|_)+|\\s+(?!\\S)|\\s+")
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them without special tokens."""
+    """Ids of whole texts, as the tokenizer gives them when it adds no special tokens.
+
+    A special token that a text spells out is one id, as in the library's plain call.
+    """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if width == 2 else "<u4"
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind, self.width = ("<u2", 2) if width == 2 else ("<u4", 4)
+        self.packed = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
         mapped = ByteLevel(add_prefix_space=False, use_regex=False)
-        # The byte alphabet of the pre-tokenizer, from the library itself; bytes that no text has are left out.
-        self.alphabet = {i: mapped.pre_tokenize_str(chr(i))[0][0] for i in range(128)}
-        two = {chr(i): mapped.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x250)}
-        self.letters = str.maketrans({**{chr(i): v for i, v in self.alphabet.items()}, **two})
-        self.size = 2 if width == 2 else 4
-        self.words: dict[str, bytes] = {}
+        # The byte alphabet of the pre-tokenizer, from the library itself.
+        self.letters = str.maketrans({chr(i): mapped.pre_tokenize_str(chr(i))[0][0] for i in range(0x250)})
+        self.cache: dict[str, bytes] = {}
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def merged(self, word: str) -> bytes:
         """The ids of one pre-token."""
-        size = self.size
-        return b"".join([t.id.to_bytes(size, "little") for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
-
-    def ids(self, piece: str) -> bytes:
-        if not _LATIN.fullmatch(piece):
-            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        out = []
-        for word in _PRE.findall(piece):
-            if (known := words.get(word)) is None:
-                known = self.merged(word)
-                if len(word) <= 64:
-                    words[word] = known
-            out.append(known)
-        return b"".join(out)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(word.translate(self.letters))])
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
+    def known(self, pieces: list[str], make) -> bytes:
+        """The ids of pieces in a row, from the cache or by ``make``."""
         cache = self.cache
-        found = list(map(cache.get, rest))
+        found = list(map(cache.get, pieces))
         if None in found:
             if len(cache) > CACHE:
                 cache.clear()
-            for i, known in enumerate(found):
-                if known is None:
-                    piece = rest[i]
-                    if (known := cache.get(piece)) is None:
-                        alone = piece.isalpha() and _LATIN.fullmatch(piece)  # one pre-token
-                        known = self.merged(" " + piece) if alone else self.ids(" " + piece)
-                        if len(piece) <= 64:
-                            cache[piece] = known
-                    found[i] = known
-        return self.ids(head) + b"".join(found)
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    if (ids := cache.get(piece)) is None:
+                        ids = make(piece)
+                        if len(piece) <= KEPT:
+                            cache[piece] = ids
+                    found[i] = ids
+        return b"".join(found)
+
+    def part(self, text: str) -> bytes:
+        if _LATIN.fullmatch(text):
+            return self.known(_PRE.findall(text), self.merged)
+        head, *rest = _CUT.split(text)
+        return self.library(head) + self.known([" " + r for r in rest], self.library)
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self.library(text)
+        out, at = [], 0
+        while len(text) - at > LONG_TEXT and (cut := _CUT.search(text, at + LONG_TEXT)):
+            out.append(self.part(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self.part(text[at:])])
 
 
 @lru_cache(maxsize=2)

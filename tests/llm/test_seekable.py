@@ -14,9 +14,7 @@ PATH = P.path("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +31,22 @@ def test_encoder_matches_library(texts, library):
         assert np.frombuffer(encoder.encode(text or ""), "<u2").tolist() == want, text
 
 
+def test_every_latin_character_in_every_position(library):
+    encoder = seekable.Encoder(PATH, 2)
+    frames = ("{}", "a{}b", " {} ", "1{}2", ".{}.", "\n{}\n", "{0}{0} x", "'{}", " {}a", "a {} 1", "  {}  ")
+    for code in range(0x252):
+        for frame in frames:
+            text = frame.format(chr(code))
+            assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, (code, frame)
+
+
+def test_special_tokens_and_long_texts_match_library(library):
+    encoder = seekable.Encoder(PATH, 2)
+    assert 50256 in np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u2")
+    for text in ("<|endoftext|>", "x <|endoftext|><|endoftext|>y", "one two, three.\n" * 20_000, "né \u4e2d\u6587 x " * 9_000, "a" * 200_000):
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_rows_match_brute_force(spark, folder, texts, library):
     got = sorted(seekable.read(spark, folder).collect())
     start = 0
