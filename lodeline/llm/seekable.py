@@ -57,7 +57,16 @@ LONG_TEXT = 1 << 16
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: What the byte-level pre-tokenizer cuts a text of these characters into; other texts are left to the library.
 _LATIN = re.compile("[\\x00-\\x1b\\x20-\u024f]*")
-_PRE = re.compile("'(?:[st]|re|ve|m|ll|d)| ?[^\\W\\d_]+| ?[0-9²³¹¼½¾]+| ?(?:[^\\s\\w²³¹¼½¾]|_)+|\\s+(?!\\S)|\\s+")
+
+
+def _pre_tokens() -> re.Pattern:
+    """The pre-tokenizer's pattern for these characters; plain sets, letters first, are what the engine scans fastest."""
+    named = lambda kind: "".join(re.escape(c) for c in map(chr, range(0x250)) if re.fullmatch(kind, c))
+    letters, numbers, others = named(r"[^\W\d_²³¹¼½¾]"), named(r"[\d²³¹¼½¾]"), named(r"[^\s\w²³¹¼½¾]|_")
+    return re.compile(rf" ?[{letters}]+| ?[{numbers}]+|'(?:[st]|re|ve|m|ll|d)| ?[{others}]+|\s+(?!\S)|\s+")
+
+
+_PRE = _pre_tokens()
 
 
 class Encoder:
