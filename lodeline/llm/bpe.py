@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
+
+from .storage import sliced
 
 #: Characters beyond which a text is encoded in pieces.
 LONG_TEXT = 1 << 16
-#: Rows that are in Python's hands at a time.
-ROWS = 200
 _SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 
 
@@ -64,19 +65,19 @@ def encode_text(encoding, text: str | None) -> bytes:
     return b"".join(np.asarray(encoding.encode_ordinary(p), dtype="<u4").tobytes() for p in pieces(text))
 
 
-def _with_column(df: DataFrame, name: str, function) -> DataFrame:
-    """Appends a binary column that ``function(batch)`` makes, in one Arrow pass."""
-    kept = df.drop(name)
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.BinaryType())])
-    places = [i for i, field in enumerate(df.schema.names) if field != name]
+def decode_ids(encoding, ids: bytes | None) -> bytes:
+    return encoding.decode_bytes(np.frombuffer(ids or b"", dtype="<u4").tolist())
+
+
+def _with_columns(df: DataFrame, added: pa.Schema, function, gone: tuple[str, ...] = ()) -> DataFrame:
+    """Appends the columns ``added``, whose values ``function(batch)`` makes, in one Arrow pass."""
+    places = [i for i, field in enumerate(df.schema.names) if field not in (*added.names, *gone)]
+    schema = T.StructType([*(df.schema.fields[i] for i in places), *from_arrow_schema(added).fields])
 
     def run(batches):
-        for whole in batches:
-            for low in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(low, ROWS)
-                made = pa.array(function(batch), pa.binary())
-                names = [batch.schema.names[i] for i in places]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), made], names=[*names, name])
+        for batch in sliced(batches):
+            made = [pa.array(values, field.type) for values, field in zip(function(batch), added)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -87,9 +88,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
 
     def run(batch):
         encoding = load(rank_path, pattern)
-        return [encode_text(encoding, text) for text in batch.column(place).to_pylist()]
+        return [[encode_text(encoding, text) for text in batch.column(place).to_pylist()]]
 
-    return _with_column(df, ids_col, run)
+    return _with_columns(df, pa.schema([(ids_col, pa.binary())]), run)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -98,6 +99,19 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", ou
 
     def run(batch):
         encoding = load(rank_path, pattern)
-        return [encoding.decode_bytes(np.frombuffer(ids or b"", dtype="<u4").tolist()) for ids in batch.column(place).to_pylist()]
+        return [[decode_ids(encoding, ids) for ids in batch.column(place).to_pylist()]]
+
+    return _with_columns(df, pa.schema([(out_col, pa.binary())]), run)
+
+
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
+    """``df`` without its texts: their ids, and whether decoding these gives the texts' bytes. One pass, so a worker holds one encoding."""
+    place = df.schema.names.index(text_col)
+
+    def run(batch):
+        encoding = load(rank_path, pattern)
+        texts = batch.column(place).to_pylist()
+        ids = [encode_text(encoding, text) for text in texts]
+        return ids, [decode_ids(encoding, i) == (text or "").encode() for i, text in zip(ids, texts)]
 
-    return _with_column(df, out_col, run)
+    return _with_columns(df, pa.schema([(ids_col, pa.binary()), (same_col, pa.bool_())]), run, (text_col,))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import table
+from .storage import sliced, table
 
 #: Lower-cases A-Z, keeps digits, letters and all bytes of other characters, blanks the rest.
 _TABLE = bytes(
@@ -121,7 +121,7 @@ def scan(
 
         def run(batches, block=block, first=first, out_names=out_names):
             types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
-            for batch in batches:
+            for batch in sliced(batches):
                 columns: list[list] = [[], [], []]
                 texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
                 before = None if first else [batch.column(batch.schema.names.index(c)).to_pylist() for c in OUTPUTS]

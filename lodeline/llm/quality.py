@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import drop, new_dir, table
+from .storage import drop, new_dir, sliced, table
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
@@ -99,7 +99,7 @@ def statistics(df: DataFrame, text_col: str = "text", keep: list[str] | None = N
     schema = T.StructType([*(df.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in STATS)])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [measure(text) for text in batch.column(place).to_pylist()]
             made = [pa.array([row[i] for row in rows], pa.int64()) for i in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=schema.names)

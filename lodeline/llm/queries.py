@@ -58,7 +58,7 @@ def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = pii.detect(docs, pii.fit(docs), keep=["doc_id"])
-    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

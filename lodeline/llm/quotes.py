@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import drop, new_dir, table
+from .storage import drop, new_dir, sliced, table
 
 MIN_WORDS = 3
 _LEVEL = re.compile(r"[ \t]*(?:>[ \t]?)+")
@@ -97,7 +97,7 @@ def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
     schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [read_levels(t) for t in batch.column(place).to_pylist()]
             made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in ([r[1] for r in rows], [[p for _, p in r[2]] for r in rows], [[n for n, _ in r[2]] for r in rows]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *made], names=schema.names)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .storage import drop, new_dir, parts, table
+from .storage import drop, new_dir, parts, sliced, table
 
 SEED, SHINGLE, DIFFERENCES = 42, 4, 4
 #: Bits of each block; four differences leave at least two of the six untouched.
@@ -81,7 +81,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     place = source.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = np.array([fingerprint(t) for t in batch.column(place).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(made, pa.int64())], names=[*names, "fp"])
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of texts that a pass over texts turns into Python objects at a time.
+SLICE = 2 << 20
+
 
 def base_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a new local folder only where none is set."""
@@ -65,6 +69,16 @@ def publish(uri: str, data: bytes) -> None:
     fs.move(private, path)
 
 
+def sliced(batches):
+    """Arrow batches in slices of about SLICE bytes (one row at least), which bounds what Python holds of a batch."""
+    for batch in batches:
+        rows = max(1, SLICE * batch.num_rows // max(1, batch.nbytes))
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def parts(spark: SparkSession, gigabytes: float | None = None) -> int:
     """Shuffle partitions of the session, for repartition calls that name a number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
