@@ -84,8 +84,7 @@ class Index:
         bindings = wanted.select("id", "source_file_id", "target_name").join(bound, "id", "left")
         bindings = R.chase_barrels(bindings.select("id", "source_file_id", "target_name", "target_file_id"), symbols)
         inherits = raw.where("kind = 'inherit' and target_qualifier is null")
-        proposals = R.tiers(raw, files, symbols, bindings, R.mro(raw, files, symbols, inherits))
-        done = R.cascade(raw, proposals).join(bindings.select("id", F.col("target_file_id").alias("bound_file")), "id", "left")
+        done = R.cascade(raw, files, symbols, bindings, R.mro(raw, files, symbols, inherits)).join(bindings.select("id", F.col("target_file_id").alias("bound_file")), "id", "left")
         return done.withColumn("target_file_id", F.coalesce("target_file_id", "bound_file")).drop("bound_file")
 
     # -- asking --

@@ -1,10 +1,10 @@
 """Reference resolution: twelve tiers in one pass.
 
 Every tier's condition reads columns that the cascade never changes, so the
-tiers are independent: each proposes a target per reference, and the lowest
-tier wins. Candidates are reduced to one row per key before they meet the
-references (how many files, which symbol first), so common names fan nothing
-out and leave no skew on the candidates' side.
+tiers are independent: each proposes a target in a column of its own, and the
+lowest tier of the row wins, without a shuffle by reference. Candidates are reduced to one row
+per key before they meet the references (how many files, which symbol first),
+so common names fan nothing out and leave no skew on the candidates' side.
 
 Columns. files: id, path, dir, lang_family. symbols: id, file_id, name, kind,
 scope. refs: id, source_file_id, target_name, target_qualifier, receiver_type,
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.paths import is_doc, is_test_candidate
@@ -30,15 +30,6 @@ SKIPPED = ("import", "import_binding")
 TIERS = {"l0": (0, 0.95), "l0c": (1, 0.95), "l0d": (2, 0.95), "l0e": (3, 0.95), "l0b": (4, 0.95), "l1": (5, 1.0), "l2": (6, 0.95), "l3": (7, 0.9), "l4": (8, 0.8), "l4a": (9, 0.6), "l4b": (10, 0.6), "l5": (11, 0.5)}
 
 
-def prepare(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References with their file's columns and whether that file has the name; symbols with their file's columns."""
-    placed = symbols.join(files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
-    own = symbols.select(F.col("file_id").alias("source_file_id"), F.col("name").alias("target_name")).distinct().withColumn("in_file", F.lit(True))
-    source = files.select(F.col("id").alias("source_file_id"), F.col("dir").alias("source_dir"), F.col("lang_family").alias("family"))
-    open_refs = refs.where(~F.col("kind").isin(*SKIPPED)).join(source, "source_file_id").join(own, ["source_file_id", "target_name"], "left")
-    return open_refs.withColumn("in_file", F.coalesce("in_file", F.lit(False))), placed
-
-
 def guarded() -> Column:
     """Not a name of the source language's runtime."""
     qualifier = F.coalesce("target_qualifier", F.lit(""))
@@ -54,141 +45,171 @@ def self_like() -> Column:
 
 def same_file_first() -> Column:
     """Calls on oneself whose name the file has are left to the same-file tier."""
-    return ~(F.coalesce(self_like(), F.lit(False)) & F.col("in_file"))
-
-
-def production(placed: DataFrame) -> DataFrame:
-    return placed.where(~is_test_candidate(F.col("path")) & ~is_doc(F.col("path")))
+    return ~(F.coalesce(self_like(), F.lit(False)) & F.col("own").isNotNull())
 
 
-def _first(extra: list[Column] = ()) -> list[Column]:
-    return [F.count_distinct("file_id").alias("n_files"), F.min(F.struct("id", "file_id")).alias("s"), *extra]
+def production(placed: DataFrame) -> Column:
+    return ~is_test_candidate(F.col("path")) & ~is_doc(F.col("path"))
 
 
-def _pick(refs: DataFrame, tier: str, symbol: str = "s.id", file: str = "s.file_id") -> DataFrame:
-    order, confidence = TIERS[tier]
-    return refs.select(F.col("id").alias("ref_id"), F.lit(order).alias("tier"), F.col(symbol).cast("long").alias("symbol_id"), F.col(file).cast("long").alias("file_id"), F.lit(confidence).alias("confidence"))
+# A symbol and its file; the smallest symbol comes first.
+def _symbol() -> Column:
+    return F.struct("id", "file_id")
 
 
-def l0(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The receiver's type is the scope of the name in one file."""
-    owners = placed.where("scope is not null").groupBy(F.col("name").alias("target_name"), F.col("scope").alias("receiver_type"), "family").agg(*_first()).where("n_files = 1")
-    return _pick(refs.where(F.col("receiver_type").isNotNull() & same_file_first()).join(owners, ["target_name", "receiver_type", "family"]), "l0")
 
+def _owned(symbols: DataFrame, file: str, name: str) -> DataFrame:
+    """The first symbol of each name in each file."""
+    return symbols.groupBy(F.col("file_id").alias(file), F.col("name").alias(name)).agg(F.min(_symbol()).alias("s"))
 
-def _owned(placed: DataFrame) -> DataFrame:
-    return placed.groupBy(F.col("file_id").alias("owner_file"), F.col("name").alias("target_name")).agg(F.min(F.struct("id", "file_id")).alias("s"))
 
-
-def _bound(bindings: DataFrame) -> DataFrame:
+def _bound(bindings: DataFrame, name: str) -> DataFrame:
     """The file that a name is bound to in a file: the smallest, where several bindings disagree."""
-    return bindings.where("target_file_id is not null").groupBy("source_file_id", "target_name").agg(F.min("target_file_id").alias("owner_file"))
-
-
-def l0c(refs: DataFrame, placed: DataFrame, bindings: DataFrame) -> DataFrame:
-    """The receiver's type is imported, and its file has the name."""
-    typed = _bound(bindings).withColumnRenamed("target_name", "receiver_type")
-    found = refs.where(F.col("receiver_type").isNotNull() & same_file_first()).join(typed, ["source_file_id", "receiver_type"]).join(_owned(placed), ["owner_file", "target_name"])
-    return _pick(found, "l0c")
+    return bindings.where("target_file_id is not null").groupBy("source_file_id", F.col("target_name").alias(name)).agg(F.min("target_file_id").alias("owner"))
 
 
-def l0d(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The receiver's type is defined in one file, which has the name."""
-    types = placed.where(F.col("kind").isin(*TYPE_KINDS)).groupBy(F.col("name").alias("receiver_type"), "family").agg(F.count_distinct("file_id").alias("n_files"), F.min("file_id").alias("owner_file")).where("n_files = 1")
-    found = refs.where(F.col("receiver_type").isNotNull() & same_file_first()).join(types, ["receiver_type", "family"]).join(_owned(placed), ["owner_file", "target_name"])
-    return _pick(found, "l0d")
+def _two_first(symbols: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Per key the number of files and the first symbols of its two first files."""
+    per_file = symbols.groupBy(*keys, "file_id").agg(F.min("id").alias("id"))
+    ranked = per_file.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id", "file_id"))).where("k <= 2")
+    count = per_file.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_files"))
+    at = lambda k: F.max(F.when(F.col("k") == k, _symbol())).alias(f"{prefix}_{k}")
+    return ranked.groupBy(*keys).agg(at(1), at(2)).join(count, keys)
 
 
-def l0b(refs: DataFrame, placed: DataFrame, bindings: DataFrame) -> DataFrame:
-    """A bare name that an import binds; the symbol may be unknown."""
-    found = refs.where("target_qualifier is null").join(_bound(bindings), ["source_file_id", "target_name"]).join(_owned(placed), ["owner_file", "target_name"], "left")
-    return _pick(found, "l0b", "s.id", "owner_file")
+class Ladder:
+    """The references with a column per tier: the symbol and file it proposes, or null.
 
-
-def l1(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """A name of the same file, bare or on oneself."""
-    bare = F.col("receiver_type").isNull() & F.col("target_qualifier").isNull()
-    own = _owned(placed).withColumnRenamed("owner_file", "source_file_id")
-    return _pick(refs.where(F.col("in_file") & (bare | F.coalesce(self_like(), F.lit(False)))).join(own, ["source_file_id", "target_name"]), "l1")
-
-
-def _elsewhere(refs: DataFrame, groups: DataFrame, key: list[str], unique: bool, tier: str) -> DataFrame:
-    """A candidate of the key's group that isn't in the source file.
-
-    Groups keep the first symbol of their two first files, so leaving out one file still leaves the other.
+    Each rung adds its column to the same frame, by joins with tables of one row
+    per key; references are read once, and a rung that isn't asked for costs nothing.
     """
-    found = refs.join(groups, key)
-    other = F.filter("firsts", lambda s: s["file_id"] != F.col("source_file_id"))
-    rest = F.col("n_files") - F.col("in_group").cast("int")
-    fitting = found.withColumn("in_group", F.coalesce(F.array_contains("files", F.col("source_file_id")), F.lit(False)) if unique else F.lit(False)).withColumn("s", F.get(other, F.lit(0)))
-    return _pick(fitting.where((rest == 1) if unique else F.col("s").isNotNull()).where("s is not null"), tier)
-
-
-def _by_dir(placed: DataFrame) -> DataFrame:
-    per_file = placed.groupBy("dir", "family", "name", "file_id").agg(F.min("id").alias("id"))
-    # A directory has few files with one name; beyond two, uniqueness fails whichever is left out.
-    two = F.slice(F.sort_array(F.collect_list(F.struct("id", "file_id"))), 1, 2)
-    groups = per_file.groupBy(F.col("dir").alias("source_dir"), "family", F.col("name").alias("target_name")).agg(F.count(F.lit(1)).alias("n_files"), two.alias("firsts"))
-    return groups.withColumn("files", F.transform("firsts", lambda s: s["file_id"]))
-
 
-def l2(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """One other file of the directory has the name."""
-    bare = F.col("target_qualifier").isNull()
-    fitting = refs.where(F.col("receiver_type").isNull() & guarded() & (bare | (F.col("family") != "rust")) & (bare | ~F.col("in_file")))
-    # With three files or more none can be left out; with two, the source must be one of them.
-    return _elsewhere(fitting, _by_dir(placed).where("n_files <= 2"), ["source_dir", "family", "target_name"], True, "l2")
-
-
-def l3(refs: DataFrame, placed: DataFrame, imports: DataFrame) -> DataFrame:
-    """The qualifier is an imported path's last part, and a directory or file of that name has the symbol once."""
-    stem = F.regexp_extract("path", r"([^/.]*)\.[^/]*$", 1)
-    leaf = F.regexp_extract("dir", r"([^/]+)/$", 1)
-    named = placed.withColumn("q", F.explode(F.array_distinct(F.array(stem, leaf)))).where("q <> ''")
-    groups = named.groupBy(F.col("name").alias("target_name"), "family", F.col("q").alias("target_qualifier")).agg(*_first()).where("n_files = 1")
-    last = F.explode(F.array_distinct(F.array("target_name", F.regexp_extract("target_name", r"([^/]*)$", 1), F.regexp_extract("target_name", r"([^.]*)$", 1))))
-    imported = imports.where("kind = 'import'").select("source_file_id", last.alias("target_qualifier")).distinct()
-    found = refs.where("target_qualifier is not null").join(imported, ["source_file_id", "target_qualifier"], "left_semi").join(groups, ["target_name", "family", "target_qualifier"])
-    return _pick(found, "l3")
-
-
-def l4(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """One production file of the family has the name; on a receiver it must be a member."""
-    member = F.bool_or(F.col("scope").isNotNull() | (F.col("kind") == "method")).alias("member")
-    groups = production(placed).groupBy(F.col("name").alias("target_name"), "family").agg(*_first([member])).where("n_files = 1")
-    found = refs.where(F.col("receiver_type").isNull() & guarded()).join(groups, ["target_name", "family"])
-    return _pick(found.where(F.col("target_qualifier").isNull() | F.col("member")), "l4")
-
-
-def l4a(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Any reference to a name of the same file."""
-    own = _owned(placed).withColumnRenamed("owner_file", "source_file_id")
-    return _pick(refs.where("in_file").join(own, ["source_file_id", "target_name"]), "l4a")
-
-
-def l4b(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Any production candidate elsewhere in the directory."""
-    return _elsewhere(refs.where(guarded()), _by_dir(production(placed)), ["source_dir", "family", "target_name"], False, "l4b")
-
-
-def l5(refs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Any production candidate of the family."""
-    groups = production(placed).groupBy(F.col("name").alias("target_name"), "family").agg(F.min(F.struct("id", "file_id")).alias("s"))
-    return _pick(refs.where(guarded()).join(groups, ["target_name", "family"]), "l5")
+    def __init__(self, refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None):
+        self.refs, self.symbols, self.bindings, self.mro = refs, symbols, bindings, mro
+        self.placed = symbols.join(files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
+        source = files.select(F.col("id").alias("source_file_id"), F.col("dir").alias("source_dir"), F.col("lang_family").alias("family"), F.lit(True).alias("placed"))
+        known = refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
+        own = _owned(symbols, "source_file_id", "target_name").withColumnRenamed("s", "own")
+        self.frame = known.join(own, ["source_file_id", "target_name"], "left")
+
+    def _propose(self, tier: str, when: Column, what: Column, *scratch: str) -> None:
+        self.frame = self.frame.withColumn(tier, F.when(F.col("open") & when, what)).drop(*scratch)
+
+    def _left(self, right: DataFrame, *keys: str) -> None:
+        self.frame = self.frame.join(right, list(keys), "left")
+
+    def l0(self) -> None:
+        """The receiver's type is the scope of the name in one file."""
+        owners = self.placed.where("scope is not null").groupBy(F.col("name").alias("target_name"), F.col("scope").alias("receiver_type"), "family").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("s"))
+        self._left(owners, "target_name", "receiver_type", "family")
+        self._propose("l0", (F.col("a") == F.col("b")) & same_file_first(), F.col("s"), "a", "b", "s")
+
+    def l0c(self) -> None:
+        """The receiver's type is imported, and its file has the name."""
+        self._left(_bound(self.bindings, "receiver_type"), "source_file_id", "receiver_type")
+        self._left(_owned(self.symbols, "owner", "target_name"), "owner", "target_name")
+        self._propose("l0c", same_file_first(), F.col("s"), "owner", "s")
+
+    def l0d(self) -> None:
+        """The receiver's type is defined in one file, which has the name."""
+        types = self.placed.where(F.col("kind").isin(*TYPE_KINDS)).groupBy(F.col("name").alias("typed"), "family").agg(F.min("file_id").alias("owner"), F.max("file_id").alias("last")).where("owner = last")
+        # References without a receiver are dealt by their ids, so that null isn't a hot key.
+        self.frame = self.frame.withColumn("typed", F.coalesce("receiver_type", F.concat(F.lit("\0"), F.col("id").cast("string"))))
+        self._left(types.drop("last"), "typed", "family")
+        self._left(_owned(self.symbols, "owner", "target_name"), "owner", "target_name")
+        self._propose("l0d", same_file_first(), F.col("s"), "typed", "owner", "s")
+
+    def l0e(self) -> None:
+        """What the inheritance walk found."""
+        found = self.mro.groupBy(F.col("ref_id").alias("id")).agg(F.min(F.struct(F.col("symbol_id").alias("id"), "file_id")).alias("s")) if self.mro is not None else None
+        if found is not None:
+            self._left(found, "id")
+            self._propose("l0e", F.lit(True), F.col("s"), "s")
+        else:
+            self._propose("l0e", F.lit(False), F.col("own"))
+
+    def l0b(self) -> None:
+        """A bare name that an import binds; the symbol may be unknown."""
+        self._left(_bound(self.bindings, "target_name"), "source_file_id", "target_name")
+        self._left(_owned(self.symbols, "owner", "target_name"), "owner", "target_name")
+        self._propose("l0b", F.col("target_qualifier").isNull() & F.col("owner").isNotNull(), F.struct(F.col("s.id").alias("id"), F.col("owner").alias("file_id")), "owner", "s")
+
+    def l1(self) -> None:
+        """A name of the same file, bare or on oneself."""
+        bare = F.col("receiver_type").isNull() & F.col("target_qualifier").isNull()
+        self._propose("l1", bare | F.coalesce(self_like(), F.lit(False)), F.col("own"))
+
+    def l2(self) -> None:
+        """One other file of the directory has the name."""
+        self._left(_two_first(self.placed.select(F.col("dir").alias("source_dir"), "family", F.col("name").alias("target_name"), "id", "file_id"), ["source_dir", "family", "target_name"], "dir"), "source_dir", "family", "target_name")
+        bare = F.col("target_qualifier").isNull()
+        fits = F.col("receiver_type").isNull() & guarded() & (bare | (F.col("family") != "rust")) & (bare | F.col("own").isNull())
+        # The source's own file may be one of two; with three, more than one other is left.
+        one = (F.col("dir_files") == 1) & (F.col("dir_1.file_id") != F.col("source_file_id")) | (F.col("dir_files") == 2) & F.col("source_file_id").isin(F.col("dir_1.file_id"), F.col("dir_2.file_id"))
+        self._propose("l2", fits & one, F.when(F.col("dir_1.file_id") != F.col("source_file_id"), F.col("dir_1")).otherwise(F.col("dir_2")), "dir_1", "dir_2", "dir_files")
+
+    def l3(self) -> None:
+        """The qualifier is an imported path's last part, and a directory or file of that name has the symbol once."""
+        stem, leaf = F.regexp_extract("path", r"([^/.]*)\.[^/]*$", 1), F.regexp_extract("dir", r"([^/]+)/$", 1)
+        named = self.placed.withColumn("q", F.explode(F.array_distinct(F.array(stem, leaf)))).where("q <> ''")
+        groups = named.groupBy(F.col("name").alias("target_name"), "family", F.col("q").alias("target_qualifier")).agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("s"))
+        last = F.explode(F.array_distinct(F.array("target_name", F.regexp_extract("target_name", r"([^/]*)$", 1), F.regexp_extract("target_name", r"([^.]*)$", 1))))
+        imported = self.refs.where("kind = 'import'").select("source_file_id", last.alias("target_qualifier")).distinct().withColumn("imported", F.lit(True))
+        self._left(imported, "source_file_id", "target_qualifier")
+        self._left(groups, "target_name", "family", "target_qualifier")
+        self._propose("l3", F.col("imported").isNotNull() & (F.col("a") == F.col("b")), F.col("s"), "imported", "a", "b", "s")
+
+    def _by_name(self) -> None:
+        """Production candidates of the family, for the two tiers that look at them."""
+        if "prod" not in self.frame.columns:
+            member = F.bool_or(F.col("scope").isNotNull() | (F.col("kind") == "method")).alias("member")
+            groups = self.placed.where(production(self.placed)).groupBy(F.col("name").alias("target_name"), "family").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("prod"), member)
+            self._left(groups.select("target_name", "family", "prod", "member", (F.col("a") == F.col("b")).alias("only")), "target_name", "family")
+
+    def l4(self) -> None:
+        """One production file of the family has the name; on a receiver it must be a member."""
+        self._by_name()
+        self._propose("l4", F.col("receiver_type").isNull() & guarded() & F.col("only") & (F.col("target_qualifier").isNull() | F.col("member")), F.col("prod"))
+
+    def l4a(self) -> None:
+        """Any reference to a name of the same file."""
+        self._propose("l4a", F.lit(True), F.col("own"))
+
+    def l4b(self) -> None:
+        """Any production candidate elsewhere in the directory."""
+        prod = self.placed.where(production(self.placed)).select(F.col("dir").alias("source_dir"), "family", F.col("name").alias("target_name"), "id", "file_id")
+        self._left(_two_first(prod, ["source_dir", "family", "target_name"], "near"), "source_dir", "family", "target_name")
+        self._propose("l4b", guarded(), F.when(F.col("near_1.file_id") != F.col("source_file_id"), F.col("near_1")).otherwise(F.col("near_2")), "near_1", "near_2", "near_files")
+
+    def l5(self) -> None:
+        """Any production candidate of the family."""
+        self._by_name()
+        self._propose("l5", guarded(), F.col("prod"))
+
+    def climb(self, *names: str) -> DataFrame:
+        for name in names or TIERS:
+            getattr(self, name)()
+        return self.frame
 
 
 def tiers(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> dict[str, DataFrame]:
     """The proposals of every tier by itself; ``mro`` has those of the inheritance walk."""
-    open_refs, placed = prepare(refs, files, symbols)
-    found = {"l0": l0(open_refs, placed), "l0c": l0c(open_refs, placed, bindings), "l0d": l0d(open_refs, placed), "l0b": l0b(open_refs, placed, bindings), "l1": l1(open_refs, placed), "l2": l2(open_refs, placed), "l3": l3(open_refs, placed, refs), "l4": l4(open_refs, placed), "l4a": l4a(open_refs, placed), "l4b": l4b(open_refs, placed), "l5": l5(open_refs, placed)}
-    return found if mro is None else found | {"l0e": mro}
 
+    def alone(name: str) -> DataFrame:
+        order, confidence = TIERS[name]
+        rows = Ladder(refs, files, symbols, bindings, mro).climb(name).where(F.col(name).isNotNull())
+        return rows.select(F.col("id").alias("ref_id"), F.lit(order).alias("tier"), F.col(f"{name}.id").cast("long").alias("symbol_id"), F.col(f"{name}.file_id").cast("long").alias("file_id"), F.lit(confidence).alias("confidence"))
+
+    return {name: alone(name) for name in TIERS if name != "l0e" or mro is not None}
 
-def cascade(refs: DataFrame, proposals: dict[str, DataFrame]) -> DataFrame:
-    """References with tier, symbol_id, file_id and confidence (0 if nothing fits): one aggregation, one join."""
-    best = reduce(DataFrame.unionByName, proposals.values()).groupBy("ref_id").agg(F.min(F.struct("tier", "symbol_id", "file_id", "confidence")).alias("b"))
-    joined = refs.join(best.withColumnRenamed("ref_id", "id"), "id", "left")
-    return joined.select(*(refs[c] if c != "id" else F.col("id") for c in refs.columns if c not in ("target_file_id", "target_symbol_id", "confidence")), F.col("b.tier").alias("tier"), F.col("b.symbol_id").alias("target_symbol_id"), F.col("b.file_id").alias("target_file_id"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))
+
+def cascade(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> DataFrame:
+    """References with tier, target_symbol_id, target_file_id and confidence (0 if nothing fits)."""
+    made = Ladder(refs, files, symbols, bindings, mro).climb()
+    choice = lambda c, n: F.struct(F.lit(TIERS[n][0]).alias("tier"), c["id"].cast("long").alias("id"), c["file_id"].cast("long").alias("file_id"), F.lit(TIERS[n][1]).alias("confidence"))
+    best = F.coalesce(*(F.when(F.col(n).isNotNull(), choice(F.col(n), n)) for n in TIERS))
+    kept = [c for c in refs.columns if c not in ("target_file_id", "target_symbol_id", "confidence", "tier")]
+    return made.select(*kept, best.alias("best")).select(*kept, F.col("best.tier").alias("tier"), F.col("best.id").alias("target_symbol_id"), F.col("best.file_id").alias("target_file_id"), F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"))
 
 
 # ---- modules to files --------------------------------------------------------------------------------------------
@@ -243,20 +264,31 @@ def resolve_modules(wanted: DataFrame, files: DataFrame, candidates: Column, by_
 
 
 def chase_barrels(bindings: DataFrame, symbols: DataFrame, hops: int = 5) -> DataFrame:
-    """Bindings whose file lacks the name follow that file's own binding of it, a few hops, all at once per hop."""
+    """Bindings whose file lacks the name follow that file's own binding of it, a few hops.
+
+    Where a (file, name) leads is a function of its few files without the name; it is
+    raised to the power ``hops`` by joining it with itself, and met once by all bindings.
+    """
     from lodeline.operators.graph import cut
 
-    owned = symbols.select(F.col("file_id").alias("target_file_id"), F.col("name").alias("target_name")).distinct()
-    onward = bindings.where("target_file_id is not null").groupBy(F.col("source_file_id").alias("target_file_id"), "target_name").agg(F.min("target_file_id").alias("next_file"))
-    now = bindings
-    for _ in range(hops):
-        here = now.join(owned.withColumn("has", F.lit(True)), ["target_file_id", "target_name"], "left").join(onward, ["target_file_id", "target_name"], "left")
-        moves = F.col("has").isNull() & F.col("next_file").isNotNull() & (F.col("next_file") != F.col("target_file_id"))
-        step = cut(here.select(*[c for c in bindings.columns if c != "target_file_id"], F.when(moves, F.col("next_file")).otherwise(F.col("target_file_id")).alias("target_file_id"), moves.alias("moved")))
-        now = step.select(*bindings.columns)
-        if step.where("moved").isEmpty():
-            break
-    return now
+    owned = symbols.select(F.col("file_id").alias("at"), F.col("name").alias("target_name")).distinct()
+    onward = bindings.where("target_file_id is not null").groupBy(F.col("source_file_id").alias("at"), "target_name").agg(F.min("target_file_id").alias("to"))
+    step = cut(onward.where("to <> at").join(owned, ["at", "target_name"], "left_anti"))
+
+    def then(one: DataFrame, two: DataFrame) -> DataFrame:
+        two = two.select(F.col("at").alias("to"), "target_name", F.col("to").alias("further"))
+        return one.join(two, ["to", "target_name"], "left").select("at", "target_name", F.coalesce("further", "to").alias("to"))
+
+    power, left = None, hops
+    while left:
+        if left & 1:
+            power = step if power is None else then(power, step)
+        left >>= 1
+        step = then(step, step) if left else step
+    if power is None:
+        return bindings
+    moved = bindings.join(power.withColumnRenamed("at", "target_file_id"), ["target_file_id", "target_name"], "left")
+    return moved.select(*(F.coalesce("to", "target_file_id").alias(c) if c == "target_file_id" else F.col(c) for c in bindings.columns))
 
 
 def mro(refs: DataFrame, files: DataFrame, symbols: DataFrame, inherits: DataFrame, depth: int = 6) -> DataFrame:

@@ -48,7 +48,6 @@ _VIEWS = ("raw_refs", "symbols", "code_files", "bindings")
 
 
 def _tables(spark, d):
-    # The receiver's types are classes here: half of the bindings bind a type's name.
     return (view(spark, d, n) for n in ("raw_refs", "code_files", "symbols", "bindings"))
 
 
@@ -59,13 +58,20 @@ for _name in _SQLS:
         return R.tiers(*_tables(spark, d))[name]
 
 
+# The walk over bases has no SQL; the tests hold it against a plain one.
+@query("resolve_l0e")
+def resolve_l0e(spark, d):
+    refs, files, symbols, bindings = _tables(spark, d)
+    return R.tiers(refs, files, symbols, bindings, R.mro(refs, files, symbols, view(spark, d, "inherits")))["l0e"]
+
+
 _ALL = " UNION ALL ".join(f"({q})" for q in _SQLS.values())
 _BEST = f"{_BASE}, every AS ({_ALL}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY tier, symbol_id NULLS FIRST) AS k FROM every) WHERE k = 1), done AS (SELECT q.id, tier, symbol_id AS target_symbol_id, file_id AS target_file_id, coalesce(confidence, 0) AS confidence FROM raw_refs q LEFT JOIN best ON ref_id = q.id)"
 
 
 def _resolved(spark, d):
     refs, files, symbols, bindings = _tables(spark, d)
-    return R.cascade(refs, R.tiers(refs, files, symbols, bindings))
+    return R.cascade(refs, files, symbols, bindings)
 
 
 @query("resolve_cascade", sql(f"WITH {_BEST} SELECT * FROM done", *_VIEWS))
@@ -102,7 +108,7 @@ def unique_suffix_match(spark, d):
     return R.suffixes(view(spark, d, "code_files"))
 
 
-@query("module_probe", sql("WITH w AS (SELECT id, concat('brand_', id % 25 + 1, '/', CASE WHEN id % 2 = 0 THEN 'promo' ELSE 'small' END) AS base FROM files WHERE id < 500), c AS (SELECT w.id, nth, base || tail AS path FROM w, (SELECT unnest(['.py', '.pyi', '/__init__.py', '/__init__.pyi']) AS tail, unnest([0, 1, 2, 3]) AS nth)), e AS (SELECT c.id, arg_min(f.id, nth) AS target_file_id FROM c JOIN code_files f USING (path) GROUP BY c.id), u AS (SELECT suffix, min(id) AS file_id FROM (SELECT id, unnest([array_to_string(list_slice(p, i, len(p)), '/') FOR i IN range(1, len(p) + 1)]) AS suffix FROM (SELECT id, string_split(path, '/') AS p FROM code_files)) GROUP BY suffix HAVING count(*) = 1) SELECT * FROM e UNION ALL SELECT c.id, arg_min(u.file_id, nth) FROM c JOIN u ON u.suffix = c.path WHERE c.id NOT IN (SELECT id FROM e) GROUP BY c.id", "files", "code_files"))
+@query("module_probe", sql("WITH w AS (SELECT id, concat('brand_', id % 25 + 1, '/', CASE WHEN id % 2 = 0 THEN 'promo' ELSE 'small' END) AS base FROM files), c AS (SELECT w.id, nth, base || tail AS path FROM w, (SELECT unnest(['.py', '.pyi', '/__init__.py', '/__init__.pyi']) AS tail, unnest([0, 1, 2, 3]) AS nth)), e AS (SELECT c.id, arg_min(f.id, nth) AS target_file_id FROM c JOIN code_files f USING (path) GROUP BY c.id), u AS (SELECT suffix, min(id) AS file_id FROM (SELECT id, unnest([array_to_string(list_slice(p, i, len(p)), '/') FOR i IN range(1, len(p) + 1)]) AS suffix FROM (SELECT id, string_split(path, '/') AS p FROM code_files)) GROUP BY suffix HAVING count(*) = 1) SELECT * FROM e UNION ALL SELECT c.id, arg_min(u.file_id, nth) FROM c JOIN u ON u.suffix = c.path WHERE c.id NOT IN (SELECT id FROM e) GROUP BY c.id", "files", "code_files"))
 def module_probe(spark, d):
     module = F.concat(F.lit("brand_"), (F.col("id") % 25 + 1).cast("string"), F.when(F.col("id") % 2 == 0, F.lit(".promo")).otherwise(F.lit(".small")))
-    return R.resolve_modules(view(spark, d, "files").where("id < 500").select("id", module.alias("m")), view(spark, d, "code_files"), R.python_candidates(F.col("m")))
+    return R.resolve_modules(view(spark, d, "files").select("id", module.alias("m")), view(spark, d, "code_files"), R.python_candidates(F.col("m")))

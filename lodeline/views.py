@@ -26,6 +26,9 @@ _PATH = (
 )
 _FAMILY = f"CASE {_EXT} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'ts' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' ELSE '' END"
 
+#: The type whose classes extend those of p_type.
+_SUB = "CASE p_type WHEN 'ECONOMY' THEN 'LARGE' WHEN 'LARGE' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'PROMO' WHEN 'PROMO' THEN 'SMALL' WHEN 'SMALL' THEN 'STANDARD' ELSE 'LUXURY' END"
+
 _SQL = {
     # One source file per part.
     "files": f"SELECT CAST(p_partkey AS BIGINT) AS id, {_PATH} AS path, CAST(floor(p_retailprice) AS BIGINT) AS size, {_FAMILY} AS lang_family, p_name AS symbol, p_size AS lines FROM part",
@@ -44,21 +47,24 @@ _SQL = {
     "tracking": "SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS at, event_type AS command, CAST(floor(value * 40) AS BIGINT) + 4 AS raw_tokens, least(CAST(floor(value * 40) AS BIGINT) + 4, CAST(floor(value * 40) AS BIGINT) * (event_id % 10) // 10 + 2) AS filtered_tokens FROM events",
     # Symbols of a directory-level code base: 64 names over brand/type files.
     "code_files": f"SELECT file_id AS id, path, regexp_extract(path, '^(.*/)', 1) AS dir, lang_family FROM (SELECT min(CAST(p_partkey AS BIGINT)) AS file_id, path, lang_family FROM (SELECT p_partkey, concat(CASE WHEN p_partkey % 10 = 0 THEN 'tests/' WHEN p_partkey % 10 = 5 THEN 'docs/' ELSE '' END, lower(replace(p_brand, '#', '_')), '/', lower(p_type), '.', {_EXT}) AS path, {_FAMILY} AS lang_family FROM part) GROUP BY path, lang_family)",
-    "symbols": f"SELECT CAST(p_partkey AS BIGINT) AS id, f.id AS file_id, replace(concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN concat(' ', CAST(p_partkey % 97 AS STRING)) ELSE '' END), ' ', '_') AS name, CASE p_partkey % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class' WHEN 3 THEN 'struct' ELSE 'const' END AS kind, CASE WHEN p_partkey % 5 = 1 THEN p_type END AS scope FROM part JOIN code_files f ON f.path = concat(CASE WHEN p_partkey % 10 = 0 THEN 'tests/' WHEN p_partkey % 10 = 5 THEN 'docs/' ELSE '' END, lower(replace(p_brand, '#', '_')), '/', lower(p_type), '.', {_EXT})",
+    "symbols": f"SELECT CAST(p_partkey AS BIGINT) AS id, f.id AS file_id, CASE WHEN p_partkey % 5 = 2 THEN concat(p_type, '_', p_brand) ELSE replace(concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN concat(' ', CAST(p_partkey % 97 AS STRING)) ELSE '' END), ' ', '_') END AS name, CASE p_partkey % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class' WHEN 3 THEN 'struct' ELSE 'const' END AS kind, CASE p_partkey % 10 WHEN 1 THEN p_type WHEN 6 THEN concat(p_type, '_', p_brand) END AS scope FROM part JOIN code_files f ON f.path = concat(CASE WHEN p_partkey % 10 = 0 THEN 'tests/' WHEN p_partkey % 10 = 5 THEN 'docs/' ELSE '' END, lower(replace(p_brand, '#', '_')), '/', lower(p_type), '.', {_EXT})",
     # Two parts of an order: the file of the first names the symbol of the second.
-    "raw_refs": """SELECT r.id, s.file_id AS source_file_id, t.name AS target_name,
+    # Receivers are scopes of methods or classes; imports end in a file's name.
+    "raw_refs": """SELECT r.id, s.file_id AS source_file_id, CASE WHEN r.id % 17 = 0 THEN concat('pkg/', lower(u.scope_name)) ELSE t.name END AS target_name,
         CASE WHEN r.id % 6 = 0 THEN 'self' WHEN r.id % 6 = 1 THEN lower(u.scope_name) END AS target_qualifier,
-        CASE WHEN r.id % 8 = 5 THEN u.scope_name END AS receiver_type,
+        CASE WHEN r.id % 16 = 5 THEN u.scope_name WHEN r.id % 16 = 13 THEN u.sub_class END AS receiver_type,
         CASE WHEN r.id % 17 = 0 THEN 'import' ELSE r.kind END AS kind
         FROM refs r JOIN symbols s ON s.id = r.source_file_id JOIN symbols t ON t.id = r.target_file_id
-        JOIN (SELECT CAST(p_partkey AS BIGINT) AS id, p_type AS scope_name FROM part) u ON u.id = r.target_file_id""",
-    # `from x import name`: every 9th reference is a binding, most of them to a known file.
-    "bindings": "SELECT r.id, s.file_id AS source_file_id, t.name AS target_name, CASE WHEN r.id % 5 > 0 THEN t.file_id END AS target_file_id FROM refs r JOIN symbols s ON s.id = r.source_file_id JOIN symbols t ON t.id = r.target_file_id WHERE r.id % 9 = 0",
+        JOIN (SELECT CAST(p_partkey AS BIGINT) AS id, p_type AS scope_name, concat(@SUB, '_', p_brand) AS sub_class FROM part) u ON u.id = r.target_file_id""".replace("@SUB", _SUB),
+    # Each class extends the one of the type before, of the same brand.
+    "inherits": "SELECT s.id, s.file_id AS source_file_id, s.name AS source_symbol, b.base_name AS target_name FROM symbols s JOIN (SELECT DISTINCT concat(@SUB, '_', p_brand) AS sub_class, concat(p_type, '_', p_brand) AS base_name FROM part) b ON b.sub_class = s.name WHERE s.kind = 'class'".replace("@SUB", _SUB),
+    # `from x import name`: every 9th reference is a binding, most of them to a known file; half of them bind a class.
+    "bindings": "SELECT r.id, s.file_id AS source_file_id, CASE WHEN r.id % 18 = 0 THEN u.sub_class ELSE t.name END AS target_name, CASE WHEN r.id % 5 > 0 THEN t.file_id END AS target_file_id FROM refs r JOIN symbols s ON s.id = r.source_file_id JOIN symbols t ON t.id = r.target_file_id JOIN (SELECT CAST(p_partkey AS BIGINT) AS id, concat(@SUB, '_', p_brand) AS sub_class FROM part) u ON u.id = r.target_file_id WHERE r.id % 9 = 0".replace("@SUB", _SUB),
     "lines": "SELECT id, pos, line FROM (SELECT doc_id AS id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)",
     "occurrences": "SELECT conv_id AS doc, turn AS line, CASE WHEN turn % 3 = 0 THEN 1 ELSE 8 END AS roles, concat('pkg ', role, '/', lower(substr(text, 1, 3)), '().') AS symbol, role AS language FROM conversations",
 }
 #: Views that a view is made from.
-_USES = {"symbols": ("code_files",), "raw_refs": ("refs", "symbols"), "bindings": ("refs", "symbols")}
+_USES = {"symbols": ("code_files",), "raw_refs": ("refs", "symbols"), "bindings": ("refs", "symbols"), "inherits": ("symbols",)}
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

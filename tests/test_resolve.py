@@ -14,7 +14,7 @@ def run(spark, files, symbols, refs, bindings=()):
     calls = spark.createDataFrame(refs, REFS)
     bound = spark.createDataFrame(list(bindings), "source_file_id long, target_name string, target_file_id long")
     inherits = calls.where("kind = 'inherit'")
-    done = R.cascade(calls, R.tiers(calls, *frames, bound, R.mro(calls, *frames, inherits)))
+    done = R.cascade(calls, *frames, bound, R.mro(calls, *frames, inherits))
     return {r.id: (r.confidence, r.target_file_id) for r in done.collect()}
 
 
