@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.paths import module_segment
+from lodeline.tables import cut
 
 PATH_WEIGHT, NAME_WEIGHT, OVERRIDE_WEIGHT = 0.4, 0.2, 0.5
 _TAIL = r"(/|$|[._-])"
@@ -95,15 +96,22 @@ def fuse_layers(files: DataFrame, overrides: list[tuple[str, str, float]] = ())
 
 
 def p80(df: DataFrame, column: str) -> DataFrame:
-    """The value at place floor(0.8 n) of the sorted column, as a one-row frame.
+    """The value at place floor(0.8 n) of the sorted column, as a one-row frame (no row for an empty column).
 
-    Ranks come from counts per value, so the window sees distinct values of bounded precision only.
+    Counts per value are dealt by ranges; the driver sees how many rows each range has, and
+    only the range with the wanted place is sorted.
     """
     counts = df.groupBy(F.col(column).alias("threshold")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    below = F.sum("n").over(Window.orderBy("threshold"))
-    place = F.least(F.col("total"), F.floor(F.col("total") * 0.8) + 1)
-    return counts.withColumn("below", below).join(F.broadcast(total)).where(F.col("below") >= place).agg(F.min("threshold").alias("threshold"))
+    ranged = cut(counts.repartitionByRange("threshold").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect())
+    place, before, chosen = min(total := sum(n for _, n in sizes), int(0.8 * total) + 1), 0, -1
+    for number, n in sizes:
+        if before + n >= place:
+            chosen = number
+            break
+        before += n
+    below = F.sum("n").over(Window.partitionBy("range").orderBy("threshold")) + before
+    return ranged.where(F.col("range") == chosen).withColumn("below", below).where(F.col("below") >= place).groupBy("range").agg(F.min("threshold").alias("threshold")).select("threshold")
 
 
 def role(in_degree: Column, out_degree: Column, centrality: Column, threshold: Column, scc_size: Column, is_entry: Column) -> Column:

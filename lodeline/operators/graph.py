@@ -7,10 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.tables import cut
+
 #: Graphs up to this many edges are solved by one task in numpy (a job instead of dozens); larger ones by joins.
 KERNEL_EDGES = 2_000_000
 DAMPING, ITERATIONS = 0.85, 30
 LEAST_CONFIDENCE = 0.5
+#: What a request for all callers gets at most.
 UNLIMITED = 50_000
 SEED_CAP, NODE_CAP = 200, 100
 #: Joins between two checkpoints.
@@ -82,16 +85,6 @@ def pagerank(edges: DataFrame, by_joins: bool | None = None) -> DataFrame:
     return rank.select("id", F.col("rank").alias("centrality"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint; the folder is the cluster's, or a new one where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeline-"))
-    return df.checkpoint()
-
-
 def _scc_kernel(frame: pd.DataFrame) -> pd.DataFrame:
     """Tarjan's algorithm without recursion; a component is named by its smallest id."""
     ids, src, dst = _numbered(frame)
@@ -266,10 +259,11 @@ def is_test(path: Column) -> Column:
 
 
 def callers(refs: DataFrame, files: DataFrame, symbol: str, limit: int = 20, least: float = 0.7, include_tests: bool = False, kinds: str = "both") -> DataFrame:
-    """Who refers to a symbol. The best ``fetch`` rows are taken first, then gated and freed of tests.
+    """Who refers to a symbol. The best ``fetch`` rows are taken first, then gated and freed of tests; a limit of 0 means UNLIMITED.
 
     Columns: id, file_path, symbol, line, confidence, kind, is_test, excluded_tests (of the fetched rows).
     """
+    limit = limit if limit > 0 else UNLIMITED
     fetch = limit if include_tests else max(4 * limit, limit + 16)
     named = refs.where((F.col("target_name") == symbol) & F.col("kind").isin(*KINDS[kinds]))
     # The pool holds a bounded number of rows, so what follows runs on a few.
@@ -298,23 +292,26 @@ def impact(refs: DataFrame, files: DataFrame, symbol: str, max_depth: int = 3, l
     confidence, not expanded, and left to ``risk`` to count.
     """
     kept = refs.where(F.col("kind").isin(*KINDS[kinds]))
+    path = files.select(F.col("id").alias("source_file_id"), F.col("path").alias("file_path"))
     place = F.row_number().over(Window.partitionBy("target_name").orderBy(F.desc("confidence"), "id"))
-    ranked = kept.withColumn("place", place).where(F.col("place") <= SEED_CAP).join(files.select(F.col("id").alias("source_file_id"), "path"), "source_file_id")
-    ranked = ranked.select("target_name", "source_file_id", F.col("path").alias("file_path"), F.coalesce("source_symbol", F.lit("")).alias("symbol"), "place", "confidence", "kind", is_test(F.col("path")).alias("is_test"))
     frontier = refs.sparkSession.createDataFrame([(symbol,)], "target_name string")
     seen, out = None, None
     for level in range(max_depth + 1):
-        rows = cut(ranked.where(F.col("place") <= (NODE_CAP if level else SEED_CAP)).join(frontier, "target_name").withColumn("depth", F.lit(level)))
+        # References of the frontier's names alone are ranked; ranks under the cap are found before the shuffle.
+        named = kept.join(frontier.distinct(), "target_name", "left_semi")
+        best = named.withColumn("place", place).where(F.col("place") <= (NODE_CAP if level else SEED_CAP)).drop("place")
+        placed = best.join(path, "source_file_id").withColumn("is_test", is_test(F.col("file_path")))
+        rows = cut(placed.join(frontier, "target_name").select(F.lit(level).alias("depth"), "source_file_id", "file_path", F.coalesce("source_symbol", F.lit("")).alias("symbol"), "is_test", "confidence", "kind"), "impact")
         out = rows if out is None else out.unionByName(rows)
         new = rows.where((F.col("confidence") >= least) & ~F.col("is_test") & (F.col("symbol") != "")).select("source_file_id", "symbol").distinct()
         if level == max_depth:
             break
-        new = cut(new if seen is None else new.join(seen, ["source_file_id", "symbol"], "left_anti"))
+        new = cut(new if seen is None else new.join(seen, ["source_file_id", "symbol"], "left_anti"), "impact")
         seen = new if seen is None else seen.unionByName(new)
         frontier = new.select(F.col("symbol").alias("target_name"))
         if frontier.isEmpty():
             break
-    return out.withColumn("excluded", F.col("confidence") < least).select("depth", "source_file_id", "file_path", "symbol", "is_test", "confidence", "kind", "excluded")
+    return out.withColumn("excluded", F.col("confidence") < least)
 
 
 def uncovered(rows: DataFrame) -> DataFrame:
@@ -335,7 +332,8 @@ def risk_score(direct: Column, transitive: Column, uncovered: Column) -> Column:
 
 
 def risk_factors() -> Column:
-    """What raises the risk, in the words that users of the reports know."""
+    """What raises the risk."""
+    # The words of the reports.
     said = lambda when, text, column: F.when(when, F.format_string(text, F.col(column)))
     return F.array_compact(
         F.array(

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.tables import cut
 from lodeline.functions.paths import is_doc, is_test_candidate
 
 # Names of the runtime that must not resolve to a user's type.
@@ -269,8 +270,6 @@ def chase_barrels(bindings: DataFrame, symbols: DataFrame, hops: int = 5) -> Dat
     Where a (file, name) leads is a function of its few files without the name; it is
     raised to the power ``hops`` by joining it with itself, and met once by all bindings.
     """
-    from lodeline.operators.graph import cut
-
     owned = symbols.select(F.col("file_id").alias("at"), F.col("name").alias("target_name")).distinct()
     onward = bindings.where("target_file_id is not null").groupBy(F.col("source_file_id").alias("at"), "target_name").agg(F.min("target_file_id").alias("to"))
     step = cut(onward.where("to <> at").join(owned, ["at", "target_name"], "left_anti"))

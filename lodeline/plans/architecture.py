@@ -8,7 +8,8 @@ from lodeline.catalog import query
 from lodeline.operators import architecture as A
 from lodeline.operators import context as C
 from lodeline.operators import graph as G
-from lodeline.plans.graphs import _DEGREES, _EDGES, _RANK, _edges, pagerank
+from lodeline.plans.graphs import _DEGREES, _EDGES, _RANK, _SCC
+from lodeline.tables import cut
 from lodeline.views import sql, view
 
 _ENTRY = "(id % 41 = 0)"
@@ -45,33 +46,44 @@ def layer_histogram(spark, d):
     return A.histogram(layer_fusion(spark, d), "layer")
 
 
-# The sample graph is cut to one edge in fifty, so that all roles occur; components have one file each.
-_THIN = _EDGES.replace("SELECT source_file_id", "SELECT source_file_id", 1).replace("GROUP BY 1, 2", "AND refs.id % 50 = 1 GROUP BY 1, 2")
-_ROLES = f"""{_RANK.replace(_EDGES, _THIN)}, {_DEGREES}, ranks AS (SELECT id, round(r, 9) AS centrality FROM r30),
+def _roles(least: str) -> str:
+    edges = _EDGES.replace("confidence >= 0.5", f"confidence >= {least}")
+    return f"""RECURSIVE WITH {_RANK.replace(_EDGES, edges)}, {_DEGREES}, {_SCC}, ranks AS (SELECT id, round(r, 9) AS centrality FROM r30),
 p AS (SELECT c AS threshold FROM (SELECT centrality AS c, row_number() OVER (ORDER BY centrality) AS k, count(*) OVER () AS n FROM ranks) WHERE k = least(n, CAST(floor(0.8 * n) AS BIGINT) + 1)),
-facts0 AS (SELECT f.id, f.path, {_ENTRY.replace('id', 'f.id')} AS is_entry, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(centrality, 0) AS centrality, threshold FROM files f LEFT JOIN degrees USING (id) LEFT JOIN ranks USING (id), p),
-facts AS (SELECT id, path, centrality, in_degree, out_degree, CASE WHEN is_entry THEN 'entry_point' WHEN in_degree = 0 AND out_degree > 0 THEN 'entry_point' WHEN out_degree = 0 AND in_degree > 0 THEN 'leaf' WHEN in_degree = 0 AND out_degree = 0 THEN 'orphan' WHEN centrality >= threshold AND in_degree >= 3 AND out_degree >= 3 THEN 'core' ELSE 'leaf' END AS role FROM facts0)"""
+facts0 AS (SELECT f.id, f.path, {_ENTRY.replace('id', 'f.id')} AS is_entry, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(centrality, 0) AS centrality, coalesce(scc_size, 1) AS scc_size, threshold FROM files f LEFT JOIN degrees USING (id) LEFT JOIN ranks USING (id) LEFT JOIN scc USING (id), p),
+facts AS (SELECT id, path, centrality, in_degree, out_degree, CASE WHEN is_entry THEN 'entry_point' WHEN scc_size >= 3 THEN 'bridge' WHEN in_degree = 0 AND out_degree > 0 THEN 'entry_point' WHEN out_degree = 0 AND in_degree > 0 THEN 'leaf' WHEN in_degree = 0 AND out_degree = 0 THEN 'orphan' WHEN centrality >= threshold AND in_degree >= 3 AND out_degree >= 3 THEN 'core' ELSE 'leaf' END AS role FROM facts0)"""
 
 
-def _facts(spark, d):
-    edges = G.edges(view(spark, d, "refs").where("id % 50 = 1"))
+_ROLES, _SURE = _roles("0.5"), _roles("1")
+
+
+def _facts(spark, d, least=G.LEAST_CONFIDENCE):
+    edges = cut(G.edges(view(spark, d, "refs"), least), "edges")
     ranks = G.pagerank(edges).select("id", F.round("centrality", 9).alias("centrality"))
     files = _files(spark, d)
-    no_cycles = files.limit(0).select("id", F.lit(1).alias("scc_size"))
-    return A.facts(files, A.fuse_layers(files), G.degrees(edges), ranks, no_cycles)
+    return A.facts(files, A.fuse_layers(files), G.degrees(edges), cut(ranks, "ranks"), G.scc(edges).select("id", "scc_size"))
+
 
+_FACTS = "id, role, centrality, in_degree, out_degree"
 
-@query("role_fusion", sql(f"WITH {_ROLES} SELECT id, role, centrality, in_degree, out_degree FROM facts", "files", "refs"))
+
+@query("role_fusion", sql(f"{_ROLES} SELECT {_FACTS} FROM facts", "files", "refs"))
 def role_fusion(spark, d):
-    return _facts(spark, d).select("id", "role", "centrality", "in_degree", "out_degree")
+    return _facts(spark, d).select(*_FACTS.split(", "))
+
+
+# References of full confidence only: a sparse graph, in which every role occurs.
+@query("role_fusion_sure", sql(f"{_SURE} SELECT {_FACTS} FROM facts", "files", "refs"))
+def role_fusion_sure(spark, d):
+    return _facts(spark, d, 1.0).select(*_FACTS.split(", "))
 
 
-@query("role_histogram", sql(f"WITH {_ROLES} SELECT role, count(*) AS n FROM facts GROUP BY 1", "files", "refs"))
+@query("role_histogram", sql(f"{_ROLES} SELECT role, count(*) AS n FROM facts GROUP BY 1", "files", "refs"))
 def role_histogram(spark, d):
     return A.histogram(_facts(spark, d), "role")
 
 
-@query("where_summary", sql(f"WITH {_ROLES}, {_LAYERS} SELECT path, layer, layer_conf, role, centrality, in_degree, out_degree FROM facts JOIN layers USING (id) WHERE id = 7", "files", "refs"))
+@query("where_summary", sql(f"{_ROLES}, {_LAYERS} SELECT path, layer, layer_conf, role, centrality, in_degree, out_degree FROM facts JOIN layers USING (id) WHERE id = 7", "files", "refs"))
 def where_summary(spark, d):
     return _facts(spark, d).where("id = 7").drop("id")
 
@@ -99,7 +111,7 @@ def module_labels(spark, d):
     return A.labels(_members(spark, d))
 
 
-_ARCH_MAP = f"WITH {_ROLES}, {_LAYERS} SELECT 'layer' AS section, layer AS item, CAST(count(*) AS DOUBLE) AS value FROM layers GROUP BY layer UNION ALL SELECT 'role', role, CAST(count(*) AS DOUBLE) FROM facts GROUP BY role UNION ALL SELECT * FROM (SELECT 'central', path, centrality FROM facts WHERE centrality > 0 ORDER BY centrality DESC, path LIMIT 10) UNION ALL SELECT 'files', 'all', CAST(count(*) AS DOUBLE) FROM files"
+_ARCH_MAP = f"{_ROLES}, {_LAYERS} SELECT 'layer' AS section, layer AS item, CAST(count(*) AS DOUBLE) AS value FROM layers GROUP BY layer UNION ALL SELECT 'role', role, CAST(count(*) AS DOUBLE) FROM facts GROUP BY role UNION ALL SELECT * FROM (SELECT 'central', path, centrality FROM facts WHERE centrality > 0 ORDER BY centrality DESC, path LIMIT 10) UNION ALL SELECT 'files', 'all', CAST(count(*) AS DOUBLE) FROM files"
 
 
 @query("arch_map", sql(_ARCH_MAP, "files", "refs"))

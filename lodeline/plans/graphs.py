@@ -59,7 +59,12 @@ def p80_threshold(spark, d):
     return p80(pagerank(spark, d), "centrality")
 
 
-@query("scc")
+# Mutual reachability, from the closure of the edges.
+_REACH = "reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src = r.b)"
+_SCC = f"{_REACH}, mutual AS (SELECT x.a AS id, x.b AS other FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b), scc AS (SELECT id, least(id, min(other)) AS scc, count(other) + 1 AS scc_size FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) LEFT JOIN mutual USING (id) GROUP BY id)"
+
+
+@query("scc", sql(f"RECURSIVE WITH {_EDGES}, {_SCC} SELECT * FROM scc", "refs"))
 def scc(spark, d):
     return G.scc(_edges(spark, d))
 

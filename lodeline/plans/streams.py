@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lodeline.catalog import query
 from lodeline.streaming import events as S
+from lodeline.tables import new_dir
 
 SLICES = 4
 
 
 def shared(spark, name: str) -> str:
     """A new folder that driver and executors see."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_dir(spark, name)
 
 
 def _replayed(spark, d):
