@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fewer commits than this give no coupling at all; larger commits are left out of the pairs.
@@ -15,11 +15,12 @@ def coupling(commits: DataFrame, commit_files: DataFrame, least_shared: int = 4,
 
     ``commit_files`` has commit_id and file_path, each pair once. Commits with more
     than ``bulk`` files make no pairs but count in the totals. A commit's files are
-    gathered in one array of at most ``bulk`` and the pairs made within the row, so
+    counted first, those of small commits gathered in one array and the pairs made within the row, so
     there is one shuffle by commit, then one by pair that counts before it.
     """
     files = commit_files.select("commit_id", "file_path").distinct()
-    baskets = files.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.slice(F.collect_list("file_path"), 1, bulk + 1)).alias("f")).where(F.col("n").between(2, bulk))
+    small = files.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("commit_id"))).where(F.col("n").between(2, bulk))
+    baskets = small.groupBy("commit_id").agg(F.sort_array(F.collect_list("file_path")).alias("f"))
     pair = F.explode(F.flatten(F.transform("f", lambda a, i: F.transform(F.slice(F.col("f"), i + 2, F.size("f")), lambda b: F.struct(a.alias("file_a"), b.alias("file_b"))))))
     shared = baskets.select(pair.alias("p")).groupBy("p.file_a", "p.file_b").agg(F.count(F.lit(1)).alias("co_changes")).where(F.col("co_changes") >= least_shared)
     totals = files.groupBy("file_path").agg(F.count(F.lit(1)).alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 from pathlib import Path
@@ -61,7 +62,16 @@ def _any(line: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (line.rlike(p) for p in patterns))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def head_tail(lines: Column, head: int | None, tail: int | None) -> Column:
+    return lines if head is None and tail is None else bound(lines, lambda x: _head_tail(x, head, tail))
+
+
+def _head_tail(lines: Column, head: int | None, tail: int | None) -> Column:
     n = F.size(lines)
     mark = lambda text, count: F.array(F.format_string(text, count))
     first = lambda k: F.slice(lines, 1, k)
@@ -70,9 +80,7 @@ def head_tail(lines: Column, head: int | None, tail: int | None) -> Column:
         return F.when(n > head + tail, F.concat(first(head), mark("... (%d lines skipped)", n - head - tail), last(tail))).otherwise(lines)
     if head is not None:
         return F.when(n > head, F.concat(first(head), mark("... (%d more lines)", n - head))).otherwise(lines)
-    if tail is not None:
-        return F.when(n > tail, F.concat(mark("... (%d lines before)", n - tail), last(tail))).otherwise(lines)
-    return lines
+    return F.when(n > tail, F.concat(mark("... (%d lines before)", n - tail), last(tail))).otherwise(lines)
 
 
 def compile_rule(rule: Rule, text: Column) -> Column:
@@ -80,6 +88,10 @@ def compile_rule(rule: Rule, text: Column) -> Column:
     raw = strip_ansi(text) if rule.strip_ansi else text
     for pattern, replacement in rule.replace:
         raw = F.regexp_replace(raw, pattern, replacement)
+    return bound(raw, lambda x: _stages(rule, x)) if rule.match_output else _stages(rule, raw)
+
+
+def _stages(rule: Rule, raw: Column) -> Column:
     lines = lines_of(raw)
     if rule.strip_lines:
         lines = F.filter(lines, lambda x: ~_any(x, rule.strip_lines))
@@ -90,7 +102,7 @@ def compile_rule(rule: Rule, text: Column) -> Column:
     lines = head_tail(head_tail(lines, rule.head, rule.tail), rule.most, None)
     out = F.array_join(lines, "\n")
     if rule.on_empty is not None:
-        out = F.when(F.trim(out, F.lit(" \t\n\r")) == "", F.lit(rule.on_empty)).otherwise(out)
+        out = bound(out, lambda x: F.when(F.trim(x, F.lit(" \t\n\r")) == "", F.lit(rule.on_empty)).otherwise(x))
     for pattern, message, unless in reversed(rule.match_output):
         hit = raw.rlike(f"(?m){pattern}") & (~raw.rlike(f"(?m){unless}") if unless else F.lit(True))
         out = F.when(hit, F.lit(message)).otherwise(out)

@@ -43,9 +43,10 @@ def coupling_distinct(spark, d):
     return H.coupled_with(_coupling(spark, d), _FILE, 5, distinct=True)
 
 
-@query("coupling_annotation", sql(f"WITH {_PAIRS} SELECT file_b, score, concat(CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR), '%') AS shown FROM coupling WHERE file_a = '{_FILE}' AND score > 0.3 ORDER BY score DESC, file_b LIMIT 3", "commit_dirs"))
+@query("coupling_annotation", sql(f"WITH {_PAIRS.replace('commit_dirs', 'commit_packages')} SELECT file_b, score, concat(CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR), '%') AS shown FROM coupling WHERE file_a = 'economy' AND score > 0.3 ORDER BY score DESC, file_b LIMIT 3", "commit_packages"))
 def coupling_annotation(spark, d):
-    own = _coupling(spark, d).where((F.col("file_a") == _FILE) & (F.col("score") > 0.3))
+    pairs = H.coupling(view(spark, d, "commits"), view(spark, d, "commit_packages"))
+    own = pairs.where((F.col("file_a") == "economy") & (F.col("score") > 0.3))
     return H.top(own, 3, F.desc("score"), "file_b").select("file_b", "score", F.concat(F.round(F.col("score") * 100).cast("long").cast("string"), F.lit("%")).alias("shown"))
 
 

@@ -57,13 +57,12 @@ def tail_lines(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(T.head_tail(T.lines_of(F.col("text")), None, 5), "\n")).alias("output"))
 
 
-_STAMPED = "stamped AS (SELECT id, pos, CASE WHEN pos % 2 = 0 THEN '2024-01-02T03:04:05.678Z ' || left(line, 2) ELSE left(line, 2) END AS line FROM lines)"
+_STAMPED = "stamped AS (SELECT id, pos, CASE WHEN pos % 2 = 0 THEN '2024-01-02T03:04:05.678Z ' || line ELSE line END AS line FROM lines)"
 
 
-@query("dedup_lines", sql(f"WITH {_STAMPED}, k AS (SELECT id, pos, left(regexp_replace(line, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9:.,]+(Z|[+-][0-9:]+)? *', ''), 2) AS line FROM stamped), c AS (SELECT id, line, min(pos) AS first_pos, count(*) AS n FROM k WHERE line <> '' GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first_pos) AS place FROM c) WHERE place <= 40", "lines"))
+@query("dedup_lines", sql(f"WITH {_STAMPED}, k AS (SELECT id, pos, regexp_replace(line, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9:.,]+(Z|[+-][0-9:]+)? *|[A-Z][a-z]{{2}} [ 0-9][0-9] [0-9:]{{8}} *)', '') AS line FROM stamped), c AS (SELECT id, line, min(pos) AS first_pos, count(*) AS n FROM k WHERE line <> '' GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first_pos) AS place FROM c) WHERE place <= 40", "lines"))
 def dedup_lines(spark, d):
-    short = F.substring("line", 1, 2)
-    stamped = view(spark, d, "lines").select("id", "pos", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("2024-01-02T03:04:05.678Z "), short)).otherwise(short).alias("line"))
+    stamped = view(spark, d, "lines").select("id", "pos", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("2024-01-02T03:04:05.678Z "), "line")).otherwise(F.col("line")).alias("line"))
     return T.dedup_lines(stamped)
 
 
@@ -79,23 +78,23 @@ def group_by_ext(spark, d):
     return T.by_key(found, F.regexp_extract("line", r"\.([^./]+)$", 1), 5)
 
 
-_HITS = "hits AS (SELECT id % 4 AS id, id * 1000 + pos AS pos, concat('src/f', (id * 7 + pos) % 23, '.py:', pos, ':', left(line, 5)) AS line FROM lines)"
+_HITS = "hits AS (SELECT id % 4 AS id, id * 1000 + pos AS pos, concat('src/f', (id * 7 + pos) % 23, '.py:', pos, ':', line) AS line FROM lines)"
 
 
 @query("grep_summary", sql(f"WITH {_HITS}, f AS (SELECT *, regexp_extract(line, '^([^:]*[./][^:]*):', 1) AS file FROM hits), c AS (SELECT id, file, count(*) AS n FROM f WHERE file <> '' GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, file) AS place FROM c), e AS (SELECT *, row_number() OVER (PARTITION BY id, file ORDER BY pos) AS nth FROM f WHERE file <> '') SELECT e.id, place, e.file, n, nth, line FROM e JOIN b ON b.id = e.id AND b.file = e.file WHERE place <= 10 AND nth <= 5", "lines"))
 def grep_summary(spark, d):
     lines = view(spark, d, "lines")
-    line = F.concat(F.lit("src/f"), ((F.col("id") * 7 + F.col("pos")) % 23).cast("string"), F.lit(".py:"), F.col("pos").cast("string"), F.lit(":"), F.substring("line", 1, 5))
+    line = F.concat(F.lit("src/f"), ((F.col("id") * 7 + F.col("pos")) % 23).cast("string"), F.lit(".py:"), F.col("pos").cast("string"), F.lit(":"), "line")
     return T.grep_summary(lines.select((F.col("id") % 4).alias("id"), (F.col("id") * 1000 + F.col("pos")).alias("pos"), line.alias("line")))
 
 
-_DIFF = "diff AS (SELECT id, pos, CASE pos % 9 WHEN 0 THEN '@@ ' WHEN 3 THEN '+' WHEN 4 THEN '-' ELSE ' ' END || left(line, 9) AS line FROM lines)"
+_DIFF = "diff AS (SELECT id, pos, CASE pos % 9 WHEN 0 THEN '@@ ' WHEN 3 THEN '+' WHEN 4 THEN '-' ELSE ' ' END || line AS line FROM lines)"
 
 
 @query("diff_context_budget", sql(f"WITH {_DIFF}, m AS (SELECT *, left(line, 1) IN ('+', '-') OR starts_with(line, '@@') AS keeps, count(*) FILTER (left(line, 1) IN ('+', '-')) OVER (PARTITION BY id) AS total FROM diff), r AS (SELECT *, count(*) FILTER (keeps) OVER (PARTITION BY id ORDER BY pos) AS run FROM m), a AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY pos) AS k FROM r) SELECT id, pos, line FROM a WHERE keeps OR (run > 0 AND k - 1 <= CASE WHEN total > 200 THEN 0 WHEN total > 50 THEN 1 ELSE 2 END)", "lines"))
 def diff_context_budget(spark, d):
     mark = F.when(F.col("pos") % 9 == 0, "@@ ").when(F.col("pos") % 9 == 3, "+").when(F.col("pos") % 9 == 4, "-").otherwise(" ")
-    return T.diff_context(view(spark, d, "lines").select("id", "pos", F.concat(mark, F.substring("line", 1, 9)).alias("line")))
+    return T.diff_context(view(spark, d, "lines").select("id", "pos", F.concat(mark, "line").alias("line")))
 
 
 @query("rewrite_command", "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'lodeline proxy git status' WHEN 1 THEN 'lodeline proxy ls -la && lodeline proxy cargo test; echo x' END AS rewritten FROM events")

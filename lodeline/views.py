@@ -36,6 +36,7 @@ _SQL = {
     # (l_orderkey, l_linenumber) repeats in the driver's rows, so lines are grouped.
     "commit_files": "SELECT CAST(l_orderkey AS BIGINT) AS commit_id, CAST(l_partkey AS BIGINT) AS file_id, CAST(sum(l_quantity) AS BIGINT) AS added, CAST(count(*) AS BIGINT) AS deleted FROM lineitem GROUP BY l_orderkey, l_partkey",
     "commit_dirs": "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS commit_id, concat(lower(replace(p_brand, '#', '_')), '/', lower(p_type)) AS file_path FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "commit_packages": "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS commit_id, lower(p_type) AS file_path FROM lineitem JOIN part ON l_partkey = p_partkey",
     # Parts of an order, in order of line and key, call each other; the last call is unresolved.
     "refs": """SELECT id, source_file_id, source_symbol, source_line, target_file_id, coalesce(target_name, concat('missing_', source_symbol)) AS target_name, kind, CASE WHEN target_file_id IS NULL THEN CAST(0 AS DOUBLE) ELSE confidence END AS confidence FROM (
         SELECT CAST(l_orderkey AS BIGINT) * 100 + row_number() OVER w AS id, CAST(l_partkey AS BIGINT) AS source_file_id, p_name AS source_symbol, CAST(line AS INT) AS source_line,
