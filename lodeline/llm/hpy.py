@@ -18,15 +18,16 @@ compressed arrays sorted by word, and come back once as probabilities for their
 documents. A sweep reads pair counts only, not tokens. Its customers and tables
 a context are sent to the partition of the context, summed there, and sent back
 to the partitions that have the context, as compressed arrays; the seating lies in
-a table from sweep to sweep. The driver gets totals of the frequent dishes alone:
-O(``CONTEXTS``) numbers a sweep. Nothing that grows with the vocabulary is collected
+a table from sweep to sweep. Totals of the frequent dishes are summed in blocks, as arrays;
+the driver gets their sums alone: O(``CONTEXTS``) numbers a sweep. Nothing that grows with the vocabulary is collected
 or broadcast. Seeds depend on partition and sweep, so a task that runs again
 makes the same draws.
 
 Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end. Words are known
 by their 64-bit hash. Edge cases: a null or empty text is the end alone; a null
 doc_id is scored and learnt from like the id of empty text; repeated rows count
-as often as they occur; an empty table gives an empty result.
+as often as they occur; very long texts are packed by themselves; an empty table gives an
+empty result; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ SLACK = 8
 SWEEPS, SAMPLES, ROUNDS = 3, 3, 2
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
+#: Frequent dishes that are summed together.
+BLOCK = 256
+#: Tokens that a share of the dishes aims at, and most partitions that contexts are dealt to.
+SHARE_TOKENS, CONTEXT_PARTS = 1 << 22, 1 << 12
 #: Tokens and documents that a task packs together, and packs for each shuffle partition.
 PACK_TOKENS, PACK_DOCS, SPREAD = 1 << 21, 60_000, 4
 #: Marks the key of a context that is no frequent word.
@@ -98,8 +103,8 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
 # ---- frequent words ----------------------------------------------------------------------------------------------------
 
 
-def frequent_words(docs: DataFrame, id_col: str, text_col: str) -> list[bytes]:
-    """The words with at least one in CONTEXTS of the training tokens, give or take one in SLACK of that."""
+def frequent_words(docs: DataFrame, id_col: str, text_col: str) -> tuple[list[bytes], int]:
+    """The words with at least one in CONTEXTS of the training tokens, give or take one in SLACK of that, and the number of these tokens."""
     most = 4 * SLACK * CONTEXTS
 
     def run(batches):
@@ -123,7 +128,7 @@ def frequent_words(docs: DataFrame, id_col: str, text_col: str) -> list[bytes]:
     # No more than CONTEXTS words can have this share.
     found = counts.where("word is not null").where(F.col("n") * CONTEXTS >= F.lit(total)).select("word").collect()
     drop(docs.sparkSession, path)
-    return sorted(bytes(r.word) for r in found)
+    return sorted(bytes(r.word) for r in found), total
 
 
 # ---- tokens to the partitions of their dishes --------------------------------------------------------------------
@@ -330,20 +335,26 @@ class Pairs:
         shared, at = p[self.dish], self.context_at
         return (self.served - g["d2"] * tables + (STRENGTH + g["d2"] * g["TT"][at]) * shared) / (STRENGTH + g["CT"][at])
 
-    def totals(self, tables: np.ndarray, customers: np.ndarray, shared: np.ndarray):
-        """(kind, index, value) to be summed over all shares."""
-        for i in np.flatnonzero(~self.rare):
-            yield 2, int(self.hot[i]), float(customers[i])
-            yield 3, int(self.hot[i]), float(self.total[i])
+    def scalars(self, customers: np.ndarray, shared: np.ndarray) -> list[float]:
+        """Numbers to be summed over all shares."""
         r = self.rare
-        scalars = [self.total.sum(), (self.total[r] > 0).sum(), customers[r].sum(), shared[r].sum(), (self.served == 1).sum(), (self.served == 2).sum(), (customers[r] == 1).sum(), (customers[r] == 2).sum()]
-        yield from ((4, i, float(v)) for i, v in enumerate(scalars))
+        return [float(v) for v in (self.total.sum(), (self.total[r] > 0).sum(), customers[r].sum(), shared[r].sum(), (self.served == 1).sum(), (self.served == 2).sum(), (customers[r] == 1).sum(), (customers[r] == 2).sum())]
+
+    def frequent(self, customers: np.ndarray):
+        """Block and payload (index, customers and tokens of frequent dishes), to be summed by index over all shares."""
+        at = np.flatnonzero(~self.rare)
+        at = at[np.argsort(self.hot[at], kind="stable")]
+        block = self.hot[at] // BLOCK
+        for own in np.split(at, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(at) else ():
+            yield int(self.hot[own[0]]) // BLOCK, _squeeze(self.hot[own].astype("<u2"), customers[own].astype("<u8"), self.total[own].astype("<u8"))
 
 
 #: Rows of a share in the order in which they are read: what it has, then what the partitions of its contexts answer, then its tokens.
 PAIRS, KEYS, SEATED, TOKENS = -3, -2, -1, (1 << 31) - 1
 _PART = "share int, part int, payload binary"
-_SWEPT = pa.schema([("share", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("kind", pa.int8()), ("at", pa.int32()), ("value", pa.float64())])
+#: What a sweep makes: messages to partitions of contexts, the seating, totals of frequent dishes by block, and sums.
+TO_CONTEXTS, SEATING, FREQUENT, SUMS = range(4)
+_SWEPT = pa.schema([("share", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("kind", pa.int8()), ("sums", pa.list_(pa.float64()))])
 
 
 def _by_share(batches):
@@ -379,14 +390,15 @@ def _sweep(g, sweep: int, count: int):
             else:
                 seated = _unsqueeze(held[SEATED])[0].astype(np.int64)
                 tables, customers, shared, _ = pairs.reseat(_here(g.value, held), np.random.default_rng((share, sweep)), seated)
-            rows = [(share, None, None, *r) for r in pairs.totals(tables, customers, shared)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SWEPT)], schema=_SWEPT)
+            yield _row(_SWEPT, share, None, None, SUMS, pairs.scalars(customers, shared))
+            for block, payload in pairs.frequent(customers):
+                yield _row(_SWEPT, share, block, payload, FREQUENT, None)
             served, opened = (np.bincount(pairs.context_at, x, minlength=len(keys)).astype("<u4") for x in (pairs.served, tables))
             parts_ = _deal(keys, count)
             cuts = np.append(np.flatnonzero(np.append(True, parts_[1:] != parts_[:-1])), len(keys))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                yield _row(_SWEPT, share, int(parts_[a]), _squeeze(keys[a:b], served[a:b], opened[a:b]), None, None, None)
-            yield _row(_SWEPT, share, SEATED, _squeeze(tables.astype("<u4")), None, None, None)
+                yield _row(_SWEPT, share, int(parts_[a]), _squeeze(keys[a:b], served[a:b], opened[a:b]), TO_CONTEXTS, None)
+            yield _row(_SWEPT, share, SEATED, _squeeze(tables.astype("<u4")), SEATING, None)
 
     return run
 
@@ -414,14 +426,42 @@ def _answer(batches):
         yield from summed(part, held)
 
 
+def _summed(batches):
+    """Payloads of frequent dishes sorted by block -> a row per block with their sums."""
+    schema = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
+
+    def row(part, sums):
+        at = np.flatnonzero(sums[2])
+        return _row(schema, part, _squeeze((part * BLOCK + at).astype("<u2"), sums[0][at], sums[1][at]))
+
+    now, sums = None, None
+    for batch in batches:
+        for part, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if part != now:
+                if sums is not None:
+                    yield row(now, sums)
+                now, sums = part, np.zeros((3, BLOCK), "<u8")
+            index, customers, total = _unsqueeze(payload.as_py())
+            at = index.astype(int) - part * BLOCK
+            sums[0, at] += customers
+            sums[1, at] += total
+            sums[2, at] = 1
+    if sums is not None:
+        yield row(now, sums)
+
+
 def _swept(rows: DataFrame, g, sweep: int, size: int, count: int, path: str) -> tuple[dict[int, np.ndarray], DataFrame]:
     """Totals for the driver after a sweep, and rows of the next one besides pairs and keys."""
-    made = table(rows.mapInArrow(_sweep(g, sweep, count), f"{_PART}, kind byte, at int, value double"), "", path, compression="none")
-    out = {k: np.zeros(size) for k in (2, 3)} | {4: np.zeros(8)}
-    for r in made.where("kind is not null").groupBy("kind", "at").agg(F.sum("value").alias("value")).collect():
-        out[r.kind][r.at] = r.value
-    sent = made.where("part >= 0").select("share", "part", "payload").repartition(count, "part").sortWithinPartitions("part", "share")
-    return out, made.where(f"part = {SEATED}").select("share", "part", "payload").unionByName(sent.mapInArrow(_answer, _PART))
+    made = table(rows.mapInArrow(_sweep(g, sweep, count), f"{_PART}, kind byte, sums array<double>"), "", path, compression="none")
+    out = {k: np.zeros(size) for k in (2, 3)}
+    blocks = made.where(f"kind = {FREQUENT}").select("part", "payload").repartition("part").sortWithinPartitions("part")
+    for r in blocks.mapInArrow(_summed, "part int, payload binary").collect():  # at most CONTEXTS dishes in all
+        index, customers, total = _unsqueeze(r.payload)
+        out[2][index], out[3][index] = customers, total
+    sums = made.where(f"kind = {SUMS}").agg(*(F.sum(F.col("sums")[i]) for i in range(8))).first()
+    out[4] = np.array([v or 0.0 for v in sums])
+    sent = made.where(f"kind = {TO_CONTEXTS}").select("share", "part", "payload").repartition(count, "part").sortWithinPartitions("part", "share")
+    return out, made.where(f"kind = {SEATING}").select("share", "part", "payload").unionByName(sent.mapInArrow(_answer, _PART))
 
 
 def _restaurants(s: dict[int, np.ndarray], sweep: int, last: dict | None) -> dict:
@@ -504,13 +544,15 @@ def _totalled(g):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    sc, count = spark.sparkContext, parts(spark)
+    sc = spark.sparkContext
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    hot = {w: i for i, w in enumerate(frequent_words(docs, id_col, text_col))}
+    frequent, tokens = frequent_words(docs, id_col, text_col)
+    hot = {w: i for i, w in enumerate(frequent)}
+    count = max(parts(spark), tokens // SHARE_TOKENS + 1)  # a share is one cell of a table on its way, so shares are kept small
     size = len(hot) + 1
     packed = source.mapInArrow(_pack(sc.broadcast(hot), count * SPREAD), "share int, batch long, kind byte, payload binary")
     placed = packed.repartition(count, "share").sortWithinPartitions("share", "kind", "batch")
-    dealt = max(1, count // SPREAD)  # partitions of contexts: each answers each share, so there are fewer of them
+    dealt = min(max(1, count // SPREAD), CONTEXT_PARTS)  # partitions of contexts: each answers each share, so there are fewer of them
     shares = table(placed.mapInArrow(_regroup(dealt), "share int, batch long, pairs binary, tokens binary, contexts binary"), "dishes", compression="none")
     whole = shares.where("share is not null")
     part = lambda number, name: whole.select("share", F.lit(number).alias("part"), F.col(name).alias("payload"))

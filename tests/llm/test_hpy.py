@@ -99,7 +99,7 @@ def test_frequent_words_and_empty(spark, docs, no_docs, monkeypatch):
     rows = docs.collect()
     count = Counter(t for r in rows if not held(r.doc_id) for t in tokens(r.text))
     n = sum(count.values())
-    words = set(hpy.frequent_words(docs, "doc_id", "text"))
+    words = set(hpy.frequent_words(docs, "doc_id", "text")[0])
     sure = {w.encode() for w, c in count.items() if w and c * 50 >= n * 1.2}
     assert sure <= words <= {w.encode() for w, c in count.items() if w and c * 50 >= n} and len(words) <= 50
     assert hpy.score(no_docs).count() == 0
@@ -113,7 +113,7 @@ def test_every_context_has_a_restaurant(spark, monkeypatch):
     rng = np.random.default_rng(6)
     texts = [" ".join(f"a{i} b{i}" for i in rng.integers(0, 200, 20)) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert hpy.frequent_words(df, "doc_id", "text") == []
+    assert hpy.frequent_words(df, "doc_id", "text")[0] == []
     rows = [r for r in hpy.score(df).collect() if r.held_out]
     # Half of the words are all but certain; by the unigram alone each costs log10(400) = 2.6.
     assert -sum(r.score for r in rows) / sum(r.n_tokens for r in rows) < 0.65 * 2.6
