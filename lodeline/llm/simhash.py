@@ -9,7 +9,8 @@ How it scales. Equal fingerprints are one node (a partial aggregation, so
 thousands of exact copies cost one row a task). Six blocks of bits, any two of
 which are left untouched by four differences, deal the distinct fingerprints to
 15 families of groups: fifteen small rows a fingerprint, linear in the input,
-and a group holds what agrees in 21 bits or more. Within a group, fingerprints
+and a group holds what agrees in 21 bits or more. Groups of over ``GROUP`` fingerprints are
+dealt again by blocks of the bits they don't share yet, until no task holds more. Within a group, fingerprints
 lie in Gray order, and ``Index`` factors the bits that neighbours share into
 upper nodes; a search adds up differences on the way down and prunes a whole
 subtree once they exceed four, or takes it whole once they can't. Subtrees already
@@ -25,6 +26,7 @@ together; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -38,9 +40,12 @@ from .graph import components
 from .storage import drop, new_dir, parts, sliced, table
 
 SEED, SHINGLE, DIFFERENCES = 42, 4, 4
-#: Bits of each block; four differences leave at least two of the six untouched.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-FAN, LEAF_GROUP, QUERIES = 16, 48, 256
+#: Blocks of bits; four differences leave at least two of the six untouched.
+BLOCKS = 6
+#: Children of a node, codes that search a large group at a time, and rows whose groups share an index.
+FAN, QUERIES, ROWS = 16, 256, 4096
+#: Distinct fingerprints of one group that a task may hold.
+GROUP = 1 << 20
 #: Words hashed together; bounds the memory that one long text takes.
 CHUNK_WORDS = 1 << 17
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -88,13 +93,15 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), T.StructField("fp", T.LongType())]))
 
 
-def families() -> list[int]:
-    """The 15 masks of two blocks each, as signed 64-bit numbers."""
-    masks, at = [], 0
-    for size in BLOCKS:
-        masks.append(((1 << size) - 1) << at)
-        at += size
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in (a | b for a, b in combinations(masks, 2))]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def families(mask: int = 0) -> list[int]:
+    """``mask`` (a signed 64-bit number) with each two of the six blocks of its free bits: 15 masks."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    blocks = [sum(1 << int(i) for i in part) for part in np.array_split(free, BLOCKS)]
+    return [_signed((mask | a | b) & (1 << 64) - 1) for a, b in combinations(blocks, 2)]
 
 
 def gray_rank(code: Column) -> Column:
@@ -121,39 +128,44 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None
 
 
 class Index:
-    """Codes in Gray order; each upper node holds the bits that all codes below it share.
+    """Codes of one or more groups, each in Gray order; a tree a group.
 
-    ``levels[0]`` is the codes themselves. A node keeps only the shared bits that
+    An upper node holds the bits that all codes below it share. ``levels[0]`` is the
+    codes themselves, the last level has a root a group. A node keeps only the shared bits that
     its parent doesn't already have, so differences add up on the way down.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.levels = codes, []
-        starts, mask, pattern = np.arange(len(codes)), np.full(len(codes), ~np.uint64(0)), codes
-        low, high = codes, codes
-        while True:
-            self.levels.append({"start": starts, "mask": mask, "pattern": pattern})
-            if len(starts) == 1:
-                break
-            first = np.arange(0, len(starts), FAN)
-            low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
-            starts = starts[first]
+    def __init__(self, codes: np.ndarray, groups: np.ndarray | None = None):
+        """``groups``: where each group begins."""
+        self.codes, self.levels, n = codes, [], len(codes)
+        offset = np.zeros(1, np.int64) if groups is None else groups
+        size = np.diff(np.append(offset, n))
+        self.group = np.repeat(np.arange(len(offset)), size)
+        start, mask, pattern, low, high = np.arange(n), np.full(n, ~np.uint64(0)), codes, codes, codes
+        self.levels.append({"start": start, "mask": mask, "pattern": pattern, "first": None})
+        while size.max() > 1:
+            fewer = -(-size // FAN)
+            above = np.cumsum(fewer) - fewer
+            first = np.repeat(offset, fewer) + FAN * (np.arange(fewer.sum()) - np.repeat(above, fewer))
+            low, high, start = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first), start[first]
             mask = ~(low ^ high)
-            pattern = low & mask
-        for below, above in zip(self.levels, self.levels[1:]):
-            shared = np.repeat(above["mask"], FAN)[: len(below["mask"])]
-            below["own"] = below["mask"] & ~shared
+            below = self.levels[-1]
+            below["own"] = below["mask"] & ~np.repeat(mask, np.diff(np.append(first, len(below["mask"]))))
+            self.levels.append({"start": start, "mask": mask, "pattern": low & mask, "first": first})
+            offset, size = above, fewer
         self.levels[-1]["own"] = self.levels[-1]["mask"]
         for level in self.levels:
-            level["end"] = np.append(level["start"][1:], len(codes))
+            level["end"] = np.append(level["start"][1:], n)
             level["free"] = 64 - np.bitwise_count(level["mask"]).astype(np.int64)
+        self.most = int(np.bincount(self.group).max())
 
     def joined(self, most: int = DIFFERENCES) -> np.ndarray:
-        """For each code the first code of its component under links of at most ``most`` differing bits."""
+        """For each code the first code of its component under links of at most ``most`` differing bits within its group."""
         n, parent = len(self.codes), np.arange(len(self.codes))
-        for begin in range(0, n, QUERIES):
-            query = np.arange(begin, min(begin + QUERIES, n))
-            node, added = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+        step = QUERIES if self.most > QUERIES else n
+        for begin in range(0, n, step):
+            query = np.arange(begin, min(begin + step, n))
+            node, added = self.group[query], np.zeros(len(query), np.int64)
             a, b = [], []
             for depth in range(len(self.levels) - 1, -1, -1):
                 level = self.levels[depth]
@@ -167,17 +179,17 @@ class Index:
                 if whole.any():
                     a.append(query[whole])
                     b.append(level["start"][node[whole]])
-                    for k in np.unique(node[whole]):
+                    for k in np.unique(node[whole]) if depth else ():
                         inner = np.arange(level["start"][k] + 1, level["end"][k])
                         a.append(inner)
                         b.append(np.full(len(inner), level["start"][k]))
                     query, node, added = query[~whole], node[~whole], added[~whole]
                 if depth:
-                    last = len(self.levels[depth - 1]["start"])
-                    child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    query, added = np.repeat(query, FAN), np.repeat(added, FAN)
-                    there = child < last
-                    query, node, added = query[there], child[there], added[there]
+                    last = np.append(level["first"][1:], len(self.levels[depth - 1]["start"]))
+                    child = (level["first"][node][:, None] + np.arange(FAN)).ravel()
+                    there = child < np.repeat(last[node], FAN)
+                    query, added = np.repeat(query, FAN)[there], np.repeat(added, FAN)[there]
+                    node = child[there]
             if a:
                 parent = roots(n, np.concatenate(a), np.concatenate(b), parent)
         return parent
@@ -185,28 +197,22 @@ class Index:
 
 def _links(family: np.ndarray, key: np.ndarray, code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of each whole group in rows sorted by (family, key, Gray rank)."""
-    n = len(code)
-    if n < 2:
-        return node[:0], node[:0]
     first = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (key[1:] != key[:-1])))
-    size = np.diff(np.append(first, n))
+    size = np.diff(np.append(first, len(code)))
+    shared = np.repeat(size > 1, size)  # what is alone in its group has no partner there
+    code, node, size = code[shared], node[shared], size[size > 1]
+    if not len(code):
+        return node, node
+    first = np.cumsum(size) - size
+    cuts = np.flatnonzero(np.append(True, first[1:] // ROWS != first[:-1] // ROWS))
     a, b = [], []
-    for start, length in zip(first[size > LEAF_GROUP], size[size > LEAF_GROUP]):
-        parent = Index(code[start : start + length]).joined()
-        inner = np.flatnonzero(parent != np.arange(length))
-        a.append(start + inner)
-        b.append(start + parent[inner])
-    left = np.where(np.repeat(size, size) <= LEAF_GROUP, np.repeat(first + size, size) - np.arange(n), 0)  # rows to the group's end
-    for gap in range(1, int(left.max(initial=1))):
-        at = np.flatnonzero(left > gap)
-        near = at[np.bitwise_count(code[at] ^ code[at + gap]) <= DIFFERENCES]
-        a.append(near)
-        b.append(near + gap)
-    if not a:
-        return node[:0], node[:0]
-    parent = roots(n, np.concatenate(a), np.concatenate(b))
-    inner = np.flatnonzero(parent != np.arange(n))
-    return node[inner], node[parent[inner]]
+    for low, high in zip(cuts, np.append(cuts[1:], len(first))):
+        start, end = first[low], first[high - 1] + size[high - 1]
+        parent = Index(code[start:end], first[low:high] - start).joined()
+        inner = np.flatnonzero(parent != np.arange(end - start))
+        a.append(node[start + inner])
+        b.append(node[start + parent[inner]])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _search(batches):
@@ -231,10 +237,33 @@ def _search(batches):
         yield out(_links(whole[0], whole[1], whole[2].view(np.uint64), whole[3]))
 
 
+def _dealt(rows: DataFrame, below: Column) -> DataFrame:
+    """(family, key, fp, node): ``rows`` once for each mask of the array ``below``."""
+    each = rows.select(F.explode(below).alias("family"), "fp", "node")
+    return each.select("family", F.col("fp").bitwiseAND(F.col("family")).alias("key"), "fp", "node")
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    """The groups that are too large for a task, with masks that deal them by the bits in which they vary."""
+    sizes = rows.groupBy("family", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).where(F.col("n") > GROUP)
+
+    def run(frames):
+        for frame in frames:
+            varying = (frame["low"] ^ frame["high"]).tolist()
+            yield frame[["family", "key"]].assign(below=[families(_signed(~v & (1 << 64) - 1)) for v in varying])
+
+    return table(sizes.mapInPandas(run, "family long, key long, below array<long>"), "hot")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """``distinct`` (fp, node) -> links (a, b) between nodes, a spanning forest of each group."""
-    dealt = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("family"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(families()))))
-    rows = distinct.select(dealt.alias("g"), "fp", "node").select("g.family", "g.key", "fp", "node")
+    rows, done = _dealt(distinct, F.array(*map(F.lit, families()))), []
+    if distinct.count() > GROUP:  # no group can have more than there are
+        # Each round fixes a third of the bits in which a hot group varies, so few rounds are needed.
+        while not (hot := _hot(rows)).isEmpty():
+            done.append(rows.join(hot, ["family", "key"], "left_anti"))
+            rows = _dealt(rows.join(hot, ["family", "key"]), F.col("below"))
+    rows = reduce(DataFrame.unionByName, [*done, rows])
     placed = rows.repartition(parts(distinct.sparkSession), "family", "key").sortWithinPartitions("family", "key", gray_rank(F.col("fp")))
     return placed.mapInArrow(_search, "a long, b long")
 

@@ -77,6 +77,29 @@ def test_index_finds_every_link(seed, n, flips):
     assert got.tolist() == [want[i] for i in range(len(codes))]
 
 
+def test_index_of_several_groups():
+    rng = random.Random(6)
+    groups = [sorted(planted(rng, n, 5), key=gray) for n in (8, 9, 500, 17, 300, 12)]
+    groups.insert(2, [5])
+    first = np.cumsum([0, *map(len, groups[:-1])])
+    got = simhash.Index(np.array([c for g in groups for c in g], np.uint64), first).joined()
+    for start, codes in zip(first.tolist(), groups):
+        want = brute_components(dict(enumerate(codes)))
+        assert (got[start : start + len(codes)] - start).tolist() == [want[i] for i in range(len(codes))]
+
+
+def test_hot_groups_are_dealt_again(spark, monkeypatch):
+    """Codes that share all but 24 bits, so that groups of the first deal are larger than a task may hold."""
+    rng = random.Random(3)
+    codes = sorted({rng.getrandbits(24) | 7 << 40 for _ in range(400)} | {5 | 7 << 40, 4 | 7 << 40})
+    codes = sorted(set(codes) | {c ^ 1 << rng.randrange(24) for c in codes[:150]})
+    df = spark.createDataFrame(list(zip(codes, range(len(codes)))), "fp long, node long")
+    monkeypatch.setattr(simhash, "GROUP", 60)
+    found = {r.node: r.component for r in graph.components(simhash.links(df)).collect()}
+    want = brute_components(dict(enumerate(codes)))
+    assert len(set(want.values())) > 20 and {i: found.get(i, i) for i in range(len(codes))} == want
+
+
 def test_families_lose_no_pair():
     rng = random.Random(9)
     for _ in range(2000):
