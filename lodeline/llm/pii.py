@@ -132,18 +132,19 @@ _CUES = {
 _AGAINST = frozenset("version release isbn issn order invoice total page figure table section item id number build commit checksum sha md5 hash chapter seite page página tabla nr no".split())
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
+_DIGITS = tuple("0123456789")
 #: Kind, pattern (its last group, if any, is the span), and characters or words of which a text needs one.
 _LOOSE = (
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?:at|AT|@)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?[\[({](?:dot|DOT|\.)[\])}] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,4}"), ("[", "(", "{")),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), (":",)),
-    (2, re.compile(r"(?<![0-9.-])[0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{2,4}(?![0-9-])|(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z-])"), ()),
-    (3, re.compile(r"(?<![0-9+(-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])"), ()),
+    (2, re.compile(r"(?<![0-9.-])[0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{2,4}(?![0-9-])|(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z-])"), _DIGITS),
+    (3, re.compile(r"(?<![0-9+(-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])"), _DIGITS),
     (3, re.compile(r"(?<![0-9+])00[1-9][0-9]{0,2}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9-])"), ("00",)),
     (4, re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|(?:access|private)[_-]?key|credential)[A-Za-z0-9_-]{0,20}+[\"']?\s{0,3}+(?:=>|:=|[=:])\s{0,3}+[\"']?([^\s\"'<>,;]{8,512}+)"), ("=", ":")),
     (4, re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}|xox[bp]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,4000}+\.[A-Za-z0-9_-]{10,1000})(?![A-Za-z0-9])"), _PREFIXES),
     (4, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,20000}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"), ("-----BEGIN",)),
-    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}+(?![A-Za-z0-9])"), ()),
-    (5, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), ()),
+    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}+(?![A-Za-z0-9])"), _DIGITS),
+    (5, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _DIGITS),
     (6, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), ("-",)),
     (7, re.compile(r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01]?[0-9]-[0-3]?[0-9]|[0-3]?[0-9][./][0-3]?[0-9][./](?:19|20)[0-9]{2})(?![0-9./-]?[0-9])"), ("19", "20")),
     (8, re.compile(r"(?<![^\W_])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sr|Sra)\.? ([A-ZÄÖÜÉÁÍÓÚÑ][a-zà-ÿ]{1,30}+(?: [A-ZÄÖÜÉÁÍÓÚÑ][a-zà-ÿ]{1,30}+){0,2})"), ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Señor", "Sr")),
