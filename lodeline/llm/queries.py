@@ -26,7 +26,9 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.conversations(_read(spark, sf_dir, "conversations"))
+    # The table's turns quote nothing; as messages of a list, each quotes the one before.
+    mail = table(quotes.replies(_read(spark, sf_dir, "conversations")), "mail")
+    found = quotes.conversations(mail)
     return found.select("conv_id", "turn", "role", "n_quotes", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", F.col("own_text").alias("text"))
 
 

@@ -20,7 +20,8 @@ Edge cases: a null or empty text has no passages and stays as it is, a text of
 quotes alone becomes empty; passages under ``MIN_WORDS`` words link nothing; a
 message never replies to itself, to a later one or to one without conversation
 or turn; rows that share (conv_id, turn) are one message with several texts and
-get one parent; null keys link nothing; other columns are kept, those named like
+get one parent; null keys link nothing; very long texts are parsed whole, and repeated
+passages of a message count once; other columns are kept, those named like
 an output column replaced.
 """
 
@@ -41,6 +42,7 @@ MIN_WORDS = 3
 _LEVEL = re.compile(r"[ \t]*(?:>[ \t]?)+")
 _ENDS = re.compile(r"(?<=[.!?])\s+")
 _EDGE = re.compile(r"^\W+|\W+$")
+INNER = ("__has", "__cites", "__levels")
 OUTPUTS = ("own_text", "n_quotes", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth")
 
 
@@ -89,10 +91,10 @@ def read_levels(text: str | None) -> tuple[str | None, list[int], list[tuple[int
 
 
 def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``messages`` with own_text, n_quotes, has (passages of the own text), cites (passages quoted) and levels (of these)."""
-    kept = messages.drop(*OUTPUTS, "has", "cites", "levels")
+    """``messages`` with own_text, n_quotes, __has (passages of the own text), __cites (passages quoted) and __levels (of these)."""
+    kept = messages.drop(*OUTPUTS, *INNER)
     place = messages.columns.index(text_col)
-    fields = [T.StructField("own_text", T.StringType()), T.StructField("n_quotes", T.LongType()), T.StructField("has", T.ArrayType(T.LongType())), T.StructField("cites", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("own_text", T.StringType()), T.StructField("n_quotes", T.LongType()), T.StructField("__has", T.ArrayType(T.LongType())), T.StructField("__cites", T.ArrayType(T.LongType())), T.StructField("__levels", T.ArrayType(T.LongType()))]
     places = [messages.columns.index(c) for c in kept.columns]
     schema = T.StructType([*kept.schema.fields, *fields])
 
@@ -112,9 +114,9 @@ def _at() -> Column:
 def link(parsed: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """conv, turn_no, parent_conv, parent_turn of every message that replies to another."""
     spark = parsed.sparkSession
-    keyed = parsed.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn_no"), "has", "cites", "levels").where("conv is not null and turn_no is not null")
-    cited = keyed.select("conv", "turn_no", F.explode(F.arrays_zip("cites", "levels")).alias("c")).select("conv", "turn_no", F.col("c.cites").alias("passage"), F.col("c.levels").alias("level"))
-    wanted = keyed.select("conv", "turn_no", F.explode("has").alias("passage"))
+    keyed = parsed.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn_no"), *INNER).where("conv is not null and turn_no is not null")
+    cited = keyed.select("conv", "turn_no", F.explode(F.arrays_zip("__cites", "__levels")).alias("c")).select("conv", "turn_no", F.col("c.__cites").alias("passage"), F.col("c.__levels").alias("level"))
+    wanted = keyed.select("conv", "turn_no", F.explode("__has").alias("passage"))
     paths = [new_dir(spark, "quotes") for _ in range(4)]
     cited = table(cited, "", paths[0])
     # Only passages that someone quotes can match.
@@ -146,11 +148,26 @@ def thread(replies: DataFrame) -> DataFrame:
             return now
 
 
+def replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """``messages`` as a mailing list would hold them: each quotes the turn before it, and that one's quote of the turn before.
+
+    Turns are found by joins with one row per (conversation, turn), so a long conversation is no hot key.
+    """
+    said = messages.groupBy(F.col(conv_col).cast("long").alias("__conv"), F.col(turn_col).cast("long").alias("__turn")).agg(F.min(text_col).alias("__text"))
+    before = lambda n: said.select(F.col("__conv").alias(f"__conv{n}"), (F.col("__turn") + n).alias(f"__turn{n}"), F.col("__text").alias(f"__said{n}"))
+    found = messages
+    for n in (1, 2):
+        found = found.join(before(n), (F.col(conv_col).cast("long") == F.col(f"__conv{n}")) & (F.col(turn_col).cast("long") == F.col(f"__turn{n}")), "left")
+    quoted = lambda n, mark: F.regexp_replace(f"__said{n}", "(?m)^", mark)
+    text = F.concat_ws("\n", quoted(2, "> > "), quoted(1, "> "), F.when(F.col("__said1").isNotNull(), F.lit("")), text_col)
+    return found.select(*(F.when(F.col(text_col).isNotNull(), text).alias(c) if c == text_col else F.col(c) for c in messages.columns))
+
+
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """Every message with its own text, its parent, its root and its depth (roots: themselves, depth 0)."""
     parsed = table(parse(messages, text_col), "messages")
     placed = thread(link(parsed, conv_col, turn_col))
-    left = parsed.drop("has", "cites", "levels")
+    left = parsed.drop(*INNER)
     joined = left.join(placed, (left[conv_col].cast("long") == placed["conv"]) & (left[turn_col].cast("long") == placed["turn_no"]), "left")
     kept = [c for c in left.columns if c not in ("own_text", "n_quotes")]
     return joined.select(
