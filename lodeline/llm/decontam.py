@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import sliced, table
+from .storage import private, sliced, table
 
 #: Lower-cases A-Z, keeps digits, letters and all bytes of other characters, blanks the rest.
 _TABLE = bytes(
@@ -160,4 +160,6 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents, with its own columns."""
-    return scan(docs, benchmark, **options).where(F.size("hit_spans") == 0).select(*[c for c in docs.columns if c not in OUTPUTS])
+    hidden, names = private(docs)
+    options["text_col"] = names[options.get("text_col", "text")]
+    return scan(hidden, benchmark, **options).where(F.size("hit_spans") == 0).select(*names.values()).toDF(*names)

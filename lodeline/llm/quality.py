@@ -24,8 +24,8 @@ from all rows there are, so that every row is judged by a distance.
 
 Edge cases: a null or empty text has zero words and fails the base rules; null
 lang or source form a group of their own; repeated rows count as often as they
-occur; an empty table gives an empty result; input columns named like an output
-column are replaced.
+occur; an empty table gives an empty result; very long texts are measured whole; input columns named like an output
+column of ``statistics`` or ``judge`` are replaced there; ``clean`` returns every column as it was.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import drop, new_dir, sliced, table
+from .storage import drop, new_dir, private, sliced, table
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
@@ -263,12 +263,13 @@ def estimates(stats: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame, model: DataFrame) -> DataFrame:
     """``stats`` with distance (null without an estimate) and kept."""
-    names = stats.columns
+    names = [c for c in stats.columns if c not in ("distance", "kept")]
     few = model.count() <= BROADCAST_GROUPS
-    x = vector()
-    placed = _with(stats.select("*", *x), model.select(*GROUP, "mean", "precision"), few, "left")
+    # The rows travel as one column, so that theirs may have any names.
+    packed = stats.select(F.struct(*names).alias("row"), *GROUP, "base_failed", *vector())
+    placed = _with(packed, model.select(*GROUP, "mean", "precision"), few, "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return placed.withColumn("distance", distance()).withColumn("kept", kept).select(*[c for c in names if c not in ("distance", "kept")], "distance", "kept")
+    return placed.select("row.*", "distance", kept.alias("kept"))
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -279,5 +280,7 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     share an id each by its own text.
     """
     model = estimates(table(statistics(docs, text_col, list(GROUP)), "quality"))
-    judged = judge(statistics(docs, text_col), model)
-    return judged.where("kept").select(*docs.columns)
+    hidden, names = private(docs)
+    own = hidden.select("*", *(F.col(names[c]).alias(c) for c in GROUP))
+    judged = judge(statistics(own, names[text_col]), model)
+    return judged.where("kept").select(*names.values()).toDF(*names)

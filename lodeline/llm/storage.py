@@ -69,6 +69,12 @@ def publish(uri: str, data: bytes) -> None:
     fs.move(private, path)
 
 
+def private(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under names that no operator uses, and these names by the old ones."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def sliced(batches):
     """Arrow batches in slices of about SLICE bytes (one row at least), which bounds what Python holds of a batch."""
     for batch in batches:
