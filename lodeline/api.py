@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
+import sys
 import time
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline.functions.scalars import short_number, truncate_command
 from lodeline.operators import architecture as A
+from lodeline.operators import context as C
+from lodeline.operators import evalkit as E
 from lodeline.operators import extract as X
 from lodeline.operators import graph as G
+from lodeline.operators import handlers
 from lodeline.operators import history as H
 from lodeline.operators import incremental as I
 from lodeline.operators import resolve as R
 from lodeline.operators import search as S
+from lodeline.operators import textfilter as T
 from lodeline.sources import gitlog, scan
 
 TABLES = ("files", "symbols", "chunks", "refs", "file_metrics", "arch_facts", "arch_modules", "commits", "commit_files", "change_coupling")
@@ -36,8 +44,12 @@ class Index:
 
     # -- building --
 
-    def build(self, root: str, ignore: list[str] = (), overrides: list[tuple[str, str, float]] = (), index_generated: bool = False, days: int = 90) -> dict[str, int]:
-        """Scans, extracts, resolves and derives everything into a new epoch, then switches to it."""
+    def build(self, root: str, ignore: list[str] = (), overrides: list[tuple[str, str, float]] = (), index_generated: bool = False, days: int = 90, full: bool = False, since: str | None = None) -> dict[str, int]:
+        """Scans, extracts, resolves and derives everything into a new epoch, then switches to it.
+
+        Files whose hash the epoch before has are not read again by a parser, unless ``full``;
+        ``since`` takes what git says has changed since a ref instead of comparing hashes.
+        """
         spark, epoch = self.spark, f"epoch-{time.time_ns()}"
         at = lambda name: str(self.folder / epoch / name)
 
@@ -49,9 +61,10 @@ class Index:
         scan.guard(root, found)
         contents = store("_contents", found)
         files = store("files", contents.drop("content"))
-        rows = store("_rows", X.extract(contents, index_generated))
+        rows = store("_rows", self._extracted(contents, root, index_generated, full, since))
         symbols, raw, measured = store("symbols", X.symbols(rows)), X.refs(rows), X.metrics(rows)
         chunks = store("chunks", X.chunks(rows))
+        store("postings", S.postings(chunks))
         refs = store("refs", self._resolve(raw, files, symbols))
         parsed = gitlog.log(spark, root, days)
         indexed = files.select(F.col("path").alias("file_path"), F.col("id").alias("file_id"))
@@ -72,27 +85,39 @@ class Index:
         (self.folder / "CURRENT.tmp").replace(self.folder / "CURRENT")
         return {"files": files.count(), "symbols": symbols.count(), "chunks": chunks.count(), "refs": refs.count(), "commits": commits.count()}
 
+    def _extracted(self, contents: DataFrame, root: str, index_generated: bool, full: bool, since: str | None) -> DataFrame:
+        if full or not (self.folder / "CURRENT").exists():
+            return X.extract(contents, index_generated)
+        if since is None:
+            changed = I.changed(contents, self.table("files"))
+        else:
+            touched = gitlog.changed_since(self.spark, root, since).select(F.col("file_path").alias("path"))
+            changed = contents.join(touched, "path", "left_semi").unionByName(contents.join(self.table("files").select("path"), "path", "left_anti")).dropDuplicates(["path"])
+        kept = contents.select(F.col("id").alias("file_id")).join(changed.select(F.col("id").alias("file_id")), "file_id", "left_anti")
+        return X.extract(changed, index_generated).unionByName(self.table("_rows").join(kept, "file_id", "left_semi"))
+
     def _resolve(self, raw: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
         wanted = raw.where("kind = 'import_binding'").join(files.select(F.col("id").alias("source_file_id"), "lang_family", "dir"), "source_file_id")
-        dots = F.length(F.regexp_extract("target_qualifier", r"^(\.*)", 1))
-        here = F.regexp_replace(F.col("dir"), "/$", "")
-        up = F.array_join(F.slice(F.split(here, "/"), F.lit(1), F.greatest(F.size(F.split(here, "/")) - dots + 1, F.lit(0))), "/")
-        tail = F.regexp_replace("target_qualifier", r"^\.+", "")
-        module = F.when(dots > 0, F.concat_ws(".", F.nullif(F.translate(up, "/", "."), F.lit("")), F.nullif(tail, F.lit("")))).otherwise(F.col("target_qualifier"))
-        python = wanted.where("lang_family = 'python'").select("id", module.alias("m"))
-        bound = R.resolve_modules(python, files, R.python_candidates(F.col("m")))
+        paths = R.module_candidates(F.col("lang_family"), F.col("target_qualifier"), F.col("dir"))
+        bound = R.resolve_modules(wanted.select("id", paths.alias("paths")), files, F.col("paths"))
         bindings = wanted.select("id", "source_file_id", "target_name").join(bound, "id", "left")
         bindings = R.chase_barrels(bindings.select("id", "source_file_id", "target_name", "target_file_id"), symbols)
         inherits = raw.where("kind = 'inherit' and target_qualifier is null")
         done = R.cascade(raw, files, symbols, bindings, R.mro(raw, files, symbols, inherits)).join(bindings.select("id", F.col("target_file_id").alias("bound_file")), "id", "left")
         return done.withColumn("target_file_id", F.coalesce("target_file_id", "bound_file")).drop("bound_file")
 
+    def reset(self) -> None:
+        """Forgets every epoch; savings stay."""
+        (self.folder / "CURRENT").unlink(missing_ok=True)
+        for epoch in self.folder.glob("epoch-*"):
+            shutil.rmtree(epoch)
+
     # -- asking --
 
     def search(self, text: str, limit: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
         described = self._described_chunks()
         names = self.table("symbols").select("file_id", "name", "line").join(described.select(F.col("file_id"), "start_line", "end_line", F.col("id").alias("chunk_id")), "file_id").where("line between start_line and end_line")
-        lists = {"fulltext": S.fulltext(described, text, 3 * limit), "symbol": S.symbols(names.select(F.col("chunk_id").alias("id"), "name"), text, 3 * limit)}
+        lists = {"fulltext": S.fulltext(described, text, 3 * limit, self.table("postings")), "symbol": S.symbols(names.select(F.col("chunk_id").alias("id"), "name"), text, 3 * limit)}
         if vectors is not None and query_vector is not None:
             lists["semantic"] = S.knn(vectors, query_vector, 3 * limit)
         return S.fuse(lists, described, limit).join(described.select("id", "path", "start_line", "end_line", "kind", "scope"), "id").orderBy(F.desc("score"), "id")
@@ -109,19 +134,79 @@ class Index:
     def callers(self, symbol: str, limit: int = 20, min_confidence: float = 0.7, include_tests: bool = False, kinds: str = "both") -> DataFrame:
         return G.callers(self.table("refs"), self.table("files"), symbol, limit, min_confidence, include_tests, kinds)
 
-    def impact(self, symbol: str, depth: int = 3, min_confidence: float = 0.7) -> DataFrame:
-        return G.impact(self.table("refs"), self.table("files"), symbol, depth, min_confidence)
+    def impact(self, symbol: str, depth: int = 3, min_confidence: float = 0.7, kinds: str = "both") -> DataFrame:
+        return G.impact(self.table("refs"), self.table("files"), symbol, depth, min_confidence, kinds)
 
-    def risk(self, symbol: str, depth: int = 3, min_confidence: float = 0.7) -> DataFrame:
-        return G.risk(self.impact(symbol, depth, min_confidence))
+    def risk(self, symbol: str, depth: int = 3, min_confidence: float = 0.7, kinds: str = "both") -> DataFrame:
+        return G.risk(self.impact(symbol, depth, min_confidence, kinds))
 
     def _file(self, path: str) -> DataFrame:
         return I.fuzzy(self.table("files"), path).select(F.col("id").alias("file_id"))
 
-    def history(self, path: str, limit: int = 30) -> DataFrame:
+    def history(self, path: str, symbol: str | None = None, limit: int = 30) -> DataFrame:
+        """The latest commits of a file; with ``symbol``, where that stands and how long it is, beside them."""
         own = self.table("commit_files").join(F.broadcast(self._file(path)), "file_id")  # one row
         commits = self.table("commits").withColumnRenamed("id", "commit_id")
-        return commits.join(own, "commit_id").orderBy(F.desc("at"), "commit_id").limit(limit)
+        found = commits.join(own, "commit_id").orderBy(F.desc("at"), "commit_id").limit(limit)
+        if symbol is None:
+            return found
+        named = self.table("symbols").where(F.col("name") == symbol).groupBy("file_id").agg(F.min(F.struct("line", "end_line", "kind")).alias("s"))
+        return found.join(named, "file_id").select("*", F.lit(symbol).alias("symbol"), "s.line", "s.end_line", F.col("s.kind").alias("symbol_kind")).drop("s").orderBy(F.desc("at"), "commit_id")
+
+    def context(self, path: str, budget: int = 20) -> DataFrame:
+        """What to know before an edit of a file, as (section, item, value): its place, callers of its symbols, what it needs, what changes with it."""
+        file = self._file(path).join(self.table("files").select(F.col("id").alias("file_id"), F.col("path")), "file_id").first()
+        if file is None:
+            return self.spark.createDataFrame([], "section string, item string, value string")
+        refs = self.table("refs").withColumn("name", F.col("target_name"))
+        paths = self.table("files").select(F.col("id").alias("target_file_id"), F.col("path").alias("target"))
+        row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
+        facts = self.table("arch_facts").where(F.col("id") == file.file_id)
+        place = row(facts, "place", F.col("path"), F.concat_ws(" ", "layer", "role", F.format_string("in=%d out=%d", "in_degree", "out_degree")))
+        called = C.external_callers(self.table("symbols"), refs, file.file_id).orderBy(F.desc("confident"), F.desc("possible"), "name").limit(budget)
+        callers = row(called, "callers", F.concat_ws(" ", "kind", "name"), F.format_string("%d sure, %d possible, in %d files", "confident", "possible", "files"))
+        needs = row(C.dependencies(refs, file.file_id, budget).join(paths, "target_file_id", "left"), "needs", F.col("name"), F.concat_ws(" ", "kind", "target"))
+        near = H.coupled_with(self.table("change_coupling"), file.path, 5, distinct=True)
+        coupled = row(near.where("score > 0.3"), "changes with", F.col("other"), F.format_string("%d%%", F.round(F.col("score") * 100).cast("int")))
+        heat = row(self.table("file_metrics").where((F.col("file_id") == file.file_id) & (F.col("hotspot_score") > 0)), "hotspot", F.lit(file.path), F.format_string("changed %d times in 30 days, complexity %.0f", "changes_30d", "cyclomatic"))
+        return reduce(DataFrame.unionByName, (place, heat, callers, needs, coupled))
+
+    # -- outputs of programs --
+
+    def proxy(self, command: str, output: str, errors: str = "", exit_code: int = 0) -> str:
+        """A program's output as a reader needs it; what that saved is appended to the tracking table."""
+        _, shown = handlers.handle(command, output, errors, exit_code)
+        raw = output if not errors else f"{output}\n{errors}"
+        row = [(command, handlers.tokens(raw), handlers.tokens(shown))]
+        run = self.spark.createDataFrame(row, "command string, raw_tokens long, filtered_tokens long").withColumn("at", F.current_timestamp())
+        run.write.mode("append").parquet(str(self.folder / "tracking"))
+        return shown
+
+    def gain(self) -> DataFrame:
+        """Savings as (section, item, value): in all, by day, by command."""
+        rows = self.spark.read.schema("command string, raw_tokens long, filtered_tokens long, at timestamp").parquet(str(self.folder / "tracking"))
+        total = T.gain_totals(rows).select(F.lit("total").alias("section"), F.format_string("%d commands", "commands").alias("item"), F.format_string("%s saved (%.1f%%)", short_number(F.col("saved")), F.col("pct")).alias("value"))
+        days = T.gain_daily(rows).select(F.lit("day"), F.col("day").cast("string"), short_number(F.col("saved")))
+        best = T.gain_top(rows).select(F.lit("command"), truncate_command(F.col("command")), F.concat_ws(" ", short_number(F.col("saved")), F.repeat(F.lit("#"), F.round(F.col("pct") / 10).cast("int"))))
+        return total.union(days).union(best)
+
+    def rewrite(self, command: str) -> str | None:
+        return self.spark.range(1).select(T.rewrite(F.lit(command)).alias("c")).first().c
+
+    def ingest_scip(self, path: str) -> DataFrame:
+        """Stores another indexer's occurrences and returns their summary."""
+        at = str(self.folder / "scip")
+        E.read_scip(self.spark, path).write.mode("overwrite").parquet(at)
+        return E.summary(self.spark.read.parquet(at))
+
+    def embed(self, model, batch: int = 128) -> DataFrame:
+        """Vectors of chunks that have none yet, by a callable; all vectors so far."""
+        at = self.folder / "vectors"
+        empty = self.spark.createDataFrame([], "id long, embedding array<float>")
+        have = self.spark.read.schema(empty.schema).parquet(str(at)) if at.exists() else empty
+        languages = self.table("files").select(F.col("id").alias("file_id"), "language")
+        S.embed(S.unembedded(self.table("chunks").join(languages, "file_id"), have), model, batch).write.mode("append").parquet(str(at))
+        return self.spark.read.schema(empty.schema).parquet(str(at))
 
     def where(self, path: str) -> DataFrame:
         return self.table("arch_facts").join(F.broadcast(self._file(path)), F.col("id") == F.col("file_id")).drop("file_id")  # one row
@@ -133,9 +218,7 @@ class Index:
         return hot.unionByName(near)
 
     def arch_map(self) -> DataFrame:
-        from lodeline.operators.context import arch_map
-
-        return arch_map(self.table("arch_facts"))
+        return C.arch_map(self.table("arch_facts"))
 
     def stats(self) -> DataFrame:
         return I.stats({n: self.table(n) for n in TABLES})
@@ -148,16 +231,50 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lodeline")
     parser.add_argument("--index", default=".lodeline")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"index": ["root"], "search": ["text"], "symbols": ["text"], "callers": ["symbol"], "impact": ["symbol"], "history": ["path"], "where": ["path"], "map": [], "arch-map": [], "stats": []}.items():
-        made = sub.add_parser(name)
+    commands = {"index": ["root"], "search": ["text"], "symbols": ["text"], "callers": ["symbol"], "impact": ["symbol"], "history": ["path"], "context": ["path"], "where": ["path"], "map": [], "arch-map": [], "stats": [], "reset": [], "proxy": ["program"], "gain": [], "rewrite": ["program"], "scip": ["path"]}
+    made = {name: sub.add_parser(name) for name in commands}
+    for name, args in commands.items():
         for arg in args:
-            made.add_argument(arg)
+            made[name].add_argument(arg)
+    for name in ("callers", "impact"):
+        made[name].add_argument("--min-confidence", type=float, default=0.7)
+        made[name].add_argument("--kinds", nargs="*", default=None, help="calls, types, inherits; all by default")
+    for name, most in (("search", 10), ("symbols", 10), ("callers", 20), ("history", 30), ("map", 15)):
+        made[name].add_argument("--limit", type=int, default=most)
+    made["callers"].add_argument("--include-tests", action="store_true")
+    made["impact"].add_argument("--depth", type=int, default=3)
+    made["impact"].add_argument("--rows", action="store_true", help="the callers themselves instead of the risk")
+    made["history"].add_argument("--symbol")
+    made["proxy"].add_argument("--exit-code", type=int, default=0)
+    for flag in ("--full", "--index-generated"):
+        made["index"].add_argument(flag, action="store_true")
+    made["index"].add_argument("--since")
     given = parser.parse_args(argv)
     index = Index(build(), given.index)
-    run = {"index": lambda: index.build(given.root), "search": lambda: index.search(given.text), "symbols": lambda: index.get_symbols(given.text), "callers": lambda: index.callers(given.symbol), "impact": lambda: index.risk(given.symbol), "history": lambda: index.history(given.path), "where": lambda: index.where(given.path), "map": index.map, "arch-map": index.arch_map, "stats": index.stats}[given.command]()
+    kinds = lambda: next(k for k, v in G.KINDS.items() if v == G.kind_filter(given.kinds))
+    run = {
+        "index": lambda: index.build(given.root, index_generated=given.index_generated, full=given.full, since=given.since),
+        "search": lambda: index.search(given.text, given.limit),
+        "symbols": lambda: index.get_symbols(given.text, given.limit),
+        "callers": lambda: index.callers(given.symbol, given.limit, given.min_confidence, given.include_tests, kinds()),
+        "impact": lambda: (index.impact if given.rows else index.risk)(given.symbol, given.depth, given.min_confidence, kinds()),
+        "history": lambda: index.history(given.path, given.symbol, given.limit),
+        "context": lambda: index.context(given.path),
+        "where": lambda: index.where(given.path),
+        "map": lambda: index.map(given.limit),
+        "arch-map": index.arch_map,
+        "stats": index.stats,
+        "reset": index.reset,
+        "proxy": lambda: index.proxy(given.program, sys.stdin.read(), exit_code=given.exit_code),
+        "gain": index.gain,
+        "rewrite": lambda: index.rewrite(given.program),
+        "scip": lambda: index.ingest_scip(given.path),
+    }[given.command]()
     if isinstance(run, dict):
         print(json.dumps(run))
-    else:
+    elif isinstance(run, str):
+        print(run)
+    elif run is not None:
         for line in run.toJSON().toLocalIterator():
             print(line)
 

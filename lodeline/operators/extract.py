@@ -1,8 +1,8 @@
 """Symbols, references, chunks and complexity from source text.
 
-Python is parsed exactly with the standard library; other languages are read by
-patterns over text without comments and strings, behind the same interface, so a
-grammar-based parser can be put in their place (``PARSERS``). Files are independent:
+Python is parsed exactly with the standard library; other languages are read from
+tokens (``languages``) behind the same interface, so a grammar-based parser can be
+put in their place (``PARSERS``). Files are independent:
 one Arrow pass, no shuffle; what doesn't parse gives a single module chunk.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.operators.languages import READERS, read
+
 #: Lines of a chunk: aimed at, and at most.
 TARGET, MOST = 40, 100
 BIG_FILE, ENTRY_HEAD = 1 << 20, 8192
@@ -141,81 +143,28 @@ def parse_python(text: str) -> Found:
     return visitor.found
 
 
-# How definitions, imports and bases look, by language. Groups: name, and owner where there is one.
-_DEFINITIONS = {
-    "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("interface", r"\btrait\s+(\w+)"), ("const", r"\bconst\s+(\w+)\s*:")],
-    "go": [("method", r"^func\s+\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s+(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
-    "typescript": [("function", r"\bfunction\s+(\w+)"), ("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("type", r"\btype\s+(\w+)\s*="), ("enum", r"\benum\s+(\w+)"), ("const", r"\bconst\s+(\w+)\s*=")],
-    "java": [("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("method", r"^\s+(?:public|private|protected|static|final|\s)+[\w<>\[\]]+\s+(\w+)\s*\([^;]*$")],
-    "c": [("struct", r"\bstruct\s+(\w+)\s*\{"), ("function", r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{]*\)\s*\{")],
-    "cpp": [("class", r"\bclass\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)\s*\{"), ("method", r"^[A-Za-z_][\w\s*&<>]*?\b(?P<owner>\w+)::(\w+)\s*\("), ("function", r"^[A-Za-z_][\w\s*&<>]*?\b(\w+)\s*\([^;{]*\)\s*\{")],
-    "bash": [("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")],
-}
-_DEFINITIONS |= {"tsx": _DEFINITIONS["typescript"], "javascript": _DEFINITIONS["typescript"]}
-_IMPORTS = {
-    "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "go": r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"$", "java": r"^import\s+(?:static\s+)?([\w.]+)", "c": r"^\s*#include\s+\"([^\"]+)\"",
-    "typescript": r"from\s+['\"]([^'\"]+)['\"]",
-}
-_IMPORTS |= {"tsx": _IMPORTS["typescript"], "javascript": _IMPORTS["typescript"], "cpp": _IMPORTS["c"]}
-_KEYWORDS = frozenset("if for while switch return sizeof catch match fn func function else do new class struct enum interface typeof await in of assert echo cd exit export local set test read printf".split())
-_CALL = re.compile(r"(?:([\w.]+|\w+(?:::\w+)*)(\.|::|->))?(\w+)\s*\(")
-_NEW = re.compile(r"\bnew\s+(\w+)")
 _BRANCH = re.compile(r"\b(?:if|for|while|case|catch|match|elif)\b|&&|\|\||\?\s")
 _NOISE = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|//[^\n]*|/\*.*?\*/", re.S)
 _HASH_NOISE = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'[^'\n]*'|(?:^|(?<=\s))#[^\n]*")
+_MAIN = re.compile(r"^\s*(?:pub\s+)?(?:async\s+)?(?:fn|func)\s+main\s*\(|\bstatic\s+(?:public\s+)?void\s+main\s*\(|^int\s+main\s*\(", re.M)
 
 
 def _blank(match: re.Match) -> str:
     return re.sub(r"[^\n]", " ", match[0])
 
 
-def parse_by_patterns(language: str) -> Callable[[str], Found]:
-    rules = [(kind, re.compile(p, re.M)) for kind, p in _DEFINITIONS[language]]
-    imports = re.compile(_IMPORTS[language], re.M) if language in _IMPORTS else None
-
+def parse_by_tokens(language: str) -> Callable[[str], Found]:
     def run(text: str) -> Found:
-        found, plain = Found(), (_HASH_NOISE if language == "bash" else _NOISE).sub(_blank, text)
-        line_of = lambda at: text.count("\n", 0, at)
-        taken: set[int] = set()
-        for kind, rule in rules:
-            for m in rule.finditer(plain):
-                name = m.groups()[-1]
-                if m.end() not in taken and name not in _KEYWORDS:
-                    taken.add(m.end())
-                    start = line_of(m.start(m.lastindex))
-                    found.symbols.append((name, kind, start, _end(plain, m.end(), start), m.groupdict().get("owner")))
-        found.symbols.sort(key=lambda s: (s[2], s[0]))
-        defined = {(s[2], s[0]) for s in found.symbols}
-        inside = lambda n: next((s[0] for s in found.symbols if s[1] in ("function", "method") and s[2] <= n <= s[3]), None)
-        for m in _CALL.finditer(plain):
-            n = line_of(m.start(3))
-            if m[3] not in _KEYWORDS and (n, m[3]) not in defined:
-                found.refs.append((n, inside(n), m[3], m[1], None, "call"))
-        found.refs += [(line_of(m.start()), inside(line_of(m.start())), m[1], None, None, "type_ref") for m in _NEW.finditer(plain)]
-        if imports:
-            found.refs += [(line_of(m.start(1)), None, m[1], None, None, "import") for m in imports.finditer(text)]
-        found.complexity += len(_BRANCH.findall(plain))
-        found.is_entry = bool(re.search(r"^\s*(?:pub\s+)?(?:async\s+)?(?:fn|func)\s+main\s*\(|\bstatic\s+(?:public\s+)?void\s+main\s*\(|^int\s+main\s*\(", plain[:ENTRY_HEAD], re.M))
-        return found
+        symbols, refs = read(language, text)
+        plain = (_HASH_NOISE if language == "bash" else _NOISE).sub(_blank, text)
+        symbols.sort(key=lambda s: (s[2], s[0]))
+        return Found(symbols, refs, 1 + len(_BRANCH.findall(plain)), bool(_MAIN.search(plain[:ENTRY_HEAD])))
 
     return run
 
 
-def _end(text: str, at: int, line: int) -> int:
-    """The line of the brace that closes the first one after ``at`` (the same line if there is none)."""
-    start = text.find("{", at, at + 400)
-    if start < 0 or "\n\n" in text[at:start]:
-        return line
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, start):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return text.count("\n", 0, m.start())
-    return text.count("\n")
-
-
 #: Language -> parser. Replace an entry to plug in another one.
-PARSERS: dict[str, Callable[[str], Found]] = {"python": parse_python} | {lang: parse_by_patterns(lang) for lang in _DEFINITIONS}
+PARSERS: dict[str, Callable[[str], Found]] = {"python": parse_python} | {lang: parse_by_tokens(lang) for lang in (*READERS, "bash")}
 
 
 def parse(language: str | None, text: str | None) -> Found:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.tables import cut
-from lodeline.functions.paths import is_doc, is_test_candidate
+from lodeline.functions.paths import is_doc, is_test_candidate, normalize
 
 # Names of the runtime that must not resolve to a user's type.
 TS_BUILTINS = "Set Map WeakSet WeakMap Promise Error Date RegExp Array Object Number String Boolean Symbol Function BigInt ArrayBuffer Iterator AsyncIterator".split()
@@ -254,6 +254,24 @@ def java_candidates(name: Column) -> Column:
     return F.array(F.concat(F.translate(name, ".", "/"), F.lit(".java")))
 
 
+def module_candidates(family: Column, module: Column, directory: Column) -> Column:
+    """Paths that an imported module may mean in its language, in order; empty where a language imports no names."""
+    here = F.regexp_replace(directory, "/$", "")
+    up = lambda n: F.array_join(F.slice(F.split(here, "/"), F.lit(1), F.greatest(F.size(F.split(here, "/")) - n, F.lit(0))), "/")
+    joined = lambda a, b: F.regexp_replace(F.concat_ws("/", F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))), "/+", "/")
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    tail = F.translate(F.regexp_replace(module, r"^\.+", ""), ".", "/")
+    python = python_candidates(F.when(dots > 0, joined(up(dots - 1), tail)).otherwise(tail))
+    ts = ts_candidates(normalize(F.when(module.startswith("."), F.concat(directory, module)).otherwise(F.regexp_replace(module, "^[@~]/", ""))))
+    above = F.size(F.split(module, "super::", -1)) - 1
+    inner = F.regexp_replace(module, r"^(crate|self|(super::)*super)(::|$)", "")
+    root = F.regexp_extract(directory, r"^(.*?src/)", 1)
+    path = F.translate(F.regexp_replace(inner, "::", "/"), ":", "/")
+    local = F.when(module.startswith("crate"), F.concat(root, path)).when(module.startswith("super"), joined(up(above - 1), path)).when(module.startswith("self"), joined(here, path)).otherwise(path)
+    rust = rust_candidates(F.regexp_replace(local, "/", "::"))
+    return F.when(family == "python", python).when(family == "ts", ts).when(family == "rust", rust).when(family == "java", java_candidates(module)).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_modules(wanted: DataFrame, files: DataFrame, candidates: Column, by_suffix: bool = True) -> DataFrame:
     """id, target_file_id: exact candidates first, then a suffix that only one path has."""
     exact = probe(wanted, files, candidates)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.paths import is_test_fulltext, is_test_fusion
+from lodeline.tables import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TEST_FACTOR, IMPORT_FACTOR, CENTRALITY_FACTOR = 0.5, 0.3, 2.0
@@ -27,19 +28,42 @@ def parse_query(text: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", text.lower()) if t]
 
 
-def bm25(chunks: DataFrame, text: str) -> DataFrame:
+def bm25(chunks: DataFrame, text: str, postings: DataFrame | None = None) -> DataFrame:
     """id, score (higher is better) of the chunks with all terms, over content and scope together.
 
-    Every statistic is a sum over one scan of token arrays; no postings are
-    shuffled, as a query has few terms.
+    With ``postings`` only the query's terms are read; without, every statistic is a
+    sum over one scan of token arrays.
     """
     terms = parse_query(text)
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
     body = tokens(F.concat_ws(" ", "content", "scope"))
+    if postings is not None:
+        counted, totals = _from_postings(postings, terms)
+        return _scored(counted, totals, terms)
     count = lambda i: F.size(F.filter("t", (lambda x: x.startswith(terms[i])) if i == len(terms) - 1 else (lambda x: x == terms[i])))
     counted = chunks.select("id", body.alias("t")).select("id", F.size("t").alias("dl"), *(count(i).alias(f"tf{i}") for i in range(len(terms))))
+    counted = cut(counted, "counts")  # texts are taken apart once; what is read twice is a few numbers a chunk
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    return _scored(counted, totals, terms)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, id, tf, dl of every term and chunk, and a row of term '' for each chunk; sorted by term, so that a query's filters skip the rest."""
+    taken = chunks.select("id", tokens(F.concat_ws(" ", "content", "scope")).alias("t")).select("id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    counted = taken.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return counted.select("term", "id", "tf", "dl").repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
+def _from_postings(postings: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    fits = [F.col("term") == t for t in terms[:-1]] + [(F.col("term") >= terms[-1]) & F.col("term").startswith(terms[-1])]
+    own = postings.where(reduce(lambda a, b: a | b, fits))
+    counted = own.groupBy("id").agg(F.max("dl").alias("dl"), *(F.coalesce(F.sum(F.when(fit, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, fit in enumerate(fits)))
+    sizes = postings.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return counted, counted.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).join(F.broadcast(sizes))  # one row each
+
+
+def _scored(counted: DataFrame, totals: DataFrame, terms: list[str]) -> DataFrame:
     hit = reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
 
     def part(i: int) -> Column:
@@ -51,9 +75,9 @@ def bm25(chunks: DataFrame, text: str) -> DataFrame:
     return counted.where(hit).join(F.broadcast(totals)).select("id", score.alias("score"))  # totals: one row
 
 
-def fulltext(chunks: DataFrame, text: str, limit: int) -> DataFrame:
+def fulltext(chunks: DataFrame, text: str, limit: int, postings: DataFrame | None = None) -> DataFrame:
     """id, score, rank: BM25 with penalties for tests and imports and a boost by centrality."""
-    scored = bm25(chunks, text).join(chunks.select("id", "path", "kind", "centrality"), "id")
+    scored = bm25(chunks, text, postings).join(chunks.select("id", "path", "kind", "centrality"), "id")
     factor = F.when(is_test_fulltext(F.col("path")), TEST_FACTOR).otherwise(1.0) * F.when(F.col("kind") == "import", IMPORT_FACTOR).otherwise(1.0)
     boosted = F.round(F.col("score") * factor * (1 + CENTRALITY_FACTOR * F.coalesce("centrality", F.lit(0.0))), 9)
     return ranked(scored.select("id", boosted.alias("score")), limit)

@@ -1,6 +1,7 @@
 """A small tree, indexed and asked."""
 
 import subprocess
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ TREE = {
     "web/handlers/draw.ts": "export function draw() {\n  return new Set()\n}\n",
     "gen/made.py": "# DO NOT EDIT\ndef made():\n    run()\n",
     "node_modules/x/skip.py": "def skipped(): pass\n",
+    "rs/src/main.rs": "use crate::store::Store;\nfn main() { let s = Store::new(); s.put(1); }\n",
+    "rs/src/store/mod.rs": "pub struct Store { n: u32 }\nimpl Store { pub fn put(&self, n: u32) {} }\n",
+    "jv/a/Use.java": "package jv.a;\nimport jv.b.Help;\npublic class Use { void go(Help h) { h.give(); } }\n",
+    "jv/b/Help.java": "package jv.b;\npublic class Help { void give() {} }\n",
     "srv/main.go": "package main\n\nfunc main() {\n\tserve()\n}\n\nfunc serve() {}\n",
 }
 
@@ -36,6 +41,7 @@ def index(spark, tmp_path_factory):
     made = Index(spark, str(tmp_path_factory.mktemp("index")))
     stats = made.build(str(root))
     assert stats["files"] == len(TREE) - 1 and stats["commits"] == 2
+    made.roots = [str(root)]
     return made
 
 
@@ -80,13 +86,41 @@ def test_chunks_cover_definitions(index):
     assert len(chunks) == 1 and chunks[0].kind == "function" and chunks[0].token_count > 5
 
 
-def test_patterns_by_language():
-    go = X.parse("go", "package p\n\ntype T struct{}\n\nfunc (t *T) Run(x int) {\n\tif x > 1 && x < 3 {\n\t\tt.stop()\n\t}\n}\n")
-    assert {(s[0], s[1], s[4]) for s in go.symbols} == {("T", "struct", None), ("Run", "method", "T")}
-    assert [r[2] for r in go.refs] == ["stop"] and go.complexity == 3
-    rust = X.parse("rust", "use std::io;\npub fn a() { b::c(\"if x\"); }\n")
-    assert ("c", "b") in {(r[2], r[3]) for r in rust.refs} and rust.complexity == 1
-    assert X.parse("python", "def (:").symbols == []
+def test_context_and_history_of_a_symbol(index):
+    rows = {(r.section, r.item): r.value for r in index.context("app/core.py").collect()}
+    assert rows["callers", "function run"] == "1 sure, 0 possible, in 1 files" or rows["callers", "function run"].startswith("2 sure")
+    assert ("needs", "helper") in rows and rows["place", "app/core.py"].split()[0] and ("hotspot", "app/core.py") in rows
+    assert index.context("no/such/file").count() == 0
+    named = index.history("core.py", "helper").first()
+    assert (named.symbol, named.symbol_kind, named.line) == ("helper", "function", 9)
+
+
+def test_imports_bind_in_other_languages(index):
+    files = {r.id: r.path for r in index.table("files").collect()}
+    bound = {(files[r.source_file_id], r.target_name): files.get(r.target_file_id) for r in index.table("refs").where("kind = 'import_binding'").collect()}
+    assert bound["web/handlers/page.ts", "draw"] == "web/handlers/draw.ts" and bound["app/main.py", "Circle"] == "app/shapes.py"
+    assert bound["rs/src/main.rs", "Store"] == "rs/src/store/mod.rs" and bound["jv/a/Use.java", "Help"] == "jv/b/Help.java"
+
+
+def test_second_build_reads_changed_files_only(spark, index, monkeypatch):
+    root = next(iter(index.roots))
+    (Path(root) / "app/more.py").write_text("def added():\n    return 1\n")
+    (Path(root) / "gen/made.py").unlink()
+    seen = []
+    real = X.extract
+    monkeypatch.setattr(X, "extract", lambda files, generated=False: seen.append(sorted(r.path for r in files.select("path").collect())) or real(files, generated))
+    stats = index.build(root)
+    assert seen == [["app/more.py"]] and stats["files"] == len(TREE) - 1
+    assert index.get_symbols("added").first().path == "app/more.py" and index.get_symbols("made").count() == 0
+    assert [r.file_path for r in index.callers("run").collect()] == ["app/main.py"]
+
+
+def test_savings(index):
+    text = "\n".join(["On branch main", "Changes not staged for commit:", *(f"\tmodified:   src/file{i}.py" for i in range(40))])
+    shown = index.proxy("git status", text)
+    assert 0 < len(shown) <= len(text)
+    assert {r.section for r in index.gain().collect()} == {"total", "day", "command"}
+    assert index.rewrite("git status") == "lodeline proxy git status" and index.rewrite("cd /tmp") is None
 
 
 def test_big_files_are_parsed_whole():
