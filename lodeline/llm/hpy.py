@@ -54,7 +54,7 @@ SWEEPS, SAMPLES, ROUNDS = 3, 3, 2
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
 #: Frequent dishes that are summed together.
-BLOCK = 256
+BLOCK = 32
 #: Tokens that a share of the dishes aims at, and most partitions that contexts are dealt to.
 SHARE_TOKENS, CONTEXT_PARTS = 1 << 22, 1 << 12
 #: Tokens and documents that a task packs together, and packs for each shuffle partition.
