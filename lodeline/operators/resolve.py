@@ -50,6 +50,7 @@ def same_file_first() -> Column:
 
 
 def production(placed: DataFrame) -> Column:
+    """Neither a test nor documentation."""
     return ~is_test_candidate(F.col("path")) & ~is_doc(F.col("path"))
 
 
@@ -59,23 +60,19 @@ def _symbol() -> Column:
 
 
 
-def _owned(symbols: DataFrame, file: str, name: str) -> DataFrame:
-    """The first symbol of each name in each file."""
-    return symbols.groupBy(F.col("file_id").alias(file), F.col("name").alias(name)).agg(F.min(_symbol()).alias("s"))
-
-
 def _bound(bindings: DataFrame, name: str) -> DataFrame:
     """The file that a name is bound to in a file: the smallest, where several bindings disagree."""
     return bindings.where("target_file_id is not null").groupBy("source_file_id", F.col("target_name").alias(name)).agg(F.min("target_file_id").alias("owner"))
 
 
-def _two_first(symbols: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Per key the number of files and the first symbols of its two first files."""
-    per_file = symbols.groupBy(*keys, "file_id").agg(F.min("id").alias("id"))
-    ranked = per_file.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id", "file_id"))).where("k <= 2")
-    count = per_file.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_files"))
-    at = lambda k: F.max(F.when(F.col("k") == k, _symbol())).alias(f"{prefix}_{k}")
-    return ranked.groupBy(*keys).agg(at(1), at(2)).join(count, keys)
+def _neighbours(placed: DataFrame) -> DataFrame:
+    """Per directory, family and name: the number of files, the first symbols of its two first files, and of its two first production files."""
+    keys = ["source_dir", "family", "target_name"]
+    per_file = placed.groupBy(F.col("dir").alias("source_dir"), "family", F.col("name").alias("target_name"), "file_id").agg(F.min("id").alias("id"), F.first("prod").alias("prod"))
+    within = Window.partitionBy(*keys)
+    ranked = per_file.select("*", F.row_number().over(within.orderBy("id", "file_id")).alias("k"), F.row_number().over(within.orderBy(F.desc("prod"), "id", "file_id")).alias("p"))
+    at = lambda when, name: F.max(F.when(when, _symbol())).alias(name)
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("dir_files"), at(F.col("k") == 1, "dir_1"), at(F.col("k") == 2, "dir_2"), at(F.col("prod") & (F.col("p") == 1), "near_1"), at(F.col("prod") & (F.col("p") == 2), "near_2"))
 
 
 class Ladder:
@@ -86,12 +83,18 @@ class Ladder:
     """
 
     def __init__(self, refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None):
-        self.refs, self.symbols, self.bindings, self.mro = refs, symbols, bindings, mro
-        self.placed = symbols.join(files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
+        self.refs, self.bindings, self.mro = refs, bindings, mro
+        # Written once: every rung derives its table from these two.
+        placed = symbols.join(files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
+        self.placed = cut(placed.withColumn("prod", production(placed)), "placed")
+        self.owned = cut(symbols.groupBy("file_id", "name").agg(F.min(_symbol()).alias("s")), "owned")
         source = files.select(F.col("id").alias("source_file_id"), F.col("dir").alias("source_dir"), F.col("lang_family").alias("family"), F.lit(True).alias("placed"))
         known = refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
-        own = _owned(symbols, "source_file_id", "target_name").withColumnRenamed("s", "own")
-        self.frame = known.join(own, ["source_file_id", "target_name"], "left")
+        self.frame = known.join(self._owned("source_file_id").withColumnRenamed("s", "own"), ["source_file_id", "target_name"], "left")
+
+    def _owned(self, file: str) -> DataFrame:
+        """The first symbol of each name in each file."""
+        return self.owned.select(F.col("file_id").alias(file), F.col("name").alias("target_name"), "s")
 
     def _propose(self, tier: str, when: Column, what: Column, *scratch: str) -> None:
         self.frame = self.frame.withColumn(tier, F.when(F.col("open") & when, what)).drop(*scratch)
@@ -108,7 +111,7 @@ class Ladder:
     def l0c(self) -> None:
         """The receiver's type is imported, and its file has the name."""
         self._left(_bound(self.bindings, "receiver_type"), "source_file_id", "receiver_type")
-        self._left(_owned(self.symbols, "owner", "target_name"), "owner", "target_name")
+        self._left(self._owned("owner"), "owner", "target_name")
         self._propose("l0c", same_file_first(), F.col("s"), "owner", "s")
 
     def l0d(self) -> None:
@@ -117,7 +120,7 @@ class Ladder:
         # References without a receiver are dealt by their ids, so that null isn't a hot key.
         self.frame = self.frame.withColumn("typed", F.coalesce("receiver_type", F.concat(F.lit("\0"), F.col("id").cast("string"))))
         self._left(types.drop("last"), "typed", "family")
-        self._left(_owned(self.symbols, "owner", "target_name"), "owner", "target_name")
+        self._left(self._owned("owner"), "owner", "target_name")
         self._propose("l0d", same_file_first(), F.col("s"), "typed", "owner", "s")
 
     def l0e(self) -> None:
@@ -132,7 +135,7 @@ class Ladder:
     def l0b(self) -> None:
         """A bare name that an import binds; the symbol may be unknown."""
         self._left(_bound(self.bindings, "target_name"), "source_file_id", "target_name")
-        self._left(_owned(self.symbols, "owner", "target_name"), "owner", "target_name")
+        self._left(self._owned("owner"), "owner", "target_name")
         self._propose("l0b", F.col("target_qualifier").isNull() & F.col("owner").isNotNull(), F.struct(F.col("s.id").alias("id"), F.col("owner").alias("file_id")), "owner", "s")
 
     def l1(self) -> None:
@@ -142,12 +145,12 @@ class Ladder:
 
     def l2(self) -> None:
         """One other file of the directory has the name."""
-        self._left(_two_first(self.placed.select(F.col("dir").alias("source_dir"), "family", F.col("name").alias("target_name"), "id", "file_id"), ["source_dir", "family", "target_name"], "dir"), "source_dir", "family", "target_name")
+        self._by_directory()
         bare = F.col("target_qualifier").isNull()
         fits = F.col("receiver_type").isNull() & guarded() & (bare | (F.col("family") != "rust")) & (bare | F.col("own").isNull())
         # The source's own file may be one of two; with three, more than one other is left.
         one = (F.col("dir_files") == 1) & (F.col("dir_1.file_id") != F.col("source_file_id")) | (F.col("dir_files") == 2) & F.col("source_file_id").isin(F.col("dir_1.file_id"), F.col("dir_2.file_id"))
-        self._propose("l2", fits & one, F.when(F.col("dir_1.file_id") != F.col("source_file_id"), F.col("dir_1")).otherwise(F.col("dir_2")), "dir_1", "dir_2", "dir_files")
+        self._propose("l2", fits & one, F.when(F.col("dir_1.file_id") != F.col("source_file_id"), F.col("dir_1")).otherwise(F.col("dir_2")))
 
     def l3(self) -> None:
         """The qualifier is an imported path's last part, and a directory or file of that name has the symbol once."""
@@ -160,17 +163,22 @@ class Ladder:
         self._left(groups, "target_name", "family", "target_qualifier")
         self._propose("l3", F.col("imported").isNotNull() & (F.col("a") == F.col("b")), F.col("s"), "imported", "a", "b", "s")
 
+    def _by_directory(self) -> None:
+        """Candidates of the directory, for the two tiers that look at them."""
+        if "dir_files" not in self.frame.columns:
+            self._left(_neighbours(self.placed), "source_dir", "family", "target_name")
+
     def _by_name(self) -> None:
         """Production candidates of the family, for the two tiers that look at them."""
-        if "prod" not in self.frame.columns:
+        if "only" not in self.frame.columns:
             member = F.bool_or(F.col("scope").isNotNull() | (F.col("kind") == "method")).alias("member")
-            groups = self.placed.where(production(self.placed)).groupBy(F.col("name").alias("target_name"), "family").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("prod"), member)
-            self._left(groups.select("target_name", "family", "prod", "member", (F.col("a") == F.col("b")).alias("only")), "target_name", "family")
+            groups = self.placed.where("prod").groupBy(F.col("name").alias("target_name"), "family").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("first"), member)
+            self._left(groups.select("target_name", "family", "first", "member", (F.col("a") == F.col("b")).alias("only")), "target_name", "family")
 
     def l4(self) -> None:
         """One production file of the family has the name; on a receiver it must be a member."""
         self._by_name()
-        self._propose("l4", F.col("receiver_type").isNull() & guarded() & F.col("only") & (F.col("target_qualifier").isNull() | F.col("member")), F.col("prod"))
+        self._propose("l4", F.col("receiver_type").isNull() & guarded() & F.col("only") & (F.col("target_qualifier").isNull() | F.col("member")), F.col("first"))
 
     def l4a(self) -> None:
         """Any reference to a name of the same file."""
@@ -178,14 +186,13 @@ class Ladder:
 
     def l4b(self) -> None:
         """Any production candidate elsewhere in the directory."""
-        prod = self.placed.where(production(self.placed)).select(F.col("dir").alias("source_dir"), "family", F.col("name").alias("target_name"), "id", "file_id")
-        self._left(_two_first(prod, ["source_dir", "family", "target_name"], "near"), "source_dir", "family", "target_name")
-        self._propose("l4b", guarded(), F.when(F.col("near_1.file_id") != F.col("source_file_id"), F.col("near_1")).otherwise(F.col("near_2")), "near_1", "near_2", "near_files")
+        self._by_directory()
+        self._propose("l4b", guarded(), F.when(F.col("near_1.file_id") != F.col("source_file_id"), F.col("near_1")).otherwise(F.col("near_2")))
 
     def l5(self) -> None:
         """Any production candidate of the family."""
         self._by_name()
-        self._propose("l5", guarded(), F.col("prod"))
+        self._propose("l5", guarded(), F.col("first"))
 
     def climb(self, *names: str) -> DataFrame:
         for name in names or TIERS:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeline.catalog import query
 from lodeline.operators import graph as G
+from lodeline.tables import cut
 from lodeline.views import sql, view
 
 _EDGES = "edges AS (SELECT source_file_id AS src, target_file_id AS dst, round(sum(confidence), 6) AS weight FROM refs WHERE target_file_id IS NOT NULL AND source_file_id <> target_file_id AND confidence >= 0.5 GROUP BY 1, 2)"
@@ -127,7 +128,8 @@ _BARE = "uncovered AS (SELECT DISTINCT file_path, symbol FROM impact WHERE NOT e
 
 
 def _impact(spark, d):
-    return G.impact(view(spark, d, "refs"), view(spark, d, "files"), SYMBOL, 2)
+    # As in an index, the search reads stored references.
+    return G.impact(cut(view(spark, d, "refs"), "refs"), view(spark, d, "files"), SYMBOL, 2)
 
 
 @query("impact_rows", sql(f"WITH {_IMPACT} SELECT * FROM impact", "refs", "files"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeline.catalog import query
 from lodeline.operators import resolve as R
+from lodeline.tables import cut
 from lodeline.views import sql, view
 
 _TS = ", ".join(f"'{n}'" for n in R.TS_BUILTINS)
@@ -70,7 +71,8 @@ _BEST = f"{_BASE}, every AS ({_ALL}), best AS (SELECT * FROM (SELECT *, row_numb
 
 
 def _resolved(spark, d):
-    refs, files, symbols, bindings = _tables(spark, d)
+    # As in an index, resolution reads stored tables.
+    refs, files, symbols, bindings = (cut(t, "resolve") for t in _tables(spark, d))
     return R.cascade(refs, files, symbols, bindings)
 
 
