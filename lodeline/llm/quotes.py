@@ -13,7 +13,7 @@ conv_id, turn gives the replies in order.
 How it scales. Originals are reduced to one row per passage (and per
 conversation and passage) with partial aggregation, and written before the join,
 so a passage that everyone quotes can be split on the quoting side. Pointer
-doubling runs over linked messages only, in as many rounds as the logarithm of
+doubling runs over messages whose root isn't known yet, in as many rounds as the logarithm of
 the longest chain. No window, no per-conversation task.
 
 Edge cases: a null or empty text has no passages and stays as it is, a text of
@@ -28,6 +28,7 @@ an output column replaced.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -133,19 +134,25 @@ def link(parsed: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -
 
 
 def thread(replies: DataFrame) -> DataFrame:
-    """``replies`` with root_conv, root_turn and depth, by pointer doubling."""
-    spark = replies.sparkSession
-    now, old = replies.select("*", F.col("parent_conv").alias("root_conv"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), []
+    """``replies`` with root_conv, root_turn and depth, by pointer doubling.
+
+    A row leaves the rounds as soon as its root replies to nothing, so a few long
+    threads cost further rounds of a few rows only.
+    """
+    columns = ("conv", "turn_no", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", "final")
+    known = replies.select(F.col("conv").alias("root_conv"), F.col("turn_no").alias("root_turn"), F.lit(True).alias("linked"))
+    first = replies.select("*", F.col("parent_conv").alias("root_conv"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")).join(known, ["root_conv", "root_turn"], "left")
+    now = table(first.withColumn("final", F.col("linked").isNull()).select(*columns), "threads")
+    done = []
     while True:
-        up = now.select(F.col("conv").alias("root_conv"), F.col("turn_no").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("depth").alias("up_depth"))
-        joined = now.join(up, ["root_conv", "root_turn"], "left")
-        path = new_dir(spark, "threads")
-        step = table(joined.select("conv", "turn_no", "parent_conv", "parent_turn", F.coalesce("up_conv", "root_conv").alias("root_conv"), F.coalesce("up_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), F.col("up_conv").isNotNull().alias("moved")), "", path)
-        moved = step.where("moved").limit(1).count()
-        drop(spark, *old)
-        now, old = step.drop("moved"), [path]
-        if not moved:
-            return now
+        done.append(now.where("final"))
+        left = now.where("not final")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done).drop("final")
+        every = reduce(DataFrame.unionByName, [*done, left])
+        up = every.select(F.col("conv").alias("root_conv"), F.col("turn_no").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("depth").alias("up_depth"), F.col("final").alias("up_final"))
+        moved = left.drop("final").join(up, ["root_conv", "root_turn"])
+        now = table(moved.select("conv", "turn_no", "parent_conv", "parent_turn", F.col("up_conv").alias("root_conv"), F.col("up_turn").alias("root_turn"), (F.col("depth") + F.col("up_depth")).alias("depth"), F.col("up_final").alias("final")), "threads")
 
 
 def replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
