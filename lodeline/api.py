@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.functions.scalars import short_number, truncate_command
+from lodeline.functions.scalars import hotspot_hint, short_number, snippet, truncate_command
 from lodeline.operators import architecture as A
 from lodeline.operators import context as C
 from lodeline.operators import evalkit as E
@@ -120,7 +120,9 @@ class Index:
         lists = {"fulltext": S.fulltext(described, text, 3 * limit, self.table("postings")), "symbol": S.symbols(names.select(F.col("chunk_id").alias("id"), "name"), text, 3 * limit)}
         if vectors is not None and query_vector is not None:
             lists["semantic"] = S.knn(vectors, query_vector, 3 * limit)
-        return S.fuse(lists, described, limit).join(described.select("id", "path", "start_line", "end_line", "kind", "scope"), "id").orderBy(F.desc("score"), "id")
+        terms = S.parse_query(text)
+        shown = snippet(F.col("content"), terms).alias("snippet") if terms else F.lit(None).cast("string").alias("snippet")
+        return S.fuse(lists, described, limit).join(described.select("id", "path", "start_line", "end_line", "kind", "scope", shown), "id").orderBy(F.desc("score"), "id")
 
     def _described_chunks(self) -> DataFrame:
         facts = self.table("arch_facts").select(F.col("id").alias("file_id"), "centrality")
@@ -215,7 +217,9 @@ class Index:
         paths = self.table("files").select(F.col("id").alias("file_id"), "path")
         hot = H.hotspots(self.table("file_metrics"), limit).join(paths, "file_id").select(F.lit("hotspot").alias("section"), F.col("path").alias("item"), F.col("hotspot_score").alias("score"))
         near = H.top(self.table("change_coupling"), limit, F.desc("score"), "file_a", "file_b").select(F.lit("coupling").alias("section"), F.concat_ws(" ", "file_a", "file_b").alias("item"), "score")
-        return hot.unionByName(near)
+        counts = self.table("file_metrics").agg(F.count_if(F.col("hotspot_score") > 0).alias("hot")).join(F.broadcast(self.table("commits").agg(F.count(F.lit(1)).alias("n"))))  # one row each
+        hint = counts.select(F.lit("hint").alias("section"), hotspot_hint(F.col("hot"), F.col("n")).alias("item"), F.lit(None).cast("double").alias("score")).where("item is not null")
+        return hot.unionByName(near).unionByName(hint)
 
     def arch_map(self) -> DataFrame:
         return C.arch_map(self.table("arch_facts"))

@@ -41,6 +41,29 @@ def strip_timestamp(line: Column) -> Column:
     return F.regexp_replace(line, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.,]+(Z|[+-][0-9:]+)? *|[A-Z][a-z]{2} [ 0-9][0-9] [0-9:]{8} *)", "")
 
 
+def output_paths(text: Column) -> Column:
+    """The files that the output of a diff or a status names, in order."""
+    line = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^\s*diff --git .*? b/(.+?)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"^\s*(?:modified|new file|deleted):\s*(.+?)\s*$", 1), F.lit("")))
+    return F.array_compact(F.transform(F.split(text, "\r?\n"), line))
+
+
+def snippet(content: Column, terms: list[str], width: int = 64) -> Column:
+    """``width`` words around the first match of a query's terms (the last one as a prefix), matches in >>> and <<<."""
+    word = lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    hit = lambda x: word(x).isin(*terms[:-1]) | word(x).startswith(terms[-1]) if terms[:-1] else word(x).startswith(terms[-1])
+    words = F.filter(F.split(content, r"\s+"), lambda x: x != "")
+    at = F.greatest(F.array_position(F.transform(words, hit), F.lit(True)).cast("int"), F.lit(1))
+    start = F.greatest(at - width // 4, F.lit(1))
+    shown = F.array_join(F.transform(F.slice(words, start, F.lit(width)), lambda x: F.when(hit(x), F.concat(F.lit(">>>"), x, F.lit("<<<"))).otherwise(x)), " ")
+    return F.concat(F.when(start > 1, F.lit("...")).otherwise(""), shown, F.when(start + width <= F.size(words), F.lit("...")).otherwise(""))
+
+
+def hotspot_hint(hotspots: Column, commits: Column, least: int = 10) -> Column:
+    """Why a list of hotspots is empty; null where it isn't."""
+    few = F.format_string(f"too little history: %d commits, {least} are needed", commits)
+    return F.when(hotspots == 0, F.when(commits < least, few).otherwise(F.lit("no file changed in the last 30 days")))
+
+
 def tool_path(body: Column) -> Column:
     """The file that a tool call names, wherever its JSON has it."""
     return F.coalesce(*(F.get_json_object(body, p) for p in ("$.tool_input.file_path", "$.tool_input.path", "$.file_path", "$.path")))

@@ -97,6 +97,12 @@ def diff_context_budget(spark, d):
     return T.diff_context(view(spark, d, "lines").select("id", "pos", F.concat(mark, "line").alias("line")))
 
 
+@query("output_paths", sql("SELECT id, concat(path, '|', path, ' x|', path) AS paths FROM files", "files"))
+def output_paths(spark, d):
+    text = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n+modified\n\tmodified:   "), "path", F.lit(" x\r\n  new file: "), "path", F.lit("\n"))
+    return view(spark, d, "files").select("id", F.array_join(S.output_paths(text), "|").alias("paths"))
+
+
 @query("rewrite_command", "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'lodeline proxy git status' WHEN 1 THEN 'lodeline proxy ls -la && lodeline proxy cargo test; echo x' END AS rewritten FROM events")
 def rewrite_command(spark, d):
     commands = ["git status", " ls -la && cargo test;echo x ", "cd /tmp", "git log $(date)", "lodeline proxy git diff", "echo a && cd b"]

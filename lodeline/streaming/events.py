@@ -40,13 +40,18 @@ def drain(df: DataFrame, sink: str, checkpoint: str) -> DataFrame:
 
 
 def reindex(stream: DataFrame, apply: Callable[[DataFrame, int], None], events: str, checkpoint: str, every: str = "150 milliseconds"):
-    """File changes (path, deleted, ...) in bursts: removals before changes, each path once, then an event row per epoch."""
+    """File changes (path, deleted, at, ...) in bursts: the last one of each path, removals before changes, then an event row per epoch.
+
+    Of a removal and a change at the same time the change counts.
+    """
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        last = rows.dropDuplicates(["path"])
+        newest = F.max_by(F.struct(*rows.columns), F.struct(F.col("at"), ~F.col("deleted"))).alias("r")
+        last = rows.groupBy("path").agg(newest).select("r.*").persist()
         apply(last.where("deleted"), epoch)
         apply(last.where("not deleted"), epoch)
         note = last.agg(F.lit("reindex").alias("event"), F.count(F.lit(1)).alias("files"), F.lit(epoch).alias("epoch"), F.current_timestamp().alias("ts"))
         note.write.mode("append").parquet(events)
+        last.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -99,3 +99,14 @@ def test_scalars(spark):
     assert col(spark, "12345", S.estimate_tokens) == 2
     assert col(spark, "a && git diff", T.rewrite) == "a && lodeline proxy git diff"
     assert col(spark, "git log $(x)", T.rewrite) is None and col(spark, "cd x", T.rewrite) is None
+
+
+def test_snippets_paths_and_hints(spark):
+    from pyspark.sql import functions as F
+
+    from lodeline.functions import scalars as S
+
+    rows = spark.createDataFrame([("a b Run, c running d " + "x " * 80, 0, 3), ("nothing here", 2, 3), ("", 0, 30)], "content string, hot long, commits long")
+    got = rows.select(S.snippet(F.col("content"), ["run"], 8).alias("s"), S.hotspot_hint(F.col("hot"), F.col("commits")).alias("h")).collect()
+    assert got[0].s == "a b >>>Run,<<< c >>>running<<< d x x..." and got[1].s == "nothing here" and got[2].s == ""
+    assert "3 commits" in got[0].h and got[1].h is None and "30 days" in got[2].h
