@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeline.catalog import query
+from lodeline.functions.paths import BORING
 from lodeline.operators import architecture as A
 from lodeline.operators import context as C
 from lodeline.operators import graph as G
@@ -106,7 +107,24 @@ def arch_modules(spark, d):
     return A.modules(_members(spark, d))
 
 
-@query("module_labels")
+def _segment(path: str) -> str:
+    boring = ", ".join(f"'{b}'" for b in BORING)
+    return f"list_filter(string_split(regexp_extract({path}, '^(.*/)', 1), '/'), lambda s: s <> '' AND s NOT IN ({boring}))[1]"
+
+
+_LABELS = f"""WITH {_MEMBERS}, named AS (SELECT *, {_segment('path')} AS segment FROM members),
+spans AS (SELECT module_id, min(path) AS lo, max(path) AS hi, count(*) AS file_count, count(segment) AS known, sum(centrality) FILTER (segment IS NOT NULL) AS mass, max(centrality) FILTER (segment IS NOT NULL) AS peak FROM named GROUP BY 1),
+shared AS (SELECT *, lo[1:coalesce(list_sum([CASE WHEN lo[1:i] = hi[1:i] THEN 1 ELSE 0 END FOR i IN range(1, least(length(lo), length(hi)) + 1)]), 0)] AS common FROM spans),
+segs AS (SELECT module_id, segment, count(*) AS n, sum(centrality) AS m FROM named WHERE segment IS NOT NULL GROUP BY 1, 2),
+heavy AS (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY m DESC, segment) AS by_mass, row_number() OVER (PARTITION BY module_id ORDER BY n DESC, segment) AS by_count FROM segs),
+peaks AS (SELECT module_id, count(*) AS at_peak, min(segment) AS peak_segment FROM named JOIN spans USING (module_id) WHERE segment IS NOT NULL AND centrality = peak GROUP BY 1),
+labelled AS (SELECT s.module_id, file_count, coalesce({_segment('common')}, CASE WHEN known < 8 AND at_peak = 1 AND peak > 0 THEN peak_segment END, CASE WHEN mass > 0 AND a.m * 2 > mass THEN a.segment END, CASE WHEN b.n * 2 > known THEN b.segment END, concat(CASE WHEN known > 0 THEN 'cluster-' ELSE 'unlabelled-' END, s.module_id)) AS label
+    FROM shared s LEFT JOIN heavy a ON a.module_id = s.module_id AND a.by_mass = 1 LEFT JOIN heavy b ON b.module_id = s.module_id AND b.by_count = 1 LEFT JOIN peaks p ON p.module_id = s.module_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY file_count DESC, module_id) AS nth FROM labelled)
+SELECT module_id, file_count, CASE WHEN nth = 1 THEN label ELSE concat(label, '-', module_id) END AS label FROM numbered"""
+
+
+@query("module_labels", sql(_LABELS, "files"))
 def module_labels(spark, d):
     return A.labels(_members(spark, d))
 
