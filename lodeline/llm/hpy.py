@@ -18,8 +18,10 @@ compressed arrays sorted by word, and come back once as probabilities for their
 documents. A sweep reads pair counts only, not tokens. Its customers and tables
 a context are sent to the partition of the context, summed there, and sent back
 to the partitions that have the context, as compressed arrays; the seating lies in
-a table from sweep to sweep. Totals of the frequent dishes are summed in blocks, as arrays;
-the driver gets their sums alone: O(``CONTEXTS``) numbers a sweep. Nothing that grows with the vocabulary is collected
+a table from sweep to sweep. Totals of the frequent dishes go along in these messages, a slice of them to
+each partition of contexts; the driver gets their sums alone: O(``CONTEXTS``) numbers a sweep. A share makes
+a row for each partition of contexts and one more; there is such a partition for ``CONTEXT_TOKENS`` training tokens
+at most, however many shuffle partitions the session has. Nothing that grows with the vocabulary is collected
 or broadcast. Seeds depend on partition and sweep, so a task that runs again
 makes the same draws.
 
@@ -53,10 +55,8 @@ SLACK = 8
 SWEEPS, SAMPLES, ROUNDS = 3, 3, 2
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
-#: Frequent dishes that are summed together.
-BLOCK = 32
-#: Tokens that a share of the dishes aims at, and most partitions that contexts are dealt to.
-SHARE_TOKENS, CONTEXT_PARTS = 1 << 22, 1 << 12
+#: Tokens that a share of the dishes aims at, training tokens that a partition of contexts has at least, and most of these partitions.
+SHARE_TOKENS, CONTEXT_TOKENS, CONTEXT_PARTS = 1 << 22, 1 << 19, 1 << 12
 #: Tokens and documents that a task packs together, and packs for each shuffle partition.
 PACK_TOKENS, PACK_DOCS, SPREAD = 1 << 21, 60_000, 4
 #: Marks the key of a context that is no frequent word.
@@ -252,8 +252,12 @@ def _gather(share: int, batches: list[int], payloads: list[bytes], count: int) -
 _SHARE = pa.schema([("share", pa.int32()), ("batch", pa.int64()), ("pairs", pa.binary()), ("tokens", pa.binary()), ("contexts", pa.binary())])
 
 
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+    return _rows(schema, [values])
 
 
 def _regroup(count: int):
@@ -340,21 +344,21 @@ class Pairs:
         r = self.rare
         return [float(v) for v in (self.total.sum(), (self.total[r] > 0).sum(), customers[r].sum(), shared[r].sum(), (self.served == 1).sum(), (self.served == 2).sum(), (customers[r] == 1).sum(), (customers[r] == 2).sum())]
 
-    def frequent(self, customers: np.ndarray):
-        """Block and payload (index, customers and tokens of frequent dishes), to be summed by index over all shares."""
+    def frequent(self, customers: np.ndarray, size: int, count: int) -> dict[int, bytes]:
+        """Index, customers and tokens of frequent dishes in ``count`` slices of the ``size`` there are, to be summed by index over all shares."""
         at = np.flatnonzero(~self.rare)
         at = at[np.argsort(self.hot[at], kind="stable")]
-        block = self.hot[at] // BLOCK
-        for own in np.split(at, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(at) else ():
-            yield int(self.hot[own[0]]) // BLOCK, _squeeze(self.hot[own].astype("<u2"), customers[own].astype("<u8"), self.total[own].astype("<u8"))
+        part = self.hot[at].astype(np.int64) * count // size
+        slices = np.split(at, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(at) else ()
+        return {int(self.hot[own[0]]) * count // size: _squeeze(self.hot[own].astype("<u2"), customers[own].astype("<u8"), self.total[own].astype("<u8")) for own in slices}
 
 
 #: Rows of a share in the order in which they are read: what it has, then what the partitions of its contexts answer, then its tokens.
 PAIRS, KEYS, SEATED, TOKENS = -3, -2, -1, (1 << 31) - 1
 _PART = "share int, part int, payload binary"
-#: What a sweep makes: messages to partitions of contexts, the seating, totals of frequent dishes by block, and sums.
-TO_CONTEXTS, SEATING, FREQUENT, SUMS = range(4)
-_SWEPT = pa.schema([("share", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("kind", pa.int8()), ("sums", pa.list_(pa.float64()))])
+#: What a sweep makes: messages to partitions of contexts, with a slice of the frequent dishes' totals, and the seating, with sums.
+TO_CONTEXTS, SEATING = range(2)
+_SWEPT = pa.schema([("share", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("kind", pa.int8()), ("frequent", pa.binary()), ("sums", pa.list_(pa.float64()))])
 
 
 def _by_share(batches):
@@ -377,7 +381,7 @@ def _here(g: dict, held: dict[int, bytes]) -> dict:
     return {**g, "CT": np.concatenate([a[0] for a in answers]).astype(float), "TT": np.concatenate([a[1] for a in answers]).astype(float)}
 
 
-def _sweep(g, sweep: int, count: int):
+def _sweep(g, sweep: int, size: int, count: int):
     """Shares -> their totals, messages to the partitions of their contexts, and the seating."""
 
     def run(batches):
@@ -390,15 +394,11 @@ def _sweep(g, sweep: int, count: int):
             else:
                 seated = _unsqueeze(held[SEATED])[0].astype(np.int64)
                 tables, customers, shared, _ = pairs.reseat(_here(g.value, held), np.random.default_rng((share, sweep)), seated)
-            yield _row(_SWEPT, share, None, None, SUMS, pairs.scalars(customers, shared))
-            for block, payload in pairs.frequent(customers):
-                yield _row(_SWEPT, share, block, payload, FREQUENT, None)
+            frequent = pairs.frequent(customers, size, count)
             served, opened = (np.bincount(pairs.context_at, x, minlength=len(keys)).astype("<u4") for x in (pairs.served, tables))
-            parts_ = _deal(keys, count)
-            cuts = np.append(np.flatnonzero(np.append(True, parts_[1:] != parts_[:-1])), len(keys))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                yield _row(_SWEPT, share, int(parts_[a]), _squeeze(keys[a:b], served[a:b], opened[a:b]), TO_CONTEXTS, None)
-            yield _row(_SWEPT, share, SEATED, _squeeze(tables.astype("<u4")), SEATING, None)
+            cuts = np.searchsorted(_deal(keys, count), np.arange(count + 1, dtype=np.uint64))
+            sent = {part: _squeeze(keys[a:b], served[a:b], opened[a:b]) for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b}
+            yield _rows(_SWEPT, [(share, part, sent.get(part), TO_CONTEXTS, frequent.get(part), None) for part in sorted(sent.keys() | frequent.keys())] + [(share, SEATED, _squeeze(tables.astype("<u4")), SEATING, None, pairs.scalars(customers, shared))])
 
     return run
 
@@ -411,8 +411,9 @@ def _answer(batches):
         messages = [_unsqueeze(p) for _, p in held]
         keys, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
         sums = [np.bincount(at, np.concatenate([m[i] for m in messages]), minlength=len(keys)).astype("<u8") for i in (1, 2)]
-        for (share, _), own in zip(held, np.split(at, np.cumsum([len(m[0]) for m in messages])[:-1])):
-            yield _row(schema, share, part, _squeeze(*(x[own] for x in sums)))
+        answers = [(share, part, own) for (share, _), own in zip(held, np.split(at, np.cumsum([len(m[0]) for m in messages])[:-1]))]
+        for low in range(0, len(answers), 64):
+            yield _rows(schema, [(share, part, _squeeze(*(x[own] for x in sums))) for share, part, own in answers[low : low + 64]])
 
     part, held = None, []
     for batch in batches:
@@ -426,41 +427,46 @@ def _answer(batches):
         yield from summed(part, held)
 
 
-def _summed(batches):
-    """Payloads of frequent dishes sorted by block -> a row per block with their sums."""
+def _summed(size: int, count: int):
+    """Slices of the frequent dishes' totals sorted by part -> a row per part with their sums."""
     schema = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 
-    def row(part, sums):
-        at = np.flatnonzero(sums[2])
-        return _row(schema, part, _squeeze((part * BLOCK + at).astype("<u2"), sums[0][at], sums[1][at]))
+    def run(batches):
+        now, low, sums = None, 0, None
 
-    now, sums = None, None
-    for batch in batches:
-        for part, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if part != now:
-                if sums is not None:
-                    yield row(now, sums)
-                now, sums = part, np.zeros((3, BLOCK), "<u8")
-            index, customers, total = _unsqueeze(payload.as_py())
-            at = index.astype(int) - part * BLOCK
-            sums[0, at] += customers
-            sums[1, at] += total
-            sums[2, at] = 1
-    if sums is not None:
-        yield row(now, sums)
+        def row():
+            at = np.flatnonzero(sums[2])
+            return _row(schema, now, _squeeze((low + at).astype("<u2"), sums[0][at], sums[1][at]))
+
+        for batch in batches:
+            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != now:
+                    if sums is not None:
+                        yield row()
+                    now, low = part, -(-part * size // count)
+                    sums = np.zeros((3, -(-(part + 1) * size // count) - low), "<u8")
+                index, customers, total = _unsqueeze(payload.as_py())
+                at = index.astype(int) - low
+                sums[0, at] += customers
+                sums[1, at] += total
+                sums[2, at] = 1
+        if sums is not None:
+            yield row()
+
+    return run
 
 
 def _swept(rows: DataFrame, g, sweep: int, size: int, count: int, path: str) -> tuple[dict[int, np.ndarray], DataFrame]:
     """Totals for the driver after a sweep, and rows of the next one besides pairs and keys."""
-    made = table(rows.mapInArrow(_sweep(g, sweep, count), f"{_PART}, kind byte, sums array<double>"), "", path, compression="none")
+    made = table(rows.mapInArrow(_sweep(g, sweep, size, count), f"{_PART}, kind byte, frequent binary, sums array<double>"), "", path, compression="none")
     out = {k: np.zeros(size) for k in (2, 3)}
-    blocks = made.where(f"kind = {FREQUENT}").select("part", "payload").repartition("part").sortWithinPartitions("part")
-    for r in blocks.mapInArrow(_summed, "part int, payload binary").collect():  # at most CONTEXTS dishes in all
+    slices = made.where("frequent is not null").select("part", "frequent").repartition("part").sortWithinPartitions("part")
+    for r in slices.mapInArrow(_summed(size, count), "part int, payload binary").collect():  # at most CONTEXTS dishes in all
         index, customers, total = _unsqueeze(r.payload)
         out[2][index], out[3][index] = customers, total
-    sums = made.where(f"kind = {SUMS}").agg(*(F.sum(F.col("sums")[i]) for i in range(8))).first()
+    sums = made.where(f"kind = {SEATING}").agg(*(F.sum(F.col("sums")[i]) for i in range(8))).first()
     out[4] = np.array([v or 0.0 for v in sums])
-    sent = made.where(f"kind = {TO_CONTEXTS}").select("share", "part", "payload").repartition(count, "part").sortWithinPartitions("part", "share")
+    sent = made.where(f"kind = {TO_CONTEXTS} and payload is not null").select("share", "part", "payload").repartition(count, "part").sortWithinPartitions("part", "share")
     return out, made.where(f"kind = {SEATING}").select("share", "part", "payload").unionByName(sent.mapInArrow(_answer, _PART))
 
 
@@ -552,7 +558,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     size = len(hot) + 1
     packed = source.mapInArrow(_pack(sc.broadcast(hot), count * SPREAD), "share int, batch long, kind byte, payload binary")
     placed = packed.repartition(count, "share").sortWithinPartitions("share", "kind", "batch")
-    dealt = min(max(1, count // SPREAD), CONTEXT_PARTS)  # partitions of contexts: each answers each share, so there are fewer of them
+    dealt = min(max(1, count // SPREAD), tokens // CONTEXT_TOKENS + 1, CONTEXT_PARTS)  # partitions of contexts: each answers each share, so there are fewer of them
     shares = table(placed.mapInArrow(_regroup(dealt), "share int, batch long, pairs binary, tokens binary, contexts binary"), "dishes", compression="none")
     whole = shares.where("share is not null")
     part = lambda number, name: whole.select("share", F.lit(number).alias("part"), F.col(name).alias("payload"))

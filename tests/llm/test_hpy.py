@@ -126,3 +126,47 @@ def test_totals_of_contexts_over_shares(spark):
     df = spark.createDataFrame(rows, hpy._PART).repartition(1).sortWithinPartitions("part", "share")
     got = {r.share: [x.tolist() for x in hpy._unsqueeze(bytes(r.payload))] for r in df.mapInArrow(hpy._answer, hpy._PART).collect()}
     assert got == {0: [[2, 5, 5], [1, 2, 2]], 1: [[5, 5], [2, 2]]}
+
+
+def test_rows_of_a_sweep_follow_the_tokens(spark, docs, texts, monkeypatch):
+    """Many shuffle partitions and frequent words: a row of a share for each partition of contexts and one more; the totals stay whole however contexts are dealt."""
+    monkeypatch.setattr(hpy, "SWEEPS", 0)
+    made, totals = [], []
+    real_table, real_restaurants = hpy.table, hpy._restaurants
+
+    def table(df, name, path=None, **options):
+        out = real_table(df, name, path, **options)
+        if path and "/seating-" in path:
+            made.append((out.count(), out.select("share").distinct().count(), out.where("part >= 0").select("part").distinct().count()))
+        return out
+
+    monkeypatch.setattr(hpy, "table", table)
+    monkeypatch.setattr(hpy, "_restaurants", lambda s, *rest: totals.append(s) or real_restaurants(s, *rest))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for least in (hpy.CONTEXT_TOKENS, 300):
+            monkeypatch.setattr(hpy, "CONTEXT_TOKENS", least)
+            assert hpy.score(docs).count() == len(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    training = [tokens(x) for i, x in enumerate(texts) if not held(i)]
+    count, pairs = Counter(t for x in training for t in x), {(a, b) for x in training for a, b in zip([None, *x], x)}
+    hot = [*(w.decode() for w in hpy.frequent_words(docs, "doc_id", "text")[0]), None]
+    for (rows, shares, parts), s, most in zip(made, totals, (1, 10), strict=True):
+        assert shares > 40 and parts <= most and rows <= shares * (most + 1)
+        assert s[3].tolist() == [count[w] for w in hot]
+        assert s[2].tolist() == [sum(b == w for _, b in pairs) for w in hot]
+        assert s[4][0] == sum(count.values())
+    assert made[1][2] == 10
+
+
+def test_slices_of_frequent_dishes():
+    """Every index is in the slice it is dealt to, also where there are more slices than dishes."""
+    for size, count in ((1, 1), (7, 3), (3, 8), (100, 12)):
+        pairs = hpy.Pairs(hpy._squeeze(np.arange(size, dtype="<i2"), np.diff(np.arange(size, dtype="<u4"), prepend=np.uint32(0)).astype("<u4"), np.zeros(size, "<u2"), np.arange(1, size + 1, dtype="<u4")))
+        sent = pairs.frequent(np.full(size, 2), size, count)
+        batch = hpy.pa.RecordBatch.from_arrays([hpy.pa.array([p for p in sorted(sent) for _ in "ab"], "int32"), hpy.pa.array([sent[p] for p in sorted(sent) for _ in "ab"], "binary")], names=["part", "frequent"])
+        got = [hpy._unsqueeze(bytes(b.column(1)[0].as_py())) for b in hpy._summed(size, count)([batch])]
+        index, customers, total = (np.concatenate(x) for x in zip(*got))
+        assert index.tolist() == list(range(size)) and set(customers) == {4} and total.tolist() == [2 * (i + 1) for i in range(size)]
