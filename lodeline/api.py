@@ -70,7 +70,7 @@ class Index:
         indexed = files.select(F.col("path").alias("file_path"), F.col("id").alias("file_id"))
         touched = parsed.join(indexed, "file_path").withColumn("commit_id", F.xxhash64("hash"))
         commits = store("commits", touched.select(F.col("commit_id").alias("id"), "hash", "author", F.col("ts").cast("timestamp").alias("at"), "message").dropDuplicates(["hash"]))
-        commit_files = store("commit_files", touched.select("commit_id", "file_id", "file_path", "added", "deleted").dropDuplicates(["commit_id", "file_id"]))
+        commit_files = store("commit_files", touched.select("commit_id", "file_id", "file_path", "added", "deleted", "pos").dropDuplicates(["commit_id", "file_id"]))
         store("file_metrics", H.metrics(measured.select("file_id", "cyclomatic"), commits, commit_files, F.lit(int(time.time()))))
         store("change_coupling", H.coupling(commits, commit_files))
         edges = G.edges(refs)
@@ -146,14 +146,15 @@ class Index:
         return I.fuzzy(self.table("files"), path).select(F.col("id").alias("file_id"))
 
     def history(self, path: str, symbol: str | None = None, limit: int = 30) -> DataFrame:
-        """The latest commits of a file; with ``symbol``, where that stands and how long it is, beside them."""
+        """The latest commits of a file, those of one second in the log's order; with ``symbol``, where that stands and how long it is, beside them."""
         own = self.table("commit_files").join(F.broadcast(self._file(path)), "file_id")  # one row
         commits = self.table("commits").withColumnRenamed("id", "commit_id")
-        found = commits.join(own, "commit_id").orderBy(F.desc("at"), "commit_id").limit(limit)
+        order = (F.desc("at"), "pos" if "pos" in own.columns else "commit_id")  # indexes of older builds have no positions
+        found = commits.join(own, "commit_id").orderBy(*order).limit(limit)
         if symbol is None:
-            return found
+            return found.drop("pos")
         named = self.table("symbols").where(F.col("name") == symbol).groupBy("file_id").agg(F.min(F.struct("line", "end_line", "kind")).alias("s"))
-        return found.join(named, "file_id").select("*", F.lit(symbol).alias("symbol"), "s.line", "s.end_line", F.col("s.kind").alias("symbol_kind")).drop("s").orderBy(F.desc("at"), "commit_id")
+        return found.join(named, "file_id").select("*", F.lit(symbol).alias("symbol"), "s.line", "s.end_line", F.col("s.kind").alias("symbol_kind")).drop("s").orderBy(*order).drop("pos")
 
     def context(self, path: str, budget: int = 20) -> DataFrame:
         """What to know before an edit of a file, as (section, item, value): its place, callers of its symbols, what it needs, what changes with it."""

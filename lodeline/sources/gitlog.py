@@ -11,8 +11,8 @@ MARK = "@@"
 FORMAT = f"{MARK}|%H|%an|%at|%s"
 
 
-def parse_numstat(lines: DataFrame, block_col: str, pos_col: str) -> DataFrame:
-    """Lines (block, pos, line) -> hash, author, ts, message, file_path, added, deleted.
+def parse_numstat(lines: DataFrame, block_col: str, pos_col: str, keep_pos: bool = False) -> DataFrame:
+    """Lines (block, pos, line) -> hash, author, ts, message, file_path, added, deleted; with ``keep_pos``, the file line's position too.
 
     A header line starts a commit; the file lines after it, up to the next header
     of the same block, belong to it. Binary files have ``-`` for a count and are
@@ -23,7 +23,7 @@ def parse_numstat(lines: DataFrame, block_col: str, pos_col: str) -> DataFrame:
     filled = F.last(header, ignorenulls=True).over(Window.partitionBy(block_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0))
     numbers = F.split("line", "\t", 3)
     rows = lines.withColumn("commit", filled).where(F.col("line").rlike("^[0-9]+\t[0-9]+\t"))
-    return rows.select("commit.*", numbers[2].alias("file_path"), numbers[0].cast("long").alias("added"), numbers[1].cast("long").alias("deleted"))
+    return rows.select("commit.*", numbers[2].alias("file_path"), numbers[0].cast("long").alias("added"), numbers[1].cast("long").alias("deleted"), *([F.col(pos_col)] if keep_pos else []))
 
 
 def _git(repo: str, *args: str) -> str:
@@ -32,10 +32,10 @@ def _git(repo: str, *args: str) -> str:
 
 
 def log(spark: SparkSession, repo: str, days: int = 90) -> DataFrame:
-    """The log of a work tree; empty if git fails."""
+    """The log of a work tree, later commits at smaller positions; empty if git fails."""
     text = _git(repo, "log", f"--since={days} days ago", "--numstat", f"--format={FORMAT}")
     rows = [(0, i, line) for i, line in enumerate(text.splitlines()) if line]
-    return parse_numstat(spark.createDataFrame(rows, "block int, pos long, line string"), "block", "pos")
+    return parse_numstat(spark.createDataFrame(rows, "block int, pos long, line string"), "block", "pos", keep_pos=True)
 
 
 def changed_since(spark: SparkSession, repo: str, ref: str) -> DataFrame:

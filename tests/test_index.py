@@ -1,6 +1,8 @@
 """A small tree, indexed and asked."""
 
+import os
 import subprocess
+import time
 from pathlib import Path
 
 import pytest
@@ -133,3 +135,22 @@ def test_big_files_are_parsed_whole():
     rust = X.parse("rust", "fn main() {\n}\n" + ("//" + pad[2:]) * (X.BIG_FILE // 100 + 1) + "fn last() {\n}\n")
     assert {"main", "last"} <= {s[0] for s in rust.symbols} and not rust.is_entry
     assert X.parse("rust", "fn main() {\n}\n").is_entry
+
+
+def test_history_of_commits_in_one_second(spark, tmp_path):
+    """In the log's order, the latest first, whatever their hashes."""
+    root, now = tmp_path / "tree", f"{int(time.time()) - 60} +0000"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True, env={**os.environ, "GIT_AUTHOR_DATE": now, "GIT_COMMITTER_DATE": now})
+    git("init", "-q")
+    for i in range(6):
+        (root / "one.py").write_text(f"def one():\n    return {i}\n")
+        git("add", ".")
+        git("commit", "-qm", f"number {i}")
+    made = Index(spark, str(tmp_path / "index"))
+    made.build(str(root))
+    latest = [f"number {i}" for i in (5, 4, 3, 2, 1, 0)]
+    assert [r.message for r in made.history("one.py").collect()] == latest
+    assert [r.message for r in made.history("one.py", limit=4).collect()] == latest[:4]
+    assert [r.message for r in made.history("one.py", "one").collect()] == latest
+    assert "pos" not in made.history("one.py").columns
