@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, decontam, hpy, pii, quality, quotes, seekable, simhash, warc
+from . import bpe, compaction, decontam, hpy, periodic, pii, quality, quotes, seekable, simhash, warc
 from .storage import new_dir, table
 from .oracles import ORACLES
 
@@ -83,6 +83,11 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.planted(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digest(periodic.find(docs, keep=["doc_id"]))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.llm import decontam, queries, quality, quotes
-from tests.llm import test_decontam, test_pii, test_quality, test_simhash
+from tests.llm import test_decontam, test_periodic, test_pii, test_quality, test_simhash
 
 
 def sha(data: bytes) -> str:
@@ -104,6 +105,22 @@ def test_op10(spark, sf, texts):
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text.encode()))
 
 
+def test_op11(spark, sf, texts):
+    got = {r.doc_id: r for r in queries.op11_periodic_runs(spark, sf).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        words = test_periodic.planted_words(i, text)
+        if len(words) > 1500:
+            continue
+        runs = test_periodic.brute(words)
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        row = got[i]
+        assert row.n_runs == len(runs)
+        assert (row.start, row.length, row.period, row.exponent_milli) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+        assert row.runs_sha256 == sha("".join(f"{a},{b},{c}\n" for a, b, c in runs).encode())
+        assert row.collapsed_sha256 == sha(" ".join(test_periodic.brute_collapsed(words, runs)).encode())
+
+
 AWKWARD = ("mean", "x0", "precision", "distance", "kept", "n_words", "base_failed", "hit_spans", "hit_items", "bin", "row", "__has", "has", "cites", "conv", "turn_no", "spans")
 
 
