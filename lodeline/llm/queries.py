@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, decontam, hpy, periodic, pii, quality, quotes, seekable, simhash, warc
+from . import bpe, compaction, decontam, hpy, lexical, periodic, pii, quality, quotes, seekable, simhash, warc
 from .storage import new_dir, table
 from .oracles import ORACLES
 
@@ -88,6 +88,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find(docs, keep=["doc_id"]))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n = lexical.build(_read(spark, sf_dir, "documents"))
+    return lexical.search(index, n, _read(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 
