@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, decontam, hpy, lexical, periodic, pii, quality, quotes, seekable, simhash, warc
+from . import bpe, compaction, decontam, hpy, lexical, linecrf, periodic, pii, quality, quotes, seekable, simhash, warc
 from .storage import new_dir, table
 from .oracles import ORACLES
 
@@ -93,6 +93,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, n, _read(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = linecrf.fit(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    scored = linecrf.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("lines").cast("long").alias("n_lines"))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 

@@ -10,8 +10,8 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.llm import decontam, queries, quality, quotes
-from tests.llm import test_decontam, test_periodic, test_pii, test_quality, test_simhash
+from lodeline.llm import decontam, linecrf, queries, quality, quotes
+from tests.llm import test_decontam, test_lexical, test_periodic, test_pii, test_quality, test_simhash
 
 
 def sha(data: bytes) -> str:
@@ -24,6 +24,7 @@ def sf(spark, docs, texts, tmp_path_factory):
     docs.drop("n_words").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([(1, texts[20]), (2, texts[21]), (11, "alpha beta")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 1), 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     talk = [(c, t, "user", f"message {c} of turn {t} says hello.\nIt has number {10 * c + t} on line two") for c in range(5) for t in range(4)]
     spark.createDataFrame([*talk, (7, 0, "user", None), (None, 1, None, "x")], "conv_id int, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
@@ -121,6 +122,22 @@ def test_op11(spark, sf, texts):
         assert row.collapsed_sha256 == sha(" ".join(test_periodic.brute_collapsed(words, runs)).encode())
 
 
+def test_op12(spark, sf, texts):
+    items = [(1, texts[20]), (2, texts[21]), (11, "alpha beta")]
+    assert test_lexical.rows_of(queries.op12_ranked_search(spark, sf)) == test_lexical.brute(list(enumerate(texts)), items, 50)
+
+
+def test_op13(spark, sf, texts):
+    got = {r.doc_id: r for r in queries.op13_line_crf_quality(spark, sf).collect()}
+    assert len(got) == len(texts)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = linecrf.fit(docs, labels.where(F.col("doc_id").isin([i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5])))
+    for i, text in enumerate(texts):
+        row = got[i]
+        assert row.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and row.predicted == int(row.score >= 0.3)
+        assert row.score == pytest.approx(model.score((text or "").encode())[2], abs=1e-12)
+
+
 AWKWARD = ("mean", "x0", "precision", "distance", "kept", "n_words", "base_failed", "hit_spans", "hit_items", "bin", "row", "__has", "has", "cites", "conv", "turn_no", "spans")
 
 
