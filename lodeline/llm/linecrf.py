@@ -12,7 +12,7 @@ of a document, and the chain is fitted to the result: penalised likelihood, full
 from forward-backward, Adam steps.
 
 How it scales. Learning takes about ``SAMPLE`` documents of each label, chosen by a
-hash of their id among all labelled ones (documents of more than ``MOST_LINES``
+hash of their id among all labelled ones, whose ids (some ``2 * SAMPLE``) are broadcast (documents of more than ``MOST_LINES``
 lines are left out of learning only); their bucket numbers, not texts, go to the
 driver. Scoring is one Arrow pass without shuffle over whole texts; the model is
 a few hundred numbers.
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     rows.append(features(values).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(good, pa.int32()), pa.array(rows, pa.binary())], names=["id", "good", "rows"])
 
-    found = held.join(marked.where(chosen), "id").select(F.col("id").cast("long"), "good", "text").mapInArrow(run, "id long, good int, rows binary").collect()
+    found = held.join(F.broadcast(marked.where(chosen)), "id").select(F.col("id").cast("long"), "good", "text").mapInArrow(run, "id long, good int, rows binary").collect()
     found.sort(key=lambda r: (r.id, bytes(r.rows)))
     width = 3 * len(STATS) + 1
     return learn([np.frombuffer(r.rows, "<u2").astype(np.int64).reshape(-1, width) for r in found], [int(r.good > 0) for r in found])
