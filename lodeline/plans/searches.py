@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeline.catalog import query
 from lodeline.operators import search as S
+from lodeline.operators import vectors as V
 from lodeline.views import read, sql, view
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', content, scope)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
@@ -67,6 +68,27 @@ def vector_knn(spark, d):
     return S.knn(_vectors(spark, d), _wanted(spark, d), 30)
 
 
+# Every vector whose id is divisible by 100, against all of them.
+_ALL_PAIRS = "SELECT q.vec_id AS query, e.vec_id AS id, round(1 / (1 + list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0"
+
+
+def _indexed(spark, d):
+    vectors = _vectors(spark, d)
+    centres = V.fit(vectors)
+    return V.build(vectors, centres), centres, vectors.where("id % 100 = 0")
+
+
+@query("vector_knn_all", f"SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ({_ALL_PAIRS})) WHERE rank <= 30")
+def vector_knn_all(spark, d):
+    return V.search(*_indexed(spark, d), limit=30, exact=True)
+
+
+@query("vector_knn_probed")
+def vector_knn_probed(spark, d):
+    index, centres, wanted = _indexed(spark, d)
+    return V.search(index, centres, wanted, limit=30, probes=max(8, 3 * len(centres) // 4), exact=False)
+
+
 _FUSED = f"""{_bm25(TERMS)}, {_FULL}, {_SYMBOLS}, {_KNN}, lists AS (SELECT id, 1.0 / (60 + rank) AS term, 'fulltext' AS source FROM ({_top('fullt', 30)}) UNION ALL SELECT id, 1.2 / (60 + rank), 'symbol' FROM ({_top('syms', 30)}) UNION ALL SELECT id, 0.8 / (60 + rank), 'semantic' FROM ({_top('near', 30)})),
 summed AS (SELECT id, sum(CAST(term AS DOUBLE)) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM lists GROUP BY id),
 penalty AS (SELECT id, CASE WHEN contains(path, '_test.') OR contains(path, '.test.') OR contains(path, '/test/') OR contains(path, '/__tests__/') OR contains(path, '/tests/') THEN CAST(0.1 AS DOUBLE) ELSE 1 END * CASE WHEN kind = 'import' THEN CAST(0.1 AS DOUBLE) ELSE 1 END * (1 + 5 * coalesce(centrality, 0)) AS f FROM chunks)"""
