@@ -166,7 +166,7 @@ class Index:
         row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
         facts = self.table("arch_facts").where(F.col("id") == file.file_id)
         place = row(facts, "place", F.col("path"), F.concat_ws(" ", "layer", "role", F.format_string("in=%d out=%d", "in_degree", "out_degree")))
-        called = C.external_callers(self.table("symbols"), refs, file.file_id).orderBy(F.desc("confident"), F.desc("possible"), "name").limit(budget)
+        called = C.external_callers(self.table("symbols"), refs, self.table("files"), file.file_id).limit(budget)
         callers = row(called, "callers", F.concat_ws(" ", "kind", "name"), F.format_string("%d sure, %d possible, in %d files", "confident", "possible", "files"))
         needs = row(C.dependencies(refs, file.file_id, budget).join(paths, "target_file_id", "left"), "needs", F.col("name"), F.concat_ws(" ", "kind", "target"))
         near = H.coupled_with(self.table("change_coupling"), file.path, 5, distinct=True)

@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.paths import dir_of
+from lodeline.functions.paths import is_test_context
 
-#: Kinds of symbols that have callers worth listing.
-DEFINED = ("function", "method", "class", "struct")
+# Kinds of symbols that have callers worth listing, and of references that count as such.
+DEFINED = ("function", "method", "struct", "class", "interface", "type")
+USES = ("call", "field_access", "type_ref")
 GATE = 0.7
 
 
-def external_callers(symbols: DataFrame, refs: DataFrame, file_id: int) -> DataFrame:
-    """For each symbol of a file: references from other files to it, or to its name without a target."""
-    own = symbols.where((F.col("file_id") == file_id) & F.col("kind").isin(*DEFINED)).select("name", "kind").distinct()
-    calls = refs.where((F.col("source_file_id") != file_id) & ((F.col("target_file_id") == file_id) | F.col("target_file_id").isNull()) & F.col("kind").isin("call", "type_ref"))
-    joined = own.join(calls.drop("kind"), "name")
+def uses(symbols: DataFrame, refs: DataFrame, files: DataFrame, file_id: int | None = None) -> DataFrame:
+    """References from other files to the symbols of a file (of every file by default), or to their names without a target.
+
+    symbol_id, file_id, name, kind, line of the symbol; source_file_id, confidence, test (by the path) of the reference.
+    """
+    own = symbols.where(F.col("kind").isin(*DEFINED))
+    own = (own if file_id is None else own.where(F.col("file_id") == file_id)).select(F.col("id").alias("symbol_id"), "file_id", "name", "kind", "line")
+    used = refs.where(F.col("kind").isin(*USES)).select("name", "source_file_id", "target_file_id", "confidence")
+    if file_id is not None:
+        used = used.where((F.col("target_file_id") == file_id) | F.col("target_file_id").isNull())
+    # Two equal joins, not one with an OR: by name and file, and by name alone.
+    known = own.join(used.where("target_file_id is not null").withColumnRenamed("target_file_id", "file_id"), ["name", "file_id"])
+    loose = own.join(used.where("target_file_id is null").drop("target_file_id"), "name")
+    both = known.unionByName(loose).where(F.col("source_file_id") != F.col("file_id"))
+    return both.join(files.select(F.col("id").alias("source_file_id"), is_test_context(F.col("path")).alias("test")), "source_file_id")
+
+
+def external_callers(symbols: DataFrame, refs: DataFrame, files: DataFrame, file_id: int) -> DataFrame:
+    """For each symbol of a file that others use: how often, surely and possibly, and from how many files; by line."""
     sure = F.col("confidence") >= GATE
-    return joined.groupBy("name", "kind").agg(F.count_if(sure).alias("confident"), F.count_if(~sure).alias("possible"), F.count_distinct("source_file_id").alias("files"))
+    counted = uses(symbols, refs, files, file_id).groupBy("symbol_id", "name", "kind", "line").agg(F.count_if(sure).alias("confident"), F.count_if(~sure).alias("possible"), F.count_distinct("source_file_id").alias("files"))
+    return counted.orderBy("line", "symbol_id").drop("symbol_id")
 
 
 def dependencies(refs: DataFrame, file_id: int, limit: int = 20) -> DataFrame:
@@ -26,10 +42,11 @@ def dependencies(refs: DataFrame, file_id: int, limit: int = 20) -> DataFrame:
     return own.orderBy("name", F.col("target_file_id").asc_nulls_last(), "kind").limit(limit)
 
 
-def contracts(files: DataFrame) -> DataFrame:
-    """Same-named symbols of one kind: production and test uses, places that define them, first one seen."""
-    test = F.col("id") % 10 == 0
-    return files.groupBy("symbol", F.col("lang_family").alias("kind")).agg(F.count_if(~test).alias("prod"), F.count_if(test).alias("tests"), F.count_distinct(dir_of(F.col("path"))).alias("impls"), F.min("id").alias("first_seen"))
+def contracts(symbols: DataFrame, refs: DataFrame, files: DataFrame, file_id: int | None = None) -> DataFrame:
+    """Symbols of one name and kind in a file as one: sure uses by production code and by tests, how many symbols they are, and the first one's line."""
+    found = uses(symbols, refs, files, file_id)
+    sure = F.col("confidence") >= GATE
+    return found.groupBy("file_id", "name", "kind").agg(F.count_if(sure & ~F.col("test")).alias("prod"), F.count_if(sure & F.col("test")).alias("tests"), F.count_distinct("symbol_id").alias("impls"), F.min("line").alias("first_line"))
 
 
 def arch_map(facts: DataFrame, central: int = 10) -> DataFrame:

@@ -74,3 +74,40 @@ def evolution(commits: DataFrame, commit_files: DataFrame, file_id: int, limit:
     """The latest commits of a file."""
     own = commit_files.where(F.col("file_id") == file_id).select(F.col("commit_id").alias("id"), "added", "deleted")
     return top(commits.join(own, "id"), limit, F.desc("at"), "id").select("id", "author", F.unix_seconds("at").alias("ts"), "message", "added", "deleted")
+
+
+def symbol_trace(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
+    """symbol_id and the commits (hash, nth) that touched the symbol's own lines, the latest first (nth 1).
+
+    ``symbols``: symbol_id, file_path, first, last (lines now). ``hunks``: file_path,
+    hash, pos (smaller is later), old_start, old_lines, new_start, new_lines, as of a
+    diff without context. A symbol's range is carried back through the file's
+    commits: a hunk before it shifts it, one that overlaps an edge pulls that edge to the
+    hunk's old side, and a range that is all new ends the trace. One row holds the
+    hunks of one file, in JVM arrays; files are apart.
+    """
+    by_commit = hunks.groupBy("file_path", "hash").agg(F.min("pos").alias("at"), F.collect_list(F.struct(F.col("old_start").alias("a"), F.col("old_lines").alias("b"), F.col("new_start").alias("c"), F.col("new_lines").alias("d"))).alias("hunks"))
+    by_file = by_commit.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "hunks"))).alias("commits"))
+    start = F.struct(F.col("first").cast("int").alias("lo"), F.col("last").cast("int").alias("hi"), F.array().cast("array<string>").alias("touched"))
+    traced = symbols.join(by_file, "file_path").select("symbol_id", F.aggregate("commits", start, _carried_back).alias("trace"))
+    return traced.select("symbol_id", F.posexplode("trace.touched").alias("nth", "hash")).select("symbol_id", "hash", (F.col("nth") + 1).alias("nth"))
+
+
+def _carried_back(state: Column, commit: Column) -> Column:
+    """The range before a commit, and the commits seen to touch it; (1, 0) is no range."""
+    lo, hi, hunks = state["lo"], state["hi"], commit["hunks"]
+    last = lambda h: h["c"] + h["d"] - 1  # noqa: E731  last new line of a hunk that has one
+    zero = F.lit(0)
+    moved = lambda kept: F.aggregate(F.filter(hunks, kept), zero, lambda s, h: s + h["b"] - h["d"])
+    edge = lambda line, inside: F.get(F.transform(F.filter(hunks, lambda h: (h["d"] > 0) & (h["c"] <= line) & (last(h) >= line)), inside), zero)
+    touched = F.exists(hunks, lambda h: F.when(h["d"] > 0, (h["c"] <= hi) & (last(h) >= lo)).otherwise((h["c"] >= lo) & (h["c"] < hi)))
+    before = lambda h: F.when(h["d"] > 0, last(h) < lo).otherwise(h["c"] < lo)
+    upto = lambda h: F.when(h["d"] > 0, last(h) < hi).otherwise(h["c"] < hi)
+    new_lo = F.coalesce(edge(lo, lambda h: F.when(h["b"] > 0, h["a"]).otherwise(h["a"] + 1)), lo + moved(before))
+    new_hi = F.coalesce(edge(hi, lambda h: F.when(h["b"] > 0, h["a"] + h["b"] - 1).otherwise(h["a"])), hi + moved(upto))
+    live = lo <= hi
+    return F.struct(
+        F.when(live & (new_lo <= new_hi), new_lo).otherwise(F.lit(1)).alias("lo"),
+        F.when(live & (new_lo <= new_hi), new_hi).otherwise(zero).alias("hi"),
+        F.when(live & touched, F.array_append(state["touched"], commit["hash"])).otherwise(state["touched"]).alias("touched"),
+    )

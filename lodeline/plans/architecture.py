@@ -137,7 +137,13 @@ def arch_map(spark, d):
     return C.arch_map(_facts(spark, d))
 
 
-_CALLERS = """s AS (SELECT file_id, name, kind FROM symbols), r AS (SELECT r.id, s.file_id AS source_file_id, t.name, CASE WHEN r.id % 3 > 0 THEN t.file_id END AS target_file_id, r.confidence, r.kind FROM refs r JOIN symbols s ON s.id = r.source_file_id JOIN symbols t ON t.id = r.target_file_id)"""
+_CALLERS = """s AS (SELECT id, file_id, name, CASE WHEN id % 7 = 6 THEN 'interface' ELSE kind END AS kind, CAST(id % 400 AS INT) AS line FROM symbols), r AS (SELECT r.id, s.file_id AS source_file_id, t.name, CASE WHEN r.id % 3 > 0 THEN t.file_id END AS target_file_id, r.confidence, CASE WHEN r.id % 5 = 4 THEN 'field_access' ELSE r.kind END AS kind FROM refs r JOIN symbols s ON s.id = r.source_file_id JOIN symbols t ON t.id = r.target_file_id)"""
+_USES = f"""{_CALLERS}, uses AS (SELECT s.id AS symbol_id, s.file_id, s.name, s.kind, s.line, r.source_file_id, r.confidence, regexp_matches(lower(f.path), '_test\\.|/tests?/|\\.test\\.|\\.spec\\.') AS test
+    FROM s JOIN r ON r.name = s.name AND (r.target_file_id = s.file_id OR r.target_file_id IS NULL) AND r.source_file_id <> s.file_id JOIN code_paths f ON f.id = r.source_file_id
+    WHERE s.kind IN ('function', 'method', 'struct', 'class', 'interface', 'type') AND r.kind IN ('call', 'field_access', 'type_ref')),
+busy AS (SELECT file_id FROM s GROUP BY file_id ORDER BY count(*) DESC, file_id LIMIT 1)"""
+#: Files of tests lie below test folders.
+_PATHS = "code_paths AS (SELECT id, concat('repo/', path) AS path FROM code_files)"
 
 
 def _symbol_refs(spark, d):
@@ -145,21 +151,22 @@ def _symbol_refs(spark, d):
     source = symbols.select(F.col("id").alias("source_file_id"), F.col("file_id").alias("from_file"))
     target = symbols.select(F.col("id").alias("target_file_id"), F.col("file_id").alias("to_file"), F.col("name"))
     joined = refs.drop("target_name").join(source, "source_file_id").join(target, "target_file_id")
-    return joined.select("id", F.col("from_file").alias("source_file_id"), "name", F.when(F.col("id") % 3 > 0, F.col("to_file")).alias("target_file_id"), "confidence", "kind")
+    kind = F.when(F.col("id") % 5 == 4, F.lit("field_access")).otherwise(F.col("kind")).alias("kind")
+    return joined.select("id", F.col("from_file").alias("source_file_id"), "name", F.when(F.col("id") % 3 > 0, F.col("to_file")).alias("target_file_id"), "confidence", kind)
 
 
-@query(
-    "file_context_callers",
-    sql(
-        f"WITH {_CALLERS}, own AS (SELECT DISTINCT name, kind FROM s WHERE file_id = (SELECT min(file_id) FROM s) AND kind IN ('function', 'method', 'class', 'struct')) SELECT own.name, own.kind, count(*) FILTER (confidence >= 0.7) AS confident, count(*) FILTER (confidence < 0.7) AS possible, count(DISTINCT source_file_id) AS files FROM own JOIN r ON r.name = own.name AND (r.target_file_id = (SELECT min(file_id) FROM s) OR r.target_file_id IS NULL) AND r.source_file_id <> (SELECT min(file_id) FROM s) WHERE r.kind IN ('call', 'type_ref') GROUP BY 1, 2",
-        "refs",
-        "symbols",
-    ),
-)
+def _code(spark, d):
+    """Symbols with lines and an interface among seven, references to them, and files."""
+    kind = F.when(F.col("id") % 7 == 6, F.lit("interface")).otherwise(F.col("kind")).alias("kind")
+    symbols = view(spark, d, "symbols").select("id", "file_id", "name", kind, (F.col("id") % 400).cast("int").alias("line"))
+    return symbols, _symbol_refs(spark, d), view(spark, d, "code_files").select("id", F.concat(F.lit("repo/"), "path").alias("path"))
+
+
+@query("file_context_callers", sql(f"WITH {_PATHS}, {_USES} SELECT name, kind, line, count(*) FILTER (confidence >= 0.7) AS confident, count(*) FILTER (confidence < 0.7) AS possible, count(DISTINCT source_file_id) AS files FROM uses WHERE file_id = (SELECT file_id FROM busy) GROUP BY symbol_id, name, kind, line", "code_files", "refs", "symbols"))
 def file_context_callers(spark, d):
-    symbols = view(spark, d, "symbols")
-    first = symbols.agg(F.min("file_id")).first()[0]
-    return C.external_callers(symbols, _symbol_refs(spark, d), first)
+    symbols, refs, files = _code(spark, d)
+    busy = symbols.groupBy("file_id").count().orderBy(F.desc("count"), "file_id").first().file_id
+    return C.external_callers(symbols, refs, files, busy)
 
 
 @query("file_context_deps", sql(f"WITH {_CALLERS} SELECT DISTINCT name, target_file_id, kind FROM r WHERE source_file_id = (SELECT min(file_id) FROM s) ORDER BY name, target_file_id NULLS LAST, kind LIMIT 20", "refs", "symbols"))
@@ -168,6 +175,6 @@ def file_context_deps(spark, d):
     return C.dependencies(_symbol_refs(spark, d), symbols.agg(F.min("file_id")).first()[0])
 
 
-@query("contracts", sql("SELECT symbol, lang_family AS kind, count(*) FILTER (id % 10 <> 0) AS prod, count(*) FILTER (id % 10 = 0) AS tests, count(DISTINCT regexp_extract(path, '^(.*/)', 1)) AS impls, min(id) AS first_seen FROM files GROUP BY 1, 2", "files"))
+@query("contracts", sql(f"WITH {_PATHS}, {_USES} SELECT file_id, name, kind, count(*) FILTER (confidence >= 0.7 AND NOT test) AS prod, count(*) FILTER (confidence >= 0.7 AND test) AS tests, count(DISTINCT symbol_id) AS impls, min(line) AS first_line FROM uses GROUP BY 1, 2, 3", "code_files", "refs", "symbols"))
 def contracts(spark, d):
-    return C.contracts(view(spark, d, "files"))
+    return C.contracts(*_code(spark, d))

@@ -121,6 +121,46 @@ def git_numstat(spark, d):
     return parsed.select(F.col("hash").cast("long").alias("commit_id"), "file_path", "added", "deleted")
 
 
+# One text per 8 commits; each commit's lines go over four blocks of it, so most blocks have no header.
+@query("git_log_segmented", sql("SELECT commit_id, concat('f', CAST(file_id AS VARCHAR)) AS file_path, added, deleted FROM commit_files cf JOIN commits c ON c.id = cf.commit_id WHERE file_id % 19 <> 0", "commits", "commit_files"))
+def git_log_segmented(spark, d):
+    from lodeline.sources.gitlog import parse_numstat
+
+    commits, files = view(spark, d, "commits"), view(spark, d, "commit_files")
+    place = lambda commit, pos: (F.floor(commit / 8).alias("file"), (commit * 4 + F.pmod(pos, F.lit(4))).alias("block"), F.floor(pos / 4).alias("pos"))
+    head = commits.select(*place(F.col("id"), F.lit(0)), F.concat_ws("|", F.lit("@@"), F.col("id").cast("string"), "author", F.unix_seconds("at").cast("string"), "message").alias("line"))
+    added = F.when(F.col("file_id") % 19 == 0, F.lit("-")).otherwise(F.col("added").cast("string"))
+    body = files.join(commits.select(F.col("id").alias("commit_id")), "commit_id", "left_semi").select(*place(F.col("commit_id"), F.col("file_id") + 4), F.concat_ws("\t", added, F.col("deleted").cast("string"), F.concat(F.lit("f"), F.col("file_id").cast("string"))).alias("line"))
+    parsed = parse_numstat(head.unionByName(body), "block", "pos", group=["file"])
+    return parsed.select(F.col("hash").cast("long").alias("commit_id"), "file_path", "added", "deleted")
+
+
+# One hunk of a file a commit: a..a+b-1 became c..c+d-1; a symbol's range goes back through them.
+_HUNKS = """h AS (SELECT file_id, commit_id, row_number() OVER (PARTITION BY file_id ORDER BY commit_id DESC) AS step, CAST(b AS INT) AS b, CAST(d AS INT) AS d, CAST(c AS INT) AS c, CAST(c + CASE WHEN d = 0 THEN 1 ELSE 0 END - CASE WHEN b = 0 THEN 1 ELSE 0 END AS INT) AS a
+    FROM (SELECT file_id, commit_id, commit_id % 4 AS b, (commit_id // 4) % 4 AS d, 1 + (commit_id * 7 + file_id) % 120 AS c FROM commit_files) WHERE b + d > 0)"""
+_BACK = f"""RECURSIVE WITH {_HUNKS},
+moved AS (
+    SELECT id AS file_id, CAST(1 AS BIGINT) AS step, CAST(10 + id % 40 AS INT) AS lo, CAST(10 + id % 40 + lines AS INT) AS hi FROM files
+    UNION ALL
+    SELECT file_id, step + 1, lo, hi FROM (
+        SELECT m.file_id, m.step,
+            CASE WHEN d > 0 AND c <= lo AND c + d - 1 >= lo THEN CASE WHEN b > 0 THEN a ELSE a + 1 END ELSE lo + CASE WHEN CASE WHEN d > 0 THEN c + d - 1 < lo ELSE c < lo END THEN b - d ELSE 0 END END AS lo,
+            CASE WHEN d > 0 AND c <= hi AND c + d - 1 >= hi THEN CASE WHEN b > 0 THEN a + b - 1 ELSE a END ELSE hi + CASE WHEN CASE WHEN d > 0 THEN c + d - 1 < hi ELSE c < hi END THEN b - d ELSE 0 END END AS hi
+        FROM moved m JOIN h ON h.file_id = m.file_id AND h.step = m.step) WHERE lo <= hi)
+SELECT file_id, commit_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY commit_id DESC) AS INT) AS nth FROM moved JOIN h USING (file_id, step)
+WHERE CASE WHEN d > 0 THEN c <= hi AND c + d - 1 >= lo ELSE c >= lo AND c < hi END"""
+
+
+@query("symbol_history", sql(_BACK, "files", "commit_files"))
+def symbol_history(spark, d):
+    files = view(spark, d, "files").select(F.col("id").alias("symbol_id"), F.col("id").cast("string").alias("file_path"), (10 + F.col("id") % 40).alias("first"), (10 + F.col("id") % 40 + F.col("lines")).alias("last"))
+    commit, file = F.col("commit_id"), F.col("file_id")
+    old, new, start = (commit % 4).cast("int"), (F.floor(commit / 4) % 4).cast("int"), (1 + (commit * 7 + file) % 120).cast("int")
+    parts = view(spark, d, "commit_files").select(file.cast("string").alias("file_path"), commit.cast("string").alias("hash"), (-commit).alias("pos"), old.alias("old_lines"), new.alias("new_lines"), start.alias("new_start"))
+    hunks = parts.where("old_lines + new_lines > 0").withColumn("old_start", F.expr("new_start + if(new_lines = 0, 1, 0) - if(old_lines = 0, 1, 0)"))
+    return H.symbol_trace(files, hunks).select(F.col("symbol_id").alias("file_id"), F.col("hash").cast("long").alias("commit_id"), "nth")
+
+
 @query("commits_on_indexed_files", sql("SELECT DISTINCT c.id, c.author FROM commits c JOIN commit_files cf ON cf.commit_id = c.id JOIN files f ON f.id = cf.file_id WHERE f.lang_family <> ''", "commits", "commit_files", "files"))
 def commits_on_indexed(spark, d):
     indexed = view(spark, d, "files").where("lang_family <> ''").select(F.col("id").alias("file_id"))
