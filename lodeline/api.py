@@ -1,18 +1,18 @@
-"""The engine's entry points: index a tree, then ask. Tables are Parquet, one folder per epoch."""
+"""The engine's entry points: index a tree, then ask. Tables are Parquet, one folder per epoch, in any file system that Spark reads."""
 
 from __future__ import annotations
 
 import argparse
 import json
-import shutil
 import sys
 import time
+import uuid
 from functools import reduce
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline.epochs import Conflict, Folder, Versions
 from lodeline.functions.scalars import hotspot_hint, short_number, snippet, truncate_command
 from lodeline.operators import architecture as A
 from lodeline.operators import context as C
@@ -31,27 +31,44 @@ TABLES = ("files", "symbols", "chunks", "refs", "file_metrics", "arch_facts", "a
 
 
 class Index:
-    """A folder of epochs; ``CURRENT`` names the one that readers use."""
+    """A folder of versions. A reader stays with the version it began with (the latest, or a named one) until ``refresh``."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+    def __init__(self, spark: SparkSession, folder: str, version: int | None = None):
+        self.spark, self.folder = spark, Folder(spark, str(folder))
+        self.versions = Versions(self.folder)
+        self._pinned = self.versions.read(version) if version is not None else None
+
+    def manifest(self) -> dict | None:
+        """What the reader's version holds: epoch, root, counts; None before the first build."""
+        if self._pinned is None:
+            self._pinned = self.versions.read()
+        return self._pinned
+
+    def refresh(self) -> int | None:
+        """Goes on to the latest version."""
+        self._pinned = None
+        return (self.manifest() or {}).get("version")
 
     def epoch(self) -> str:
-        return (self.folder / "CURRENT").read_text().strip()
+        if (manifest := self.manifest()) is None:
+            raise FileNotFoundError(f"{self.folder.uri} has no version yet")
+        return manifest["epoch"]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.folder / self.epoch() / name))
+        return self.spark.read.parquet(self.folder.at(self.epoch(), name))
 
     # -- building --
 
     def build(self, root: str, ignore: list[str] = (), overrides: list[tuple[str, str, float]] = (), index_generated: bool = False, days: int = 90, full: bool = False, since: str | None = None) -> dict[str, int]:
-        """Scans, extracts, resolves and derives everything into a new epoch, then switches to it.
+        """Scans, extracts, resolves and derives everything into a new epoch, then commits it as the next version.
 
-        Files whose hash the epoch before has are not read again by a parser, unless ``full``;
+        Raises ``Conflict`` (and drops the epoch) if another build has committed meanwhile.
+        The counts returned have ``errors``, the files that didn't parse. Files whose hash the epoch before has are not read again by a parser, unless ``full``;
         ``since`` takes what git says has changed since a ref instead of comparing hashes.
         """
-        spark, epoch = self.spark, f"epoch-{time.time_ns()}"
-        at = lambda name: str(self.folder / epoch / name)
+        spark, epoch = self.spark, f"epoch-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        base = self.refresh() or 0
+        at = lambda name: self.folder.at(epoch, name)
 
         def store(name: str, df: DataFrame) -> DataFrame:
             df.write.mode("overwrite").parquet(at(name))
@@ -61,7 +78,8 @@ class Index:
         scan.guard(root, found)
         contents = store("_contents", found)
         files = store("files", contents.drop("content"))
-        rows = store("_rows", self._extracted(contents, root, index_generated, full, since))
+        seen = Observation("extract")
+        rows = store("_rows", X.observed(self._extracted(contents, root, index_generated, full, since), seen))
         symbols, raw, measured = store("symbols", X.symbols(rows)), X.refs(rows), X.metrics(rows)
         chunks = store("chunks", X.chunks(rows))
         store("postings", S.postings(chunks))
@@ -81,12 +99,17 @@ class Index:
         stored = store("arch_facts", members)
         inside = stored.where("module_id >= 0")
         store("arch_modules", A.modules(inside).join(A.labels(inside).select("module_id", "label"), "module_id"))
-        (self.folder / "CURRENT.tmp").write_text(epoch)
-        (self.folder / "CURRENT.tmp").replace(self.folder / "CURRENT")
-        return {"files": files.count(), "symbols": symbols.count(), "chunks": chunks.count(), "refs": refs.count(), "commits": commits.count()}
+        counts = {"files": files.count(), "symbols": symbols.count(), "chunks": chunks.count(), "refs": refs.count(), "commits": commits.count(), "errors": seen.get["errors"]}
+        try:
+            self.versions.commit(base, {"epoch": epoch, "root": str(root), "counts": counts, "at": int(time.time())})
+        except Conflict:
+            self.folder.delete(epoch)
+            raise
+        self.refresh()
+        return counts
 
     def _extracted(self, contents: DataFrame, root: str, index_generated: bool, full: bool, since: str | None) -> DataFrame:
-        if full or not (self.folder / "CURRENT").exists():
+        if full or self.manifest() is None:
             return X.extract(contents, index_generated)
         if since is None:
             changed = I.changed(contents, self.table("files"))
@@ -106,11 +129,15 @@ class Index:
         done = R.cascade(raw, files, symbols, bindings, R.mro(raw, files, symbols, inherits)).join(bindings.select("id", F.col("target_file_id").alias("bound_file")), "id", "left")
         return done.withColumn("target_file_id", F.coalesce("target_file_id", "bound_file")).drop("bound_file")
 
-    def reset(self) -> None:
-        """Forgets every epoch; savings stay."""
-        (self.folder / "CURRENT").unlink(missing_ok=True)
-        for epoch in self.folder.glob("epoch-*"):
-            shutil.rmtree(epoch)
+    def reset(self, scope: str = "all", dry_run: bool = False) -> list[str]:
+        """Forgets what ``scope`` names and lists it: ``index`` (versions and epochs), ``vectors``, ``scip``, ``savings``, or ``all`` but the savings."""
+        wanted = {"index": ("versions", "epoch-"), "vectors": ("vectors",), "scip": ("scip",), "savings": ("tracking",), "all": ("versions", "epoch-", "vectors", "scip")}[scope]
+        gone = sorted((n for n in self.folder.names() if n.startswith(wanted)), key=lambda n: n != "versions")  # no version may name a lost epoch
+        if not dry_run:
+            for name in gone:
+                self.folder.delete(name)
+            self._pinned = None
+        return gone
 
     # -- asking --
 
@@ -146,15 +173,22 @@ class Index:
         return I.fuzzy(self.table("files"), path).select(F.col("id").alias("file_id"))
 
     def history(self, path: str, symbol: str | None = None, limit: int = 30) -> DataFrame:
-        """The latest commits of a file, those of one second in the log's order; with ``symbol``, where that stands and how long it is, beside them."""
+        """The latest commits of a file, those of one second in the log's order; with ``symbol``, only those that touched its lines, with where it stands."""
         own = self.table("commit_files").join(F.broadcast(self._file(path)), "file_id")  # one row
         commits = self.table("commits").withColumnRenamed("id", "commit_id")
         order = (F.desc("at"), "pos" if "pos" in own.columns else "commit_id")  # indexes of older builds have no positions
-        found = commits.join(own, "commit_id").orderBy(*order).limit(limit)
+        found = commits.join(own, "commit_id").orderBy(*order)
         if symbol is None:
-            return found.drop("pos")
+            return found.limit(limit).drop("pos")
         named = self.table("symbols").where(F.col("name") == symbol).groupBy("file_id").agg(F.min(F.struct("line", "end_line", "kind")).alias("s"))
-        return found.join(named, "file_id").select("*", F.lit(symbol).alias("symbol"), "s.line", "s.end_line", F.col("s.kind").alias("symbol_kind")).drop("s").orderBy(*order).drop("pos")
+        here = named.join(self._file(path), "file_id").join(self.table("files").select(F.col("id").alias("file_id"), "path"), "file_id")
+        if (row := here.first()) is None:
+            return found.limit(0).drop("pos")
+        # Lines of an index count from 0, those of a diff from 1.
+        lines = self.spark.createDataFrame([(row.file_id, row.path, row.s.line + 1, row.s.end_line + 1)], "symbol_id long, file_path string, first int, last int")
+        traced = H.symbol_trace(lines, gitlog.hunks(self.spark, self.manifest()["root"], row.path)).select("hash", "nth")
+        touched = found.join(traced, "hash").orderBy("nth").limit(limit)
+        return touched.select("*", F.lit(symbol).alias("symbol"), F.lit(row.s.line).alias("line"), F.lit(row.s.end_line).alias("end_line"), F.lit(row.s.kind).alias("symbol_kind")).drop("pos", "nth")
 
     def context(self, path: str, budget: int = 20) -> DataFrame:
         """What to know before an edit of a file, as (section, item, value): its place, callers of its symbols, what it needs, what changes with it."""
@@ -182,12 +216,12 @@ class Index:
         raw = output if not errors else f"{output}\n{errors}"
         row = [(command, handlers.tokens(raw), handlers.tokens(shown))]
         run = self.spark.createDataFrame(row, "command string, raw_tokens long, filtered_tokens long").withColumn("at", F.current_timestamp())
-        run.write.mode("append").parquet(str(self.folder / "tracking"))
+        run.write.mode("append").parquet(self.folder.at("tracking"))
         return shown
 
     def gain(self) -> DataFrame:
         """Savings as (section, item, value): in all, by day, by command."""
-        rows = self.spark.read.schema("command string, raw_tokens long, filtered_tokens long, at timestamp").parquet(str(self.folder / "tracking"))
+        rows = self.spark.read.schema("command string, raw_tokens long, filtered_tokens long, at timestamp").parquet(self.folder.at("tracking"))
         total = T.gain_totals(rows).select(F.lit("total").alias("section"), F.format_string("%d commands", "commands").alias("item"), F.format_string("%s saved (%.1f%%)", short_number(F.col("saved")), F.col("pct")).alias("value"))
         days = T.gain_daily(rows).select(F.lit("day"), F.col("day").cast("string"), short_number(F.col("saved")))
         best = T.gain_top(rows).select(F.lit("command"), truncate_command(F.col("command")), F.concat_ws(" ", short_number(F.col("saved")), F.repeat(F.lit("#"), F.round(F.col("pct") / 10).cast("int"))))
@@ -198,18 +232,18 @@ class Index:
 
     def ingest_scip(self, path: str) -> DataFrame:
         """Stores another indexer's occurrences and returns their summary."""
-        at = str(self.folder / "scip")
+        at = self.folder.at("scip")
         E.read_scip(self.spark, path).write.mode("overwrite").parquet(at)
         return E.summary(self.spark.read.parquet(at))
 
     def embed(self, model, batch: int = 128) -> DataFrame:
         """Vectors of chunks that have none yet, by a callable; all vectors so far."""
-        at = self.folder / "vectors"
+        at = self.folder.at("vectors")
         empty = self.spark.createDataFrame([], "id long, embedding array<float>")
-        have = self.spark.read.schema(empty.schema).parquet(str(at)) if at.exists() else empty
+        have = self.spark.read.schema(empty.schema).parquet(at) if self.folder.exists("vectors") else empty
         languages = self.table("files").select(F.col("id").alias("file_id"), "language")
-        S.embed(S.unembedded(self.table("chunks").join(languages, "file_id"), have), model, batch).write.mode("append").parquet(str(at))
-        return self.spark.read.schema(empty.schema).parquet(str(at))
+        S.embed(S.unembedded(self.table("chunks").join(languages, "file_id"), have), model, batch).write.mode("append").parquet(at)
+        return self.spark.read.schema(empty.schema).parquet(at)
 
     def where(self, path: str) -> DataFrame:
         return self.table("arch_facts").join(F.broadcast(self._file(path)), F.col("id") == F.col("file_id")).drop("file_id")  # one row
@@ -228,6 +262,11 @@ class Index:
     def stats(self) -> DataFrame:
         return I.stats({n: self.table(n) for n in TABLES})
 
+    def config(self) -> dict:
+        """Where the index is, what it was made from, and what its version holds."""
+        manifest = self.manifest() or {}
+        return {"folder": self.folder.uri, "version": manifest.get("version"), "versions": len(self.versions.all()), "root": manifest.get("root"), "counts": manifest.get("counts", {}), "built_at": manifest.get("at")}
+
 
 def main(argv: list[str] | None = None) -> None:
     """A thin command line; every answer is JSON lines."""
@@ -236,7 +275,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lodeline")
     parser.add_argument("--index", default=".lodeline")
     sub = parser.add_subparsers(dest="command", required=True)
-    commands = {"index": ["root"], "search": ["text"], "symbols": ["text"], "callers": ["symbol"], "impact": ["symbol"], "history": ["path"], "context": ["path"], "where": ["path"], "map": [], "arch-map": [], "stats": [], "reset": [], "proxy": ["program"], "gain": [], "rewrite": ["program"], "scip": ["path"]}
+    commands = {"index": ["root"], "search": ["text"], "symbols": ["text"], "callers": ["symbol"], "impact": ["symbol"], "history": ["path"], "context": ["path"], "where": ["path"], "map": [], "arch-map": [], "stats": [], "config": [], "reset": [], "proxy": ["program"], "gain": [], "rewrite": ["program"], "scip": ["path"]}
     made = {name: sub.add_parser(name) for name in commands}
     for name, args in commands.items():
         for arg in args:
@@ -254,6 +293,8 @@ def main(argv: list[str] | None = None) -> None:
     for flag in ("--full", "--index-generated"):
         made["index"].add_argument(flag, action="store_true")
     made["index"].add_argument("--since")
+    made["reset"].add_argument("--scope", choices=("all", "index", "vectors", "scip", "savings"), default="all")
+    made["reset"].add_argument("--dry-run", action="store_true")
     given = parser.parse_args(argv)
     index = Index(build(), given.index)
     kinds = lambda: next(k for k, v in G.KINDS.items() if v == G.kind_filter(given.kinds))
@@ -269,13 +310,14 @@ def main(argv: list[str] | None = None) -> None:
         "map": lambda: index.map(given.limit),
         "arch-map": index.arch_map,
         "stats": index.stats,
-        "reset": index.reset,
+        "config": index.config,
+        "reset": lambda: index.reset(given.scope, given.dry_run),
         "proxy": lambda: index.proxy(given.program, sys.stdin.read(), exit_code=given.exit_code),
         "gain": index.gain,
         "rewrite": lambda: index.rewrite(given.program),
         "scip": lambda: index.ingest_scip(given.path),
     }[given.command]()
-    if isinstance(run, dict):
+    if isinstance(run, (dict, list)):
         print(json.dumps(run))
     elif isinstance(run, str):
         print(run)

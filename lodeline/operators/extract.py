@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodeline.operators.languages import READERS, read
@@ -32,6 +32,7 @@ class Found:
     refs: list[tuple[int, str | None, str, str | None, str | None, str]] = field(default_factory=list)  # line, in symbol, name, qualifier, receiver, kind
     complexity: int = 1
     is_entry: bool = False
+    failed: bool = False
 
 
 # Calls that say nothing about a project, by language.
@@ -176,7 +177,7 @@ def parse(language: str | None, text: str | None) -> Found:
         found.is_entry &= len(text) <= BIG_FILE
         return found
     except (SyntaxError, ValueError, RecursionError):
-        return Found()
+        return Found(failed=True)
 
 
 def chunk(found: Found, lines: list[str]) -> list[tuple[int, int, str, str | None]]:
@@ -222,13 +223,19 @@ def extract(files: DataFrame, generated_refs: bool = False) -> DataFrame:
                     body = "\n".join(lines[a : b + 1])
                     rows.append((file_id, "chunk", None, k, a, b, s, None, None, body, len(body.split())))
                 longest = max((b - a + 1 for _, k, a, b, _ in found.symbols if k in ("function", "method")), default=0)
-                rows.append((file_id, "metric", None, "entry" if found.is_entry else "", longest, None, None, None, None, None, found.complexity))
+                rows.append((file_id, "metric", None, "entry" if found.is_entry else "", longest, None, "failed" if found.failed else None, None, None, None, found.complexity))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.astype({"line": "Int32", "end_line": "Int32", "number": "Int32"})
 
     return files.select("id", "content", "language", "generated").mapInPandas(run, SCHEMA)
 
 
+def observed(rows: DataFrame, observation: Observation) -> DataFrame:
+    """``rows`` that, when written, also count files and those that failed to parse."""
+    file = F.col("kind") == "metric"
+    return rows.observe(observation, F.count_if(file).alias("files"), F.count_if(file & (F.coalesce("scope", F.lit("")) == "failed")).alias("errors"))
+
+
 def _numbered(df: DataFrame, *key: str) -> DataFrame:
     return df.withColumn("id", F.xxhash64(*key).bitwiseAND((1 << 53) - 1))
 

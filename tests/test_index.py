@@ -95,6 +95,7 @@ def test_context_and_history_of_a_symbol(index):
     assert index.context("no/such/file").count() == 0
     named = index.history("core.py", "helper").first()
     assert (named.symbol, named.symbol_kind, named.line) == ("helper", "function", 9)
+    assert [r.message for r in index.history("core.py", "helper").collect()] == ["first | with a pipe"] and index.history("core.py", "nothing").count() == 0
 
 
 def test_imports_bind_in_other_languages(index):
