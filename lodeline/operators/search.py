@@ -25,53 +25,92 @@ def tokens(text: Column) -> Column:
 
 def parse_query(text: str) -> list[str]:
     """Terms of a query: all must occur, the last one as a prefix."""
-    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+    return [t for clause in parse_clauses(text) for t in clause]
+
+
+def parse_clauses(text: str) -> list[list[str]]:
+    """What a query asks for: all clauses must occur, each as its terms in a row; of the last clause, the last term is a prefix.
+
+    A text in double quotes is one clause, and so is a word with one of ``"*()``
+    in it; other words give a clause for each of their terms.
+    """
+    clauses: list[list[str]] = []
+    for quoted, word in re.findall(r'"([^"]*)"|([^\s"]+|")', text):
+        terms = [t for t in re.split(r"[\W_]+", (quoted or word).lower()) if t]
+        clauses += [terms] if terms and (quoted or re.search("[*()]", word)) else [[t] for t in terms]
+    return clauses
 
 
 def bm25(chunks: DataFrame, text: str, postings: DataFrame | None = None) -> DataFrame:
-    """id, score (higher is better) of the chunks with all terms, over content and scope together.
+    """id, score (higher is better) of the chunks with all clauses, over content and scope together; a phrase counts as a term.
 
     With ``postings`` only the query's terms are read; without, every statistic is a
     sum over one scan of token arrays.
     """
-    terms = parse_query(text)
-    if not terms:
+    clauses = parse_clauses(text)
+    if not clauses:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    body = tokens(F.concat_ws(" ", "content", "scope"))
     if postings is not None:
-        counted, totals = _from_postings(postings, terms)
-        return _scored(counted, totals, terms)
-    count = lambda i: F.size(F.filter("t", (lambda x: x.startswith(terms[i])) if i == len(terms) - 1 else (lambda x: x == terms[i])))
-    counted = chunks.select("id", body.alias("t")).select("id", F.size("t").alias("dl"), *(count(i).alias(f"tf{i}") for i in range(len(terms))))
+        counted, totals = _from_postings(postings, clauses)
+        return _scored(counted, totals, len(clauses))
+    # The empty token between content and scope keeps phrases from running over.
+    body = F.concat(tokens(F.coalesce("content", F.lit(""))), F.array(F.lit("")), tokens(F.coalesce("scope", F.lit(""))))
+    count = lambda i: _occurrences(F.col("t"), clauses[i], i == len(clauses) - 1)
+    counted = chunks.select("id", body.alias("t")).select("id", (F.size("t") - 1).alias("dl"), *(count(i).alias(f"tf{i}") for i in range(len(clauses))))
     counted = cut(counted, "counts")  # texts are taken apart once; what is read twice is a few numbers a chunk
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    return _scored(counted, totals, terms)
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(clauses))))
+    return _scored(counted, totals, len(clauses))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, tf, dl of every term and chunk, and a row of term '' for each chunk; sorted by term, so that a query's filters skip the rest."""
-    taken = chunks.select("id", tokens(F.concat_ws(" ", "content", "scope")).alias("t")).select("id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    counted = taken.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return counted.select("term", "id", "tf", "dl").repartitionByRange("term").sortWithinPartitions("term", "id")
+def _occurrences(tokens: Column, clause: list[str], prefix: bool) -> Column:
+    fits = lambda x, j: x.startswith(clause[j]) if prefix and j == len(clause) - 1 else x == clause[j]
+    if len(clause) == 1:
+        return F.size(F.filter(tokens, lambda x: fits(x, 0)))
+    at = lambda p, j: F.coalesce(fits(F.get(tokens, p + j), j), F.lit(False))
+    starts = F.filter(F.transform(tokens, lambda x, p: F.when(x == clause[0], p)), lambda p: p.isNotNull())
+    return F.size(F.filter(starts, lambda p: reduce(lambda a, b: a & b, (at(p, j) for j in range(1, len(clause))))))
+
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, id, tf, dl, positions of every term and chunk, and a row of term '' for each chunk; sorted by term, so that a query's filters skip the rest.
 
-def _from_postings(postings: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame]:
-    fits = [F.col("term") == t for t in terms[:-1]] + [(F.col("term") >= terms[-1]) & F.col("term").startswith(terms[-1])]
-    own = postings.where(reduce(lambda a, b: a | b, fits))
-    counted = own.groupBy("id").agg(F.max("dl").alias("dl"), *(F.coalesce(F.sum(F.when(fit, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, fit in enumerate(fits)))
+    Positions of the scope's terms begin two after the content's last, so that no phrase runs over.
+    """
+    placed = lambda c, start: F.transform(c, lambda t, i: F.struct(t.alias("term"), (i + start).alias("pos")))
+    taken = chunks.select("id", tokens(F.coalesce("content", F.lit(""))).alias("c"), tokens(F.coalesce("scope", F.lit(""))).alias("s"))
+    every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("pos"))), placed(F.col("c"), F.lit(0)), placed(F.col("s"), F.size("c") + 1))
+    counted = taken.select("id", (F.size("c") + F.size("s")).alias("dl"), F.explode(every).alias("x")).groupBy("id", "dl", "x.term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("x.pos")).alias("positions"))
+    return counted.select("term", "id", "tf", "dl", "positions").repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
+def _from_postings(postings: DataFrame, clauses: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """Clause counts from the rows of the query's terms: a phrase is where the terms' positions, each less its place in the phrase, meet."""
+    last = len(clauses) - 1
+    fit = lambda i, j: (F.col("term") >= clauses[i][j]) & F.col("term").startswith(clauses[i][j]) if (i, j) == (last, len(clauses[last]) - 1) else F.col("term") == clauses[i][j]
+    slots = [(i, j) for i, clause in enumerate(clauses) for j in range(len(clause))]
+    own = postings.where(reduce(lambda a, b: a | b, (fit(i, j) for i, j in slots)))
+
+    def gathered(i: int, j: int) -> Column:
+        if len(clauses[i]) == 1:
+            return F.coalesce(F.sum(F.when(fit(i, 0), F.col("tf"))), F.lit(0)).alias(f"tf{i}")
+        return F.flatten(F.collect_list(F.when(fit(i, j), F.transform("positions", lambda p: p - j)))).alias(f"at{i}_{j}")
+
+    found = own.groupBy("id").agg(F.max("dl").alias("dl"), *(gathered(i, j) for i, j in slots))
+    met = lambda i: F.size(reduce(F.array_intersect, (F.col(f"at{i}_{j}") for j in range(len(clauses[i]))))).alias(f"tf{i}")
+    counted = found.select("id", "dl", *(F.col(f"tf{i}") if len(clause) == 1 else met(i) for i, clause in enumerate(clauses)))
     sizes = postings.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return counted, counted.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).join(F.broadcast(sizes))  # one row each
+    return counted, counted.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(clauses)))).join(F.broadcast(sizes))  # one row each
 
 
-def _scored(counted: DataFrame, totals: DataFrame, terms: list[str]) -> DataFrame:
-    hit = reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
+def _scored(counted: DataFrame, totals: DataFrame, clauses: int) -> DataFrame:
+    hit = reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(clauses)))
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    score = reduce(lambda a, b: a + b, map(part, range(len(terms))))
+    score = reduce(lambda a, b: a + b, map(part, range(clauses)))
     return counted.where(hit).join(F.broadcast(totals)).select("id", score.alias("score"))  # totals: one row
 
 

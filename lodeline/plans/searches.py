@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodeline.catalog import query
 from lodeline.operators import search as S
 from lodeline.operators import vectors as V
+from lodeline.tables import cut
 from lodeline.views import read, sql, view
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(concat_ws(' ', content, scope)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
@@ -30,6 +31,26 @@ def bm25_search(spark, d):
     return S.bm25(view(spark, d, "chunks"), TEXT).select("id", F.round("score", 9).alias("score"))
 
 
+# Phrases of two terms; of the second, the last term is a prefix.
+_PHRASES = [["of", "the"], ["the", "an"]]
+_PAIRS = ", ".join(f"len([1 FOR i IN range(1, len(t)) IF t[i] = '{a}' AND {f"starts_with(t[i + 1], '{b}')" if n == len(_PHRASES) - 1 else f"t[i + 1] = '{b}'"}]) AS tf{n}" for n, (a, b) in enumerate(_PHRASES))
+_SPLIT = lambda column: f"list_filter(regexp_split_to_array(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query(
+    "phrase_search",
+    sql(
+        f"""WITH tok AS (SELECT id, list_concat({_SPLIT('content')}, [''], {_SPLIT('scope')}) AS t FROM chunks), counted AS (SELECT id, len(t) - 1 AS dl, {_PAIRS} FROM tok),
+totals AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM counted)
+SELECT id, round({" + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), CAST(0.000001 AS DOUBLE)) * tf{i} * 2.2 / (tf{i} + CAST(1.2 AS DOUBLE) * (1 - CAST(0.75 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))" for i in range(2))}, 9) AS score FROM counted, totals WHERE tf0 > 0 AND tf1 > 0""",
+        "chunks",
+    ),
+)
+def phrase_search(spark, d):
+    chunks = view(spark, d, "chunks")
+    return S.bm25(chunks, '"of the" "the an"', cut(S.postings(chunks), "postings")).select("id", F.round("score", 9).alias("score"))
+
+
 def _top(source: str, n: int) -> str:
     return f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {source} ORDER BY score DESC, id LIMIT {n}"
 

@@ -21,6 +21,25 @@ def test_bm25_matches_sqlite(spark, query):
     assert got == pytest.approx(want, rel=1e-6)
 
 
+@pytest.mark.parametrize("query", ['"red apple"', '"apple pie"', '"red app"', 'pie "red pie', '"the redder" apple', '"red apple" "apple p"', 'call(red) ap', '"pie s"', '"red red"', '"zz top"', 'apple "pie pie"'])
+def test_phrases_match_sqlite(spark, query):
+    """Over token arrays and over positional postings; the scope never continues a phrase."""
+    docs = DOCS + ["call red apple", "red apple red apple pie red", None]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(content, scope, tokenize='unicode61 remove_diacritics 2')")
+    db.executemany("insert into f(rowid, content, scope) values (?, ?, ?)", [(i, d, "s red") for i, d in enumerate(docs)])
+    clauses = [" ".join(c) for c in S.parse_clauses(query)]
+    want = dict(db.execute("select rowid, -bm25(f) from f where f match ?", (" ".join([*(f'"{c}"' for c in clauses[:-1]), f'"{clauses[-1]}"*']),)).fetchall())
+    df = spark.createDataFrame([(i, d, "s red") for i, d in enumerate(docs)], "id long, content string, scope string")
+    for held in (None, S.postings(df)):
+        assert {r.id: r.score for r in S.bm25(df, query, held).collect()} == pytest.approx(want, rel=1e-6)
+
+
+def test_clauses():
+    assert S.parse_clauses('Foo-bar "Red  apple" get(x) la') == [["foo"], ["bar"], ["red", "apple"], ["get", "x"], ["la"]]
+    assert S.parse_clauses('"" " * (') == [] and S.parse_query('a "b c"') == ["a", "b", "c"]
+
+
 @pytest.mark.parametrize("path,kind,centrality,score", [("a.py", "function", 0.0, 1.2 / 61), ("a_test.py", "function", 0.0, 0.12 / 61), ("a.py", "import", None, 0.12 / 61), ("a.py", "function", 0.5, 1.2 * 3.5 / 61), ("a_test.py", "function", 0.2, 1.2 * 0.2 / 61)])
 def test_fusion_scores(spark, path, kind, centrality, score):
     chunks = spark.createDataFrame([(1, path, kind, centrality)], "id long, path string, kind string, centrality double")
