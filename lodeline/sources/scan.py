@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import subprocess
 import tomllib
 from pathlib import Path
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions import paths as P
+from lodeline.sources import tree
+from lodeline.tables import cut
 
 # Folders that are never entered, and extensions that are kept.
 PRUNED = ("node_modules", ".git", "target", "dist", "build", "__pycache__", ".venv", "venv", ".tox", "vendor")
@@ -24,38 +26,37 @@ def kept(path: Column) -> Column:
     return ~hidden & P.extension(path).isin(*KEPT)
 
 
-def ignore_rules(root: str) -> list[str]:
-    """Lines of the root's ignore file as glob patterns."""
-    file = Path(root) / ".gitignore"
-    lines = file.read_text().splitlines() if file.exists() else []
-    return [x.strip() for x in lines if x.strip() and not x.startswith(("#", "!"))]
+def _outer_rules(root: str) -> list[tuple[str, str]]:
+    """Exclude files of the repository and of the user, as (path, text)."""
+    found = subprocess.run(["git", "-C", root, "config", "--path", "core.excludesFile"], capture_output=True, text=True) if Path(root).is_dir() else None
+    named = found.stdout.strip() if found and found.returncode == 0 else ""
+    files = [Path(named or Path.home() / ".config/git/ignore"), Path(root) / ".git/info/exclude"]
+    return [("", file.read_text(errors="replace")) for file in files if file.is_file()]
 
 
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Any rule that matches the path, one of its folders or its name."""
-    out = F.lit(False)
-    for rule in rules:
-        body = fnmatch.translate(rule.strip("/")).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z").replace(".*", "[^/]*")
-        start = "^" if rule.startswith("/") or "/" in rule.strip("/") else "(^|/)"
-        out = out | path.rlike(f"{start}{body}(/|$)")
-    return out
+def rules(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """The ignore rules of a tree: those of the user, the repository and every folder."""
+    inner = tree.contents(listed.where(F.element_at(F.split("path", "/"), -1).isin(*tree.RULE_FILES)), root).select("path", F.col("content").cast("string").alias("text"))
+    # Of the outer files the later win; they come before those of any folder.
+    outer = "\n".join(text for _, text in _outer_rules(root))
+    return tree.rules(inner.unionByName(spark.createDataFrame([("", outer)], "path string, text string")))
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
     """id, path, content, hash, language, lang_family, dir, generated, size of every kept file below a folder.
 
-    ``ignore`` are regular expressions on the relative path. The binary source
-    lists and reads in parallel; the filters run before contents are decoded.
+    ``ignore`` are regular expressions on the relative path. The tree is listed
+    first; only what passes the filters and no ignore rule takes away is read.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    relative = P.canonical(F.regexp_replace("path", "^file:/+", "/"), base)
-    rows = raw.select(relative.alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
-    wanted = rows.where(kept(F.col("path")) & ~ignored(F.col("path"), ignore_rules(root)))
+    base = root.rstrip("/") or "/"
+    listed = cut(tree.listing(spark, base, PRUNED), "listing")
+    wanted = listed.where(kept(F.col("path")))
     for pattern in ignore:
         wanted = wanted.where(~F.col("path").rlike(pattern))
+    wanted = wanted.join(tree.ignored(wanted, rules(spark, base, listed)), "path", "left_anti")
+    rows = tree.contents(wanted.repartition(F.col("path")), base).select("path", F.col("content").cast("string").alias("content"), "size", "mtime")
     lang = P.language(F.col("path"))
-    described = wanted.select("path", "content", F.sha2("content", 256).alias("hash"), lang.alias("language"), P.family(lang).alias("lang_family"), P.dir_of(F.col("path")).alias("dir"), P.is_generated(F.col("content")).alias("generated"), "size", "mtime")
+    described = rows.select("path", "content", F.sha2("content", 256).alias("hash"), lang.alias("language"), P.family(lang).alias("lang_family"), P.dir_of(F.col("path")).alias("dir"), P.is_generated(F.col("content")).alias("generated"), "size", "mtime")
     return described.withColumn("id", F.xxhash64("path").bitwiseAND((1 << 53) - 1))
 
 
