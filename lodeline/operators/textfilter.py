@@ -253,3 +253,39 @@ def with_defaults(rule: Rule, **changes) -> Rule:
     return replace(rule, **changes)
 
 
+@dataclass(frozen=True)
+class Sections:
+    """Failure sections of one tool's output: what begins and what ends one, and how much of them is shown."""
+
+    begins: str
+    ends: str | None = None
+    each: int | None = None  # lines of a section, its first one counted
+    lines: int | None = None  # further lines of all sections; first lines are always shown
+
+
+# Sections by tool.
+FAILURES = {
+    "go test": Sections("^--- FAIL:", r"^(--- |=== )", lines=30),
+    "pytest": Sections("^(FAILED |___)", each=15),
+    "jest": Sections("^(● |FAIL )", each=11),
+}
+
+
+def failure_sections(lines: DataFrame, tools: dict[str, Sections] = FAILURES) -> DataFrame:
+    """id, section, nth, pos, line: the failure sections of outputs given as (id, tool, pos, line), as far as they are shown.
+
+    Gaps and islands: a running count of the lines that begin a section numbers
+    them, the last line that begins or ends one tells whether a line is inside, and row
+    numbers cap a section or the output. A window holds the lines of one output.
+    """
+    text = F.trim(F.regexp_replace("line", "\t", " "))
+    pick = lambda get, plain: reduce(lambda out, x: F.when(F.col("tool") == x[0], get(x[1])).otherwise(out), tools.items(), plain)
+    never, least = F.lit(False), F.lit(1 << 30)
+    rows = lines.where(F.col("tool").isin(*tools)).withColumn("line", text)
+    rows = rows.withColumn("begins", pick(lambda s: F.col("line").rlike(s.begins), never)).withColumn("ends", pick(lambda s: F.col("line").rlike(s.ends) if s.ends else never, never))
+    order = Window.partitionBy("id").orderBy("pos")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section", F.count_if("begins").over(sofar)).withColumn("inside", F.last(F.when(F.col("begins"), True).when(F.col("ends"), False), ignorenulls=True).over(sofar))
+    inside = rows.where("inside").withColumn("nth", F.row_number().over(Window.partitionBy("id", "section").orderBy("pos"))).withColumn("of_all", F.row_number().over(order))
+    shown = (F.col("nth") <= pick(lambda s: F.lit(s.each or 1 << 30), least)) & (F.col("begins") | (F.col("of_all") <= pick(lambda s: F.lit(s.lines or 1 << 30), least)))
+    return inside.where(shown).select("id", "section", "nth", "pos", "line")

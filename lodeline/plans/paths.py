@@ -136,6 +136,33 @@ def ignored_paths(spark, d):
     return I.without_ignored(view(spark, d, "files"), ["^docs/", "promo"]).select("path")
 
 
+# Ignore files of four folders, and what their rules mean, by hand: folder, depth, line, negated, folders only, regex.
+_IGNORE = [
+    (".gitignore", "# generated\n*_test_*\n*.md\ndocs/brand_2*/\n!src/**/*_9?.md"),
+    ("src/.gitignore", "handlers/\nstore/*.c\n!/brand_11/economy/handlers/"),
+    ("src/brand_12/.gitignore", "*\n!*/\n!*.rs"),
+    ("tests/.gitignore", "!*.md"),
+]
+_RULES = "(VALUES ('', 0, 1, false, false, '(^|/)[^/]*_test_[^/]*$'), ('', 0, 2, false, false, '(^|/)[^/]*\\.md$'), ('', 0, 3, false, true, '^docs/brand_2[^/]*$'), ('', 0, 4, true, false, '^src/(.*/)?[^/]*_9[^/]\\.md$'), ('src', 1, 0, false, true, '(^|/)handlers$'), ('src', 1, 1, false, false, '^store/[^/]*\\.c$'), ('src', 1, 2, true, true, '^brand_11/economy/handlers$'), ('src/brand_12', 2, 0, false, false, '(^|/)[^/]*$'), ('src/brand_12', 2, 1, true, true, '(^|/)[^/]*$'), ('src/brand_12', 2, 2, true, false, '(^|/)[^/]*\\.rs$'), ('tests', 1, 0, true, false, '(^|/)[^/]*\\.md$')) AS rules(dir, depth, line, negated, folders_only, regex)"
+
+
+@query(
+    "layered_ignores",
+    sql(
+        f"""WITH parts AS (SELECT path, string_split(path, '/') AS p FROM files),
+steps AS (SELECT path, array_to_string(p[1:k], '/') AS step, k < len(p) AS folder, k FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS k FROM parts)),
+met AS (SELECT DISTINCT step, folder, depth, line, negated FROM steps JOIN {_RULES} ON (dir = '' OR starts_with(step, dir || '/')) AND (folder OR NOT folders_only) AND regexp_matches(CASE WHEN dir = '' THEN step ELSE substr(step, length(dir) + 2) END, regex)),
+last AS (SELECT step, folder, arg_max(negated, depth * 100 + line) AS negated FROM met GROUP BY 1, 2)
+SELECT DISTINCT path FROM steps JOIN last USING (step, folder) WHERE NOT negated""",
+        "files",
+    ),
+)
+def layered_ignores(spark, d):
+    from lodeline.sources import tree
+
+    return tree.ignored(view(spark, d, "files"), tree.rules(spark.createDataFrame(_IGNORE, "path string, text string")))
+
+
 @query("generated_sniff", "SELECT doc_id AS id, (contains(h, 'DO NOT EDIT') OR contains(h, '@generated') OR contains(h, '<auto-generated') OR contains(h, 'Generated by the protocol buffer compiler')) AS generated FROM (SELECT doc_id, array_to_string(list_slice(string_split(substr(concat(CASE WHEN doc_id % 7 = 0 THEN '// @generated' || chr(10) ELSE '' END, text), 1, 2048), chr(10)), 1, 40), chr(10)) AS h FROM documents)")
 def generated_sniff(spark, d):
     marked = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("// @generated\n")).otherwise(F.lit("")), F.col("text"))

@@ -131,12 +131,37 @@ def gain_daily(spark, d):
     return T.gain_daily(view(spark, d, "tracking")).withColumn("day", F.col("day").cast("string"))
 
 
+# Lines of documents as outputs of three tools; every 9th line or so begins a section, every 13th is a marker that may end one.
+_OUTPUT = """outs AS (SELECT id, CASE id % 3 WHEN 0 THEN 'go test' WHEN 1 THEN 'pytest' ELSE 'jest' END AS tool, pos, trim(replace(concat(
+    CASE WHEN (id * 7 + pos) % 9 = 0 THEN CASE id % 3 WHEN 0 THEN '--- FAIL: ' WHEN 1 THEN CASE WHEN pos % 2 = 0 THEN 'FAILED ' ELSE '___ ' END ELSE '● ' END
+         WHEN (id + pos) % 13 = 0 THEN CASE WHEN pos % 2 = 0 THEN '=== RUN ' ELSE '--- PASS: ' END ELSE '' END, line), chr(9), ' ')) AS line FROM lines)"""
+_BEGINS = "CASE tool WHEN 'go test' THEN starts_with(line, '--- FAIL:') WHEN 'pytest' THEN starts_with(line, 'FAILED ') OR starts_with(line, '___') ELSE starts_with(line, '● ') OR starts_with(line, 'FAIL ') END"
+
+
+@query(
+    "failure_sections",
+    sql(
+        f"""WITH {_OUTPUT}, marked AS (SELECT *, {_BEGINS} AS begins, tool = 'go test' AND (starts_with(line, '--- ') OR starts_with(line, '=== ')) AS ends FROM outs),
+numbered AS (SELECT *, count(*) FILTER (begins) OVER w AS section, max(CASE WHEN begins OR ends THEN pos * 2 + CASE WHEN begins THEN 1 ELSE 0 END END) OVER w AS mark FROM marked WINDOW w AS (PARTITION BY id ORDER BY pos)),
+inside AS (SELECT *, row_number() OVER (PARTITION BY id, section ORDER BY pos) AS nth, row_number() OVER (PARTITION BY id ORDER BY pos) AS of_all FROM numbered WHERE mark % 2 = 1)
+SELECT id, section, CAST(nth AS INT) AS nth, pos, line FROM inside WHERE nth <= CASE tool WHEN 'pytest' THEN 15 WHEN 'jest' THEN 11 ELSE 1000000 END AND (begins OR tool <> 'go test' OR of_all <= 30)""",
+        "lines",
+    ),
+)
+def failure_sections(spark, d):
+    own, pos, even = F.col("id") % 3, F.col("pos"), F.col("pos") % 2 == 0
+    begin = F.when(own == 0, "--- FAIL: ").when(own == 1, F.when(even, "FAILED ").otherwise("___ ")).otherwise("● ")
+    mark = F.when((F.col("id") * 7 + pos) % 9 == 0, begin).when((F.col("id") + pos) % 13 == 0, F.when(even, "=== RUN ").otherwise("--- PASS: ")).otherwise("")
+    tool = F.when(own == 0, "go test").when(own == 1, "pytest").otherwise("jest")
+    return T.failure_sections(view(spark, d, "lines").select("id", tool.alias("tool"), "pos", F.concat(mark, "line").alias("line")))
+
+
 @query("handler_outputs")
 def handler_outputs(spark, d):
     """Documents as the output of a few programs."""
     command = F.get(F.array(*(F.lit(c) for c in ("git status", "grep -rn x", "cat f.py", "kubectl logs p", "pytest", "find ."))), (F.col("doc_id") % 6).cast("int"))
     runs = read(spark, d, "documents").select("doc_id", command.alias("command"), F.col("text").alias("stdout"), F.lit("").alias("stderr"), (F.col("doc_id") % 2).cast("int").alias("exit_code"))
-    return handlers.apply(runs).select("doc_id", "handler", F.length("output").alias("length"))
+    return handlers.apply(runs).select("doc_id", "handler", F.length("output").alias("length"), F.md5("output").alias("output_md5"))
 
 
 @query("tier_precision", "WITH p AS (SELECT l.doc_id, n_chars % 4 AS tier, quality = 1 AS correct FROM labels l JOIN documents d ON d.doc_id = l.doc_id) SELECT tier, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS wrong, round(CAST(count(*) FILTER (correct) AS DOUBLE) / count(*), 6) AS precision FROM p GROUP BY tier")

@@ -110,3 +110,36 @@ def test_snippets_paths_and_hints(spark):
     got = rows.select(S.snippet(F.col("content"), ["run"], 8).alias("s"), S.hotspot_hint(F.col("hot"), F.col("commits")).alias("h")).collect()
     assert got[0].s == "a b >>>Run,<<< c >>>running<<< d x x..." and got[1].s == "nothing here" and got[2].s == ""
     assert "3 commits" in got[0].h and got[1].h is None and "30 days" in got[2].h
+
+
+def test_failure_sections_match_a_loop(spark):
+    """Tools as loops over their lines, with the same limits."""
+    import random
+
+    def loop(tool, lines):
+        out, inside, section, count, shown = [], False, 0, 0, 0
+        for pos, line in enumerate(lines):
+            x = line.strip()
+            if {"go test": x.startswith("--- FAIL:"), "pytest": x.startswith(("FAILED ", "___")), "jest": x.startswith(("● ", "FAIL "))}[tool]:
+                inside, section, count = True, section + 1, 0
+                fits = True
+            elif inside and tool == "go test" and x.startswith(("--- ", "=== ")):
+                inside = False
+            else:
+                fits = {"go test": shown < 30, "pytest": count < 15, "jest": count <= 10}[tool]
+            if inside:
+                count += 1
+                if fits:
+                    shown += 1
+                    out.append((section, pos, x))
+        return out
+
+    rng, rows, want = random.Random(1), [], []
+    words = ["--- FAIL: a", "--- PASS: b", "=== RUN c", "FAILED t", "___ u", "● v", "FAIL w", "", "\tplain  ", "text", "more"]
+    for i in range(60):
+        tool = ["go test", "pytest", "jest"][i % 3]
+        lines = rng.choices(words, weights=[1, 1, 1, 1, 1, 1, 1, 9, 9, 9, 9], k=rng.randrange(0, 150))
+        rows += [(i, tool, pos, x) for pos, x in enumerate(lines)]
+        want += [(i, *r) for r in loop(tool, lines)]
+    found = T.failure_sections(spark.createDataFrame([*rows, (99, "other", 0, "FAIL x")], "id int, tool string, pos int, line string").repartition(5))
+    assert sorted((r.id, r.section, r.pos, r.line) for r in found.collect()) == sorted(want)
