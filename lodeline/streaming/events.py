@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,19 +40,21 @@ def drain(df: DataFrame, sink: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(sink)
 
 
-def reindex(stream: DataFrame, apply: Callable[[DataFrame, int], None], events: str, checkpoint: str, every: str = "150 milliseconds"):
+def reindex(stream: DataFrame, apply: Callable[[DataFrame, int], None], events: str, checkpoint: str, every: str = "150 milliseconds", name: str = "reindex"):
     """File changes (path, deleted, at, ...) in bursts: the last one of each path, removals before changes, then an event row per epoch.
 
-    Of a removal and a change at the same time the change counts.
+    Of a removal and a change at the same time the change counts. An event row also
+    has how long its epoch took; a ``files.Reindexed`` listener tells those who wait.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
+        began = time.monotonic()
         newest = F.max_by(F.struct(*rows.columns), F.struct(F.col("at"), ~F.col("deleted"))).alias("r")
         last = rows.groupBy("path").agg(newest).select("r.*").persist()
         apply(last.where("deleted"), epoch)
         apply(last.where("not deleted"), epoch)
-        note = last.agg(F.lit("reindex").alias("event"), F.count(F.lit(1)).alias("files"), F.lit(epoch).alias("epoch"), F.current_timestamp().alias("ts"))
+        note = last.agg(F.lit("reindex").alias("event"), F.count(F.lit(1)).alias("files"), F.lit(epoch).alias("epoch"), F.current_timestamp().alias("ts"), F.lit(int(1000 * (time.monotonic() - began))).alias("last_reindex_ms"))
         note.write.mode("append").parquet(events)
         last.unpersist()
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return stream.writeStream.queryName(name).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
