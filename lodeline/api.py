@@ -16,6 +16,7 @@ from lodeline.epochs import Conflict, Folder, Versions
 from lodeline.functions.scalars import hotspot_hint, short_number, snippet, truncate_command
 from lodeline.operators import architecture as A
 from lodeline.operators import context as C
+from lodeline.operators import crates
 from lodeline.operators import evalkit as E
 from lodeline.operators import extract as X
 from lodeline.operators import graph as G
@@ -83,7 +84,8 @@ class Index:
         symbols, raw, measured = store("symbols", X.symbols(rows)), X.refs(rows), X.metrics(rows)
         chunks = store("chunks", X.chunks(rows))
         store("postings", S.postings(chunks))
-        refs = store("refs", self._resolve(raw, files, symbols))
+        manifests = contents.where(F.element_at(F.split("path", "/"), -1) == crates.MANIFEST).select("path", F.col("content").cast("string").alias("content"))
+        refs = store("refs", self._resolve(raw, files, symbols, manifests))
         parsed = gitlog.log(spark, root, days)
         indexed = files.select(F.col("path").alias("file_path"), F.col("id").alias("file_id"))
         touched = parsed.join(indexed, "file_path").withColumn("commit_id", F.xxhash64("hash"))
@@ -119,10 +121,12 @@ class Index:
         kept = contents.select(F.col("id").alias("file_id")).join(changed.select(F.col("id").alias("file_id")), "file_id", "left_anti")
         return X.extract(changed, index_generated).unionByName(self.table("_rows").join(kept, "file_id", "left_semi"))
 
-    def _resolve(self, raw: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    def _resolve(self, raw: DataFrame, files: DataFrame, symbols: DataFrame, manifests: DataFrame) -> DataFrame:
         wanted = raw.where("kind = 'import_binding'").join(files.select(F.col("id").alias("source_file_id"), "lang_family", "dir"), "source_file_id")
         paths = R.module_candidates(F.col("lang_family"), F.col("target_qualifier"), F.col("dir"))
         bound = R.resolve_modules(wanted.select("id", paths.alias("paths")), files, F.col("paths"))
+        rust = crates.modules(wanted.where("lang_family = 'rust'").select("id", "dir", F.col("target_qualifier").alias("module")), files, manifests)
+        bound = rust.unionByName(bound.join(rust, "id", "left_anti"))
         bindings = wanted.select("id", "source_file_id", "target_name").join(bound, "id", "left")
         bindings = R.chase_barrels(bindings.select("id", "source_file_id", "target_name", "target_file_id"), symbols)
         inherits = raw.where("kind = 'inherit' and target_qualifier is null")

@@ -114,3 +114,28 @@ def unique_suffix_match(spark, d):
 def module_probe(spark, d):
     module = F.concat(F.lit("brand_"), (F.col("id") % 25 + 1).cast("string"), F.when(F.col("id") % 2 == 0, F.lit(".promo")).otherwise(F.lit(".small")))
     return R.resolve_modules(view(spark, d, "files").select("id", module.alias("m")), view(spark, d, "code_files"), R.python_candidates(F.col("m")))
+
+
+# Each top-level folder is a crate of one workspace; files name their own crate, another one, or their own folder.
+_CRATE_WANTED = "w AS (SELECT id, dir, id % 3 AS how, concat('brand_', id % 25 + 1) AS other, CASE id % 5 WHEN 0 THEN 'promo' WHEN 1 THEN 'small' WHEN 2 THEN 'large' WHEN 3 THEN 'medium' ELSE 'economy' END AS leaf FROM code_files)"
+
+
+@query(
+    "rust_workspace_modules",
+    sql(
+        f"""WITH {_CRATE_WANTED}, top AS (SELECT DISTINCT dir FROM code_files WHERE regexp_matches(dir, '^brand_[0-9]+/$'))
+SELECT w.id, f.id AS target_file_id FROM w JOIN code_files f ON f.path = concat(CASE how WHEN 0 THEN CASE WHEN w.dir IN (SELECT dir FROM top) THEN w.dir ELSE 'no/' END WHEN 1 THEN CASE WHEN other || '/' IN (SELECT dir FROM top) THEN other || '/' ELSE 'no/' END ELSE w.dir END, leaf, '.rs')""",
+        "code_files",
+    ),
+)
+def rust_workspace_modules(spark, d):
+    from lodeline.operators import crates
+
+    files = view(spark, d, "code_files")
+    folders = files.select("dir").distinct().where(F.col("dir").rlike("^brand_[0-9]+/$"))
+    member = F.concat(F.lit("[package]\nversion = '1'\nname = '"), F.translate("dir", "_/", "-"), F.lit("'\n"))
+    root = spark.createDataFrame([("Cargo.toml", "[workspace]\nmembers = [\n  'brand_*',\n]\n[profile.dev]\n")], "path string, content string")
+    manifests = folders.select(F.concat("dir", F.lit("Cargo.toml")).alias("path"), member.alias("content")).unionByName(root)
+    leaf = F.get(F.array(*map(F.lit, ("promo", "small", "large", "medium", "economy"))), (F.col("id") % 5).cast("int"))
+    head = F.when(F.col("id") % 3 == 0, F.lit("crate")).when(F.col("id") % 3 == 1, F.concat(F.lit("brand_"), (F.col("id") % 25 + 1).cast("string"))).otherwise(F.lit("self"))
+    return crates.modules(files.select("id", "dir", F.concat_ws("::", head, leaf).alias("module")), files, manifests)

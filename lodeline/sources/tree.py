@@ -97,7 +97,7 @@ def contents(listed: DataFrame, root: str) -> DataFrame:
     return listed.mapInArrow(read, schema).where("content is not null")
 
 
-def _regex(body: Column) -> Column:
+def glob_regex(body: Column) -> Column:
     """A glob of ignore files as a regular expression; what a backslash marks stays as it is."""
     e = F.regexp_replace(body, r"\\(.)", "\x01$1")
     e = F.regexp_replace(e, r"(?<!\x01)\[[!^]", "[\x02")
@@ -122,7 +122,7 @@ def rules(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("folders_only", F.col("text").endswith("/")).withColumn("text", F.regexp_replace("text", "/$", ""))
     # A slash within ties the rule to its folder; without one it is about names at any depth.
     tied = F.contains(F.col("text"), F.lit("/"))
-    regex = F.concat(F.when(tied, F.lit("^")).otherwise(F.lit("(^|/)")), _regex(F.regexp_replace("text", "^/", "")), F.lit("$"))
+    regex = F.concat(F.when(tied, F.lit("^")).otherwise(F.lit("(^|/)")), glob_regex(F.regexp_replace("text", "^/", "")), F.lit("$"))
     # A bracket that isn't closed matches nothing.
     whole = F.regexp_replace("text", r"\\.", "").rlike(r"^[^\[]*(\[[^\[\]]+\][^\[]*)*$")
     return rows.where(whole & (F.col("text") != "")).select("dir", "rank", "line", "negated", "folders_only", regex.alias("regex"))

@@ -24,6 +24,11 @@ TREE = {
     "rs/src/store/mod.rs": "pub struct Store { n: u32 }\nimpl Store { pub fn put(&self, n: u32) {} }\n",
     "jv/a/Use.java": "package jv.a;\nimport jv.b.Help;\npublic class Use { void go(Help h) { h.give(); } }\n",
     "jv/b/Help.java": "package jv.b;\npublic class Help { void give() {} }\n",
+    "ws/Cargo.toml": "[workspace]\nmembers = ['*']\n",
+    "ws/tool/Cargo.toml": "[package]\nname = 'tool'\n",
+    "ws/tool/src/main.rs": "use text_kit::trim::Trim;\nfn main() { let t = Trim::new(); t.cut(); }\n",
+    "ws/kit/Cargo.toml": "[package]\nname = 'text-kit'\n",
+    "ws/kit/src/trim.rs": "pub struct Trim { n: u32 }\nimpl Trim { pub fn cut(&self) {} }\n",
     "srv/main.go": "package main\n\nfunc main() {\n\tserve()\n}\n\nfunc serve() {}\n",
 }
 
@@ -102,7 +107,7 @@ def test_imports_bind_in_other_languages(index):
     files = {r.id: r.path for r in index.table("files").collect()}
     bound = {(files[r.source_file_id], r.target_name): files.get(r.target_file_id) for r in index.table("refs").where("kind = 'import_binding'").collect()}
     assert bound["web/handlers/page.ts", "draw"] == "web/handlers/draw.ts" and bound["app/main.py", "Circle"] == "app/shapes.py"
-    assert bound["rs/src/main.rs", "Store"] == "rs/src/store/mod.rs" and bound["jv/a/Use.java", "Help"] == "jv/b/Help.java"
+    assert bound["rs/src/main.rs", "Store"] == "rs/src/store/mod.rs" and bound["ws/tool/src/main.rs", "Trim"] == "ws/kit/src/trim.rs" and bound["jv/a/Use.java", "Help"] == "jv/b/Help.java"
 
 
 def test_second_build_reads_changed_files_only(spark, index, monkeypatch):
