@@ -140,10 +140,12 @@ _LOOSE = (
     (2, re.compile(r"(?<![0-9.-])[0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{2,4}(?![0-9-])|(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z-])"), _DIGITS),
     (3, re.compile(r"(?<![0-9+(-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])"), _DIGITS),
     (3, re.compile(r"(?<![0-9+])00[1-9][0-9]{0,2}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9-])"), ("00",)),
-    (4, re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|(?:access|private)[_-]?key|credential)[A-Za-z0-9_-]{0,20}+[\"']?\s{0,3}+(?:=>|:=|[=:])\s{0,3}+[\"']?([^\s\"'<>,;]{8,512}+)"), ("=", ":")),
-    (4, re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opusr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}|xox[bp]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,2000}+\.[A-Za-z0-9_-]{10,4000}+\.[A-Za-z0-9_-]{10,1000})(?![A-Za-z0-9])"), _PREFIXES),
-    (4, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,20000}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"), ("-----BEGIN",)),
-    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}+(?![A-Za-z0-9])"), _DIGITS),
+    (4, re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|(?:access|private)[_-]?key|credential)[A-Za-z0-9_-]{0,20}+[\"']?\s{0,3}+(?:=>|:=|[=:])\s{0,3}+[\"']?([^\s\"'<>,;]{8,}+)"), ("=", ":")),
+    # Secrets are taken whole, however long: a part of one left in the text would still be read.
+    (4, re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16,}+|gh[opusr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[bp]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|(?<![_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"), _PREFIXES),
+    # A private key goes to its end line; without one, through its headers and what follows in its alphabet.
+    (4, re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s*+[A-Za-z-]++: [^\n]*+)*+[A-Za-z0-9+/=\s]*+)"), ("-----BEGIN",)),
+    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"), _DIGITS),
     (5, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _DIGITS),
     (6, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), ("-",)),
     (7, re.compile(r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01]?[0-9]-[0-3]?[0-9]|[0-3]?[0-9][./][0-3]?[0-9][./](?:19|20)[0-9]{2})(?![0-9./-]?[0-9])"), ("19", "20")),
