@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,15 +11,15 @@ from pyspark.sql import functions as F
 
 from lodeline.tables import cut
 
-#: Graphs up to this many edges are solved by one task in numpy (a job instead of dozens); larger ones by joins.
+#: Louvain, whose moves are sequential, solves a graph up to this many edges as a whole; larger ones by parts.
 KERNEL_EDGES = 2_000_000
 DAMPING, ITERATIONS = 0.85, 30
 LEAST_CONFIDENCE = 0.5
 #: What a request for all callers gets at most.
 UNLIMITED = 50_000
 SEED_CAP, NODE_CAP = 200, 100
-#: Joins between two checkpoints.
-CUT_EVERY = 5
+#: Joins between two tables that cut the lineage, and between two looks at whether a fixed point is reached.
+CUT_EVERY, STEPS = 2, 4
 
 KINDS = {"both": ("call", "field_access", "type_ref", "inherit"), "calls": ("call", "field_access"), "types": ("type_ref",), "inherits": ("inherit",)}
 
@@ -55,110 +57,91 @@ def _numbered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, at[: len(frame)], at[len(frame) :]
 
 
-def _pagerank_kernel(frame: pd.DataFrame) -> pd.DataFrame:
-    ids, src, dst = _numbered(frame)
-    n, w = len(ids), frame["weight"].to_numpy(float)
-    out = np.bincount(src, w, minlength=n)
-    share, dangling, rank = w / out[src], out == 0, np.full(n, 1 / n)
-    for _ in range(ITERATIONS):
-        rank = (1 - DAMPING) / n + DAMPING * (np.bincount(dst, rank[src] * share, minlength=n) + rank[dangling].sum() / n)
-    return pd.DataFrame({"id": ids, "centrality": rank})
-
+def pagerank(edges: DataFrame) -> DataFrame:
+    """id, centrality: weighted, a fixed number of iterations, dangling mass spread evenly. Nodes are the edges' ends.
 
-def pagerank(edges: DataFrame, by_joins: bool | None = None) -> DataFrame:
-    """id, centrality: weighted, a fixed number of iterations, dangling mass spread evenly. Nodes are the edges' ends."""
-    if not (by_joins if by_joins is not None else not small(edges)):
-        return _in_one_task(edges, _pagerank_kernel, "id long, centrality double")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).persist()
-    nodes = nodes.join(total.select(F.col("src").alias("id"), F.lit(True).alias("sends")), "id", "left").persist()
+    A round adds the same number to every node: the jump and the dangling nodes'
+    mass. Ranks are linear in these numbers, so the joins only carry on what a
+    unit at every node becomes, round by round: edges stay where they are, and
+    one shuffle a round moves sums by ``dst``. The numbers follow from the sums
+    over the dangling nodes, and the ranks from one more aggregation.
+    """
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("weight")), F.struct(F.col("dst").alias("id"), F.lit(None).cast("double").alias("weight")))).alias("e"))
+    nodes = cut(ends.groupBy("e.id").agg(F.sum("e.weight").alias("total")), "nodes")
     n = nodes.count()
-    rank = nodes.select("id", "sends", F.lit(1 / n if n else 0.0).alias("rank"))
-    for i in range(1, ITERATIONS + 1):
-        lost = rank.where("sends is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = shares.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = nodes.join(got, "id", "left").join(F.broadcast(lost))  # one row
-        rank = base.select("id", "sends", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % CUT_EVERY == 0:
-            rank = cut(rank)
-    return rank.select("id", F.col("rank").alias("centrality"))
-
-
-def _scc_kernel(frame: pd.DataFrame) -> pd.DataFrame:
-    """Tarjan's algorithm without recursion; a component is named by its smallest id."""
-    ids, src, dst = _numbered(frame)
-    n = len(ids)
-    order = np.argsort(src, kind="stable")
-    heads, starts = dst[order], np.searchsorted(src[order], np.arange(n + 1))
-    number, low, on, label = np.full(n, -1), np.zeros(n, int), np.zeros(n, bool), np.full(n, -1)
-    stack, clock = [], 0
-    for root in range(n):
-        if number[root] >= 0:
-            continue
-        work = [(root, starts[root])]
-        number[root] = low[root] = clock
-        clock += 1
-        stack.append(root)
-        on[root] = True
-        while work:
-            v, at = work.pop()
-            while at < starts[v + 1]:
-                w = heads[at]
-                at += 1
-                if number[w] < 0:
-                    work.append((v, at))
-                    number[w] = low[w] = clock
-                    clock += 1
-                    stack.append(w)
-                    on[w] = True
-                    work.append((w, starts[w]))
-                    break
-                if on[w]:
-                    low[v] = min(low[v], number[w])
-            else:
-                if low[v] == number[v]:
-                    part = []
-                    while not part or part[-1] != v:
-                        part.append(stack.pop())
-                    on[part] = False
-                    label[part] = min(part)
-                if work:
-                    up = work[-1][0]
-                    low[up] = min(low[up], low[v])
-    return pd.DataFrame({"id": ids, "scc": ids[label], "scc_size": np.bincount(label, minlength=n)[label]})
-
-
-def scc(edges: DataFrame, by_joins: bool | None = None) -> DataFrame:
-    """id, scc (smallest id of its strongly connected component), scc_size."""
-    if not (by_joins if by_joins is not None else not small(edges)):
-        return _in_one_task(edges, _scc_kernel, "id long, scc long, scc_size long")
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("centrality"))
+    shares = cut(edges.join(nodes.select(F.col("id").alias("src"), "total"), "src").select("src", "dst", (F.col("weight") / F.col("total") * DAMPING).alias("share")), "shares").repartition("src").persist()
+    now, units = nodes.select("id", F.lit(1.0).alias("unit")), [nodes.select("id", F.lit(1.0).alias("unit"), F.lit(0).alias("round"))]
+    for first in range(0, ITERATIONS, CUT_EVERY):
+        made = []
+        for k in range(first + 1, min(first + CUT_EVERY, ITERATIONS) + 1):
+            now = shares.join(now.select(F.col("id").alias("src"), "unit"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("unit") * F.col("share")).alias("unit"))
+            made.append(now.withColumn("round", F.lit(k)))
+        units.append(cut(reduce(DataFrame.unionByName, made), "ranks"))
+        now = units[-1].where(F.col("round") == k)
+    shares.unpersist()
+    every = reduce(DataFrame.unionByName, units)
+    sums = every.join(nodes.where("total is null").select("id"), "id", "left_semi").groupBy("round").agg(F.sum("unit").alias("unit"))
+    lost = {r["round"]: r["unit"] for r in sums.collect()}  # a row per round
+    # What is added to every node before each round, the even start first.
+    added = [1 / n]
+    for k in range(ITERATIONS):
+        dangling = sum(x * lost.get(k - i, 0.0) for i, x in enumerate(added))
+        added.append((1 - DAMPING + DAMPING * dangling) / n)
+    counts = F.get(F.array(*(F.lit(x) for x in reversed(added))), F.col("round"))
+    return every.groupBy("id").agg(F.sum(F.col("unit") * counts).alias("centrality"))
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """``edges`` (src, dst) without those that no cycle can hold: an end has none coming in, or none going out, again and again."""
+    size, now = None, cut(edges, "cyclic")
+    while True:
+        now = cut(now.join(now.select(F.col("dst").alias("src")), "src", "left_semi").join(now.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"), "cyclic")
+        left = now.count()
+        if left in (0, size):
+            return now
+        size = left
+
+
+def scc(edges: DataFrame) -> DataFrame:
+    """id, scc (smallest id of its strongly connected component), scc_size.
+
+    Colours (the largest id) flow forward to a fixed point; what reaches its
+    colour's root backwards is one component. Components never cross colours,
+    so edges between colours go as well, and so does what lies on no cycle.
+    """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    left, found = cut(edges.select("src", "dst").where("src <> dst").distinct()), None
-    left_nodes = cut(nodes)
-    while not left_nodes.isEmpty():
-        # Colours flow forward to a fixed point; what reaches its colour's root backwards is one component.
-        colour = spread(left_nodes.select("id", F.col("id").alias("c")), left)
-        inner = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = cut(reach(colour.where("id = c").select("id"), inner).join(colour, "id"))
+    left, found = cyclic(edges.select("src", "dst").where("src <> dst").distinct()), None
+    while not left.isEmpty():
+        colour = spread(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")), left)
+        inner = cut(left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst"), "inner")
+        back = spread(colour.select("id", (F.col("id") == F.col("c")).cast("int").alias("c")), inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = cut(back.where("c = 1").select("id").join(colour, "id"), "reached")
         found = reached if found is None else found.unionByName(reached)
-        left_nodes = cut(left_nodes.join(reached, "id", "left_anti"))
         done = reached.select("id")
-        left = cut(left.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        left = cyclic(inner.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
     if found is None:
-        return edges.sparkSession.createDataFrame([], "id long, scc long, scc_size long")
-    size = found.groupBy("c").agg(F.count(F.lit(1)).alias("scc_size"), F.min("id").alias("scc"))
-    return found.join(size, "c").select("id", "scc", "scc_size")
+        return nodes.select("id", F.col("id").alias("scc"), F.lit(1).cast("long").alias("scc_size"))
+    size = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    named = nodes.join(found, "id", "left").join(size, "c", "left")
+    return named.select("id", F.coalesce("least", "id").alias("scc"), F.coalesce("n", F.lit(1)).alias("scc_size"))
 
 
 def spread(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """The largest value (id, c) that reaches each node along edges."""
+    """The largest value (id, c) that reaches each node along edges; a table every ``STEPS`` joins."""
+    old, values = None, cut(values, "spread")
+    # A loop at every node keeps its own value, so a step reads the last one's values once.
+    looped = edges.select("src", "dst").unionByName(values.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     while True:
-        got = edges.join(values.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("got"))
-        new = cut(values.join(got, "id", "left").select("id", F.greatest("c", "got").alias("c"), (F.col("got") > F.col("c")).alias("changed")))
-        values = new.select("id", "c")
-        if new.where("changed").isEmpty():
+        for _ in range(STEPS):
+            values = looped.join(values.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("c"))
+        values = cut(values, "spread")
+        # Values only grow, so equal sums are equal values.
+        total = values.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        if total == old:
             return values
+        old = total
 
 
 def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
