@@ -318,62 +318,63 @@ def chase_barrels(bindings: DataFrame, symbols: DataFrame, hops: int = 5) -> Dat
 def mro(refs: DataFrame, files: DataFrame, symbols: DataFrame, inherits: DataFrame, depth: int = 6) -> DataFrame:
     """Proposals of the Python inheritance walk for calls with a known receiver type.
 
-    Depth first over base classes, left base first; of the files that define a
-    base the nearest is asked first. The class graph (classes, bases and their
-    methods) is grouped by its weakly linked part, so each walk runs in the
-    task that has its part, and parts are as large as class hierarchies are.
-    ``inherits`` has source_file_id, source_symbol (the class), target_name (the base), id.
+    Depth first over base classes, left base first; a file that defines a base is
+    asked for the name, nearest to the call first, and the bases of the farthest one
+    come next. The nearest file of the receiver's own class starts.
+
+    One walk serves all calls of a file on one type. A level is one join: each
+    class that a walk meets there has the place of its first meeting in the
+    walk's order as a key (distances and positions, one after the other), so
+    a walk has at most a row for each class name and level, and the smallest key
+    of what has a call's name is what a walk would have found first. A name
+    that a walk has met on the way to itself is not followed again. Where a
+    class is met deep at first and less deep later, its bases are looked at
+    within the depth of either.
+
+    ``inherits`` has source_file_id, source_symbol (the class), target_name (the
+    base), id, and may have target_qualifier: qualified bases don't count.
     """
-    import pandas as pd
-
-    from lodeline.operators.graph import spread
-
-    pairs = inherits.select(F.xxhash64("source_symbol").alias("src"), F.xxhash64("target_name").alias("dst")).distinct()
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    part = spread(both.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")), both).select(F.col("id").alias("h"), F.col("c").alias("part"))
-    path = files.select(F.col("id").alias("file_id"), "path")
-    rows = lambda df, kind, cls, name, file, key: df.select(F.lit(kind).alias("kind"), cls.alias("cls"), name.alias("name"), file.alias("file_id"), key.alias("key"))
-    bases = rows(inherits, "base", F.col("source_symbol"), F.col("target_name"), F.col("source_file_id"), F.col("id"))
-    classes = rows(symbols.where(F.col("kind").isin("class")), "class", F.col("name"), F.lit(None).cast("string"), F.col("file_id"), F.col("id"))
-    methods = rows(symbols.where("scope is not null"), "method", F.col("scope"), F.col("name"), F.col("file_id"), F.col("id"))
-    calls = rows(refs.where("kind = 'call' and receiver_type is not null"), "call", F.col("receiver_type"), F.col("target_name"), F.col("source_file_id"), F.col("id"))
-    every = reduce(DataFrame.unionByName, (bases, classes, methods, calls)).join(path, "file_id")
-    dealt = every.withColumn("h", F.xxhash64("cls")).join(part, "h")
     order, confidence = TIERS["l0e"]
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        paths = dict(zip(frame["file_id"], frame["path"]))
-        defined: dict[str, list[int]] = {}
-        for cls, file in sorted(frame[frame["kind"] == "class"][["cls", "file_id"]].itertuples(index=False)):
-            defined.setdefault(cls, []).append(file)
-        above: dict[tuple[int, str], list[str]] = {}
-        for file, cls, name in frame[frame["kind"] == "base"].sort_values("key")[["file_id", "cls", "name"]].itertuples(index=False):
-            above.setdefault((file, cls), []).append(name)
-        has = {(f, n): k for f, n, k in frame[frame["kind"] == "method"].sort_values("key", ascending=False)[["file_id", "name", "key"]].itertuples(index=False)}
-
-        def near(a: int, b: int) -> tuple[int, int]:
-            x, y = paths[a].split("/"), paths[b].split("/")
-            same = next((i for i, (s, t) in enumerate(zip(x, y)) if s != t), min(len(x), len(y)))
-            return len(x) + len(y) - 2 * same, b
-
-        out = []
-        for key, cls, name, file in frame[frame["kind"] == "call"][["key", "cls", "name", "file_id"]].itertuples(index=False):
-            stack = [(b, f, 1) for f in sorted(defined.get(cls, []), key=lambda f: near(file, f), reverse=True) for b in reversed(above.get((f, cls), []))]
-            visited, hit = set(), None
-            while stack and hit is None:
-                base, origin, level = stack.pop()
-                if level > depth:
-                    continue
-                for f in sorted(defined.get(base, []), key=lambda f: near(origin, f)):
-                    if (f, base) in visited:
-                        continue
-                    visited.add((f, base))
-                    if (f, name) in has:
-                        hit = (f, has[f, name])
-                        break
-                    stack += [(b, f, level + 1) for b in reversed(above.get((f, base), []))]
-            if hit:
-                out.append((key, order, hit[1], hit[0], confidence))
-        return pd.DataFrame(out, columns=["ref_id", "tier", "symbol_id", "file_id", "confidence"])
-
-    return dealt.groupBy("part").applyInPandas(walk, "ref_id long, tier int, symbol_id long, file_id long, confidence double")
+    longs = lambda *c: F.array(*(x.cast("long") for x in c))
+    python = files.where("lang_family = 'python'").select(F.col("id").alias("file_id"), F.split("path", "/").alias("parts"), F.length("path").alias("chars"))
+    classes = symbols.where("kind = 'class'").groupBy(F.col("name").alias("base"), "file_id").agg(F.min("id").alias("class_id"))
+    classes = cut(classes.join(python, "file_id"), "classes")
+    if "target_qualifier" in inherits.columns:
+        inherits = inherits.where("target_qualifier is null")
+    above = inherits.where("source_symbol is not null").groupBy(F.col("source_file_id").alias("file_id"), F.col("source_symbol").alias("base"), F.col("target_name").alias("next")).agg(F.min("id").alias("nth"))
+    above = cut(above, "bases")
+    calls = refs.where("kind = 'call' and receiver_type is not null").select(F.col("id").alias("ref_id"), "source_file_id", "receiver_type", "target_name")
+    calls = cut(calls.join(python.select(F.col("file_id").alias("source_file_id"), F.col("parts").alias("source")), "source_file_id"), "calls")
+
+    # Same leading parts of two paths: they differ from the first other one on.
+    short = F.least(F.size("source"), F.size("parts"))
+    other = F.filter(F.sequence(F.lit(1), short), lambda i: F.get("source", i - 1) != F.get("parts", i - 1))
+    same = F.coalesce(F.get(other, F.lit(0)) - 1, short)
+    near = longs(F.size("source") + F.size("parts") - 2 * same, F.col("chars"), F.col("class_id"))
+
+    def defined(met: DataFrame) -> DataFrame:
+        """The files that define the classes met, and how near they are to the call."""
+        return cut(met.join(classes, "base").select("source_file_id", "receiver_type", "source", "base", "key", "names", "file_id", near.alias("near")), "mro")
+
+    walks = calls.groupBy("source_file_id", "receiver_type").agg(F.any_value("source").alias("source"))
+    at = defined(walks.select("*", F.col("receiver_type").alias("base"), longs().cast("array<long>").alias("key"), F.array().cast("array<string>").alias("names")))
+    asked = []
+    for level in range(1, depth + 1):
+        # Files of the receiver's class are begun nearest first; those of a base are asked in that order, but the last one's bases come first.
+        place = F.col("near") if level == 1 else F.transform("near", lambda x: -x)
+        names = F.col("names") if level == 1 else F.array_append("names", F.col("base"))
+        step = at.join(above, ["file_id", "base"]).select("source_file_id", "receiver_type", "source", "next", F.concat("key", place, longs(F.col("nth"))).alias("key"), names.alias("names"))
+        step = step.where(~F.array_contains("names", F.col("next")))
+        at = defined(step.groupBy("source_file_id", "receiver_type", F.col("next").alias("base")).agg(F.any_value("source").alias("source"), F.min("key").alias("key"), F.min_by("names", "key").alias("names")))
+        if at.isEmpty():
+            break
+        asked.append(at)
+    schema = "ref_id long, tier int, symbol_id long, file_id long, confidence double"
+    if not asked:
+        return refs.sparkSession.createDataFrame([], schema)
+    # A class itself is asked before its bases are: a number below all others follows its key.
+    asked = reduce(DataFrame.unionByName, asked).select("source_file_id", "receiver_type", "file_id", F.concat("key", longs(F.lit(-(2**62))), "near").alias("key"))
+    owned = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.min("id").alias("symbol_id"))
+    hits = asked.join(calls, ["source_file_id", "receiver_type"]).join(owned, ["file_id", "target_name"])
+    first = hits.groupBy("ref_id").agg(F.min(F.struct("key", "symbol_id", "file_id")).alias("hit"))
+    return first.select("ref_id", F.lit(order).alias("tier"), "hit.symbol_id", "hit.file_id", F.lit(confidence).alias("confidence"))

@@ -59,29 +59,42 @@ for _name in _SQLS:
         return R.tiers(*_tables(spark, d))[name]
 
 
-# The walk over bases has no SQL; the tests hold it against a plain one.
-@query("resolve_l0e")
+# Every way up the bases, with its place in the walk's order; the first that has the name counts.
+_MRO = """py AS MATERIALIZED (SELECT id AS file_id, string_split(path, '/') AS parts, length(path) AS chars FROM code_files WHERE lang_family = 'python'),
+cls AS MATERIALIZED (SELECT s.name AS base, s.file_id AS g, min(s.id) AS cid, any_value(chars) AS chars FROM symbols s JOIN py USING (file_id) WHERE kind = 'class' GROUP BY 1, 2),
+typed AS MATERIALIZED (SELECT q.id, q.source_file_id AS f, q.receiver_type AS c, q.target_name FROM raw_refs q JOIN py ON py.file_id = q.source_file_id WHERE q.kind = 'call' AND q.receiver_type IS NOT NULL),
+far AS MATERIALIZED (SELECT a.file_id AS f, b.file_id AS g, len(a.parts) + len(b.parts) - 2 * len(list_filter(range(1, least(len(a.parts), len(b.parts)) + 1), lambda i: a.parts[1:i] = b.parts[1:i])) AS d FROM py a, py b),
+up AS MATERIALIZED (SELECT source_file_id AS g, source_symbol AS base, target_name AS above, min(id) AS nth FROM inherits GROUP BY 1, 2, 3),
+walk AS (SELECT f, c, above AS base, 1 AS level, CAST([d, chars, cid, nth] AS BIGINT[]) AS key, CAST([] AS VARCHAR[]) AS names FROM (SELECT DISTINCT f, c FROM typed) JOIN cls ON cls.base = c JOIN far USING (f, g) JOIN up ON up.g = cls.g AND up.base = c
+UNION ALL SELECT k.f, k.c, above, level + 1, list_concat(key, CAST([-d, -chars, -cid, nth] AS BIGINT[])), list_append(names, k.base) FROM walk k JOIN cls ON cls.base = k.base JOIN far ON far.f = k.f AND far.g = cls.g JOIN up ON up.g = cls.g AND up.base = k.base WHERE level < 6 AND above <> k.base AND NOT list_contains(names, above)),
+hits AS (SELECT t.id, list_concat(key, CAST([-4611686018427387904, d, chars, cid] AS BIGINT[])) AS key, o.id AS sid, cls.g AS fid FROM typed t JOIN walk k USING (f, c) JOIN cls ON cls.base = k.base JOIN far ON far.f = t.f AND far.g = cls.g JOIN own o ON o.file_id = cls.g AND o.name = t.target_name),
+mro AS MATERIALIZED (SELECT id, sid, fid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY key) AS k FROM hits) WHERE k = 1)"""
+_SQLS["l0e"] = _tier("l0e", "mro.sid", "mro.fid", "r JOIN mro USING (id)")
+_MRO_VIEWS = (*_VIEWS, "inherits")
+
+
+@query("resolve_l0e", sql(f"RECURSIVE WITH {_BASE}, {_MRO} {_SQLS['l0e']}", *_MRO_VIEWS))
 def resolve_l0e(spark, d):
     refs, files, symbols, bindings = _tables(spark, d)
     return R.tiers(refs, files, symbols, bindings, R.mro(refs, files, symbols, view(spark, d, "inherits")))["l0e"]
 
 
 _ALL = " UNION ALL ".join(f"({q})" for q in _SQLS.values())
-_BEST = f"{_BASE}, every AS ({_ALL}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY tier, symbol_id NULLS FIRST) AS k FROM every) WHERE k = 1), done AS (SELECT q.id, tier, symbol_id AS target_symbol_id, file_id AS target_file_id, coalesce(confidence, 0) AS confidence FROM raw_refs q LEFT JOIN best ON ref_id = q.id)"
+_BEST = f"{_BASE}, {_MRO}, every AS ({_ALL}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY tier, symbol_id NULLS FIRST) AS k FROM every) WHERE k = 1), done AS (SELECT q.id, tier, symbol_id AS target_symbol_id, file_id AS target_file_id, coalesce(confidence, 0) AS confidence FROM raw_refs q LEFT JOIN best ON ref_id = q.id)"
 
 
 def _resolved(spark, d):
     # As in an index, resolution reads stored tables.
     refs, files, symbols, bindings = (cut(t, "resolve") for t in _tables(spark, d))
-    return R.cascade(refs, files, symbols, bindings)
+    return R.cascade(refs, files, symbols, bindings, R.mro(refs, files, symbols, cut(view(spark, d, "inherits"), "resolve")))
 
 
-@query("resolve_cascade", sql(f"WITH {_BEST} SELECT * FROM done", *_VIEWS))
+@query("resolve_cascade", sql(f"RECURSIVE WITH {_BEST} SELECT * FROM done", *_MRO_VIEWS))
 def resolve_cascade(spark, d):
     return _resolved(spark, d).select("id", "tier", "target_symbol_id", "target_file_id", "confidence")
 
 
-@query("tier_histogram", sql(f"WITH {_BEST} SELECT tier, confidence, count(*) AS n FROM done GROUP BY 1, 2", *_VIEWS))
+@query("tier_histogram", sql(f"RECURSIVE WITH {_BEST} SELECT tier, confidence, count(*) AS n FROM done GROUP BY 1, 2", *_MRO_VIEWS))
 def tier_histogram(spark, d):
     return _resolved(spark, d).groupBy("tier", "confidence").agg(F.count(F.lit(1)).alias("n"))
 

@@ -52,3 +52,62 @@ def test_inheritance_walk(spark):
     refs = [(1, 2, "Mid", "Base", None, None, "inherit"), (2, 2, "Leaf", "Mid", None, None, "inherit"), (3, 3, "u", "go", "x", "Leaf", "call"), (4, 3, "u", "stop", "x", "Leaf", "call")]
     got = run(spark, files, symbols, refs)
     assert got[3] == (0.95, 1) and got[4] == (0.0, None)
+
+
+def walked(files, symbols, calls, inherits, depth=6):
+    """The walk with a stack, call by call."""
+    paths = dict(files)
+    classes, above, own = {}, {}, {}
+    for i, file, name, kind in symbols:
+        own.setdefault((file, name), i)
+        if kind == "class" and file not in classes.setdefault(name, []):
+            classes[name].append(file)
+    for _, file, name, base in inherits:
+        above.setdefault((file, name), []).append(base)
+    out = {}
+    for ref, source, receiver, name in calls:
+
+        def near(f, source=source):
+            x, y = paths[source].split("/"), paths[f].split("/")
+            same = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+            return len(x) + len(y) - 2 * same, len(paths[f])
+
+        seen, hit = set(), None
+        for start in sorted(classes.get(receiver, []), key=near):
+            stack = [(b, 1) for b in reversed(above.get((start, receiver), []))]
+            while stack and hit is None:
+                base, level = stack.pop()
+                for f in sorted(classes.get(base, []), key=near) if level <= depth else []:
+                    if (f, base) in seen:
+                        continue
+                    seen.add((f, base))
+                    if (f, name) in own:
+                        hit = (own[f, name], f)
+                        break
+                    stack += [(b, level + 1) for b in reversed(above.get((f, base), []))]
+            if hit:
+                out[ref] = hit
+                break
+    return out
+
+
+def test_inheritance_walks_on_random_hierarchies(spark):
+    """Several files a class, several bases, bases of the class's own name, and rings."""
+    import random
+
+    rng = random.Random(4)
+    files = [(k, f"{'/'.join(rng.choice('ab') for _ in range(rng.randrange(3)))}/f{k}.py") for k in range(30)]
+    symbols = [(k, rng.randrange(30), rng.choice("ABCDEFGH"), "class") for k in range(60)]
+    symbols += [(100 + k, rng.randrange(30), f"m{rng.randrange(8)}", "method") for k in range(40)]
+    defined = sorted({(f, n) for _, f, n, kind in symbols if kind == "class"})
+    inherits = [(k, *rng.choice(defined), rng.choice("ABCDEFGH")) for k in range(70)]
+    calls = [(k, rng.randrange(30), rng.choice("ABCDEFGH"), f"m{rng.randrange(8)}") for k in range(200)]
+    got = R.mro(
+        spark.createDataFrame([(*c, "call") for c in calls], "id long, source_file_id long, receiver_type string, target_name string, kind string"),
+        spark.createDataFrame([(*f, "python") for f in files], "id long, path string, lang_family string"),
+        spark.createDataFrame([(*s, None) for s in symbols], "id long, file_id long, name string, kind string, scope string"),
+        spark.createDataFrame(inherits, "id long, source_file_id long, source_symbol string, target_name string"),
+        depth=12,
+    )
+    want = walked(files, symbols, calls, inherits, depth=12)
+    assert {r.ref_id: (r.symbol_id, r.file_id) for r in got.collect()} == want and len(want) > 50
