@@ -1,12 +1,14 @@
 """WARC writing, revisit resolution and reading.
 
 ``archive`` writes one response record per row into gzip archives (a member per
-record, a file per task) and returns their index: where each record lies, its
-payload's digest and length. ``resolve`` shuffles these headers - never the
+record, a file per task, a warcinfo record first) and returns their index: where
+each record lies, its date, its payload's digest and length. ``resolve`` shuffles these headers - never the
 payloads - by digest, names the record with the smallest id as the original and
 joins the others to it. ``rewrite`` copies each archive into a deduplicated one
-with fresh headers: originals keep their payload, the others become revisit
-records that name it. ``read`` parses archives back.
+with fresh headers and record ids: originals keep their payload, the others become
+revisit records that name its copy, with its URL and date. Dates of records stay
+those of their capture; a warcinfo record has that of the writing. ``read`` parses
+archives back.
 
 How it scales. Payloads move only from file to file within the task that owns
 the file. A hot digest is pre-aggregated before its shuffle; the originals are
@@ -16,14 +18,17 @@ and are the same on a second attempt.
 
 Edge cases: a null payload is empty; payloads shorter than ``min_bytes`` are never
 deduplicated; rows without an id come after all others as originals and are
-never named; repeated rows with one id are one original and revisits of that
-id; a null URL has no target line, control characters in URLs are escaped; an empty
+never named; rows without a date have that of the writing, which the driver
+fixes once, so a second attempt writes the same bytes; repeated rows with one id are one original and revisits of that
+id; a null URL has no target line, control characters in URLs are escaped; very long payloads are
+held whole, one at a time in the task that writes or reads them; an empty
 table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import uuid
 import zlib
@@ -70,12 +75,24 @@ def _uri(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
+def now() -> str:
+    """This second, as records write it."""
+    return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _info(kind: str, name: str, dated: str) -> bytes:
+    """The record that opens an archive."""
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:x-{kind}:info:{name}>", "WARC-Date": dated, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return record(fields, b"software: lodeline\r\nformat: WARC File Format 1.1\r\n")
+
+
 class _Archive:
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, info: bytes):
         self.fs, self.path = open_fs(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.private, self.size = f"{self.path}.{uuid.uuid4().hex}.tmp", 0
         self.out = self.fs.open_output_stream(self.private, compression=None)
+        self.add(info)
 
     def add(self, data: bytes) -> int:
         self.out.write(data)
@@ -91,69 +108,74 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-_INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+_INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("date", pa.string())])
 
 
-def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes the archives; the index has a row per record."""
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(payload_col).cast("binary"))
+def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, dated: str | None = None) -> DataFrame:
+    """Writes the archives; the index has a row per record. ``date_col`` has dates of capture as WARC writes them, ``dated`` is that of the rest."""
+    dated = dated or now()
+    date = F.coalesce(F.col(date_col) if date_col else F.lit(None).cast("string"), F.lit(dated))
+    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(payload_col).cast("binary"), date)
 
     def run(batches):
         part, out = TaskContext.get().partitionId(), None
         name = f"part-{part:06d}.warc.gz"
         for batch in batches:
             made = []
-            for page, url, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                out = out or _Archive(f"{folder}/{name}")
+            for page, url, payload, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                out = out or _Archive(f"{folder}/{name}", _info("page", name, dated))
                 data, url = payload.as_py() or b"", _uri(url)
                 fields = {
                     "WARC-Type": "response",
                     "WARC-Record-ID": f"<urn:x-page:{'' if page is None else page}:{part}:{out.size}>",
+                    "WARC-Date": at,
                     "WARC-Target-URI": url,
                     "WARC-Payload-Digest": f"sha1:{(sha := digest(data))}",
                     "X-Page-ID": page,
                     "Content-Type": "application/http; msgtype=response",
                 }
                 packed = record(fields, HTTP + data)
-                made.append((page, url, name, out.add(packed), len(packed), len(data), sha))
+                made.append((page, url, name, out.add(packed), len(packed), len(data), sha, at))
             if made:
                 yield _batch(made, _INDEX)
         if out:
             out.close()
 
-    schema = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string"
+    schema = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, date string"
     return table(rows.mapInArrow(run, schema), "warc-index")
 
 
 def resolve(index: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``index`` with the original of each record that revisits one: original_page, original_url, original_record (else null)."""
+    """``index`` with the original of each record that revisits one: original_page, original_url, original_date, original_record (else null)."""
     key = ["payload_digest", "payload_bytes"]
-    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "offset", "url")
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "offset", "url", "date")
     groups = index.where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o")).where("n > 1").select(*key, "o")
     joined = index.join(table(groups, "warc-originals"), key, "left")
     revisit = F.col("o").isNotNull() & ~((F.col("file") == F.col("o.file")) & (F.col("offset") == F.col("o.offset")))
-    name = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("o.page_id").cast("string"), F.lit("")), F.lit(":"), F.regexp_extract("o.file", "part-(\\d+)", 1).cast("long").cast("string"), F.lit(":"), F.col("o.offset").cast("string"), F.lit(">"))
-    return joined.select("file", "offset", "length", F.col("o.page_id").alias("original_page"), F.col("o.url").alias("original_url"), F.when(revisit, name).alias("original_record"))
+    name = F.concat(F.lit("<urn:x-copy:"), F.coalesce(F.col("o.page_id").cast("string"), F.lit("")), F.lit(":"), F.regexp_extract("o.file", "part-(\\d+)", 1).cast("long").cast("string"), F.lit(":"), F.col("o.offset").cast("string"), F.lit(">"))
+    return joined.select("file", "offset", "length", F.col("o.page_id").alias("original_page"), F.col("o.url").alias("original_url"), F.col("o.date").alias("original_date"), F.when(revisit, name).alias("original_record"))
 
 
-def rewrite(decisions: DataFrame, source: str, target: str) -> DataFrame:
-    """Writes the deduplicated archives; a row per file with its number of records."""
+def rewrite(decisions: DataFrame, source: str, target: str, dated: str | None = None) -> DataFrame:
+    """Writes the deduplicated archives; a row per file with its number of records, the first one not counted."""
+    dated = dated or now()
     placed = decisions.repartition(parts(decisions.sparkSession), "file").sortWithinPartitions("file", "offset")
 
     def run(batches):
         out, name, count, reader = None, None, 0, None
         for batch in batches:
-            for file, offset, length, page, url, original in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for file, offset, length, page, url, date, original in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if file != name:
                     if out:
                         out.close()
                         yield pa.RecordBatch.from_pydict({"file": [name], "records": [count]})
                     fs, path = open_fs(f"{source}/{file}")
-                    out, name, count, reader = _Archive(f"{target}/{file}"), file, 0, fs.open_input_file(path)
+                    out, name, count, reader = _Archive(f"{target}/{file}", _info("copy", file, dated)), file, 0, fs.open_input_file(path)
                 fields, block = parse(zlib.decompress(reader.read_at(length, offset), 31))
                 fields.pop("Content-Length")
+                fields["WARC-Record-ID"] = fields["WARC-Record-ID"].replace("<urn:x-page:", "<urn:x-copy:", 1)
                 if original is not None:
-                    fields |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": original, "WARC-Refers-To-Target-URI": url, "X-Refers-To-Page-ID": page, "X-Payload-Bytes": len(block) - len(HTTP)}
+                    fields |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": original, "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": date, "X-Refers-To-Page-ID": page, "X-Payload-Bytes": len(block) - len(HTTP)}
                     block = HTTP
                 out.add(record(fields, block))
                 count += 1
@@ -190,6 +212,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             for file in batch.column(0).to_pylist():
                 made = []
                 for fields, block in records(f"{folder}/{file}"):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if fields["WARC-Type"] == "response" and digest(block[len(HTTP) :]) != said:
                         raise ValueError(f"{file}: a payload differs from its digest")
@@ -206,10 +230,11 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     return files.select("file").repartitionByRange(count, "file").mapInArrow(run, schema)
 
 
-def deduplicated(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
+def deduplicated(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date_col: str | None = None, dated: str | None = None) -> DataFrame:
     """The whole way: archives, revisit resolution, deduplicated archives in ``folder``, and their records read back."""
     spark: SparkSession = pages.sparkSession
+    dated = dated or now()
     source, target = new_dir(spark, "warc"), folder or new_dir(spark, "warc-dedup")
-    files = rewrite(resolve(archive(pages, source), min_bytes), source, target)
+    files = rewrite(resolve(archive(pages, source, date_col=date_col, dated=dated), min_bytes), source, target, dated)
     drop(spark, source)
     return read(files, target)

@@ -44,7 +44,8 @@ def test_files_are_standard_members(spark):
 
     files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".gz")]
     assert len(files) == 1
-    records = list(warc.records("file://" + files[0]))
+    info, *records = warc.records("file://" + files[0])
+    assert info[0]["WARC-Type"] == "warcinfo" and info[0]["WARC-Filename"] == files[0].rpartition("/")[2] and info[0]["WARC-Date"]
     ids = [f["WARC-Record-ID"] for f, _ in records]
     assert len(set(ids)) == len(PAGES)
     for fields, block in records:
@@ -55,3 +56,27 @@ def test_files_are_standard_members(spark):
 
 def test_empty(spark):
     assert warc.deduplicated(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_mandatory_fields_and_dates(spark):
+    """Every record has its type, id, date and length; revisits name URL and date of the copy that they stand for."""
+    folders = [storage.new_dir(spark, "warc-test") for _ in range(2)]
+    rows = [(1, "http://a/1", "same", "2020-01-02T03:04:05Z"), (2, "http://a/2", "same", None), (3, "http://a/3", "other", "2021-01-01T00:00:00Z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").coalesce(1)
+    made = []
+    for folder in folders:
+        warc.deduplicated(df, folder, date_col="at", dated="2024-05-06T07:08:09Z").count()
+        fs, path = storage.open_fs(folder)
+        import pyarrow.fs
+
+        (file,) = (f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".gz"))
+        with fs.open_input_stream(file, compression=None) as stream:
+            made.append(stream.read())
+    assert made[0] == made[1]
+    records = list(warc.records("file://" + file))
+    for fields, block in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(fields) and int(fields["Content-Length"]) == len(block)
+    info, first, again, other = (fields for fields, _ in records)
+    assert info["WARC-Date"] == again["WARC-Date"] == "2024-05-06T07:08:09Z" and other["WARC-Date"] == rows[2][3]
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] and first["WARC-Record-ID"].startswith("<urn:x-copy:")
+    assert (again["WARC-Refers-To-Target-URI"], again["WARC-Refers-To-Date"]) == ("http://a/1", rows[0][3])
