@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .storage import drop, new_dir, table
 
-#: Far beyond what any graph that fits a cluster needs.
+#: Far beyond what any graph that fits a cluster needs; beyond it an error, never a part of the result.
 MOST_ROUNDS = 60
 
 
@@ -56,6 +56,8 @@ def components(links: DataFrame) -> DataFrame:
         if (row[0], row[1]) == state:
             break
         state = (row[0], row[1])
+    else:
+        raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     result = table(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
     drop(spark, *old)

@@ -130,3 +130,11 @@ def test_null_ids_and_empty(spark, docs, no_docs):
     assert sorted(str(r.doc_id) for r in simhash.clean(df).collect()) == ["3", "None"]
     assert simhash.cluster(no_docs).count() == 0
     assert simhash.clean(docs).columns == docs.columns
+
+
+def test_unsettled_components_are_an_error(spark, monkeypatch):
+    from lodeline.llm import graph
+
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        graph.components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"))
