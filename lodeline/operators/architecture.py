@@ -79,10 +79,12 @@ def hints(path: Column, overrides: list[tuple[str, str, float]] = ()) -> Column:
 
 
 def fuse_layers(files: DataFrame, overrides: list[tuple[str, str, float]] = ()) -> DataFrame:
-    """id, layer, layer_conf: the heaviest layer (ties: by name) and its share; entry files are sure. Row-local.
+    """id, layer, layer_conf: the heaviest layer (ties: by name) and its share; entry files are sure.
 
-    ``files`` has id, path and is_entry.
+    ``files`` has id, path and is_entry. Rules cost much more than rows are long: a table in one
+    split is dealt to all cores first.
     """
+    files = files.select("id", "path", "is_entry").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "id")
     layers = sorted({layer for layer, _ in PATH_RULES + NAME_RULES} | {o[1] for o in overrides})
     weighed = files.select("id", "is_entry", hints(F.col("path"), overrides).alias("h"))
     weight = lambda layer: F.round(F.aggregate(F.filter("h", lambda x: x["layer"] == layer), F.lit(0.0), lambda a, x: a + x["weight"]), 6)
