@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fewer commits than this give no coupling at all; larger commits are left out of the pairs.
 LEAST_COMMITS, BULK = 50, 50
 DAY = 86_400
+#: Commits to a task that counts authors.
+TASK_COMMITS = 100_000
 
 
 def coupling(commits: DataFrame, commit_files: DataFrame, least_shared: int = 4, least_commits: int = LEAST_COMMITS, bulk: int = BULK) -> DataFrame:
@@ -51,14 +53,37 @@ def metrics(base: DataFrame, commits: DataFrame, commit_files: DataFrame, as_of:
     """
     ts = F.unix_seconds("at")
     touched = commit_files.join(commits.select(F.col("id").alias("commit_id"), "author", ts.alias("ts")), "commit_id")
-    recent = lambda days: F.count_distinct(F.when(F.col("ts") > as_of - days * DAY, F.col("commit_id")))
-    per_file = touched.groupBy("file_id").agg(recent(30).alias("changes_30d"), recent(90).alias("changes_90d"), F.max("ts").alias("last_changed_ts"), F.count_distinct("author").alias("unique_authors"))
+    recent = lambda days: F.count_if(F.col("ts") > as_of - days * DAY)
+    per_file = _by_commit(touched, F.max("ts").alias("ts")).groupBy("file_id").agg(recent(30).alias("changes_30d"), recent(90).alias("changes_90d"), F.max("ts").alias("last_changed_ts"))
+    per_file = per_file.join(_authors(touched, commits), "file_id")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = base.join(per_file, "file_id", "left")
     rows = joined.select("file_id", "cyclomatic", zero("changes_30d"), zero("changes_90d"), "last_changed_ts", zero("unique_authors"))
     return rows.withColumn("hotspot_score", F.when(F.col("changes_30d") > 0, F.col("changes_30d") * F.col("cyclomatic")).otherwise(F.lit(0.0)))
 
 
+def _by_commit(touched: DataFrame, *sums: Column) -> DataFrame:
+    """One row per file and commit. What a join by commit_id has dealt already isn't shuffled again."""
+    return touched.groupBy("file_id", "commit_id").agg(*sums)
+
+
+def _authors(touched: DataFrame, commits: DataFrame) -> DataFrame:
+    """file_id, unique_authors. By itself: several distinct counts in one aggregation would copy every row for each of them.
+
+    Dealt by file to tasks whose number grows with the commits; merged by bytes, well compressed rows would all meet in a few.
+    """
+    tasks = max(touched.sparkSession.sparkContext.defaultParallelism, -(-commits.count() // TASK_COMMITS))
+    return touched.select("file_id", "author").repartition(tasks, "file_id").groupBy("file_id").agg(F.count_distinct("author").alias("unique_authors"))
+
+
+def change_counts(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """file_id, total_changes (commits) and unique_authors of every file that a known commit touched."""
+    touched = commit_files.join(commits.select(F.col("id").alias("commit_id"), "author"), "commit_id")
+    changes = _by_commit(touched, F.lit(1).alias("one")).groupBy("file_id").agg(F.count(F.lit(1)).alias("total_changes"))
+    authors = _authors(touched, commits).withColumnRenamed("file_id", "same")
+    return changes.join(authors, F.col("file_id").eqNullSafe(F.col("same"))).drop("same")  # a file without an id counts as one
+
+
 def hotspots(measured: DataFrame, limit: int) -> DataFrame:
     return top(measured.where("hotspot_score > 0"), limit, F.desc("hotspot_score"), "file_id")
 

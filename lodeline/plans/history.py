@@ -82,8 +82,7 @@ def churn_rate(spark, d):
 
 @query("evolution_summary", sql("SELECT cf.file_id, count(DISTINCT cf.commit_id) AS total_changes, count(DISTINCT c.author) AS unique_authors FROM commit_files cf JOIN commits c ON c.id = cf.commit_id GROUP BY 1", "commits", "commit_files"))
 def evolution_summary(spark, d):
-    commits = view(spark, d, "commits").select(F.col("id").alias("commit_id"), "author")
-    return view(spark, d, "commit_files").join(commits, "commit_id").groupBy("file_id").agg(F.count_distinct("commit_id").alias("total_changes"), F.count_distinct("author").alias("unique_authors"))
+    return H.change_counts(view(spark, d, "commits"), view(spark, d, "commit_files"))
 
 
 @query("evolution_trace", sql("SELECT c.id, c.author, CAST(epoch(c.at) AS BIGINT) AS ts, c.message, cf.added, cf.deleted FROM commits c JOIN commit_files cf ON cf.commit_id = c.id WHERE cf.file_id = 7 ORDER BY c.at DESC, c.id LIMIT 30", "commits", "commit_files"))
