@@ -13,7 +13,8 @@ kind. bindings: source_file_id, target_name, target_file_id.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,17 +81,25 @@ class Ladder:
 
     Each rung adds its column to the same frame, by joins with tables of one row
     per key; references are read once, and a rung that isn't asked for costs nothing.
+    A rung ``alone`` drops the references it proposes nothing for as it joins.
     """
 
-    def __init__(self, refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None):
-        self.refs, self.bindings, self.mro = refs, bindings, mro
-        # Written once: every rung derives its table from these two.
-        placed = symbols.join(files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
-        self.placed = cut(placed.withColumn("prod", production(placed)), "placed")
-        self.owned = cut(symbols.groupBy("file_id", "name").agg(F.min(_symbol()).alias("s")), "owned")
+    def __init__(self, refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None, alone: bool = False):
+        self.refs, self.files, self.symbols, self.bindings, self.mro, self.alone = refs, files, symbols, bindings, mro, alone
         source = files.select(F.col("id").alias("source_file_id"), F.col("dir").alias("source_dir"), F.col("lang_family").alias("family"), F.lit(True).alias("placed"))
-        known = refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
-        self.frame = known.join(self._owned("source_file_id").withColumnRenamed("s", "own"), ["source_file_id", "target_name"], "left")
+        self.frame = refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
+        if alone:
+            self.frame = self.frame.where("open")
+
+    # Written once, when a rung first derives its table from them.
+    @cached_property
+    def placed(self) -> DataFrame:
+        placed = self.symbols.join(self.files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
+        return cut(placed.withColumn("prod", production(placed)), "placed")
+
+    @cached_property
+    def owned(self) -> DataFrame:
+        return cut(self.symbols.groupBy("file_id", "name").agg(F.min(_symbol()).alias("s")), "owned")
 
     def _owned(self, file: str) -> DataFrame:
         """The first symbol of each name in each file."""
@@ -102,50 +111,65 @@ class Ladder:
     def _left(self, right: DataFrame, *keys: str) -> None:
         self.frame = self.frame.join(right, list(keys), "left")
 
+    def _meet(self, right: DataFrame, *keys: str) -> None:
+        """What a rung can't do without: by itself, it needs no other references."""
+        self.frame = self.frame.join(right, list(keys), "inner" if self.alone else "left")
+
+    def _own(self, needed: bool = False) -> None:
+        """The first symbol of the reference's own file that has the name."""
+        if "own" not in self.frame.columns:
+            (self._meet if needed else self._left)(self._owned("source_file_id").withColumnRenamed("s", "own"), "source_file_id", "target_name")
+
     def l0(self) -> None:
         """The receiver's type is the scope of the name in one file."""
         owners = self.placed.where("scope is not null").groupBy(F.col("name").alias("target_name"), F.col("scope").alias("receiver_type"), "family").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("s"))
-        self._left(owners, "target_name", "receiver_type", "family")
+        self._meet(owners, "target_name", "receiver_type", "family")
+        self._own()
         self._propose("l0", (F.col("a") == F.col("b")) & same_file_first(), F.col("s"), "a", "b", "s")
 
     def l0c(self) -> None:
         """The receiver's type is imported, and its file has the name."""
-        self._left(_bound(self.bindings, "receiver_type"), "source_file_id", "receiver_type")
-        self._left(self._owned("owner"), "owner", "target_name")
+        self._meet(_bound(self.bindings, "receiver_type"), "source_file_id", "receiver_type")
+        self._meet(self._owned("owner"), "owner", "target_name")
+        self._own()
         self._propose("l0c", same_file_first(), F.col("s"), "owner", "s")
 
     def l0d(self) -> None:
         """The receiver's type is defined in one file, which has the name."""
         types = self.placed.where(F.col("kind").isin(*TYPE_KINDS)).groupBy(F.col("name").alias("typed"), "family").agg(F.min("file_id").alias("owner"), F.max("file_id").alias("last")).where("owner = last")
         # References without a receiver are dealt by their ids, so that null isn't a hot key.
-        self.frame = self.frame.withColumn("typed", F.coalesce("receiver_type", F.concat(F.lit("\0"), F.col("id").cast("string"))))
-        self._left(types.drop("last"), "typed", "family")
-        self._left(self._owned("owner"), "owner", "target_name")
+        self.frame = self.frame.withColumn("typed", F.col("receiver_type") if self.alone else F.coalesce("receiver_type", F.concat(F.lit("\0"), F.col("id").cast("string"))))
+        self._meet(types.drop("last"), "typed", "family")
+        self._meet(self._owned("owner"), "owner", "target_name")
+        self._own()
         self._propose("l0d", same_file_first(), F.col("s"), "typed", "owner", "s")
 
     def l0e(self) -> None:
         """What the inheritance walk found."""
         found = self.mro.groupBy(F.col("ref_id").alias("id")).agg(F.min(F.struct(F.col("symbol_id").alias("id"), "file_id")).alias("s")) if self.mro is not None else None
         if found is not None:
-            self._left(found, "id")
+            self._meet(found, "id")
             self._propose("l0e", F.lit(True), F.col("s"), "s")
         else:
+            self._own()
             self._propose("l0e", F.lit(False), F.col("own"))
 
     def l0b(self) -> None:
         """A bare name that an import binds; the symbol may be unknown."""
-        self._left(_bound(self.bindings, "target_name"), "source_file_id", "target_name")
+        self._meet(_bound(self.bindings, "target_name"), "source_file_id", "target_name")
         self._left(self._owned("owner"), "owner", "target_name")
         self._propose("l0b", F.col("target_qualifier").isNull() & F.col("owner").isNotNull(), F.struct(F.col("s.id").alias("id"), F.col("owner").alias("file_id")), "owner", "s")
 
     def l1(self) -> None:
         """A name of the same file, bare or on oneself."""
+        self._own(needed=True)
         bare = F.col("receiver_type").isNull() & F.col("target_qualifier").isNull()
         self._propose("l1", bare | F.coalesce(self_like(), F.lit(False)), F.col("own"))
 
     def l2(self) -> None:
         """One other file of the directory has the name."""
         self._by_directory()
+        self._own()
         bare = F.col("target_qualifier").isNull()
         fits = F.col("receiver_type").isNull() & guarded() & (bare | (F.col("family") != "rust")) & (bare | F.col("own").isNull())
         # The source's own file may be one of two; with three, more than one other is left.
@@ -159,21 +183,21 @@ class Ladder:
         groups = named.groupBy(F.col("name").alias("target_name"), "family", F.col("q").alias("target_qualifier")).agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("s"))
         last = F.explode(F.array_distinct(F.array("target_name", F.regexp_extract("target_name", r"([^/]*)$", 1), F.regexp_extract("target_name", r"([^.]*)$", 1))))
         imported = self.refs.where("kind = 'import'").select("source_file_id", last.alias("target_qualifier")).distinct().withColumn("imported", F.lit(True))
-        self._left(imported, "source_file_id", "target_qualifier")
-        self._left(groups, "target_name", "family", "target_qualifier")
+        self._meet(imported, "source_file_id", "target_qualifier")
+        self._meet(groups, "target_name", "family", "target_qualifier")
         self._propose("l3", F.col("imported").isNotNull() & (F.col("a") == F.col("b")), F.col("s"), "imported", "a", "b", "s")
 
     def _by_directory(self) -> None:
         """Candidates of the directory, for the two tiers that look at them."""
         if "dir_files" not in self.frame.columns:
-            self._left(_neighbours(self.placed), "source_dir", "family", "target_name")
+            self._meet(_neighbours(self.placed), "source_dir", "family", "target_name")
 
     def _by_name(self) -> None:
         """Production candidates of the family, for the two tiers that look at them."""
         if "only" not in self.frame.columns:
             member = F.bool_or(F.col("scope").isNotNull() | (F.col("kind") == "method")).alias("member")
             groups = self.placed.where("prod").groupBy(F.col("name").alias("target_name"), "family").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("first"), member)
-            self._left(groups.select("target_name", "family", "first", "member", (F.col("a") == F.col("b")).alias("only")), "target_name", "family")
+            self._meet(groups.select("target_name", "family", "first", "member", (F.col("a") == F.col("b")).alias("only")), "target_name", "family")
 
     def l4(self) -> None:
         """One production file of the family has the name; on a receiver it must be a member."""
@@ -182,6 +206,7 @@ class Ladder:
 
     def l4a(self) -> None:
         """Any reference to a name of the same file."""
+        self._own(needed=True)
         self._propose("l4a", F.lit(True), F.col("own"))
 
     def l4b(self) -> None:
@@ -200,15 +225,15 @@ class Ladder:
         return self.frame
 
 
-def tiers(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The proposals of every tier by itself; ``mro`` has those of the inheritance walk."""
+def tiers(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None, names: Iterable[str] = TIERS) -> dict[str, DataFrame]:
+    """The proposals of every tier, or of those named, by itself; ``mro`` has those of the inheritance walk."""
 
     def alone(name: str) -> DataFrame:
         order, confidence = TIERS[name]
-        rows = Ladder(refs, files, symbols, bindings, mro).climb(name).where(F.col(name).isNotNull())
+        rows = Ladder(refs, files, symbols, bindings, mro, alone=True).climb(name).where(F.col(name).isNotNull())
         return rows.select(F.col("id").alias("ref_id"), F.lit(order).alias("tier"), F.col(f"{name}.id").cast("long").alias("symbol_id"), F.col(f"{name}.file_id").cast("long").alias("file_id"), F.lit(confidence).alias("confidence"))
 
-    return {name: alone(name) for name in TIERS if name != "l0e" or mro is not None}
+    return {name: alone(name) for name in names if name != "l0e" or mro is not None}
 
 
 def cascade(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ for _name in _SQLS:
 
     @query(f"resolve_{_name}", sql(f"WITH {_BASE} {_SQLS[_name]}", *_VIEWS))
     def resolve_tier(spark, d, name=_name):
-        return R.tiers(*_tables(spark, d))[name]
+        return R.tiers(*_tables(spark, d), names=[name])[name]
 
 
 # Every way up the bases, with its place in the walk's order; the first that has the name counts.
@@ -76,7 +76,7 @@ _MRO_VIEWS = (*_VIEWS, "inherits")
 @query("resolve_l0e", sql(f"RECURSIVE WITH {_BASE}, {_MRO} {_SQLS['l0e']}", *_MRO_VIEWS))
 def resolve_l0e(spark, d):
     refs, files, symbols, bindings = _tables(spark, d)
-    return R.tiers(refs, files, symbols, bindings, R.mro(refs, files, symbols, view(spark, d, "inherits")))["l0e"]
+    return R.tiers(refs, files, symbols, bindings, R.mro(refs, files, symbols, view(spark, d, "inherits")), names=["l0e"])["l0e"]
 
 
 _ALL = " UNION ALL ".join(f"({q})" for q in _SQLS.values())

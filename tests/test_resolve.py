@@ -111,3 +111,16 @@ def test_inheritance_walks_on_random_hierarchies(spark):
     )
     want = walked(files, symbols, calls, inherits, depth=12)
     assert {r.ref_id: (r.symbol_id, r.file_id) for r in got.collect()} == want and len(want) > 50
+
+
+def test_one_tier_alone_writes_and_keeps_only_what_it_needs(spark, monkeypatch):
+    written = []
+    keep = lambda df, name="cut": written.append(name) or df
+    monkeypatch.setattr(R, "cut", keep)
+    files = spark.createDataFrame([(1, "a/x.py", "a/", "python"), (2, "a/y.py", "a/", "python")], "id long, path string, dir string, lang_family string")
+    symbols = spark.createDataFrame([(1, 1, "f", "function", None)], "id long, file_id long, name string, kind string, scope string")
+    refs = spark.createDataFrame([(1, 1, "f", None, None, "call"), (2, 2, "f", None, None, "call")], "id long, source_file_id long, target_name string, target_qualifier string, receiver_type string, kind string")
+    bindings = spark.createDataFrame([], "source_file_id long, target_name string, target_file_id long")
+    made = R.tiers(refs, files, symbols, bindings, names=["l4a"])
+    assert [tuple(r) for r in made["l4a"].collect()] == [(1, 9, 1, 1, 0.6)] and list(made) == ["l4a"]
+    assert written == ["owned"]
