@@ -80,7 +80,7 @@ def postings(chunks: DataFrame) -> DataFrame:
     taken = chunks.select("id", tokens(F.coalesce("content", F.lit(""))).alias("c"), tokens(F.coalesce("scope", F.lit(""))).alias("s"))
     every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("pos"))), placed(F.col("c"), F.lit(0)), placed(F.col("s"), F.size("c") + 1))
     counted = taken.select("id", (F.size("c") + F.size("s")).alias("dl"), F.explode(every).alias("x")).groupBy("id", "dl", "x.term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("x.pos")).alias("positions"))
-    return counted.select("term", "id", "tf", "dl", "positions").repartitionByRange("term").sortWithinPartitions("term", "id")
+    return counted.select("term", "id", "tf", "dl", "positions").repartition("term").sortWithinPartitions("term", "id")
 
 
 def _from_postings(postings: DataFrame, clauses: list[list[str]]) -> tuple[DataFrame, DataFrame]:

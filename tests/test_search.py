@@ -50,3 +50,9 @@ def test_fusion_scores(spark, path, kind, centrality, score):
 def test_symbol_tiers(spark):
     names = spark.createDataFrame([(1, "foo"), (2, "FOO"), (3, "foobar"), (4, "a_foo"), (5, "bar")], "id long, name string")
     assert [(r.id, r.score) for r in S.symbols(names, "foo", 10).orderBy("rank").collect()] == [(1, 1.0), (2, 0.8), (3, 0.8), (4, 0.5)]
+
+
+def test_postings_take_texts_apart_once(spark):
+    """Ranges would be found by a sample, for which every text is taken apart once more."""
+    chunks = spark.createDataFrame([(1, "the red apple", "s")], "id long, content string, scope string")
+    assert "rangepartitioning" not in S.postings(chunks)._jdf.queryExecution().executedPlan().toString().lower()
