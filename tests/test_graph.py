@@ -114,3 +114,22 @@ def test_louvain_by_parts_is_the_same_as_whole(spark):
     rows = spark.createDataFrame([(a, b, 1.0 + (a + b) % 3) for a, b in pairs] + [(200, 201, 1.0), (201, 202, 1.0), (202, 200, 1.0)], "src long, dst long, weight double")
     whole, parts = ({r.id: r.module_id for r in G.louvain(rows, by_parts=b).collect()} for b in (False, True))
     assert parts == whole and parts[200] == parts[201] == parts[202]
+
+
+def test_louvain_of_a_large_part_is_dealt(spark, monkeypatch):
+    """A linked part beyond the limit is no one task's: its modules come from rounds over blocks, in any number of parts."""
+    cliques = [(base + a, base + b, 1.0) for base in (0, 10, 20) for a in range(6) for b in range(a)]
+    rows = spark.createDataFrame([*cliques, (0, 10, 1.0), (10, 20, 1.0), (90, 91, 1.0)], "src long, dst long, weight double")
+    monkeypatch.setattr(G, "KERNEL_EDGES", 10)
+    kernel, sizes = G._louvain_kernel, spark.sparkContext.accumulator(0)
+
+    def counted(*given):
+        solve = kernel(*given)
+        return lambda frame: (sizes.add(len(frame)), solve(frame))[1]
+
+    monkeypatch.setattr(G, "_louvain_kernel", counted)
+    got = {r.id: r.module_id for r in G.louvain(rows).collect()}
+    assert sizes.value == 1 and len(got) == 20
+    assert [len({got[base + k] for k in range(6)}) for base in (0, 10, 20)] == [1, 1, 1] and len(set(got.values())) == 4 and got[90] == got[91] == 3
+    one, three = ({r.id: r.label for r in G.blocks.modules(rows, 1.5, 8, parts=n).collect()} for n in (1, 3))
+    assert one == three and len(one) == 20
