@@ -5,6 +5,11 @@ tiers are independent: each proposes a target in a column of its own, and the
 lowest tier of the row wins, without a shuffle by reference. Candidates are reduced to one row
 per key before they meet the references (how many files, which symbol first),
 so common names fan nothing out and leave no skew on the candidates' side.
+The cascade shuffles the references once, by name: every table that they meet
+has the name in its key and lies in the same partitions, held as a hash table
+of the partition's names while references stream by. What has another key
+(types of receivers, the inheritance walk) is found for what is asked, once for
+equal asks, and brought under the name first.
 
 Columns. files: id, path, dir, lang_family. symbols: id, file_id, name, kind,
 scope. refs: id, source_file_id, target_name, target_qualifier, receiver_type,
@@ -19,7 +24,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.tables import cut
+from lodeline.tables import cut, in_place
 from lodeline.functions.paths import is_doc, is_test_candidate, normalize
 
 # Names of the runtime that must not resolve to a user's type.
@@ -81,7 +86,8 @@ class Ladder:
 
     Each rung adds its column to the same frame, by joins with tables of one row
     per key; references are read once, and a rung that isn't asked for costs nothing.
-    A rung ``alone`` drops the references it proposes nothing for as it joins.
+    A rung ``alone`` drops the references it proposes nothing for as it joins;
+    all together meet references and tables dealt by name.
     """
 
     def __init__(self, refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None, alone: bool = False):
@@ -90,16 +96,23 @@ class Ladder:
         self.frame = refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
         if alone:
             self.frame = self.frame.where("open")
+        else:
+            self.apart = self.frame
+            self.frame = self.frame.join(cut(self._imported(), "imported"), ["source_file_id", "target_qualifier"], "left").repartition("target_name")
+
+    def _by(self, table: DataFrame, name: str) -> DataFrame:
+        """Groups whose keys have the name stay where they are, and so do joins by them."""
+        return table if self.alone else table.repartition(name)
 
     # Written once, when a rung first derives its table from them.
     @cached_property
     def placed(self) -> DataFrame:
         placed = self.symbols.join(self.files.select(F.col("id").alias("file_id"), "path", "dir", F.col("lang_family").alias("family")), "file_id")
-        return cut(placed.withColumn("prod", production(placed)), "placed")
+        return self._by(cut(placed.withColumn("prod", production(placed)), "placed"), "name")
 
     @cached_property
     def owned(self) -> DataFrame:
-        return cut(self.symbols.groupBy("file_id", "name").agg(F.min(_symbol()).alias("s")), "owned")
+        return self._by(cut(self.symbols.groupBy("file_id", "name").agg(F.min(_symbol()).alias("s")), "owned"), "name")
 
     def _owned(self, file: str) -> DataFrame:
         """The first symbol of each name in each file."""
@@ -109,11 +122,14 @@ class Ladder:
         self.frame = self.frame.withColumn(tier, F.when(F.col("open") & when, what)).drop(*scratch)
 
     def _left(self, right: DataFrame, *keys: str) -> None:
-        self.frame = self.frame.join(right, list(keys), "left")
+        self.frame = self.frame.join(right if self.alone else right.hint("shuffle_hash"), list(keys), "left")
 
     def _meet(self, right: DataFrame, *keys: str) -> None:
         """What a rung can't do without: by itself, it needs no other references."""
-        self.frame = self.frame.join(right, list(keys), "inner" if self.alone else "left")
+        if self.alone:
+            self.frame = self.frame.join(right, list(keys))
+        else:
+            self._left(right, *keys)
 
     def _own(self, needed: bool = False) -> None:
         """The first symbol of the reference's own file that has the name."""
@@ -127,28 +143,52 @@ class Ladder:
         self._own()
         self._propose("l0", (F.col("a") == F.col("b")) & same_file_first(), F.col("s"), "a", "b", "s")
 
+    def _typed(self) -> None:
+        """What the files of the receiver's type have of the name, for the two tiers that look at them."""
+        if "bound" in self.frame.columns:
+            return
+        asks = self.apart.where("open and receiver_type is not null").select("source_file_id", "receiver_type", "family", "target_name")
+        asks = asks.repartition("source_file_id", "receiver_type").distinct()
+        bound = _bound(self.bindings.repartition("source_file_id", "target_name"), "receiver_type")
+        types = cut(self._types(), "types").withColumnsRenamed({"typed": "receiver_type", "owner": "definer"})
+        asks = asks.join(bound.hint("shuffle_hash"), ["source_file_id", "receiver_type"], "left").join(types, ["receiver_type", "family"], "left")
+        asks = asks.where("owner is not null or definer is not null").drop("family").repartition("target_name")
+        for file, found in (("owner", "bound"), ("definer", "defined")):
+            asks = asks.join(self._owned(file).withColumnRenamed("s", found).hint("shuffle_hash"), [file, "target_name"], "left").drop(file)
+        self._left(asks.where("bound is not null or defined is not null"), "source_file_id", "receiver_type", "target_name")
+
     def l0c(self) -> None:
         """The receiver's type is imported, and its file has the name."""
+        if not self.alone:
+            self._typed()
+            self._own()
+            return self._propose("l0c", same_file_first(), F.col("bound"))
         self._meet(_bound(self.bindings, "receiver_type"), "source_file_id", "receiver_type")
         self._meet(self._owned("owner"), "owner", "target_name")
         self._own()
         self._propose("l0c", same_file_first(), F.col("s"), "owner", "s")
 
+    def _types(self) -> DataFrame:
+        """Types defined in one file of the family."""
+        return self.placed.where(F.col("kind").isin(*TYPE_KINDS)).groupBy(F.col("name").alias("typed"), "family").agg(F.min("file_id").alias("owner"), F.max("file_id").alias("last")).where("owner = last").drop("last")
+
     def l0d(self) -> None:
         """The receiver's type is defined in one file, which has the name."""
-        types = self.placed.where(F.col("kind").isin(*TYPE_KINDS)).groupBy(F.col("name").alias("typed"), "family").agg(F.min("file_id").alias("owner"), F.max("file_id").alias("last")).where("owner = last")
-        # References without a receiver are dealt by their ids, so that null isn't a hot key.
-        self.frame = self.frame.withColumn("typed", F.col("receiver_type") if self.alone else F.coalesce("receiver_type", F.concat(F.lit("\0"), F.col("id").cast("string"))))
-        self._meet(types.drop("last"), "typed", "family")
+        if not self.alone:
+            self._typed()
+            self._own()
+            return self._propose("l0d", same_file_first(), F.col("defined"))
+        self.frame = self.frame.withColumn("typed", F.col("receiver_type"))
+        self._meet(self._types(), "typed", "family")
         self._meet(self._owned("owner"), "owner", "target_name")
         self._own()
         self._propose("l0d", same_file_first(), F.col("s"), "typed", "owner", "s")
 
     def l0e(self) -> None:
         """What the inheritance walk found."""
-        found = self.mro.groupBy(F.col("ref_id").alias("id")).agg(F.min(F.struct(F.col("symbol_id").alias("id"), "file_id")).alias("s")) if self.mro is not None else None
-        if found is not None:
-            self._meet(found, "id")
+        if self.mro is not None:
+            found = self._by(self.mro, "target_name").groupBy(F.col("ref_id").alias("id"), "target_name")
+            self._meet(found.agg(F.min(F.struct(F.col("symbol_id").alias("id"), "file_id")).alias("s")), "id", "target_name")
             self._propose("l0e", F.lit(True), F.col("s"), "s")
         else:
             self._own()
@@ -156,7 +196,8 @@ class Ladder:
 
     def l0b(self) -> None:
         """A bare name that an import binds; the symbol may be unknown."""
-        self._meet(_bound(self.bindings, "target_name"), "source_file_id", "target_name")
+        bound = _bound(self._by(self.bindings, "target_name"), "target_name")
+        self._meet(bound, "source_file_id", "target_name")
         self._left(self._owned("owner"), "owner", "target_name")
         self._propose("l0b", F.col("target_qualifier").isNull() & F.col("owner").isNotNull(), F.struct(F.col("s.id").alias("id"), F.col("owner").alias("file_id")), "owner", "s")
 
@@ -176,14 +217,18 @@ class Ladder:
         one = (F.col("dir_files") == 1) & (F.col("dir_1.file_id") != F.col("source_file_id")) | (F.col("dir_files") == 2) & F.col("source_file_id").isin(F.col("dir_1.file_id"), F.col("dir_2.file_id"))
         self._propose("l2", fits & one, F.when(F.col("dir_1.file_id") != F.col("source_file_id"), F.col("dir_1")).otherwise(F.col("dir_2")))
 
+    def _imported(self) -> DataFrame:
+        """What a file may call the paths that it imports."""
+        last = F.explode(F.array_distinct(F.array("target_name", F.regexp_extract("target_name", r"([^/]*)$", 1), F.regexp_extract("target_name", r"([^.]*)$", 1))))
+        return self.refs.where("kind = 'import'").select("source_file_id", last.alias("target_qualifier")).distinct().withColumn("imported", F.lit(True))
+
     def l3(self) -> None:
         """The qualifier is an imported path's last part, and a directory or file of that name has the symbol once."""
         stem, leaf = F.regexp_extract("path", r"([^/.]*)\.[^/]*$", 1), F.regexp_extract("dir", r"([^/]+)/$", 1)
         named = self.placed.withColumn("q", F.explode(F.array_distinct(F.array(stem, leaf)))).where("q <> ''")
         groups = named.groupBy(F.col("name").alias("target_name"), "family", F.col("q").alias("target_qualifier")).agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.min(_symbol()).alias("s"))
-        last = F.explode(F.array_distinct(F.array("target_name", F.regexp_extract("target_name", r"([^/]*)$", 1), F.regexp_extract("target_name", r"([^.]*)$", 1))))
-        imported = self.refs.where("kind = 'import'").select("source_file_id", last.alias("target_qualifier")).distinct().withColumn("imported", F.lit(True))
-        self._meet(imported, "source_file_id", "target_qualifier")
+        if self.alone:
+            self._meet(self._imported(), "source_file_id", "target_qualifier")
         self._meet(groups, "target_name", "family", "target_qualifier")
         self._propose("l3", F.col("imported").isNotNull() & (F.col("a") == F.col("b")), F.col("s"), "imported", "a", "b", "s")
 
@@ -236,8 +281,8 @@ def tiers(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataF
     return {name: alone(name) for name in names if name != "l0e" or mro is not None}
 
 
-def cascade(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> DataFrame:
-    """References with tier, target_symbol_id, target_file_id and confidence (0 if nothing fits)."""
+def settled(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> DataFrame:
+    """``cascade`` before it is run; one shuffle of the references serves all its joins if it is run ``in_place``."""
     made = Ladder(refs, files, symbols, bindings, mro).climb()
     choice = lambda c, n: F.struct(F.lit(TIERS[n][0]).alias("tier"), c["id"].cast("long").alias("id"), c["file_id"].cast("long").alias("file_id"), F.lit(TIERS[n][1]).alias("confidence"))
     best = F.coalesce(*(F.when(F.col(n).isNotNull(), choice(F.col(n), n)) for n in TIERS))
@@ -245,6 +290,12 @@ def cascade(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: Dat
     return made.select(*kept, best.alias("best")).select(*kept, F.col("best.tier").alias("tier"), F.col("best.id").alias("target_symbol_id"), F.col("best.file_id").alias("target_file_id"), F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"))
 
 
+def cascade(refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None) -> DataFrame:
+    """References with tier, target_symbol_id, target_file_id and confidence (0 if nothing fits), as a stored table."""
+    with in_place(refs.sparkSession):
+        return cut(settled(refs, files, symbols, bindings, mro), "cascade")
+
+
 # ---- modules to files --------------------------------------------------------------------------------------------
 
 
@@ -394,12 +445,13 @@ def mro(refs: DataFrame, files: DataFrame, symbols: DataFrame, inherits: DataFra
         if at.isEmpty():
             break
         asked.append(at)
-    schema = "ref_id long, tier int, symbol_id long, file_id long, confidence double"
+    schema = "ref_id long, target_name string, tier int, symbol_id long, file_id long, confidence double"
     if not asked:
         return refs.sparkSession.createDataFrame([], schema)
-    # A class itself is asked before its bases are: a number below all others follows its key.
+    # A class itself is asked before its bases are: a number below all others follows its key. Calls meet the place in that order, not the keys.
     asked = reduce(DataFrame.unionByName, asked).select("source_file_id", "receiver_type", "file_id", F.concat("key", longs(F.lit(-(2**62))), "near").alias("key"))
+    asked = asked.select("source_file_id", "receiver_type", "file_id", F.rank().over(Window.partitionBy("source_file_id", "receiver_type").orderBy("key")).alias("place"))
     owned = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.min("id").alias("symbol_id"))
-    hits = asked.join(calls, ["source_file_id", "receiver_type"]).join(owned, ["file_id", "target_name"])
-    first = hits.groupBy("ref_id").agg(F.min(F.struct("key", "symbol_id", "file_id")).alias("hit"))
-    return first.select("ref_id", F.lit(order).alias("tier"), "hit.symbol_id", "hit.file_id", F.lit(confidence).alias("confidence"))
+    hits = asked.join(calls.drop("source"), ["source_file_id", "receiver_type"]).join(owned, ["file_id", "target_name"])
+    first = hits.groupBy("ref_id", "target_name").agg(F.min(F.struct("place", "symbol_id", "file_id")).alias("hit"))
+    return first.select("ref_id", "target_name", F.lit(order).alias("tier"), "hit.symbol_id", "hit.file_id", F.lit(confidence).alias("confidence"))

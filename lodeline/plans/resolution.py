@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lodeline.catalog import query
 from lodeline.operators import resolve as R
-from lodeline.tables import cut
-from lodeline.views import sql, view
+from lodeline.tables import cut, in_place
+from lodeline.views import pairs, sql, view
 
 _TS = ", ".join(f"'{n}'" for n in R.TS_BUILTINS)
 _RUST = ", ".join(f"'{n}'" for n in R.RUST_BUILTINS)
@@ -84,19 +84,23 @@ _BEST = f"{_BASE}, {_MRO}, every AS ({_ALL}), best AS (SELECT * FROM (SELECT *,
 
 
 def _resolved(spark, d):
-    # As in an index, resolution reads stored tables.
-    refs, files, symbols, bindings = (cut(t, "resolve") for t in _tables(spark, d))
-    return R.cascade(refs, files, symbols, bindings, R.mro(refs, files, symbols, cut(view(spark, d, "inherits"), "resolve")))
+    # As in an index, resolution reads stored tables; references and bindings are columns of one.
+    files, symbols = (cut(view(spark, d, n), "resolve") for n in ("code_files", "symbols"))
+    following = cut(pairs(spark, d, symbols), "resolve")
+    refs, bindings = (view(spark, d, n, following) for n in ("raw_refs", "bindings"))
+    return R.settled(refs, files, symbols, bindings, R.mro(refs, files, symbols, cut(view(spark, d, "inherits"), "resolve")))
 
 
 @query("resolve_cascade", sql(f"RECURSIVE WITH {_BEST} SELECT * FROM done", *_MRO_VIEWS))
 def resolve_cascade(spark, d):
-    return _resolved(spark, d).select("id", "tier", "target_symbol_id", "target_file_id", "confidence")
+    with in_place(spark):
+        return cut(_resolved(spark, d).select("id", "tier", "target_symbol_id", "target_file_id", "confidence"), "cascade")
 
 
 @query("tier_histogram", sql(f"RECURSIVE WITH {_BEST} SELECT tier, confidence, count(*) AS n FROM done GROUP BY 1, 2", *_MRO_VIEWS))
 def tier_histogram(spark, d):
-    return _resolved(spark, d).groupBy("tier", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    with in_place(spark):
+        return cut(_resolved(spark, d).groupBy("tier", "confidence").agg(F.count(F.lit(1)).alias("n")), "tiers")
 
 
 def _barrel_sql(hops: int) -> str:

@@ -124,3 +124,37 @@ def test_one_tier_alone_writes_and_keeps_only_what_it_needs(spark, monkeypatch):
     made = R.tiers(refs, files, symbols, bindings, names=["l4a"])
     assert [tuple(r) for r in made["l4a"].collect()] == [(1, 9, 1, 1, 0.6)] and list(made) == ["l4a"]
     assert written == ["owned"]
+
+
+def shuffled(spark, run):
+    """Rows written to shuffles by the stages of ``run``, with no join a broadcast."""
+    gate, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    empty = gate.jvm.java.util.ArrayList
+
+    def rows():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(empty(), False, False, gate.new_array(gate.jvm.double, 0), empty()).iterator()
+        out = {}
+        while stages.hasNext():
+            stage = stages.next()
+            out[stage.stageId()] = stage.shuffleWriteRecords()
+        return out
+
+    before = set(rows())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for stage, n in rows().items() if stage not in before)
+
+
+def test_the_cascade_shuffles_references_by_file_and_then_once(spark):
+    files = spark.createDataFrame([(k, f"d{k % 5}/f{k}.py", f"d{k % 5}/", "python") for k in range(20)], FILES)
+    symbols = spark.createDataFrame([(k, k % 20, f"n{k}", "function", None) for k in range(60)], SYMBOLS)
+    refs = R.cut(spark.range(20_000).selectExpr("id", "id % 20 AS source_file_id", "'s' AS source_symbol", "concat('n', id % 70) AS target_name", "CAST(null AS string) AS target_qualifier", "CAST(null AS string) AS receiver_type", "'call' AS kind"))
+    bound = spark.createDataFrame([(1, "n3", 3)], "source_file_id long, target_name string, target_file_id long")
+    made: list = []
+    # Files and imports are met before, each by a shuffle where neither is small enough for a broadcast.
+    assert shuffled(spark, lambda: made.extend(R.cascade(refs, files, symbols, bound).collect())) < 3.3 * 20_000
+    assert len(made) == 20_000 and sum(row.tier is None for row in made) == 2850
