@@ -7,9 +7,10 @@ per key before they meet the references (how many files, which symbol first),
 so common names fan nothing out and leave no skew on the candidates' side.
 The cascade shuffles the references once, by name: every table that they meet
 has the name in its key and lies in the same partitions, held as a hash table
-of the partition's names while references stream by. What has another key
-(types of receivers, the inheritance walk) is found for what is asked, once for
-equal asks, and brought under the name first.
+of the partition's names while references stream by. Files and what they import
+are held by every task, up to a checked number, and met after that shuffle. What has
+another key (types of receivers, the inheritance walk) is found for what is asked,
+once for equal asks, and brought under the name first.
 
 Columns. files: id, path, dir, lang_family. symbols: id, file_id, name, kind,
 scope. refs: id, source_file_id, target_name, target_qualifier, receiver_type,
@@ -34,6 +35,9 @@ SELF_LIKE = ("this", "self", "cls", "super")
 TYPE_KINDS = ("class", "struct", "interface", "enum")
 SKIPPED = ("import", "import_binding")
 
+#: Rows up to which a table goes whole to every task, whatever Spark's own threshold; beyond, Spark chooses the join.
+HELD = 200_000
+
 TIERS = {"l0": (0, 0.95), "l0c": (1, 0.95), "l0d": (2, 0.95), "l0e": (3, 0.95), "l0b": (4, 0.95), "l1": (5, 1.0), "l2": (6, 0.95), "l3": (7, 0.9), "l4": (8, 0.8), "l4a": (9, 0.6), "l4b": (10, 0.6), "l5": (11, 0.5)}
 
 
@@ -66,6 +70,10 @@ def _symbol() -> Column:
 
 
 
+def _held(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= HELD else table
+
+
 def _bound(bindings: DataFrame, name: str) -> DataFrame:
     """The file that a name is bound to in a file: the smallest, where several bindings disagree."""
     return bindings.where("target_file_id is not null").groupBy("source_file_id", F.col("target_name").alias(name)).agg(F.min("target_file_id").alias("owner"))
@@ -93,12 +101,21 @@ class Ladder:
     def __init__(self, refs: DataFrame, files: DataFrame, symbols: DataFrame, bindings: DataFrame, mro: DataFrame | None = None, alone: bool = False):
         self.refs, self.files, self.symbols, self.bindings, self.mro, self.alone = refs, files, symbols, bindings, mro, alone
         source = files.select(F.col("id").alias("source_file_id"), F.col("dir").alias("source_dir"), F.col("lang_family").alias("family"), F.lit(True).alias("placed"))
-        self.frame = refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
         if alone:
-            self.frame = self.frame.where("open")
-        else:
-            self.apart = self.frame
-            self.frame = self.frame.join(cut(self._imported(), "imported"), ["source_file_id", "target_qualifier"], "left").repartition("target_name")
+            self.frame = self._opened(refs, source).where("open")
+            return
+        imported = cut(self._imported(), "imported")
+        small = max(files.count(), imported.count()) <= HELD
+        if small:
+            source, imported = F.broadcast(source), F.broadcast(imported)
+        self.apart = self._opened(refs, source)
+        # Held tables leave references where they are, so that what they add needn't be shuffled.
+        self.frame = self._opened(refs.repartition("target_name"), source) if small else self.apart
+        self.frame = self.frame.join(imported, ["source_file_id", "target_qualifier"], "left")
+        self.frame = self.frame if small else self.frame.repartition("target_name")
+
+    def _opened(self, refs: DataFrame, source: DataFrame) -> DataFrame:
+        return refs.join(source, "source_file_id", "left").withColumn("open", F.coalesce(~F.col("kind").isin(*SKIPPED), F.lit(True)) & F.col("placed").isNotNull())
 
     def _by(self, table: DataFrame, name: str) -> DataFrame:
         """Groups whose keys have the name stay where they are, and so do joins by them."""
@@ -150,7 +167,7 @@ class Ladder:
         asks = self.apart.where("open and receiver_type is not null").select("source_file_id", "receiver_type", "family", "target_name")
         asks = asks.repartition("source_file_id", "receiver_type").distinct()
         bound = _bound(self.bindings.repartition("source_file_id", "target_name"), "receiver_type")
-        types = cut(self._types(), "types").withColumnsRenamed({"typed": "receiver_type", "owner": "definer"})
+        types = _held(cut(self._types(), "types")).withColumnsRenamed({"typed": "receiver_type", "owner": "definer"})
         asks = asks.join(bound.hint("shuffle_hash"), ["source_file_id", "receiver_type"], "left").join(types, ["receiver_type", "family"], "left")
         asks = asks.where("owner is not null or definer is not null").drop("family").repartition("target_name")
         for file, found in (("owner", "bound"), ("definer", "defined")):
@@ -185,11 +202,12 @@ class Ladder:
         self._propose("l0d", same_file_first(), F.col("s"), "typed", "owner", "s")
 
     def l0e(self) -> None:
-        """What the inheritance walk found."""
+        """What the inheritance walk found; equal calls find the same."""
         if self.mro is not None:
-            found = self._by(self.mro, "target_name").groupBy(F.col("ref_id").alias("id"), "target_name")
-            self._meet(found.agg(F.min(F.struct(F.col("symbol_id").alias("id"), "file_id")).alias("s")), "id", "target_name")
-            self._propose("l0e", F.lit(True), F.col("s"), "s")
+            keys = ["id" if self.alone else "source_file_id", "receiver_type", "target_name"]
+            found = self._by(self.mro, "target_name").withColumnRenamed("ref_id", "id").groupBy(*keys)
+            self._meet(found.agg(F.min(F.struct(F.col("symbol_id").alias("id"), "file_id")).alias("s")), *keys)
+            self._propose("l0e", F.col("kind") == "call", F.col("s"), "s")
         else:
             self._own()
             self._propose("l0e", F.lit(False), F.col("own"))
@@ -445,7 +463,7 @@ def mro(refs: DataFrame, files: DataFrame, symbols: DataFrame, inherits: DataFra
         if at.isEmpty():
             break
         asked.append(at)
-    schema = "ref_id long, target_name string, tier int, symbol_id long, file_id long, confidence double"
+    schema = "ref_id long, source_file_id long, receiver_type string, target_name string, tier int, symbol_id long, file_id long, confidence double"
     if not asked:
         return refs.sparkSession.createDataFrame([], schema)
     # A class itself is asked before its bases are: a number below all others follows its key. Calls meet the place in that order, not the keys.
@@ -453,5 +471,6 @@ def mro(refs: DataFrame, files: DataFrame, symbols: DataFrame, inherits: DataFra
     asked = asked.select("source_file_id", "receiver_type", "file_id", F.rank().over(Window.partitionBy("source_file_id", "receiver_type").orderBy("key")).alias("place"))
     owned = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.min("id").alias("symbol_id"))
     hits = asked.join(calls.drop("source"), ["source_file_id", "receiver_type"]).join(owned, ["file_id", "target_name"])
-    first = hits.groupBy("ref_id", "target_name").agg(F.min(F.struct("place", "symbol_id", "file_id")).alias("hit"))
-    return first.select("ref_id", "target_name", F.lit(order).alias("tier"), "hit.symbol_id", "hit.file_id", F.lit(confidence).alias("confidence"))
+    call = ["ref_id", "source_file_id", "receiver_type", "target_name"]
+    first = hits.groupBy(*call).agg(F.min(F.struct("place", "symbol_id", "file_id")).alias("hit"))
+    return first.select(*call, F.lit(order).alias("tier"), "hit.symbol_id", "hit.file_id", F.lit(confidence).alias("confidence"))

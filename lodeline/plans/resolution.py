@@ -86,7 +86,8 @@ _BEST = f"{_BASE}, {_MRO}, every AS ({_ALL}), best AS (SELECT * FROM (SELECT *,
 def _resolved(spark, d):
     # As in an index, resolution reads stored tables; references and bindings are columns of one.
     files, symbols = (cut(view(spark, d, n), "resolve") for n in ("code_files", "symbols"))
-    following = cut(pairs(spark, d, symbols), "resolve")
+    # Equal names lie together: so they do in what is shuffled by name, which makes it smaller.
+    following = cut(pairs(spark, d, symbols).sortWithinPartitions("t.name", "r.kind", "s.file_id"), "resolve")
     refs, bindings = (view(spark, d, n, following) for n in ("raw_refs", "bindings"))
     return R.settled(refs, files, symbols, bindings, R.mro(refs, files, symbols, cut(view(spark, d, "inherits"), "resolve")))
 

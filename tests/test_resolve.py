@@ -158,3 +158,16 @@ def test_the_cascade_shuffles_references_by_file_and_then_once(spark):
     # Files and imports are met before, each by a shuffle where neither is small enough for a broadcast.
     assert shuffled(spark, lambda: made.extend(R.cascade(refs, files, symbols, bound).collect())) < 3.3 * 20_000
     assert len(made) == 20_000 and sum(row.tier is None for row in made) == 2850
+
+
+def test_files_and_imports_that_every_task_holds_cost_no_shuffle(spark, monkeypatch):
+    files = spark.createDataFrame([(k, f"d{k % 5}/f{k}.py", f"d{k % 5}/", "python") for k in range(20)], FILES)
+    symbols = spark.createDataFrame([(k, k % 20, f"n{k}", "function", None) for k in range(60)], SYMBOLS)
+    refs = R.cut(spark.range(20_000).selectExpr("id", "id % 20 AS source_file_id", "'s' AS source_symbol", "CASE id % 49 WHEN 0 THEN 'x/f1' ELSE concat('n', id % 63) END AS target_name", "CASE id % 3 WHEN 0 THEN 'f1' END AS target_qualifier", "CAST(null AS string) AS receiver_type", "CASE id % 49 WHEN 0 THEN 'import' ELSE 'call' END AS kind"))
+    bound = spark.createDataFrame([(1, "n3", 3)], "source_file_id long, target_name string, target_file_id long")
+    made: dict = {}
+    run = lambda held: made.update({held: sorted(map(repr, R.cascade(refs, files, symbols, bound).collect()))})
+    assert shuffled(spark, lambda: run(True)) < 1.3 * 20_000
+    monkeypatch.setattr(R, "HELD", 0)
+    assert shuffled(spark, lambda: run(False)) > 1.9 * 20_000
+    assert made[True] == made[False] and sum("tier=7" in row for row in made[True]) > 0
