@@ -60,9 +60,9 @@ _ROLES, _SURE = _roles("0.5"), _roles("1")
 
 def _facts(spark, d, least=G.LEAST_CONFIDENCE):
     edges = cut(G.edges(view(spark, d, "refs"), least), "edges")
-    ranks = G.pagerank(edges).select("id", F.round("centrality", 9).alias("centrality"))
+    made = cut(G.measures(edges).withColumn("centrality", F.round("centrality", 9)), "measures")
     files = _files(spark, d)
-    return A.facts(files, A.fuse_layers(files), G.degrees(edges), cut(ranks, "ranks"), G.scc(edges).select("id", "scc_size"))
+    return A.facts(files, A.fuse_layers(files), made.select("id", "in_degree", "out_degree"), made.select("id", "centrality"), made.select("id", "scc_size"))
 
 
 _FACTS = "id, role, centrality, in_degree, out_degree"
