@@ -15,6 +15,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TEST_FACTOR, IMPORT_FACTOR, CENTRALITY_FACTOR = 0.5, 0.3, 2.0
 FUSION_FACTOR, FUSION_CENTRALITY = 0.1, 5.0
 RRF_K = 60
+#: Bytes of text to a task that makes postings, and the least worth a task of their own.
+TASK_BYTES, LEAST_BYTES = 16_000_000, 1_000_000
 WEIGHTS = {"fulltext": 1.0, "symbol": 1.2, "semantic": 0.8}
 
 
@@ -72,15 +74,21 @@ def _occurrences(tokens: Column, clause: list[str], prefix: bool) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, tf, dl, positions of every term and chunk, and a row of term '' for each chunk; sorted by term, so that a query's filters skip the rest.
+    """term, id, tf, dl, positions of every term and chunk, and a row of term '' for each chunk; a task's are sorted by term, so that a query's filters skip the rest.
 
     Positions of the scope's terms begin two after the content's last, so that no phrase runs over.
+    Texts are dealt once, some ``TASK_BYTES`` to a task, which groups and sorts what
+    it gets: no posting is shuffled.
     """
+    spark = chunks.sparkSession
+    size = chunks.agg(F.sum(F.octet_length(F.coalesce("content", F.lit(""))))).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    chunks = chunks.select("id", "content", "scope").repartition(tasks, "id")
     placed = lambda c, start: F.transform(c, lambda t, i: F.struct(t.alias("term"), (i + start).alias("pos")))
     taken = chunks.select("id", tokens(F.coalesce("content", F.lit(""))).alias("c"), tokens(F.coalesce("scope", F.lit(""))).alias("s"))
     every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("pos"))), placed(F.col("c"), F.lit(0)), placed(F.col("s"), F.size("c") + 1))
     counted = taken.select("id", (F.size("c") + F.size("s")).alias("dl"), F.explode(every).alias("x")).groupBy("id", "dl", "x.term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("x.pos")).alias("positions"))
-    return counted.select("term", "id", "tf", "dl", "positions").repartition("term").sortWithinPartitions("term", "id")
+    return counted.select("term", "id", "tf", "dl", "positions").sortWithinPartitions("term", "id")
 
 
 def _from_postings(postings: DataFrame, clauses: list[list[str]]) -> tuple[DataFrame, DataFrame]:

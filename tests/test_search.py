@@ -56,3 +56,11 @@ def test_postings_take_texts_apart_once(spark):
     """Ranges would be found by a sample, for which every text is taken apart once more."""
     chunks = spark.createDataFrame([(1, "the red apple", "s")], "id long, content string, scope string")
     assert "rangepartitioning" not in S.postings(chunks)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_no_posting_is_shuffled(spark):
+    """Texts are dealt by id once; terms and their positions stay in that task."""
+    chunks = spark.createDataFrame([(k, d, "s") for k, d in enumerate(DOCS)], "id long, content string, scope string")
+    plan = S.postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "Exchange" in plan.split("Generate")[-1]
